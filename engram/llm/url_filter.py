@@ -73,12 +73,13 @@ def judge_urls(pages: DataFrame, rules: list[Rule] | None = None, max_children:
     base = pages.select(F.col("page_id"), url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     base = base.withColumn("_m", match_rule(F.col("host"), F.col("path"), rules)).withColumn("_s", path_segments(F.col("path")))
     shapes = base.groupBy("host", "_s").agg(F.count("*").alias("n"), F.sum(F.when(F.col("_m.verdict") == "allow", 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("_m.verdict") == "block", 1).otherwise(0)).alias("bad"))
-    shapes = Workspace(pages.sparkSession, "url_filter").write(shapes, "shapes")
+    work = Workspace(pages.sparkSession, "url_filter")
+    shapes = work.write(shapes, "shapes")
 
     # Node at depth 0: the host. _key is the template so far, _purity that of its node.
     at = shapes.groupBy("host").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
     at = at.withColumn("_purity", (F.col("g") + F.lit(pull * prior)) / (F.col("g") + F.col("b") + F.lit(pull))).withColumn("_key", F.lit(""))
-    open_ = shapes.join(at.select("host", "_key", "_purity", F.col("g").alias("_g"), F.col("b").alias("_b")), "host")
+    open_ = work.write(shapes.join(at.select("host", "_key", "_purity", F.col("g").alias("_g"), F.col("b").alias("_b")), "host"), "depth0")
     for depth in range(DEPTH):
         open_ = open_.withColumn("_child", F.get("_s", F.lit(depth)))
         children = open_.groupBy("host", "_key", "_child").agg(F.sum("good").alias("cg"), F.sum("bad").alias("cb"), F.first("_g").alias("_g"), F.first("_b").alias("_b"))
@@ -92,12 +93,13 @@ def judge_urls(pages: DataFrame, rules: list[Rule] | None = None, max_children:
         named = F.when(F.col("_child").isNull(), F.lit("")).when((F.col("_fan") > max_children) | ~differs, F.lit("/*")).otherwise(F.concat(F.lit("/"), F.col("_child")))
         moves = children.select(F.col("host").alias("mh"), F.col("_key").alias("mk"), F.col("_child").alias("mc"), F.concat("_key", named).alias("_next"))
         on = (F.col("host") == F.col("mh")) & (F.col("_key") == F.col("mk")) & F.col("_child").eqNullSafe(F.col("mc"))
-        open_ = open_.join(moves, on).drop("mh", "mk", "mc", "_child")
+        open_ = work.write(open_.join(moves, on).drop("mh", "mk", "mc", "_child"), f"moved{depth + 1}")
         nodes = open_.groupBy("host", "_key", "_next").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"), F.first("_purity").alias("_up"))
         own = (F.col("g") + pull * F.col("_up")) / (F.col("g") + F.col("b") + F.lit(pull))
         nodes = nodes.select(F.col("host").alias("nh"), F.col("_key").alias("nk"), F.col("_next").alias("nn"), F.when(F.col("_next") == F.col("_key"), F.col("_up")).otherwise(own).alias("np"), F.col("g").alias("ng"), F.col("b").alias("nb"))
         open_ = open_.join(nodes, (F.col("host") == F.col("nh")) & (F.col("_key") == F.col("nk")) & (F.col("_next") == F.col("nn")))
         open_ = open_.select("host", "_s", "n", "good", "bad", F.col("_next").alias("_key"), F.col("np").alias("_purity"), F.col("ng").alias("_g"), F.col("nb").alias("_b"))
+        open_ = work.write(open_, f"depth{depth + 1}")
     verdicts = open_.select(F.col("host").alias("vh"), F.col("_s").alias("vs"), F.col("_key").alias("template"), F.col("_purity").alias("purity"))
     judged = base.join(verdicts, (F.col("host") == F.col("vh")) & (F.col("_s") == F.col("vs")))
     verdict = F.coalesce("_m.verdict", F.when(F.col("purity") < least_purity, F.lit("block")).otherwise(F.lit("allow")))
