@@ -1,21 +1,57 @@
-"""The corpus pipeline: stages applied in order, each written as Parquet and read again."""
+"""The corpus pipeline: stages applied in order to documents, each written as Parquet and read again.
+
+Each stage takes (spark, docs, sf_dir); docs is what the stage before kept. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from engram.llm._spark import Workspace
+from engram.llm.decontamination import drop_contaminated
+from engram.llm.mixing import mix_sources, take_copies
 from engram.llm.ngram_join import keep_one_per_group
+from engram.llm.quality_rules import keep_good
+from engram.llm.queries import mix_levels, mix_weight
+from engram.llm.sharding import shuffle_into_shards
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the quality rules reject go."""
+    return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five-word shingles, Jaccard 0.8 or more) the smallest doc_id stays."""
     return keep_one_per_group(docs, n=5, num=8, den=10)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows contaminated by benchmark items go."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=13, min_share=20)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the target weights take them; the budget is as large as all there is."""
+    mixed = mix_sources(docs, mix_levels(), mix_weight(), budget_percent=100, max_epochs=3, seed=11)
+    return take_copies(mixed, docs.columns)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, in eight shards of equal size, with their slots."""
+    return shuffle_into_shards(docs, [F.col("doc_id"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))], shards=8, seed=20)
+
+
 STAGES = [
+    ("quality rules", quality_rules),
     ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources", mixing),
+    ("sharding", sharding),
 ]
 
+#: Suffix-array verdicts and hypergeometric draws have no SQL form; the tests hold run() against brute force.
 ORACLE_SQL = None
 
 
