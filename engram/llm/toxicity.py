@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm import _text as T
-from engram.llm._spark import Workspace, small_batches
+from engram.llm._spark import Workspace, maybe_broadcast, small_batches
 
 #: n-gram lengths in bytes (A-Z lower-cased), and bits of the feature index.
 LENGTHS, BITS = (3, 4, 5), 18
@@ -164,7 +164,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Da
     seen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     seen = seen.groupBy("doc_id").agg(F.max("label").alias("label"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    work = Workspace(docs.sparkSession, "toxicity_labels")
-    model = train_toxicity(work.write(texts.join(seen, "doc_id"), "labelled"), fit_rows)
+    seen = maybe_broadcast(Workspace(docs.sparkSession, "toxicity_labels").write(seen, "seen"))
+    model = train_toxicity(texts.join(seen, "doc_id"), fit_rows)
     scored = score_toxicity(docs, model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
