@@ -1 +1 @@
-
+"""Readers, stored tables and outside providers."""
