@@ -15,6 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ from engram.llm._spark import Workspace, small_batches
 #: Bytes of a gram, and window starts handled at once (their places have to fit 24 bits).
 GRAM, SEGMENT = 24, 1 << 22
 PLACE = np.uint64((1 << 24) - 1)
+#: Dictionary phrases put in order at once (and the rest of the last one's trigger).
+BLOCK = 4096
 
 
 class Parse:
@@ -119,19 +123,102 @@ def _parse_rows(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, "k long, h long, doc_id long, idx int")
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id and z, the compressed text: what has to be brought together with a document's marks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            column = pc.fill_null(batch.column("text").cast(pa.large_binary()), b"")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([pack(x) for x in column.to_pylist()], pa.binary())], ["doc_id", "z"])
+
+    return docs.mapInArrow(run, "doc_id long, z binary")
+
+
+def _texts(batch: pa.RecordBatch) -> pa.Array:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return pa.array([unpack(x) for x in batch.column("z").to_pylist()], pa.large_binary())
+
+
+def _part_phrases(batch: pa.RecordBatch, length: int) -> Iterator[tuple[Parse, np.ndarray]]:
+    """The parse of each chunk of a batch with `part` (places of some phrases), and those phrases."""
+    part = batch.column("part")
+    for chunk in T.chunks(_texts(batch)):
+        p = Parse(chunk, length)
+        which = [part[chunk.first + i].values.to_numpy().astype(np.int64) + p.bounds[i] for i in range(len(chunk)) if part[chunk.first + i].is_valid]
+        yield p, np.sort(np.concatenate(which)) if which else np.zeros(0, np.int64)
+
+
+def _dictionary_rows(docs: DataFrame, length: int) -> DataFrame:
+    """docs with `part`: k, doc_id, place (of its first window) and letters of these phrases."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            for p, which in _part_phrases(batch, length):
+                first, stop = p.first[which], p.last[which] + length
+                raw = p.chunk.data.tobytes()
+                letters = pa.array([raw[a:b] for a, b in zip(first.tolist(), stop.tolist(), strict=True)], pa.binary())
+                place = first - p.chunk.bounds[p.doc[which]]
+                yield pa.RecordBatch.from_arrays([pa.array(p.key[which].view(np.int64)), pa.array(ids[p.chunk.first + p.doc[which]].astype(np.int64)), pa.array(place.astype(np.int32)), letters], ["k", "doc_id", "place", "letters"])
+
+    return docs.mapInArrow(run, "k long, doc_id long, place int, letters binary")
+
+
+def _repeats_in_order(rows: DataFrame, length: int) -> DataFrame:
+    """_dictionary_rows, all of a trigger in one part and in corpus order: doc_id, first and last of the runs of windows that
+    an earlier document has, too."""
+
+    def repeats(table: pa.Table) -> pa.RecordBatch:
+        doc = table.column("doc_id").to_numpy()
+        chunk = next(T.chunks(table.column("letters").combine_chunks().cast(pa.large_binary()), 1 << 40))
+        p = Parse.__new__(Parse)
+        p.sums = np.zeros(len(chunk.data) + 1, dtype=np.uint64)
+        up, p.down = T.powers(len(chunk.data) + 1)
+        np.cumsum(T.EXACT[chunk.data] * up[: len(chunk.data)], out=p.sums[1:])
+        sizes = np.diff(chunk.bounds) - length + 1
+        phrase = np.repeat(np.arange(len(sizes)), sizes)
+        offset = np.arange(len(phrase)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        name = T.mix(p.names(chunk.bounds[phrase] + offset, length) ^ T.mix(table.column("k").to_numpy().view(np.uint64))[phrase])
+        _, first, inverse = np.unique(name, return_index=True, return_inverse=True)
+        again = doc[phrase] > doc[phrase[first[inverse]]]
+        joined = again[1:] & again[:-1] & (phrase[1:] == phrase[:-1])
+        opens = np.flatnonzero(again & ~np.concatenate(([False], joined)))
+        closes = np.flatnonzero(again & ~np.concatenate((joined, [False])))
+        place = table.column("place").to_numpy()[phrase[opens]]
+        return pa.RecordBatch.from_arrays([pa.array(doc[phrase[opens]]), pa.array((place + offset[opens]).astype(np.int32)), pa.array((place + offset[closes]).astype(np.int32))], ["doc_id", "first", "last"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(pa.Table.from_batches([batch]))
+            if sum(t.num_rows for t in held) < BLOCK:
+                continue
+            table = pa.concat_tables(held)
+            # The last trigger may go on in the next batch.
+            k = table.column("k").to_numpy()
+            cut = int(np.searchsorted(k, k[-1]))
+            if cut:
+                yield repeats(table.slice(0, cut))
+            held = [table.slice(cut)]
+        if held:
+            yield repeats(pa.concat_tables(held))
+
+    return rows.repartition("k").sortWithinPartitions("k", "doc_id", "place").mapInArrow(run, "doc_id long, first int, last int")
+
+
 def _window_rows(docs: DataFrame, length: int) -> DataFrame:
-    """docs with `part`, the places of some phrases: k, w (name), doc_id and place of their windows."""
+    """docs with `part`: k, w (name), doc_id and place of each window of these phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, part = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("part")
-            for chunk in T.chunks(batch.column("text")):
-                p = Parse(chunk, length)
-                which = [np.asarray(part[chunk.first + i].as_py(), dtype=np.int64) + p.bounds[i] for i in range(len(chunk))]
-                start, phrase = p.windows(np.sort(np.concatenate(which)))
-                name = p.names(start, length)
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            for p, which in _part_phrases(batch, length):
+                start, phrase = p.windows(which)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(p.key[phrase].view(np.int64)), pa.array(name.view(np.int64)), pa.array(ids[chunk.first + p.doc[phrase]].astype(np.int64)), pa.array((start - chunk.bounds[p.doc[phrase]]).astype(np.int32))],
+                    [pa.array(p.key[phrase].view(np.int64)), pa.array(p.names(start, length).view(np.int64)), pa.array(ids[p.chunk.first + p.doc[phrase]].astype(np.int64)), pa.array((start - p.chunk.bounds[p.doc[phrase]]).astype(np.int32))],
                     ["k", "w", "doc_id", "place"],
                 )
 
@@ -139,12 +226,12 @@ def _window_rows(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _cut(docs: DataFrame, length: int) -> DataFrame:
-    """docs with `phrases` (places of phrases that are repeats) and `places` (starts of further windows that are)."""
+    """doc_id, z, `phrases` (places of phrases that are repeats) and `runs` (first and last of further windows that are)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            phrases, places = batch.column("phrases"), batch.column("places")
-            for chunk in T.chunks(batch.column("text")):
+            phrases, runs = batch.column("phrases"), batch.column("runs")
+            for chunk in T.chunks(_texts(batch)):
                 p = Parse(chunk, length)
                 steps = np.zeros(len(chunk.data) + 1, dtype=np.int64)
                 again = p.repeated_in_doc()
@@ -156,10 +243,10 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
                         which = np.asarray(phrases[row].values.to_numpy(), dtype=np.int64) + p.bounds[i]
                         np.add.at(steps, p.first[which], 1)
                         np.add.at(steps, p.last[which] + length, -1)
-                    if places[row].is_valid:
-                        at = np.asarray(places[row].values.to_numpy(), dtype=np.int64) + chunk.bounds[i]
-                        np.add.at(steps, at, 1)
-                        np.add.at(steps, at + length, -1)
+                    if runs[row].is_valid:
+                        own = runs[row].values
+                        np.add.at(steps, own.field("first").to_numpy().astype(np.int64) + chunk.bounds[i], 1)
+                        np.add.at(steps, own.field("last").to_numpy().astype(np.int64) + chunk.bounds[i] + length, -1)
                 gone = np.cumsum(steps[:-1]) > 0
                 before = np.concatenate(([False], gone[:-1])) if len(gone) else gone
                 inner = chunk.bounds[:-1][chunk.bounds[:-1] < len(gone)]
@@ -185,7 +272,7 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
-def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, group: int = 50_000) -> DataFrame:
     """Removes each byte covered by a string of `length` bytes that also starts earlier: in a text of smaller doc_id, or
     earlier in the same one. Strings never cross texts and are judged on the input.
 
@@ -193,6 +280,9 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     (maximal removed runs, start and end in bytes), kept (the remaining bytes, which may cut a character). Null and
     shorter texts stay whole. Rows that share a doc_id aren't earlier than each other; rows of null doc_id are only
     compared with themselves. An empty table gives no rows.
+
+    A trigger with more than one phrase is put in order by one task, unless it has over `group` phrases: these are ordered
+    window by window, as rows of their own, which splits them at any size.
     """
     if length <= GRAM:
         raise ValueError(f"length has to exceed {GRAM}")
@@ -203,20 +293,31 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     named = docs.filter("doc_id is not null")
 
     parse = _parse_rows(named, length)
-    shared = parse.groupBy("k").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("k")
+    shared = parse.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k")
     common = work.write(parse.join(shared, "k"), "common")
-    # The dictionary: each phrase with its first text.
+    del parse, shared
+    work.release()
+    # The dictionary: each phrase with its first text; and the triggers with more than one phrase.
     dictionary = work.write(common.groupBy("k", "h").agg(F.min("doc_id").alias("first")), "dictionary")
-    many = dictionary.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a < b").select("k")
+    many = dictionary.groupBy("k").agg(F.count("*").alias("phrases")).filter("phrases > 1")
     placed = common.join(dictionary, ["k", "h"])
-    whole = placed.filter("doc_id > first").select("doc_id", "idx")
-    part = placed.filter("doc_id = first").join(many, "k", "left_semi").groupBy("doc_id").agg(F.collect_list("idx").alias("part"))
-    part = work.write(part, "part")
+    whole = placed.filter("doc_id > first").select("doc_id", "idx", F.lit(None).cast("struct<first:int,last:int>").alias("run"))
+    part = work.write(placed.filter("doc_id = first").join(many, "k").select("doc_id", "idx", (F.col("phrases") > group).alias("large")), "part")
 
-    windows = work.write(_window_rows(named.join(part, "doc_id").select("doc_id", "text", "part"), length), "windows")
-    earliest = windows.groupBy("k", "w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    again = windows.join(earliest, ["k", "w"]).filter("doc_id > first").select("doc_id", "place")
+    def with_part(rows: DataFrame) -> DataFrame:
+        return _packed(named).join(rows.groupBy("doc_id").agg(F.collect_list("idx").alias("part")), "doc_id")
 
-    marks = whole.select("doc_id", "idx", F.lit(None).cast("int").alias("place")).unionByName(again.select("doc_id", F.lit(None).cast("int").alias("idx"), "place"))
-    marks = work.write(marks.groupBy("doc_id").agg(F.collect_set("idx").alias("phrases"), F.collect_set("place").alias("places")), "marks")
-    return _cut(docs.join(marks, "doc_id", "left").select("doc_id", "text", "phrases", "places"), length)
+    again = _repeats_in_order(_dictionary_rows(with_part(part.filter("not large")), length), length)
+    if part.filter("large").limit(1).count():
+        windows = work.write(_window_rows(with_part(part.filter("large")), length), "windows")
+        earliest = windows.groupBy("k", "w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+        far = windows.join(earliest.select("k", "w", F.col("first").alias("f")), ["k", "w"]).filter("doc_id > f")
+        again = again.unionByName(far.select("doc_id", F.col("place").alias("first"), F.col("place").alias("last")))
+    again = work.write(again, "again").select("doc_id", F.lit(None).cast("int").alias("idx"), F.struct("first", "last").alias("run"))
+    marks = whole.unionByName(again).groupBy("doc_id").agg(F.collect_set("idx").alias("phrases"), F.collect_set("run").alias("runs"))
+    marks = work.write(marks, "marks")
+    del placed, whole, again
+    for name in ("common", "dictionary", "part", "again"):
+        work.drop(name)
+    work.release()
+    return _cut(_packed(docs).join(marks, "doc_id", "left"), length)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import json
 import os
@@ -241,8 +240,7 @@ def materialise_training_order(docs: DataFrame, tokenizer_path: str, out: str |
         pieces = packed_pieces(placed, layout, n, (first * layout.per_shard, last * layout.per_shard))
         done = done.union(work.write(write_shards(pieces, out, layout, first, last), f"rows{first}"))
         del pieces
-        gc.collect()
-        spark._jvm.System.gc()  # what the wave has shuffled may go
+        work.release()  # what the wave has shuffled may go
     return done
 
 
