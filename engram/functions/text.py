@@ -72,7 +72,7 @@ def relink(body: Column | str, old: Column | str, new: Column | str) -> Column:
 def keyword_match(text: Column | str, query: Column | str) -> Column:
     """Lower-case LIKE %query%; % and _ in the query are wildcards. An empty query matches nothing."""
     q = _col(query)
-    return (q != "") & F.lower(_col(text)).like(F.concat(F.lit("%"), F.lower(q), F.lit("%")))
+    return (q != "") & F.like(F.lower(_col(text)), F.concat(F.lit("%"), F.lower(q), F.lit("%")))
 
 
 def render_line(hit_id: Column, title: Column, kind: Column, event_time: Column, confidence: Column, status: Column, freshness: Column, note: Column, source: Column) -> Column:
