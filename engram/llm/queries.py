@@ -12,12 +12,12 @@ from engram.llm.chat_format import chat_digests, format_chats
 from engram.llm.decontamination import find_contamination
 from engram.llm.mixing import mix_sources
 from engram.llm.ngram_join import ngram_jaccard_groups
-from engram.llm.quality_rules import judge_quality
+from engram.llm.quality_rules import MAX_COVERED, MAX_REPEAT, MIN_REPEAT, judge_quality
 from engram.llm.sharding import shuffle_into_shards
 from engram.llm.substring_dedup import remove_repeats
 from engram.llm.toxicity import toxicity
 from engram.llm.training_order import materialise_training_order
-from engram.llm.url_filter import judge_urls
+from engram.llm.url_filter import DEPTH, RULES, judge_urls
 
 #: The vocabulary of op9; only the place of a public file, given by the environment.
 TOKENIZER = os.environ.get("ENGRAM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -69,7 +69,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_quality(_table(spark, sf_dir, "documents"))
+    return judge_quality(_table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,4 +101,120 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLES: dict[str, str] = {}
+# SQL of these queries.
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP6_SQL = f"""with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select * from (values (-7, 0, 'user', '{INJECTION}'), (-7, 1, 'assistant', '{INJECTION}')) v),
+  p as (select *, lag(role) over (partition by conv_id order by turn, role, text) as before, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as safe,
+    replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as safe_role from t)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(sum(length(safe) + case when before is null or before != role then length('<|' || safe_role || '|>') + length('<|end|>') else length('<|turn|>') end) as bigint) as formatted_chars
+from p group by conv_id"""
+
+OP10_SQL = f"""with dw as (select row_number() over () as row_id, doc_id, regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+  bw as (select cast(item_id as varchar) as item, regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark),
+  win as (select distinct item, least(13, len(w)) as m, array_to_string(w[i : i + least(13, len(w)) - 1], ' ') as s from (select item, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) as i from bw where len(w) > 0)),
+  ms as (select distinct m from win),
+  dwin as (select row_id, i, m, array_to_string(w[i : i + m - 1], ' ') as s from (select row_id, w, m, unnest(range(1, len(w) - m + 2)) as i from dw, ms where len(w) >= m)),
+  hits as (select row_id, i, d.m, item from dwin d join win b on d.m = b.m and d.s = b.s),
+  covered as (select row_id, count(distinct p) as n_hit from (select row_id, unnest(range(i, i + m)) as p from (select distinct row_id, i, m from hits)) group by row_id),
+  items as (select row_id, count(*) as n, string_agg(item, ',' order by item) as l from (select distinct row_id, item from hits) group by row_id)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n, 0) as n_items, sha256(coalesce(l, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from dw left join covered using (row_id) left join items using (row_id)"""
+
+
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+OP1_SQL = f"""with recursive d as (select doc_id, {_WORDS.replace("coalesce(text, '')", _LOW)} as w from documents),
+  s as (select distinct doc_id, case when len(w) < 3 then array_to_string(w, ' ') else array_to_string(w[i : i + 2], ' ') end as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as i from d where len(w) > 0)),
+  n as (select doc_id, count(*) as n from s group by doc_id),
+  c as (select a.doc_id as x, b.doc_id as y, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+  l as (select x, y from c join n a on a.doc_id = x join n b on b.doc_id = y where 100 * k >= 90 * (a.n + b.n - k)),
+  e as (select x, y from l union all select y, x from l),
+  r(doc_id, other) as (select doc_id, doc_id from documents union select r.doc_id, e.y from r join e on r.other = e.x)
+select d.doc_id, coalesce(n, 0) as n_shingles, c.component_id from d left join n on n.doc_id = d.doc_id join (select doc_id, min(other) as component_id from r group by doc_id) c on c.doc_id = d.doc_id"""
+
+OP4_SQL = """with d as (select row_number() over () as row_id, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+  w as (select row_id, doc_id, p, substr(h, 2 * p + 1, 200) as s from (select row_id, doc_id, h, unnest(range(0, greatest(length(h) // 2 - 99, 0))) as p from d)),
+  g as (select row_id, p, row_number() over (partition by s order by doc_id, p) > 1 as again from w),
+  m as (select row_id, p, case when p <= lag(p) over (partition by row_id order by p) + 100 then 0 else 1 end as opens from g where again),
+  i as (select row_id, p, sum(opens) over (partition by row_id order by p) as span from m),
+  sp as (select row_id, span, min(p) as a, max(p) + 100 as b from i group by all),
+  k as (select row_id, count(*) as n_spans, sum(b - a) as n_removed, max(b) as tail, string_agg(piece, '' order by a) as kept from (select sp.*, substr(h, 2 * coalesce(lag(b) over (partition by sp.row_id order by a), 0) + 1, 2 * (a - coalesce(lag(b) over (partition by sp.row_id order by a), 0))) as piece from sp join d using (row_id)) group by row_id)
+select doc_id, cast(length(h) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(tail, 0) + 1))) as kept_sha256 from d left join k using (row_id)"""
+
+
+def _quality_sql() -> str:
+    def covered(n: int) -> str:
+        return f"""(with x as (select row_id, i, array_to_string(w[i : i + {n - 1}], ' ') as g from (select row_id, w, unnest(range(1, len(w) - {n - 2})) as i from d where len(w) >= {n})), y as (select row_id, i, count(*) over (partition by row_id, g) as c from x)
+    select row_id, count(distinct p) as n from (select row_id, unnest(range(i, i + {n})) as p from y where c > 1) group by row_id)"""
+
+    return f"""with d as (select row_number() over () as row_id, doc_id, coalesce(text, '') as text, {_WORDS} as w from documents), r3 as {covered(3)}, r8 as {covered(MIN_REPEAT)}, far as {covered(MAX_REPEAT + 1)},
+  b as (select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines, coalesce(r3.n, 0) as n_repeat_words, coalesce(r8.n, 0) as n_covered_words, far.n is not null as long_repeat
+    from d left join r3 using (row_id) left join r8 using (row_id) left join far using (row_id)),
+  f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from b)
+select doc_id, n_words, word_chars, n_symbols, cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, n_repeat_words, n_covered_words, base_failed, not base_failed and n_covered_words <= {MAX_COVERED}::double * n_words and not long_repeat as kept from f"""
+
+
+def _mixing_sql(percent: int = 80, epochs: int = 3, seed: int = 11) -> str:
+    levels = ["domain", "lang", "source"]
+    same = lambda cols: " and ".join(f"a.{c} is not distinct from b.{c}" for c in cols)
+    steps = []
+    for depth in range(3):
+        own, parent = levels[: depth + 1], ", ".join(["root", *levels[:depth]])
+        order = f"(partition by {parent} order by cap::double / w, {', '.join(own)}"
+        steps.append(f"""n{depth} as (select root, {', '.join(own)}, cast(sum(cap) as bigint) as cap, cast(sum(weight) as bigint) as w, max(budget) as budget from t{depth} group by all),
+  f{depth} as (select *, budget - coalesce(sum(cap) over {order} rows between unbounded preceding and 1 preceding), 0) as lft, sum(w) over (partition by {parent}) - coalesce(sum(w) over {order} rows between unbounded preceding and 1 preceding), 0) as ws from n{depth}),
+  g{depth} as (select *, sum(short) over {order} rows between unbounded preceding and current row) as k from (select *, case when cap * ws > lft * w then 1 else 0 end as short from f{depth})),
+  h{depth} as (select *, max(case when k = 1 and short = 1 then lft end) over (partition by {parent}) as rest, max(case when k = 1 and short = 1 then ws end) over (partition by {parent}) as by_ from g{depth}),
+  i{depth} as (select *, case when k = 0 then cap else least((rest * w) // by_, cap) end as share from h{depth}),
+  j{depth} as (select *, budget - sum(share) over (partition by {parent}) as odd, case when share < cap then 1 else 0 end as room from i{depth}),
+  k{depth} as (select *, share + case when room = 1 and sum(room) over {order} rows between unbounded preceding and current row) <= odd then 1 else 0 end as given from j{depth}),
+  t{depth + 1} as (select a.root, {', '.join('a.' + c for c in levels)}, a.supply, a.weight, a.cap, cast(b.given as bigint) as budget from t{depth} a join k{depth} b on {same(own)})""")
+    order = f"cast('0x' || substr(md5('{seed}:' || ep || ':' || coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint)"
+    return f"""with d as (select doc_id, right(source, 1) as domain, lang, source, text, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as n_tokens from documents),
+  l as (select domain, lang, source, cast(sum(n_tokens) as bigint) as supply from d group by all),
+  lw as (select 0 as root, *, case lang when 'en' then 4 when 'fr' then 3 when 'de' then 2 else 1 end as weight, supply * {epochs} as cap, cast((sum(supply) over () * {percent}) // 100 as bigint) as total from l),
+  t0 as (select root, domain, lang, source, supply, weight, cap, least(total, cast(sum(cap) over () as bigint)) as budget from lw where cap > 0),
+  {', '.join(steps)},
+  r as (select d.*, coalesce(b.budget, 0) as target, coalesce(b.budget // b.supply, 0) as ep, coalesce(b.budget - (b.budget // b.supply) * b.supply, 0) as rest from d left join t3 b on d.domain is not distinct from b.domain and d.lang is not distinct from b.lang and d.source is not distinct from b.source),
+  o as (select *, coalesce(sum(n_tokens) over (partition by domain, lang, source order by {order}, doc_id, text rows between unbounded preceding and 1 preceding), 0) as before from r)
+select doc_id, domain, lang, source, n_tokens, target, cast(case when target <= 0 then 0 when n_tokens = 0 then 1 else ep + case when before < rest then 1 else 0 end end as integer) as copies from o"""
+
+
+def _url_sql() -> str:
+    rules = sorted(RULES, key=lambda r: (-len(r.host) - len(r.path), -len(r.host), r.verdict != "block", r.name))
+    fits = lambda r: f"(host = '{r.host}' or ends_with(host, '.{r.host}')) and starts_with(path, '{r.path}')"
+    pick = lambda what: "case " + " ".join(f"when {fits(r)} then '{what(r)}'" for r in rules) + " end"
+    steps = []
+    for i in range(DEPTH):
+        steps.append(f"""c{i} as (select host, key, s[{i + 1}] as child, sum(good) as cg, sum(bad) as cb, first(g) as g, first(b) as b from o{i} group by host, key, s[{i + 1}]),
+  v{i} as (select *, count(child) over (partition by host, key) as fan, (cg + cb)::double as n, (g + b)::double as m, (g + b - cg - cb)::double as om from c{i}),
+  x{i} as (select *, case when n > 0 and om > 0 and g > 0 and b > 0 then abs(cg / n - (g - cg) / om) > 1.96::double * sqrt((g / m) * (1 - g / m) * (1 / n + 1 / om)) else false end as differs from v{i}),
+  y{i} as (select host, key, child, key || case when child is null then '' when fan > 20 or not differs then '/*' else '/' || child end as nxt from x{i}),
+  z{i} as (select o.*, y.nxt from o{i} o join y{i} y on o.host = y.host and o.key = y.key and o.s[{i + 1}] is not distinct from y.child),
+  w{i} as (select host, key, nxt, sum(good) as g, sum(bad) as b, first(purity) as up from z{i} group by host, key, nxt),
+  o{i + 1} as (select z.host, z.s, z.good, z.bad, z.nxt as key, case when z.nxt = z.key then w.up else (w.g + 5.0::double * w.up) / (w.g + w.b + 5.0::double) end as purity, w.g, w.b from z{i} z join w{i} w on z.host = w.host and z.key = w.key and z.nxt = w.nxt)""")
+    return f"""with u as (select page_id, {_LOW.replace("text", "regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")} as host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages),
+  p as (select *, {pick(lambda r: r.name)} as rule, {pick(lambda r: r.verdict)} as rv, list_transform(list_filter(string_split(path, '/'), lambda q: q != '')[1:{DEPTH}], lambda q: case when regexp_matches(q, '^[0-9]+(\\.[A-Za-z0-9]+)?$') then regexp_replace(q, '^[0-9]+', '*')
+    when regexp_matches(q, '^[0-9a-fA-F-]{{8,}}$') and regexp_matches(q, '[0-9]') then '*' else q end) as s from u),
+  sh as (select host, s, count(*) filter (where rv = 'allow') as good, count(*) filter (where rv = 'block') as bad from p group by host, s),
+  o0 as (select host, s, good, bad, '' as key, (sum(good) over h + 5.0::double) / (sum(good) over h + sum(bad) over h + 5.0::double) as purity, sum(good) over h as g, sum(bad) over h as b from sh window h as (partition by host)),
+  {', '.join(steps)}
+select page_id, p.host, path, rule, coalesce(rv, case when purity < 0.25 then 'block' else 'allow' end) as verdict, key as template, purity from p join o{DEPTH} o on p.host = o.host and p.s = o.s"""
+
+
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": OP1_SQL,
+    "op3_url_filters": _url_sql(),
+    "op4_suffix_dedup": OP4_SQL,
+    "op5_mix_sources": _mixing_sql(),
+    "op6_chat_format": OP6_SQL,
+    "op7_quality_rules": _quality_sql(),
+    "op10_decontaminate": OP10_SQL,
+}
