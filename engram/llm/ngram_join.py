@@ -14,25 +14,26 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.llm import _text as T
 from engram.llm._spark import Workspace, maybe_broadcast, small_batches
 from engram.operators.components import connected_components
 
-#: Words of 64 bits in the parity sketch, whose differing bits never exceed the features that differ.
-PARITY_LONGS = 8
-PARITY = [f"p{i}" for i in range(PARITY_LONGS)]
+#: Bounds of the 64-bit words in a parity sketch: about as many bits as the set has features.
+LEAST_LONGS, MOST_LONGS = 8, 4096
+#: Documents from which a component is kept out of the signature buckets and meets them as one.
+LARGE = 1000
 
 
 class PartEnum:
-    """Signature scheme for Jaccard >= num/den. width: a band's largest size over its smallest."""
+    """Signature scheme for Jaccard >= num/den. width: a band's largest size over its smallest, (den/num)**2 if not given."""
 
-    def __init__(self, num: int = 9, den: int = 10, k2: int = 1, n2: int = 3, width: float = 1.25):
+    def __init__(self, num: int = 9, den: int = 10, k2: int = 1, n2: int = 3, width: float | None = None):
         if not 0 < num < den or not 0 <= k2 < n2:
             raise ValueError("need 0 < num < den and 0 <= k2 < n2")
-        self.num, self.den, self.k2, self.n2, self.width = num, den, k2, n2, width
+        self.num, self.den, self.k2, self.n2, self.width = num, den, k2, n2, width or (den / num) ** 2
         self.tops: list[int] = [1]
 
     def band(self, size: int) -> int:
@@ -94,19 +95,33 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+def parity_sketch(s: np.ndarray) -> np.ndarray:
+    """Bit i tells if an odd number of features fall into cell i. Two sketches differ in at most as many bits as their sets in
+    features; the number of words is a power of two that grows with the set, and a sketch folds into a shorter one by XOR."""
+    longs = LEAST_LONGS
+    while longs < MOST_LONGS and longs * 64 < len(s):
+        longs *= 2
+    odd = np.bincount((s & np.uint64(64 * longs - 1)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def shingle_sketches(docs: DataFrame, n: int, lower: bool) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest (h1, h2) of the set, and its parity sketch."""
+    """doc_id, n_shingles, a 128-bit digest (h1, h2) of the set, two minima of its hashed features, and its parity sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.zeros((3 + PARITY_LONGS, batch.num_rows), dtype=np.uint64)
+            rows, sketches = np.zeros((5, batch.num_rows), dtype=np.uint64), []
             for i, s in enumerate(_sets(batch, n, lower)):
-                rows[0, i], rows[1, i], rows[2, i] = len(s), T.mix(s).sum(dtype=np.uint64), T.mix(s ^ T.MULTIPLIERS[58]).sum(dtype=np.uint64)
-                odd = np.bincount((s & np.uint64(64 * PARITY_LONGS - 1)).astype(np.int64), minlength=64 * PARITY_LONGS) & 1
-                rows[3:, i] = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(_signed(r)) for r in rows)], ["doc_id", "n_shingles", "h1", "h2", *PARITY])
+                a, b = T.mix(s), T.mix(s ^ T.MULTIPLIERS[58])
+                rows[:3, i] = len(s), a.sum(dtype=np.uint64), b.sum(dtype=np.uint64)
+                if len(s):
+                    rows[3:, i] = a.min(), b.min()
+                sketches.append(parity_sketch(s))
+            offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in sketches]))).astype(np.int32))
+            sketch = pa.ListArray.from_arrays(offsets, pa.array(_signed(np.concatenate(sketches)) if sketches else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(_signed(r)) for r in rows), sketch], ["doc_id", "n_shingles", "h1", "h2", "m1", "m2", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, " + ", ".join(f"{p} long" for p in PARITY))
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, m1 long, m2 long, sketch array<long>")
 
 
 def shingle_signatures(docs: DataFrame, n: int, lower: bool, scheme: PartEnum) -> DataFrame:
@@ -144,11 +159,12 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 3, num: int = 9, den: int = 1
     empty set and are linked with nothing; a text of fewer than n words has its whole sequence as the one
     shingle. Rows of one doc_id are taken as one node. A null doc_id is linked with nothing (null component).
 
-    Flow: equal sets collapse to one representative by their digest; representatives meet in signature
-    buckets. Each bucket first links its members to its smallest member only (a star, so that a bucket of
-    near copies costs as many pairs as it has members); what then still lies in different components of one
-    bucket is compared pair by pair. Pairs are pruned by size and parity sketch, which never lose a link,
-    and confirmed on the shingle sets themselves.
+    Flow: equal sets collapse to one representative by their digest. Representatives that share the minimum of a hash are linked
+    to the smallest such one where the sets say so; that already joins most near copies. Then representatives meet in
+    signature buckets, where only those of different components matter: first each is compared with its bucket's smallest one, and
+    what then still lies in different components of one bucket is compared pair by pair. A component of over LARGE
+    representatives enters each bucket as one row, and brings its members only to buckets where it meets others. Pairs are pruned
+    by size and parity sketch, which never lose a link, and confirmed on the shingle sets themselves.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -160,57 +176,93 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 3, num: int = 9, den: int = 1
     filled = sketch.filter("n_shingles > 0 and doc_id is not null")
     reps = filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     member = work.write(filled.select("doc_id", "h1", "h2").join(reps, ["h1", "h2"]).select("doc_id", "rep"), "member")
-    copies = member.filter("doc_id != rep").select("doc_id").distinct()
-    nodes = filled.join(member.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", *PARITY)
-
-    signed = shingle_signatures(docs.filter("doc_id is not null"), n, lower, scheme).join(maybe_broadcast(copies), "doc_id", "left_anti").select(F.explode("sigs").alias("sig"), "doc_id")
-    pivots = signed.groupBy("sig").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("top")).filter("pivot < top").select("sig", "pivot")
-    buckets = work.write(signed.join(pivots, "sig"), "buckets")
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        """Pairs a, b whose sizes and parities allow a link, with both sizes."""
-        a, b = (nodes.select(*[F.col(c).alias(f"{side}_{c}") for c in nodes.columns]) for side in "ab")
-        joined = pairs.join(a, F.col("a") == F.col("a_doc_id")).join(b, F.col("b") == F.col("b_doc_id"))
-        return joined.filter(_may_link("a_", "b_", num, den)).select("a", "b", "a_n_shingles", "b_n_shingles")
+    copies = work.write(member.filter("doc_id != rep").select("doc_id").distinct(), "copies")
+    nodes = work.write(filled.join(member.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sketch", "m1", "m2"), "nodes")
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
-        """Confirms candidate pairs (written before) on the sets."""
-        needed = pairs.select("a").union(pairs.select("b")).distinct()
-        wanted = maybe_broadcast(work.write(needed.select(F.col("a").alias("doc_id")), f"{name}_ids"))
-        sets = work.write(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), n, lower).dropDuplicates(["doc_id"]), f"{name}_sets")
+        """The pairs a, b (each once) that are links."""
+        a, b = (nodes.select(*[F.col(c).alias(f"{side}_{c}") for c in ("doc_id", "n_shingles", "sketch")]) for side in "ab")
+        joined = pairs.join(a, F.col("a") == F.col("a_doc_id")).join(b, F.col("b") == F.col("b_doc_id"))
+        pairs = work.write(joined.filter(_may_link("a_", "b_", num, den)).select("a", "b", "a_n_shingles", "b_n_shingles"), f"{name}_pairs")
+        needed = work.write(pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("doc_id")), f"{name}_ids")
+        sets = work.write(shingle_sets(docs.join(maybe_broadcast(needed), "doc_id", "left_semi"), n, lower).dropDuplicates(["doc_id"]), f"{name}_sets")
         with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
         both = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
         common = F.size(F.array_intersect("sa", "sb")).cast("long")
         total = F.col("a_n_shingles") + F.col("b_n_shingles")
         found = work.write(both.filter(common * (num + den) >= total * num).select("a", "b"), name)
         work.drop(f"{name}_sets")
+        work.release()
         return found
 
-    star = work.write(sized(buckets.filter("doc_id != pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()), "star")
-    links = linked(star, "star_links")
-    label = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), work.write, name="star")
-
-    labelled = buckets.join(label.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = labelled.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("sig")
-    rest = labelled.join(mixed, "sig", "left_semi").select("sig", "doc_id", "component").join(nodes, "doc_id")
-    rest = work.write(rest, "rest")
+    def components(links: DataFrame, name: str) -> DataFrame:
+        return connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), work.write, name=name).select(F.col("node").alias("doc_id"), "component")
+
+    def star(rows: DataFrame, key: list[str]) -> DataFrame:
+        """Each row of a bucket with the smallest one, if that lies in another component."""
+        pivot = rows.groupBy(*key).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("_top")).filter("a < _top").select(*key, "a")
+        return rows.join(pivot, key).filter("doc_id != a").select("a", F.col("doc_id").alias("b")).distinct()
+
+    minima = nodes.select("doc_id", F.explode(F.array(F.struct(F.lit(1).alias("i"), F.col("m1").alias("m")), F.struct(F.lit(2).alias("i"), F.col("m2").alias("m")))).alias("x")).select("doc_id", "x.i", "x.m")
+    links = linked(star(minima, ["i", "m"]), "near")
+    label = components(links, "near_groups")
+    label = work.write(_mark_large(label), "labels0")
+
+    def signed(which: DataFrame) -> DataFrame:
+        return shingle_signatures(which, n, lower, scheme)
+
+    named = docs.filter("doc_id is not null").join(maybe_broadcast(copies), "doc_id", "left_anti")
+    known = maybe_broadcast(label)
+    all_sigs = signed(named).join(known, "doc_id", "left")
+    small = all_sigs.filter("large is null or not large").select(F.explode("sigs").alias("sig"), "doc_id", "component")
+    some_large = label.filter("large").limit(1).count() > 0
+    if some_large:
+        as_one = all_sigs.filter("large").select(F.explode("sigs").alias("sig"), "component").distinct()
+        small = small.unionByName(as_one.select("sig", F.lit(None).cast("long").alias("doc_id"), "component"))
+    of = Window.partitionBy("sig")
+    own = F.coalesce("component", "doc_id")
+    mixed = small.withColumn("_lo", F.min(own).over(of)).withColumn("_hi", F.max(own).over(of)).filter("_lo < _hi")
+    buckets = work.write(mixed.select("sig", "doc_id", own.alias("component")), "mixed")
+    work.release()
+    if some_large:
+        met = buckets.filter("doc_id is null").select("sig").distinct()
+        large_ids = maybe_broadcast(label.filter("large").select("doc_id"))
+        brought = signed(named.join(large_ids, "doc_id", "left_semi")).select(F.explode("sigs").alias("sig"), "doc_id").join(met, "sig").join(label.select("doc_id", "component"), "doc_id")
+        buckets = work.write(buckets.filter("doc_id is not null").unionByName(brought.select("sig", "doc_id", "component")), "buckets")
+
+    stars = work.write(star(buckets, ["sig"]).join(links, ["a", "b"], "left_anti"), "stars")
+    links = work.write(links.union(linked(stars, "star_links")), "links1")
+    label = components(links, "star_groups")
+    labelled = buckets.select("sig", "doc_id").join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    still = labelled.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("sig")
+    rest = work.write(labelled.join(still, "sig", "left_semi").select("sig", "doc_id", "component").join(nodes.select("doc_id", "n_shingles", "sketch"), "doc_id"), "rest")
     a, b = (rest.select(*[F.col(c).alias(f"{side}_{c}") for c in rest.columns]) for side in "ab")
     cross = a.join(b, (F.col("a_sig") == F.col("b_sig")) & (F.col("a_doc_id") < F.col("b_doc_id")) & (F.col("a_component") != F.col("b_component")) & _may_link("a_", "b_", num, den))
-    cross = cross.select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b"), "a_n_shingles", "b_n_shingles").distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
-    cross = work.write(cross, "cross")
-    more = linked(cross, "cross_links")
-    edges = links.union(more).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    label = connected_components(edges, work.write, name="all")
+    cross = cross.select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    links = links.union(linked(work.write(cross, "cross"), "cross_links"))
+    label = components(links, "all_groups")
 
-    by_rep = member.distinct().join(label, member.rep == label.node, "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
+    by_rep = member.distinct().join(label.select(F.col("doc_id").alias("node"), "component"), member.rep == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     return sketch.select("doc_id", "n_shingles").join(by_rep, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _may_link(a: str, b: str, num: int, den: int):
-    """False only for pairs whose sizes or parity bits rule out Jaccard >= num/den."""
-    na, nb = F.col(f"{a}n_shingles"), F.col(f"{b}n_shingles")
-    bits = sum((F.bit_count(F.col(a + p).bitwiseXOR(F.col(b + p))) for p in PARITY[1:]), F.bit_count(F.col(a + PARITY[0]).bitwiseXOR(F.col(b + PARITY[0]))))
-    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (bits * (num + den) <= (na + nb) * (den - num))
+def _mark_large(label: DataFrame) -> DataFrame:
+    sizes = label.groupBy("component").agg((F.count("*") > LARGE).alias("large"))
+    return label.join(sizes, "component").select("doc_id", "component", "large")
+
+
+def _may_link(a: str, b: str, num: int, den: int) -> Column:
+    """False only for pairs whose sizes or parity sketches rule out Jaccard >= num/den."""
+    na, nb, pa_, pb = (F.col(side + c) for c in ("n_shingles", "sketch") for side in (a, b))
+    words = F.least(F.size(pa_), F.size(pb))
+
+    def folded(p: Column) -> Column:
+        fold = F.transform(F.sequence(F.lit(0), words - 1), lambda i: F.aggregate(F.sequence(F.lit(0), (F.size(p) / words).cast("int") - 1), F.lit(0).cast("long"), lambda x, j: x.bitwiseXOR(F.get(p, i + j * words))))
+        return F.when(F.size(p) == words, p).otherwise(fold)
+
+    bits = F.aggregate(F.zip_with(folded(pa_), folded(pb), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    sized = F.least(na, nb) * den >= F.greatest(na, nb) * num
+    return F.when(sized, bits * (num + den) <= (na + nb) * (den - num)).otherwise(F.lit(False))
 
 
 def keep_one_per_group(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
