@@ -34,7 +34,7 @@ def fold_candidates(candidates: DataFrame, scope: list[str] | None = None) -> Da
         F.min_by("worthy", F.when(F.col("worthy").isNotNull(), F.col("ord"))).alias("worthy"),
         F.count("*").alias("n_merged"),
     )
-    more = F.flatten(F.transform(F.slice("_tags", 2, 2**31 - 1), lambda t: t.tags))
+    more = F.flatten(F.transform(F.slice("_tags", 2, F.size("_tags")), lambda t: t.tags))
     first = F.get("_tags", F.lit(0)).tags
     tags = F.concat(first, F.array_except(F.array_distinct(more), first))
     return grouped.select(*scope, "ord", "_b.topic", "_b.reason", "_b.subjective", "_b.confidence", "start", "end", tags.alias("tags"), "worthy", "n_merged")

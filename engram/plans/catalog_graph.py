@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram.functions import coerce as C
@@ -22,7 +22,8 @@ from engram.sources import store as S
 from engram.sources import transcripts as T
 from engram.sources.scratch import scratch
 
-NOW = F.lit("2024-06-01").cast("timestamp")
+def now() -> Column:
+    return F.lit("2024-06-01").cast("timestamp")
 
 def _similar(fx: Fixtures, least: float) -> DataFrame:
     return K.similar_pairs(fx.vectors(), least)
@@ -95,7 +96,7 @@ def candidate_filter_cap(fx: Fixtures) -> DataFrame:
 
 @query(with_tables("sims") + " select aa as agent_id, a as source_id, b as target_id, round(sim, 6) as weight from sims where aa = ba and sim >= 0.30")
 def related_edges(fx: Fixtures) -> DataFrame:
-    return P.related_edges(fx.vectors(), 0.30, NOW).select("agent_id", "source_id", "target_id", F.round("weight", 6).alias("weight"))
+    return P.related_edges(fx.vectors(), 0.30, now()).select("agent_id", "source_id", "target_id", F.round("weight", 6).alias("weight"))
 
 _COMPONENTS = with_tables("sims", recursive=True) + """, e as (select a, b from sims where sim >= 0.35 union all select b, a from sims where sim >= 0.35), r(id, other) as (select id, id from vecs union select r.id, e.b from r join e on r.other = e.a),
     comp as (select id, min(other) as component from r group by id)"""
@@ -155,7 +156,7 @@ def dead_links(fx: Fixtures) -> DataFrame:
 def _rebuilt(fx: Fixtures, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = fx.spark.createDataFrame([], "agent_id string, source_id string, target_id string, kind string, weight double, created_at timestamp")
     pending = fx.spark.createDataFrame([], "agent_id string, source_id string, target string, created_at timestamp")
-    return G.rebuild_links(pages.select("agent_id", "id"), pages, edges, pending, NOW)
+    return G.rebuild_links(pages.select("agent_id", "id"), pages, edges, pending, now())
 
 _EDGES = with_tables("sims") + ", es as (select 'a' as agent_id, a as source_id, b as target_id, 'related' as kind, sim as weight from sims where sim >= 0.40)"
 
@@ -310,10 +311,10 @@ def upsert_additive(fx: Fixtures) -> DataFrame:
 @query(with_tables("points") + """, a as (select *, ord % 4 = 0 and status != 'archived' as hit from points)
     select id, case when hit and ord % 3 != 0 then 'contested' else reliability_status end as reliability_status, round(case when hit and ord % 5 < 3 then 0.75 else confidence end, 6) as confidence, case when hit then 'stale' else freshness_level end as freshness_level, case when hit then 2 else 1 end as n_evidence from a""")
 def writeback(fx: Fixtures) -> DataFrame:
-    p = fx.points().withColumn("evidence", F.array(F.lit("first"))).withColumn("updated_at", NOW)
+    p = fx.points().withColumn("evidence", F.array(F.lit("first"))).withColumn("updated_at", now())
     i = F.col("ord")
     audits = p.filter("ord % 4 = 0").select("agent_id", "id", F.when(i % 3 != 0, "contested").otherwise("").alias("reliability_status"), F.when(i % 5 < 3, 0.75).otherwise(1.5).alias("confidence"), F.lit("stale").alias("freshness_level"), F.array(F.lit("web")).alias("evidence"))
-    out = S.write_back_reliability(p, audits, NOW)
+    out = S.write_back_reliability(p, audits, now())
     return out.select("id", "reliability_status", F.round("confidence", 6).alias("confidence"), "freshness_level", F.size("evidence").alias("n_evidence"))
 
 # Consolidation: components of ten documents, verdicts by doc_id
@@ -349,7 +350,7 @@ def _adjudicated(fx: Fixtures) -> DataFrame:
     )
     k = d.select((i % 50).alias("k")).distinct().filter("k % 5 != 0")
     h = k.select(F.lit("a").alias("agent_id"), F.concat(F.lit("h"), F.col("k").cast("string")).alias("id"), F.concat(F.lit("point h"), F.col("k").cast("string")).alias("name"), F.lit("").alias("summary"), F.lit(0.5).alias("importance"), F.array(F.lit("old")).alias("keywords"), F.col("k").cast("int").alias("seen_count"), F.lit(None).cast("timestamp").alias("event_time"))
-    return P.adjudicate(m, v, h, NOW)
+    return P.adjudicate(m, v, h, now())
 
 @query("""with c as (select doc_id // 5 as cluster, 't' || doc_id as topic, doc_id, lang from documents), a as (select distinct cluster, ['merge', 'keep', 'compose', 'drop'][cluster % 4 + 1] as action from c)
     select cluster, 'new ' || cluster as topic, 'merged' as origin from a where action in ('merge', 'compose') union all select cluster, topic, 'kept' from c join a using (cluster) where action = 'keep' and doc_id % 5 < 3
@@ -384,16 +385,16 @@ def contradiction_ids(fx: Fixtures) -> DataFrame:
     hist = d.select(F.lit("a").alias("agent_id"), F.lit(0).alias("component"), i.cast("string").alias("hist"))
     sides = d.filter("doc_id % 6 < 2").select(F.lit("a").alias("agent_id"), F.lit(0).alias("component"), i.cast("string").alias("left"), F.when(i % 3 == 1, i.cast("string")).otherwise((i + 1).cast("string")).alias("right"), F.lit("").alias("description"))
     none = fx.spark.createDataFrame([], "agent_id string, component int, topic string")
-    return P.resolve_contradictions(sides, none, hist, NOW).select("left_id", "right_id", "id")
+    return P.resolve_contradictions(sides, none, hist, now()).select("left_id", "right_id", "id")
 
 @query("select 'page-' || page_id as id, case when page_id % 10 = 0 then 'superseded' else 'active' end as status, case when page_id % 10 = 1 then 'see [[page-' || page_id || '-new]]' else 'see [[page-' || (page_id - 1) || ']]' end as body_md from pages where page_id > 0")
 def superseded_pages(fx: Fixtures) -> DataFrame:
     i = F.col("page_id")
     name = lambda c: F.concat(F.lit("page-"), c.cast("string"))
-    p = fx.table("pages").filter("page_id > 0").select(F.lit("a").alias("agent_id"), name(i).alias("id"), F.concat(F.lit("see [["), name(i - 1), F.lit("]]")).alias("body_md"), F.lit("active").alias("status"), NOW.alias("updated_at"), "page_id")
+    p = fx.table("pages").filter("page_id > 0").select(F.lit("a").alias("agent_id"), name(i).alias("id"), F.concat(F.lit("see [["), name(i - 1), F.lit("]]")).alias("body_md"), F.lit("active").alias("status"), now().alias("updated_at"), "page_id")
     r = fx.table("pages").filter("page_id % 10 = 0").select(F.lit("a").alias("agent_id"), name(i).alias("old"), F.concat(name(i + 1), F.lit("-new")).alias("new"))
     e = fx.table("pages").filter("page_id % 10 = 1").select(F.lit("a").alias("agent_id"), name(i).alias("source_id"), name(i - 1).alias("target_id"), F.lit("references").alias("kind"))
-    return P.supersede_pages(p, r, e, NOW).select("id", "status", "body_md")
+    return P.supersede_pages(p, r, e, now()).select("id", "status", "body_md")
 
 @query("select 'page-' || page_id as id, (page_id // 10) as batch_no from (select page_id, row_number() over (order by page_id) - 1 as rn from pages)".replace("(page_id // 10)", "cast(rn // 10 as integer)"))
 def reconcile_batches(fx: Fixtures) -> DataFrame:

@@ -1 +1 @@
-
+"""Structured Streaming: ingest, push de-duplication, usage."""
