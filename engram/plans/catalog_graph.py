@@ -81,9 +81,10 @@ def dialog_segments(fx: Fixtures) -> DataFrame:
 @query(with_tables("candidates") + """, k as (select *, lower(trim(regexp_replace(topic, '[\\s\\x0B\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g'))) as key0 from candidates),
     g as (select *, case when key0 = '' then 'blank ' || ord else 'k' || key0 end as key from k),
     f as (select key, min(ord) as ord, max_by({'t': topic, 'r': reason, 's': subjective, 'c': confidence}, (confidence, -ord)) as b, coalesce(min(start) filter (where start > 0), 0) as start, max("end") as "end",
-        min_by(worthy, ord) filter (where worthy is not null) as worthy, count(*) as n_merged, list(tags order by ord) as tl from g group by key)
-    select ord, sha256(b.t) as topic, b.r as reason, b.s as subjective, round(b.c, 6) as confidence, start, "end", worthy, n_merged,
-        array_to_string(list_concat(tl[1], list_filter(list_reduce(list_prepend(cast([] as varchar[]), flatten(tl[2:])[1:0] || [flatten(tl[2:])]), lambda a, x: list_concat(a, list_filter(x, lambda y, i: list_position(x, y) = i))), lambda z: not list_contains(tl[1], z))), ',') as tags from f""")
+        min_by(worthy, ord) filter (where worthy is not null) as worthy, count(*) as n_merged, min_by(tags, ord) as first from g group by key),
+    t as (select key, ord, unnest(tags) as tag, generate_subscripts(tags, 1) as pos from g),
+    m as (select t.key, tag, min(t.ord * 100 + pos) as o from t join f using (key) where t.ord > f.ord and not list_contains(first, tag) group by all), l as (select key, list(tag order by o) as more from m group by key)
+    select ord, sha256(b.t) as topic, b.r as reason, b.s as subjective, round(b.c, 6) as confidence, start, "end", worthy, n_merged, array_to_string(list_concat(first, coalesce(more, cast([] as varchar[]))), ',') as tags from f left join l using (key)""")
 def candidate_dedupe(fx: Fixtures) -> DataFrame:
     f = D.fold_candidates(fx.candidates())
     return f.select("ord", F.sha2("topic", 256).alias("topic"), "reason", "subjective", F.round("confidence", 6).alias("confidence"), "start", "end", "worthy", "n_merged", F.array_join("tags", ",").alias("tags"))

@@ -37,7 +37,7 @@ class Fixtures:
     def candidates(self) -> DataFrame:
         i = F.col("doc_id")
         return self.table("documents").select(
-            i.alias("ord"), F.col("text").alias("topic"), F.col("source").alias("reason"), (i * 13 % 97 / 97.0).alias("confidence"), (i % 5 == 0).alias("subjective"), F.array("lang", "source").alias("tags"),
+            i.alias("ord"), F.col("text").alias("topic"), F.col("source").alias("reason"), (i * 13 % 97 / 97.0).alias("confidence"), (i % 5 == 0).alias("subjective"), F.array(F.col("lang"), F.col("source"), F.concat(F.lit("k"), (i % 3).cast("string"))).alias("tags"),
             (i % 7).cast("int").alias("start"), (i % 7 + i % 3).cast("int").alias("end"), F.when(i % 4 != 0, i % 2 == 0).alias("worthy"), (i % 50).alias("win"),
         )
 
@@ -79,7 +79,7 @@ SQL = {
         case when d.doc_id % 11 != 0 then timestamp '2024-01-01' + to_hours(cast(d.doc_id as integer)) end as event_time, (d.doc_id * 13 % 97) / 97.0::double as confidence,
         ['supported', 'contested', 'unknown'][d.doc_id % 3 + 1] as reliability_status, ['fresh', 'aging', 'stale', 'unknown'][d.doc_id % 4 + 1] as freshness_level,
         1 as seen_count, quality = 1 as wiki_worthy, d.doc_id as ord from documents d left join labels l on d.doc_id = l.doc_id""",
-    "candidates": """select doc_id as ord, text as topic, source as reason, (doc_id * 13 % 97) / 97.0::double as confidence, doc_id % 5 = 0 as subjective, [lang, source] as tags,
+    "candidates": """select doc_id as ord, text as topic, source as reason, (doc_id * 13 % 97) / 97.0::double as confidence, doc_id % 5 = 0 as subjective, [lang, source, 'k' || (doc_id % 3)] as tags,
         cast(doc_id % 7 as integer) as start, cast(doc_id % 7 + doc_id % 3 as integer) as "end", case when doc_id % 4 != 0 then doc_id % 2 = 0 end as worthy, doc_id % 50 as win from documents""",
     "wpages": """select 'page-' || page_id as id, 'src' || (page_id % 20) as agent_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, html as body_md,
         case when page_id % 10 < 7 then 'active' when page_id % 10 = 7 then '' when page_id % 10 = 8 then 'superseded' else 'archived' end as status,
