@@ -23,6 +23,8 @@ from engram.operators.components import connected_components
 
 #: Bounds of the 64-bit words in a parity sketch: about as many bits as the set has features.
 LEAST_LONGS, MOST_LONGS = 8, 4096
+#: The sketch folded to LEAST_LONGS words, as columns: most pairs are ruled out by these alone.
+SHORT = [f"p{i}" for i in range(LEAST_LONGS)]
 #: Documents from which a component is kept out of the signature buckets and meets them as one.
 LARGE = 1000
 
@@ -106,22 +108,23 @@ def parity_sketch(s: np.ndarray) -> np.ndarray:
 
 
 def shingle_sketches(docs: DataFrame, n: int, lower: bool) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest (h1, h2) of the set, two minima of its hashed features, and its parity sketch."""
+    """doc_id, n_shingles, a 128-bit digest (h1, h2) of the set, two minima of its hashed features, and its parity sketch, folded and whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, sketches = np.zeros((5, batch.num_rows), dtype=np.uint64), []
+            rows, sketches = np.zeros((5 + LEAST_LONGS, batch.num_rows), dtype=np.uint64), []
             for i, s in enumerate(_sets(batch, n, lower)):
                 a, b = T.mix(s), T.mix(s ^ T.MULTIPLIERS[58])
                 rows[:3, i] = len(s), a.sum(dtype=np.uint64), b.sum(dtype=np.uint64)
                 if len(s):
-                    rows[3:, i] = a.min(), b.min()
+                    rows[3:5, i] = a.min(), b.min()
                 sketches.append(parity_sketch(s))
+                rows[5:, i] = np.bitwise_xor.reduce(sketches[-1].reshape(-1, LEAST_LONGS), axis=0)
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in sketches]))).astype(np.int32))
             sketch = pa.ListArray.from_arrays(offsets, pa.array(_signed(np.concatenate(sketches)) if sketches else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(_signed(r)) for r in rows), sketch], ["doc_id", "n_shingles", "h1", "h2", "m1", "m2", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(_signed(r)) for r in rows), sketch], ["doc_id", "n_shingles", "h1", "h2", "m1", "m2", *SHORT, "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, m1 long, m2 long, sketch array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, m1 long, m2 long, " + ", ".join(f"{p} long" for p in SHORT) + ", sketch array<long>")
 
 
 def shingle_signatures(docs: DataFrame, n: int, lower: bool, scheme: PartEnum) -> DataFrame:
@@ -174,14 +177,15 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 3, num: int = 9, den: int = 1
 
     sketch = work.write(shingle_sketches(docs, n, lower), "sketch")
     filled = sketch.filter("n_shingles > 0 and doc_id is not null")
-    reps = filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
+    # Minima are written before they are joined back, so that Spark can split a key with very many rows in that join.
+    reps = work.write(filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "reps")
     member = work.write(filled.select("doc_id", "h1", "h2").join(reps, ["h1", "h2"]).select("doc_id", "rep"), "member")
     copies = work.write(member.filter("doc_id != rep").select("doc_id").distinct(), "copies")
-    nodes = work.write(filled.join(member.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sketch", "m1", "m2"), "nodes")
+    nodes = work.write(filled.join(member.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", *SHORT, "sketch", "m1", "m2"), "nodes")
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs a, b (each once) that are links."""
-        a, b = (nodes.select(*[F.col(c).alias(f"{side}_{c}") for c in ("doc_id", "n_shingles", "sketch")]) for side in "ab")
+        a, b = (nodes.select(*[F.col(c).alias(f"{side}_{c}") for c in ("doc_id", "n_shingles", *SHORT, "sketch")]) for side in "ab")
         joined = pairs.join(a, F.col("a") == F.col("a_doc_id")).join(b, F.col("b") == F.col("b_doc_id"))
         pairs = work.write(joined.filter(_may_link("a_", "b_", num, den)).select("a", "b", "a_n_shingles", "b_n_shingles"), f"{name}_pairs")
         needed = work.write(pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("doc_id")), f"{name}_ids")
@@ -198,13 +202,13 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 3, num: int = 9, den: int = 1
     def components(links: DataFrame, name: str) -> DataFrame:
         return connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), work.write, name=name).select(F.col("node").alias("doc_id"), "component")
 
-    def star(rows: DataFrame, key: list[str]) -> DataFrame:
+    def star(rows: DataFrame, key: list[str], name: str) -> DataFrame:
         """Each row of a bucket with the smallest one, if that lies in another component."""
-        pivot = rows.groupBy(*key).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("_top")).filter("a < _top").select(*key, "a")
+        pivot = work.write(rows.groupBy(*key).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("_top")).filter("a < _top").select(*key, "a"), name)
         return rows.join(pivot, key).filter("doc_id != a").select("a", F.col("doc_id").alias("b")).distinct()
 
     minima = nodes.select("doc_id", F.explode(F.array(F.struct(F.lit(1).alias("i"), F.col("m1").alias("m")), F.struct(F.lit(2).alias("i"), F.col("m2").alias("m")))).alias("x")).select("doc_id", "x.i", "x.m")
-    links = linked(star(minima, ["i", "m"]), "near")
+    links = linked(star(minima, ["i", "m"], "near_pivots"), "near")
     label = components(links, "near_groups")
     label = work.write(_mark_large(label), "labels0")
 
@@ -230,12 +234,12 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 3, num: int = 9, den: int = 1
         brought = signed(named.join(large_ids, "doc_id", "left_semi")).select(F.explode("sigs").alias("sig"), "doc_id").join(met, "sig").join(label.select("doc_id", "component"), "doc_id")
         buckets = work.write(buckets.filter("doc_id is not null").unionByName(brought.select("sig", "doc_id", "component")), "buckets")
 
-    stars = work.write(star(buckets, ["sig"]).join(links, ["a", "b"], "left_anti"), "stars")
+    stars = work.write(star(buckets, ["sig"], "pivots").join(links, ["a", "b"], "left_anti"), "stars")
     links = work.write(links.union(linked(stars, "star_links")), "links1")
     label = components(links, "star_groups")
     labelled = buckets.select("sig", "doc_id").join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    still = labelled.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("sig")
-    rest = work.write(labelled.join(still, "sig", "left_semi").select("sig", "doc_id", "component").join(nodes.select("doc_id", "n_shingles", "sketch"), "doc_id"), "rest")
+    still = work.write(labelled.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("sig"), "still")
+    rest = work.write(labelled.join(still, "sig", "left_semi").select("sig", "doc_id", "component").join(nodes.select("doc_id", "n_shingles", *SHORT, "sketch"), "doc_id"), "rest")
     a, b = (rest.select(*[F.col(c).alias(f"{side}_{c}") for c in rest.columns]) for side in "ab")
     cross = a.join(b, (F.col("a_sig") == F.col("b_sig")) & (F.col("a_doc_id") < F.col("b_doc_id")) & (F.col("a_component") != F.col("b_component")) & _may_link("a_", "b_", num, den))
     cross = cross.select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
@@ -260,9 +264,11 @@ def _may_link(a: str, b: str, num: int, den: int) -> Column:
         fold = F.transform(F.sequence(F.lit(0), words - 1), lambda i: F.aggregate(F.sequence(F.lit(0), (F.size(p) / words).cast("int") - 1), F.lit(0).cast("long"), lambda x, j: x.bitwiseXOR(F.get(p, i + j * words))))
         return F.when(F.size(p) == words, p).otherwise(fold)
 
+    short = sum((F.bit_count(F.col(a + p).bitwiseXOR(F.col(b + p))) for p in SHORT), F.lit(0))
     bits = F.aggregate(F.zip_with(folded(pa_), folded(pb), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     sized = F.least(na, nb) * den >= F.greatest(na, nb) * num
-    return F.when(sized, bits * (num + den) <= (na + nb) * (den - num)).otherwise(F.lit(False))
+    most = (na + nb) * (den - num)
+    return sized & (short * (num + den) <= most) & F.when(words > LEAST_LONGS, bits * (num + den) <= most).otherwise(F.lit(True))
 
 
 def keep_one_per_group(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
