@@ -56,10 +56,11 @@ def maybe_broadcast(small: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(small) if n <= BROADCAST_ROWS else small
 
 
-def rank_in_groups(df: DataFrame, group: list[str], order: Column, ties: list[Column], out: str, weight: Column | None = None, buckets: int = 1024) -> DataFrame:
+def rank_in_groups(df: DataFrame, group: list[str], order: Column, ties: list[Column], out: str, weight: Column | None = None, buckets: int = 1024, groups: int | None = None) -> DataFrame:
     """Exact rank (from 0), or exact exclusive running sum of `weight`, inside each group, without
     bringing a group into one task: `order` (a long, evenly spread such as a hash) is cut into `buckets`
-    ranges, range totals are prefix-summed on the small (group, range) table, and only ranges are sorted.
+    ranges, range totals are prefix-summed on the small (group, range) table, and only ranges are sorted. groups: a known bound on
+    the number of groups; with few of them, the (group, range) table is broadcast, and rows are exchanged only once.
     """
     spark_cols = df.columns
     weight = F.lit(1).cast("bigint") if weight is None else weight
@@ -77,4 +78,6 @@ def rank_in_groups(df: DataFrame, group: list[str], order: Column, ties: list[Co
         c = F.col(g).eqNullSafe(F.col(f"_g{i}"))
         on = c if on is None else on & c
     on = (F.col("_b") == F.col("_gb")) if on is None else on & (F.col("_b") == F.col("_gb"))
+    if groups is not None and groups * buckets <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
     return ranked.join(offsets, on).select(*spark_cols, (F.col("_r") + F.col("_off")).cast("bigint").alias(out))

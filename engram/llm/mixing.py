@@ -77,13 +77,15 @@ def mix_sources(docs: DataFrame, levels: dict[str, Column], weight: Column, budg
     rows = docs.withColumns({f"_level{i}": levels[c] for i, c in enumerate(names)} | {"_tokens": token_count(F.col("text")), "_tie": F.xxhash64("text")})
     renamed = [F.col(a).alias(b) for a, b in zip(inner, names, strict=True)]
     leaves = rows.groupBy(*inner).agg(F.sum("_tokens").alias("supply")).select(*renamed, "supply").withColumn("weight", weight.cast("long"))
-    leaves = leaves.select(*[F.col(b).alias(a) for a, b in zip(inner, names, strict=True)], "supply", "weight")
+    work = Workspace(docs.sparkSession, "mixing")
+    leaves = work.write(leaves.select(*[F.col(b).alias(a) for a, b in zip(inner, names, strict=True)], "supply", "weight"), "leaves")
+    n_leaves = leaves.count()
     targets = leaf_targets(leaves, inner, budget_percent, max_epochs)
     targets = targets.select(*[F.col(c).alias(f"t{c}") for c in inner], F.col("supply").alias("_supply"), F.col("target").alias("_target"))
-    targets = Workspace(docs.sparkSession, "mixing").write(targets, "targets")
+    targets = work.write(targets, "targets")
     on = [F.col(c).eqNullSafe(F.col(f"t{c}")) for c in inner]
-    placed = rows.join(maybe_broadcast(targets), on, "left").withColumn("_epochs", F.coalesce(F.expr("_target div _supply"), F.lit(0)))
-    placed = rank_in_groups(placed, inner, epoch_order(seed, F.col("_epochs"), F.col("doc_id")), [F.col("doc_id"), F.col("_tie")], "_before", F.col("_tokens"))
+    placed = rows.join(maybe_broadcast(targets, n_leaves), on, "left").withColumn("_epochs", F.coalesce(F.expr("_target div _supply"), F.lit(0)))
+    placed = rank_in_groups(placed, inner, epoch_order(seed, F.col("_epochs"), F.col("doc_id")), [F.col("doc_id"), F.col("_tie")], "_before", F.col("_tokens"), groups=n_leaves)
     rest = F.coalesce(F.col("_target") - F.col("_epochs") * F.col("_supply"), F.lit(0))
     copies = F.when(F.coalesce(F.col("_target"), F.lit(0)) <= 0, 0).when(F.col("_tokens") == 0, 1).otherwise(F.col("_epochs") + F.when(F.col("_before") < rest, 1).otherwise(0))
     own = [F.col(a).alias(b) for a, b in zip(inner, names, strict=True) if b not in keep]

@@ -63,8 +63,8 @@ def shuffle_into_shards(df: DataFrame, key: list[Column], shards: int = 8, seed:
     matrix = communication_matrix([sizes.get(b, 0) for b in range(BLOCKS)], shards, seed)
     rows = ", ".join(f"({b}, array({', '.join(f'{c}L' for c in np.cumsum(row))}))" for b, row in enumerate(matrix))
     cuts = spark.sql(f"select * from values {rows} as t(_mb, _cuts)")
-    local = rank_in_groups(keyed, ["_block"], F.xxhash64(F.lit(seed + 1), "_h", *key), list(key), "_place", buckets=64)
+    local = rank_in_groups(keyed, ["_block"], F.xxhash64(F.lit(seed + 1), "_h", *key), list(key), "_place", buckets=64, groups=BLOCKS)
     sent = local.join(F.broadcast(cuts), F.col("_block") == F.col("_mb"))
     sent = sent.withColumn("shard", F.size(F.filter("_cuts", lambda c: c <= F.col("_place"))).cast("int")).select(*names, "_h", "_block", "_place", "shard")
-    again = rank_in_groups(sent, ["shard"], F.xxhash64(F.lit(seed + 2), "_block", "_place"), [F.col("_block"), F.col("_place")], "slot", buckets=1024)
+    again = rank_in_groups(sent, ["shard"], F.xxhash64(F.lit(seed + 2), "_block", "_place"), [F.col("_block"), F.col("_place")], "slot", buckets=1024, groups=shards)
     return again.select(*names, "shard", "slot")
