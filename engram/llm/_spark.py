@@ -39,10 +39,20 @@ class Workspace:
         gc.collect()
         self.spark._jvm.System.gc()
 
+    def _path(self, name: str = ""):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, fs = self._path(name)
+        fs.delete(path, True)
+
+    def keep_only(self, *names: str) -> None:
+        """Drops all tables but these."""
+        path, fs = self._path()
+        for status in fs.listStatus(path):
+            if status.getPath().getName() not in names:
+                fs.delete(status.getPath(), True)
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:

@@ -244,7 +244,8 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 3, num: int = 9, den: int = 1
     cross = a.join(b, (F.col("a_sig") == F.col("b_sig")) & (F.col("a_doc_id") < F.col("b_doc_id")) & (F.col("a_component") != F.col("b_component")) & _may_link("a_", "b_", num, den))
     cross = cross.select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     links = links.union(linked(work.write(cross, "cross"), "cross_links"))
-    label = components(links, "all_groups")
+    label = work.write(components(links, "all_groups"), "groups")
+    work.keep_only("sketch", "member", "groups")
 
     by_rep = member.distinct().join(label.select(F.col("doc_id").alias("node"), "component"), member.rep == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     return sketch.select("doc_id", "n_shingles").join(by_rep, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -3,10 +3,10 @@
 A rolling hash over short grams sets triggers: each window of `length` bytes is triggered by its smallest
 gram. Runs of windows with one trigger are a phrase; phrases overlap by length - 1 bytes, so each window
 lies in just one. The parse is the sequence of a text's phrases; the dictionary holds each different phrase
-once, with the first text that has it. Equal windows have equal triggers at equal places, so the windows (suffixes of
-dictionary phrases, cut to `length` bytes) need to be put in order only within a trigger, and only where a trigger has
-more than one phrase; all other repeats are repeats of whole phrases. Only equality of `length` bytes and the
-corpus order of equal suffixes matter, so suffixes are ordered by 128-bit names rather than by letters.
+once, with the first text that has it. Equal windows have equal triggers at equal places, so suffixes of dictionary
+phrases, cut to `length` bytes, need a suffix array only among the phrases of one trigger, and only where a trigger has
+more than one; all other repeats are repeats of whole phrases. Suffix order (which windows are equal) and parse (which text
+comes first) together give what is a repeat in corpus order.
 """
 
 from __future__ import annotations
@@ -165,6 +165,30 @@ def _dictionary_rows(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, "k long, doc_id long, place int, letters binary")
 
 
+def suffix_order(chunk: T.Chunk, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array, by letters, of the suffixes at `starts` that agree with another one in their first `length` letters, and
+    where it goes on to other letters (the longest common prefix with the suffix before falls under `length`). Suffixes that agree keep the order they
+    have in `starts`. All others are put aside by a hash first, so that only what repeats is sorted.
+    """
+    n = len(chunk.data)
+    up, down = T.powers(n + 1)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(T.EXACT[chunk.data] * up[:n], out=sums[1:])
+    _, inverse, counts = np.unique((sums[starts + length] - sums[starts]) * down[starts], return_inverse=True, return_counts=True)
+    some = np.flatnonzero(counts[inverse] > 1)
+    eight = np.lib.stride_tricks.sliding_window_view(chunk.data, 8)
+    steps = [*range(0, length - 8, 8), length - 8]
+    words = [eight[starts[some] + s].view(">u8").ravel().astype(np.uint64) for s in steps]
+    order = np.lexsort(words[::-1])
+    new = np.ones(len(order), dtype=bool)
+    if len(order):
+        new[1:] = False
+        for w in words:
+            by = w[order]
+            new[1:] |= by[1:] != by[:-1]
+    return some[order], new
+
+
 def _repeats_in_order(rows: DataFrame, length: int) -> DataFrame:
     """_dictionary_rows, all of a trigger in one part and in corpus order: doc_id, first and last of the runs of windows that
     an earlier document has, too."""
@@ -172,16 +196,14 @@ def _repeats_in_order(rows: DataFrame, length: int) -> DataFrame:
     def repeats(table: pa.Table) -> pa.RecordBatch:
         doc = table.column("doc_id").to_numpy()
         chunk = next(T.chunks(table.column("letters").combine_chunks().cast(pa.large_binary()), 1 << 40))
-        p = Parse.__new__(Parse)
-        p.sums = np.zeros(len(chunk.data) + 1, dtype=np.uint64)
-        up, p.down = T.powers(len(chunk.data) + 1)
-        np.cumsum(T.EXACT[chunk.data] * up[: len(chunk.data)], out=p.sums[1:])
         sizes = np.diff(chunk.bounds) - length + 1
         phrase = np.repeat(np.arange(len(sizes)), sizes)
         offset = np.arange(len(phrase)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        name = T.mix(p.names(chunk.bounds[phrase] + offset, length) ^ T.mix(table.column("k").to_numpy().view(np.uint64))[phrase])
-        _, first, inverse = np.unique(name, return_index=True, return_inverse=True)
-        again = doc[phrase] > doc[phrase[first[inverse]]]
+        order, new = suffix_order(chunk, chunk.bounds[phrase] + offset, length)
+        # Suffixes that agree in `length` letters stand together, and as they came: the first of them is that of the first document.
+        group = np.cumsum(new) - 1
+        again = np.zeros(len(phrase), dtype=bool)
+        again[order] = doc[phrase[order]] > doc[phrase[order[np.flatnonzero(new)[group]]]]
         joined = again[1:] & again[:-1] & (phrase[1:] == phrase[:-1])
         opens = np.flatnonzero(again & ~np.concatenate(([False], joined)))
         closes = np.flatnonzero(again & ~np.concatenate((joined, [False])))
@@ -293,13 +315,15 @@ def remove_repeats(docs: DataFrame, length: int = 100, group: int = 50_000) -> D
     named = docs.filter("doc_id is not null")
 
     parse = _parse_rows(named, length)
-    shared = parse.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k")
+    # Counts are written before they are joined back, so that Spark can split a trigger with very many rows in that join.
+    shared = work.write(parse.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k"), "shared")
+    work.release()
     common = work.write(parse.join(shared, "k"), "common")
     del parse, shared
     work.release()
     # The dictionary: each phrase with its first text; and the triggers with more than one phrase.
     dictionary = work.write(common.groupBy("k", "h").agg(F.min("doc_id").alias("first")), "dictionary")
-    many = dictionary.groupBy("k").agg(F.count("*").alias("phrases")).filter("phrases > 1")
+    many = work.write(dictionary.groupBy("k").agg(F.count("*").alias("phrases")).filter("phrases > 1"), "many")
     placed = common.join(dictionary, ["k", "h"])
     whole = placed.filter("doc_id > first").select("doc_id", "idx", F.lit(None).cast("struct<first:int,last:int>").alias("run"))
     part = work.write(placed.filter("doc_id = first").join(many, "k").select("doc_id", "idx", (F.col("phrases") > group).alias("large")), "part")
@@ -310,14 +334,13 @@ def remove_repeats(docs: DataFrame, length: int = 100, group: int = 50_000) -> D
     again = _repeats_in_order(_dictionary_rows(with_part(part.filter("not large")), length), length)
     if part.filter("large").limit(1).count():
         windows = work.write(_window_rows(with_part(part.filter("large")), length), "windows")
-        earliest = windows.groupBy("k", "w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+        earliest = work.write(windows.groupBy("k", "w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last"), "earliest")
         far = windows.join(earliest.select("k", "w", F.col("first").alias("f")), ["k", "w"]).filter("doc_id > f")
         again = again.unionByName(far.select("doc_id", F.col("place").alias("first"), F.col("place").alias("last")))
     again = work.write(again, "again").select("doc_id", F.lit(None).cast("int").alias("idx"), F.struct("first", "last").alias("run"))
     marks = whole.unionByName(again).groupBy("doc_id").agg(F.collect_set("idx").alias("phrases"), F.collect_set("run").alias("runs"))
     marks = work.write(marks, "marks")
     del placed, whole, again
-    for name in ("common", "dictionary", "part", "again"):
-        work.drop(name)
+    work.keep_only("marks")
     work.release()
     return _cut(_packed(docs).join(marks, "doc_id", "left"), length)

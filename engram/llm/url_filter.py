@@ -100,6 +100,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule] | None = None, max_children:
         open_ = open_.join(nodes, (F.col("host") == F.col("nh")) & (F.col("_key") == F.col("nk")) & (F.col("_next") == F.col("nn")))
         open_ = open_.select("host", "_s", "n", "good", "bad", F.col("_next").alias("_key"), F.col("np").alias("_purity"), F.col("ng").alias("_g"), F.col("nb").alias("_b"))
         open_ = work.write(open_, f"depth{depth + 1}")
+    work.keep_only(f"depth{DEPTH}")
     verdicts = open_.select(F.col("host").alias("vh"), F.col("_s").alias("vs"), F.col("_key").alias("template"), F.col("_purity").alias("purity"))
     judged = base.join(verdicts, (F.col("host") == F.col("vh")) & (F.col("_s") == F.col("vs")))
     verdict = F.coalesce("_m.verdict", F.when(F.col("purity") < least_purity, F.lit("block")).otherwise(F.lit("allow")))
