@@ -12,7 +12,7 @@ from engram.operators import lookups as L
 from engram.operators import vectors as K
 from engram.plans import recall as R
 from engram.plans.fixtures import Fixtures, with_tables
-from engram.plans.registry import query
+from engram.plans.registry import query, without
 from engram.sources.store import retain_newest
 
 _TOPK_SQL = with_tables("vecs") + """, s as (select q.id as q, v.id, v.kind, v.ord, greatest(0.0, list_cosine_similarity(q.v, v.v)) as score from vecs q, vecs v where q.ord < 5),
@@ -21,19 +21,38 @@ _TOPK_SQL = with_tables("vecs") + """, s as (select q.id as q, v.id, v.kind, v.o
     top as (select * from r where rank <= 8)"""
 
 
-def _top(fx: Fixtures, k: int = 8) -> DataFrame:
+def _top(fx: Fixtures, k: int = 8, only: str = "ord < 5") -> DataFrame:
     v = fx.vectors()
-    return K.top_k(v.filter("ord < 5").select("id", "ord", "v"), v, k)
+    return K.top_k(v.filter(only).select("id", "ord", "v"), v, k)
 
 
 @query(_TOPK_SQL + " select q, id, kind, round(score, 6) as score, cast(rank as bigint) as rank from top")
 def knn_topk(fx: Fixtures) -> DataFrame:
-    return _top(fx).select("q", "id", "kind", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return _ranked(_top(fx))
+
+
+@query(without("knn_topk", " where q.ord < 5"))
+def knn_topk_all(fx: Fixtures) -> DataFrame:
+    """Every vector is a query, as in the other queries named _all."""
+    return _ranked(_top(fx, only="true"))
+
+
+def _ranked(top: DataFrame) -> DataFrame:
+    return top.select("q", "id", "kind", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(_TOPK_SQL + " select q, id, round(score, 6) as score from top where cast(score as float) >= cast(0.3 as float) and kind != 'wiki_page'")
 def knn_min_score_kind(fx: Fixtures) -> DataFrame:
-    return R.filter_hits(_top(fx), min_score=0.3, include_wiki=False).select("q", "id", F.round("score", 6).alias("score"))
+    return _near_points(_top(fx))
+
+
+@query(without("knn_min_score_kind", " where q.ord < 5"))
+def knn_min_score_kind_all(fx: Fixtures) -> DataFrame:
+    return _near_points(_top(fx, only="true"))
+
+
+def _near_points(top: DataFrame) -> DataFrame:
+    return R.filter_hits(top, min_score=0.3, include_wiki=False).select("q", "id", F.round("score", 6).alias("score"))
 
 
 @query(with_tables("sims") + " select a, b, round(sim, 6) as sim from sims where sim > 0.35")
@@ -85,9 +104,18 @@ def fulltext_fallback(fx: Fixtures) -> DataFrame:
     every as (select q, id, kind, round(score, 6) as score, place, 1 as tier from kn union all select q, id, kind, 0.5, place, 2 from ft)
     select q, id, kind, score, cast(place as bigint) as place, tier from (select *, min(tier) over (partition by q) as first from every) where tier = first""")
 def retrieval_cascade(fx: Fixtures) -> DataFrame:
+    return _cascade(fx, "ord < 1")
+
+
+@query(without("retrieval_cascade", " where q.ord < 1"))
+def retrieval_cascade_all(fx: Fixtures) -> DataFrame:
+    return _cascade(fx, "true")
+
+
+def _cascade(fx: Fixtures, only: str) -> DataFrame:
     v = fx.vectors()
-    near = K.top_k(v.filter("ord < 1").select(F.concat(F.lit("q"), "id").alias("id"), "ord", "v"), v, 8)
-    near = near.select("q", F.lit("src3").alias("agent_id"), "id", "kind", F.round("score", 6).alias("score"), F.col("rank").alias("place"))
+    near = K.top_k(v.filter(only).select(F.concat(F.lit("q"), "id").alias("id"), "ord", "v"), v, 8)
+    near = near.select("q", F.when(F.col("q") == "q2", "src7").otherwise("src3").alias("agent_id"), "id", "kind", F.round("score", 6).alias("score"), F.col("rank").alias("place"))
     hits = R.cascade(near, R.full_text_fallback(_queries(fx), fx.points(), fx.pages(), 8))
     return hits.select("q", "id", "kind", "score", F.col("place").cast("long").alias("place"), "tier")
 
@@ -260,8 +288,17 @@ def recall_lines(fx: Fixtures) -> DataFrame:
     f as (select *, min(rank) over (partition by q, agent_id) as first from g)
     select q, id, kind, agent_id, round(confidence, 6) as confidence, row_number() over (partition by q order by first, rank) as place from f""")
 def graded_hits(fx: Fixtures) -> DataFrame:
+    return _graded(fx, _top(fx))
+
+
+@query(without("graded_hits", " where q.ord < 5"))
+def graded_hits_all(fx: Fixtures) -> DataFrame:
+    return _graded(fx, _top(fx, only="true"))
+
+
+def _graded(fx: Fixtures, top: DataFrame) -> DataFrame:
     v = fx.vectors()
-    hits = _top(fx).withColumn("agent_id", F.concat(F.lit("a"), (F.col("id").cast("int") % 2).cast("string")))
+    hits = top.withColumn("agent_id", F.concat(F.lit("a"), (F.col("id").cast("int") % 2).cast("string")))
     n = v.select("agent_id", "id", "kind")
     points = n.filter("kind = 'interest_point'").select("agent_id", "id", F.lit("").alias("name"), (F.col("id").cast("int") % 7 / 10.0).alias("confidence"), F.lit("unknown").alias("reliability_status"), F.lit("unknown").alias("freshness_level"))
     pages = n.filter("kind = 'wiki_page'").select("agent_id", "id", F.lit("").alias("title"))

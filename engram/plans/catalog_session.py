@@ -14,7 +14,7 @@ from engram.plans import consolidate as P
 from engram.plans import recall as R
 from engram.plans import session as S
 from engram.plans.fixtures import Fixtures, with_tables
-from engram.plans.registry import query
+from engram.plans.registry import query, without
 from engram.sources.scratch import scratch
 from engram.sources.store import delete_keys
 from engram.sources.transcripts import parse_search_output
@@ -70,8 +70,17 @@ def reconcile_plan(fx: Fixtures) -> DataFrame:
     k as (select *, row_number() over (partition by q, kind order by score desc, ord) as rk from s), r as (select *, row_number() over (partition by q order by score desc, kind, ord) as rank from k where rk <= 4),
     o as (select q, id, score, row_number() over (partition by q order by rank) as rank from r where rank <= 4 and q != id) select q, id, round(score, 6) as score, rank from o where rank <= 3""")
 def prelookup_related(fx: Fixtures) -> DataFrame:
+    return _prelookup(fx, "ord < 20")
+
+
+@query(without("prelookup_related", " where q.ord < 20"))
+def prelookup_related_all(fx: Fixtures) -> DataFrame:
+    return _prelookup(fx, "true")
+
+
+def _prelookup(fx: Fixtures, only: str) -> DataFrame:
     v = fx.vectors()
-    return S.prelookup(v.filter("ord < 20"), v, 3).select("q", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return S.prelookup(v.filter(only), v, 3).select("q", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(with_tables("points") + """, qs as (select * from (values ('q0', 'src3', 'the'), ('q2', 'src7', 'de')) t(q, agent_id, text)), h as (select q, p.agent_id, id, row_number() over (partition by q, p.agent_id order by ord) as place from qs join points p using (agent_id) where lower(name || ' ' || summary) like '%' || lower(text) || '%')

@@ -1,0 +1,16 @@
+"""Queries named _all leave out the filters of the query they are named after."""
+
+import pytest
+
+from engram.plans import catalog_graph, catalog_lookups, catalog_session, registry  # noqa: F401
+
+
+@pytest.mark.parametrize("name", ["knn_topk_all", "graded_hits_all", "retrieval_cascade_all", "prelookup_related_all"])
+def test_every_vector_is_a_query(spark, duck, name):
+    ids = {str(r.vec_id) for r in spark.read.parquet(f"{duck.folder}/embeddings.parquet").select("vec_id").collect()}
+    assert {r.q.removeprefix("q") for r in registry.QUERIES[name](spark, duck.folder).select("q").collect()} == ids
+
+
+def test_points_near_any_vector(spark, duck):
+    few, every = (set(map(tuple, registry.QUERIES[n](spark, duck.folder).collect())) for n in ("knn_min_score_kind", "knn_min_score_kind_all"))
+    assert few < every and max(int(r[0]) for r in every) >= 5
