@@ -17,7 +17,7 @@ from engram.operators.components import connected_components
 from engram.plans import consolidate as P
 from engram.plans import recall as R
 from engram.plans.fixtures import Fixtures, with_tables
-from engram.plans.registry import query
+from engram.plans.registry import query, without
 from engram.sources import store as S
 from engram.sources import transcripts as T
 from engram.sources.scratch import scratch
@@ -181,7 +181,14 @@ def contradiction_symmetry(fx: Fixtures) -> DataFrame:
 
 @query("select cast(doc_id as varchar) as point_id, 'page-' || doc_id as page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from documents left join pages on doc_id = page_id where doc_id % 2 = 0")
 def has_page_left_join(fx: Fixtures) -> DataFrame:
-    e = fx.table("documents").filter("doc_id % 2 = 0").select(F.lit("a").alias("agent_id"), F.col("doc_id").cast("string").alias("source_id"), F.concat(F.lit("page-"), F.col("doc_id").cast("string")).alias("target_id"), F.lit("has_page").alias("kind"))
+    return _left_join(fx, "doc_id % 2 = 0")
+
+@query(without("has_page_left_join", " where doc_id % 2 = 0"))
+def has_page_left_join_all(fx: Fixtures) -> DataFrame:
+    return _left_join(fx, "true")
+
+def _left_join(fx: Fixtures, only: str) -> DataFrame:
+    e = fx.table("documents").filter(only).select(F.lit("a").alias("agent_id"), F.col("doc_id").cast("string").alias("source_id"), F.concat(F.lit("page-"), F.col("doc_id").cast("string")).alias("target_id"), F.lit("has_page").alias("kind"))
     return L.points_pages(e, fx.pages().withColumn("agent_id", F.lit("a"))).select("point_id", "page_id", "title")
 
 def _claims(fx: Fixtures) -> DataFrame:

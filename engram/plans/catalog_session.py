@@ -162,8 +162,17 @@ def search_results(fx: Fixtures) -> DataFrame:
 
 @query("select cast(doc_id as varchar) as id, coalesce(array_to_string(list(page_id || ' (' || title || ')' order by page_id || ' (' || title || ')'), ', '), '') as pages from (select doc_id, 'page-' || page_id as page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from documents join pages on page_id in (doc_id, doc_id + 1) where doc_id % 5 = 0) group by doc_id")
 def points_with_pages(fx: Fixtures) -> DataFrame:
+    return _with_pages(fx, "doc_id % 5 = 0")
+
+
+@query(without("points_with_pages", " where doc_id % 5 = 0"))
+def points_with_pages_all(fx: Fixtures) -> DataFrame:
+    return _with_pages(fx, "true")
+
+
+def _with_pages(fx: Fixtures, only: str) -> DataFrame:
     i = F.col("doc_id")
-    d = fx.table("documents").filter("doc_id % 5 = 0")
+    d = fx.table("documents").filter(only)
     e = d.select(F.lit("a").alias("agent_id"), i.cast("string").alias("source_id"), F.explode(F.array(i, i + 1)).alias("p")).select("agent_id", "source_id", F.concat(F.lit("page-"), F.col("p").cast("string")).alias("target_id"), F.lit("has_page").alias("kind"))
     p = L.points_pages(e, fx.pages().withColumn("agent_id", F.lit("a"))).filter("title is not null")
     return p.groupBy(F.col("point_id").alias("id")).agg(F.array_join(F.sort_array(F.collect_list(F.concat("page_id", F.lit(" ("), "title", F.lit(")")))), ", ").alias("pages"))

@@ -14,3 +14,10 @@ def test_every_vector_is_a_query(spark, duck, name):
 def test_points_near_any_vector(spark, duck):
     few, every = (set(map(tuple, registry.QUERIES[n](spark, duck.folder).collect())) for n in ("knn_min_score_kind", "knn_min_score_kind_all"))
     assert few < every and max(int(r[0]) for r in every) >= 5
+
+
+def test_pages_of_all_documents(spark, duck):
+    docs = {str(r.doc_id) for r in spark.read.parquet(f"{duck.folder}/documents.parquet").select("doc_id").collect()}
+    pages = {r.page_id for r in spark.read.parquet(f"{duck.folder}/pages.parquet").select("page_id").collect()}
+    assert {r.point_id for r in registry.QUERIES["has_page_left_join_all"](spark, duck.folder).collect()} == docs
+    assert {r.id for r in registry.QUERIES["points_with_pages_all"](spark, duck.folder).collect()} == {d for d in docs if pages & {int(d), int(d) + 1}}
