@@ -173,7 +173,16 @@ def namespace_visible(fx: Fixtures) -> DataFrame:
     o as (select *, row_number() over (partition by q, agent_id, id order by ns_ord, place) as n1 from h), r as (select *, row_number() over (partition by q order by score desc, ns_ord, place, agent_id, id) as rank from o where n1 = 1)
     select q, agent_id, id, round(score, 6) as score, rank from r where rank <= 10""")
 def cross_ns_dedupe(fx: Fixtures) -> DataFrame:
-    n = fx.table("nation").filter("n_nationkey < 5").select(F.col("n_nationkey").alias("ns_ord"), F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("source"))
+    return _best_of_namespaces(fx, "n_nationkey < 5")
+
+
+@query(without("cross_ns_dedupe", " where n_nationkey < 5"))
+def cross_ns_dedupe_all(fx: Fixtures) -> DataFrame:
+    return _best_of_namespaces(fx, "true")
+
+
+def _best_of_namespaces(fx: Fixtures, only: str) -> DataFrame:
+    n = fx.table("nation").filter(only).select(F.col("n_nationkey").alias("ns_ord"), F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("source"))
     i = F.col("doc_id")
     h = fx.table("documents").join(F.broadcast(n), "source").select("ns_ord", F.col("source").alias("agent_id"), (i % 40).cast("string").alias("id"), F.concat(F.lit("q"), (i % 3).cast("string")).alias("q"), (i * 31 % 1009 / 1009.0).alias("score"), i.alias("place"))
     return R.rerank(h, 10).select("q", "agent_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))

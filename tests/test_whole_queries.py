@@ -21,3 +21,8 @@ def test_pages_of_all_documents(spark, duck):
     pages = {r.page_id for r in spark.read.parquet(f"{duck.folder}/pages.parquet").select("page_id").collect()}
     assert {r.point_id for r in registry.QUERIES["has_page_left_join_all"](spark, duck.folder).collect()} == docs
     assert {r.id for r in registry.QUERIES["points_with_pages_all"](spark, duck.folder).collect()} == {d for d in docs if pages & {int(d), int(d) + 1}}
+
+
+def test_hits_of_all_namespaces(spark, duck):
+    rows = registry.QUERIES["cross_ns_dedupe_all"](spark, duck.folder).collect()
+    assert len(rows) == 30 and max(int(r.agent_id.removeprefix("src")) for r in rows) >= 5
