@@ -26,7 +26,7 @@ class Rule:
 #: The rules of the query's contract.
 RULES = [Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/")]
 
-#: Path segments below the host that the tree holds.
+#: Path segments that the SQL of the query goes down; the tree goes down to the deepest path.
 DEPTH = 3
 
 
@@ -53,8 +53,8 @@ def match_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 
 def path_segments(path: Column) -> Column:
-    """The first DEPTH segments; a segment of digits, or of hex digits with a digit, is variable from the start."""
-    parts = F.slice(F.filter(F.split(path, "/"), lambda s: s != ""), 1, DEPTH)
+    """The segments; a segment of digits, or of hex digits with a digit, is variable from the start."""
+    parts = F.filter(F.split(path, "/"), lambda s: s != "")
     return F.transform(parts, lambda s: F.when(s.rlike(r"^[0-9]+(\.[A-Za-z0-9]+)?$"), F.regexp_replace(s, "^[0-9]+", "*")).when(s.rlike("^[0-9a-fA-F-]{8,}$") & s.rlike("[0-9]"), F.lit("*")).otherwise(s))
 
 
@@ -67,7 +67,8 @@ def judge_urls(pages: DataFrame, rules: list[Rule] | None = None, max_children:
     labels count as alike) merge into its wildcard, and the others stay. A template's purity is its good share, smoothed by
     `pull` pseudo-labels at its parent's purity (`prior` above the host); under least_purity it is blocked.
     Null urls and urls without :// have empty host and path, and are judged by the tree of the empty host. Repeated rows
-    are judged alike; an empty table gives no rows. A host of any size is pre-aggregated by path shape first.
+    are judged alike; an empty table gives no rows. A host of any size is pre-aggregated by path shape first. The tree goes down
+    to the deepest path; a round only carries the shapes that go on.
     """
     rules = RULES if rules is None else rules
     base = pages.select(F.col("page_id"), url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
@@ -80,8 +81,10 @@ def judge_urls(pages: DataFrame, rules: list[Rule] | None = None, max_children:
     at = shapes.groupBy("host").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
     at = at.withColumn("_purity", (F.col("g") + F.lit(pull * prior)) / (F.col("g") + F.col("b") + F.lit(pull))).withColumn("_key", F.lit(""))
     open_ = work.write(shapes.join(at.select("host", "_key", "_purity", F.col("g").alias("_g"), F.col("b").alias("_b")), "host"), "depth0")
-    for depth in range(DEPTH):
-        open_ = open_.withColumn("_child", F.get("_s", F.lit(depth)))
+    deepest = shapes.agg(F.max(F.size("_s"))).first()[0] or 0
+    done = open_.filter(F.size("_s") == 0)
+    for depth in range(deepest):
+        open_ = open_.filter(F.size("_s") > depth).withColumn("_child", F.get("_s", F.lit(depth)))
         children = open_.groupBy("host", "_key", "_child").agg(F.sum("good").alias("cg"), F.sum("bad").alias("cb"), F.first("_g").alias("_g"), F.first("_b").alias("_b"))
         fan = children.groupBy("host", "_key").agg(F.count("_child").alias("_fan"))
         n, m = F.nullif(F.col("cg") + F.col("cb"), F.lit(0)), F.nullif(F.col("_g") + F.col("_b"), F.lit(0))
@@ -90,18 +93,20 @@ def judge_urls(pages: DataFrame, rules: list[Rule] | None = None, max_children:
         se = F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / other_n))
         differs = F.when((n > 0) & (other_n > 0) & (pooled > 0) & (pooled < 1), F.abs(F.col("cg") / n - other_g / other_n) > z * se).otherwise(F.lit(False))
         children = children.join(fan, ["host", "_key"])
-        named = F.when(F.col("_child").isNull(), F.lit("")).when((F.col("_fan") > max_children) | ~differs, F.lit("/*")).otherwise(F.concat(F.lit("/"), F.col("_child")))
+        named = F.when((F.col("_fan") > max_children) | ~differs, F.lit("/*")).otherwise(F.concat(F.lit("/"), F.col("_child")))
         moves = children.select(F.col("host").alias("mh"), F.col("_key").alias("mk"), F.col("_child").alias("mc"), F.concat("_key", named).alias("_next"))
-        on = (F.col("host") == F.col("mh")) & (F.col("_key") == F.col("mk")) & F.col("_child").eqNullSafe(F.col("mc"))
+        on = (F.col("host") == F.col("mh")) & (F.col("_key") == F.col("mk")) & (F.col("_child") == F.col("mc"))
         open_ = work.write(open_.join(moves, on).drop("mh", "mk", "mc", "_child"), f"moved{depth + 1}")
         nodes = open_.groupBy("host", "_key", "_next").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"), F.first("_purity").alias("_up"))
         own = (F.col("g") + pull * F.col("_up")) / (F.col("g") + F.col("b") + F.lit(pull))
-        nodes = nodes.select(F.col("host").alias("nh"), F.col("_key").alias("nk"), F.col("_next").alias("nn"), F.when(F.col("_next") == F.col("_key"), F.col("_up")).otherwise(own).alias("np"), F.col("g").alias("ng"), F.col("b").alias("nb"))
+        nodes = nodes.select(F.col("host").alias("nh"), F.col("_key").alias("nk"), F.col("_next").alias("nn"), own.alias("np"), F.col("g").alias("ng"), F.col("b").alias("nb"))
         open_ = open_.join(nodes, (F.col("host") == F.col("nh")) & (F.col("_key") == F.col("nk")) & (F.col("_next") == F.col("nn")))
         open_ = open_.select("host", "_s", "n", "good", "bad", F.col("_next").alias("_key"), F.col("np").alias("_purity"), F.col("ng").alias("_g"), F.col("nb").alias("_b"))
         open_ = work.write(open_, f"depth{depth + 1}")
-    work.keep_only(f"depth{DEPTH}")
-    verdicts = open_.select(F.col("host").alias("vh"), F.col("_s").alias("vs"), F.col("_key").alias("template"), F.col("_purity").alias("purity"))
+        work.drop(f"moved{depth + 1}")
+        done = done.unionByName(open_.filter(F.size("_s") == depth + 1))
+    work.drop("shapes")
+    verdicts = done.select(F.col("host").alias("vh"), F.col("_s").alias("vs"), F.col("_key").alias("template"), F.col("_purity").alias("purity"))
     judged = base.join(verdicts, (F.col("host") == F.col("vh")) & (F.col("_s") == F.col("vs")))
     verdict = F.coalesce("_m.verdict", F.when(F.col("purity") < least_purity, F.lit("block")).otherwise(F.lit("allow")))
     return judged.select("page_id", "host", "path", F.col("_m.rule").alias("rule"), verdict.alias("verdict"), "template", "purity")
