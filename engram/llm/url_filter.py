@@ -58,13 +58,13 @@ def path_segments(path: Column) -> Column:
     return F.transform(parts, lambda s: F.when(s.rlike(r"^[0-9]+(\.[A-Za-z0-9]+)?$"), F.regexp_replace(s, "^[0-9]+", "*")).when(s.rlike("^[0-9a-fA-F-]{8,}$") & s.rlike("[0-9]"), F.lit("*")).otherwise(s))
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule] | None = None, max_children: int = 20, z: float = 1.96, pull: float = 5.0, prior: float = 1.0, least_purity: float = 0.25) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[Rule] | None = None, z: float = 1.96, pull: float = 5.0, prior: float = 1.0, least_purity: float = 0.25) -> DataFrame:
     """pages (page_id, url; more columns are ignored): page_id, host, path, rule, verdict, template, purity.
 
     Rules decide what they fit, and label it. For the rest a path-template tree per host decides: the labels are
-    counted along each path; at each depth, a node of over max_children different children gets one wildcard child, and
-    else the children whose labelled good share is statistically like the node's (two-proportion z-test under z; no
-    labels count as alike) merge into its wildcard, and the others stay. A template's purity is its good share, smoothed by
+    counted along each path; at each depth, the children whose labelled good share is statistically like that of the node's others
+    (two-proportion z-test under z; no labels count as alike) merge into the node's wildcard, and the others stay, however many
+    children there are. A template's purity is its good share, smoothed by
     `pull` pseudo-labels at its parent's purity (`prior` above the host); under least_purity it is blocked.
     Null urls and urls without :// have empty host and path, and are judged by the tree of the empty host. Repeated rows
     are judged alike; an empty table gives no rows. A host of any size is pre-aggregated by path shape first. The tree goes down
@@ -86,14 +86,12 @@ def judge_urls(pages: DataFrame, rules: list[Rule] | None = None, max_children:
     for depth in range(deepest):
         open_ = open_.filter(F.size("_s") > depth).withColumn("_child", F.get("_s", F.lit(depth)))
         children = open_.groupBy("host", "_key", "_child").agg(F.sum("good").alias("cg"), F.sum("bad").alias("cb"), F.first("_g").alias("_g"), F.first("_b").alias("_b"))
-        fan = children.groupBy("host", "_key").agg(F.count("_child").alias("_fan"))
         n, m = F.nullif(F.col("cg") + F.col("cb"), F.lit(0)), F.nullif(F.col("_g") + F.col("_b"), F.lit(0))
         other_n, other_g = F.nullif(m - n, F.lit(0)), F.col("_g") - F.col("cg")
         pooled = F.col("_g") / m
         se = F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / other_n))
         differs = F.when((n > 0) & (other_n > 0) & (pooled > 0) & (pooled < 1), F.abs(F.col("cg") / n - other_g / other_n) > z * se).otherwise(F.lit(False))
-        children = children.join(fan, ["host", "_key"])
-        named = F.when((F.col("_fan") > max_children) | ~differs, F.lit("/*")).otherwise(F.concat(F.lit("/"), F.col("_child")))
+        named = F.when(~differs, F.lit("/*")).otherwise(F.concat(F.lit("/"), F.col("_child")))
         moves = children.select(F.col("host").alias("mh"), F.col("_key").alias("mk"), F.col("_child").alias("mc"), F.concat("_key", named).alias("_next"))
         on = (F.col("host") == F.col("mh")) & (F.col("_key") == F.col("mk")) & (F.col("_child") == F.col("mc"))
         open_ = work.write(open_.join(moves, on).drop("mh", "mk", "mc", "_child"), f"moved{depth + 1}")
