@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from engram.functions.text import normalize_id, wikilinks
 from engram.operators.components import connected_components
+from engram.sources.scratch import scratch
 
 
 def first_edge(edges: DataFrame, kind: str) -> DataFrame:
@@ -18,18 +19,21 @@ def first_edge(edges: DataFrame, kind: str) -> DataFrame:
     return edges.filter(F.col("kind") == kind).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def resolve_replacements(starts: DataFrame, edges: DataFrame, points: DataFrame, max_hops: int = 16) -> DataFrame:
+def resolve_replacements(starts: DataFrame, edges: DataFrame, points: DataFrame) -> DataFrame:
     """Follows sequel edges from each start (agent_id, id) to the first point that isn't archived: agent_id, id, replacement,
-    hops. Starts without one are left out. A walk that comes back to a point it has seen, or is longer than max_hops, ends without a replacement.
-    All starts move one step in each round; a round only carries those still walking.
+    hops. Starts without one are left out. A walk that comes back to a point it has seen ends without a replacement.
+    All starts move one step in each round, until none is walking; a round is written, and only carries those still walking.
     """
-    step = first_edge(edges, "sequel").select(F.col("agent_id").alias("ea"), F.col("source_id").alias("es"), F.col("target_id").alias("next"))
+    write = scratch(starts.sparkSession)
+    step = write(first_edge(edges, "sequel").select(F.col("agent_id").alias("ea"), F.col("source_id").alias("es"), F.col("target_id").alias("next")), "steps")
     alive = points.select(F.col("agent_id").alias("pa"), F.col("id").alias("pid"), F.col("status").alias("pstatus"))
     walking = starts.select("agent_id", "id", F.col("id").alias("at"), F.array("id").alias("seen")).distinct()
-    done = None
-    for hop in range(1, max_hops + 1):
+    done, hop = None, 0
+    while done is None or not walking.isEmpty():
+        hop += 1
         moved = walking.join(step, (F.col("agent_id") == F.col("ea")) & (F.col("at") == F.col("es"))).filter(~F.array_contains("seen", F.col("next")))
         moved = moved.join(alive, (F.col("agent_id") == F.col("pa")) & (F.col("next") == F.col("pid")))
+        moved = write(moved.select("agent_id", "id", "next", "seen", "pstatus"), f"hop{hop}")
         found = moved.filter("pstatus != 'archived'").select("agent_id", "id", F.col("next").alias("replacement"), F.lit(hop).alias("hops"))
         done = found if done is None else done.unionByName(found)
         walking = moved.filter("pstatus = 'archived'").select("agent_id", "id", F.col("next").alias("at"), F.concat("seen", F.array("next")).alias("seen"))

@@ -225,7 +225,7 @@ def sequel_replacement(fx: Fixtures) -> DataFrame:
     i = F.col("doc_id")
     e = d.filter("doc_id % 7 != 6").select(F.lit("a").alias("agent_id"), i.cast("string").alias("source_id"), (i + 1).cast("string").alias("target_id"), F.lit("sequel").alias("kind"), F.lit(1.0).alias("weight"))
     p = d.select(F.lit("a").alias("agent_id"), i.cast("string").alias("id"), F.when(i % 7 < 4, "archived").otherwise("active").alias("status"))
-    return G.resolve_replacements(p, e, p, max_hops=6).select("id", "replacement", "hops")
+    return G.resolve_replacements(p, e, p).select("id", "replacement", "hops")
 
 @query("""with recursive st as (select doc_id as k, doc_id % 7 < 4 as archived, doc_id % 7 != 6 and doc_id + 1 <= (select max(doc_id) from documents) as nxt from documents where doc_id < 1000000000),
     r(k, pos, hops) as (select k, k + 1, 1 from st where nxt union all select r.k, r.pos + 1, hops + 1 from r join st on st.k = r.pos where st.archived and st.nxt)
@@ -237,7 +237,7 @@ def substituted_hits(fx: Fixtures) -> DataFrame:
     p = d.select(F.lit("a").alias("agent_id"), i.cast("string").alias("id"), F.when(i % 7 < 4, "archived").otherwise("active").alias("status"))
     pages = fx.pages().limit(0)
     hits = p.select(F.lit("q").alias("q"), "agent_id", "id", F.lit("interest_point").alias("kind"), F.lit(0.9).alias("score"))
-    return R.substitute(hits, e, p, pages, max_hops=6).select("id", "new_id", "hops")
+    return R.substitute(hits, e, p, pages).select("id", "new_id", "hops")
 
 @query(with_tables("sims", recursive=True) + """, es as (select a as s, b as t, case when (ao + bo) % 3 = 0 then 'has_page' else 'related' end as kind from sims where sim >= 0.33),
     ways as (select s as f, t from es where cast(s as integer) % 4 != 0 or kind = 'has_page' union select t, s from es where cast(t as integer) % 4 != 0),

@@ -85,7 +85,7 @@ def rerank(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("_n", once).filter("_n = 1").drop("_n").withColumn("rank", best).filter(F.col("rank") <= k)
 
 
-def substitute(hits: DataFrame, edges: DataFrame, points: DataFrame, pages: DataFrame, max_hops: int = 16, dedupe: bool = False) -> DataFrame:
+def substitute(hits: DataFrame, edges: DataFrame, points: DataFrame, pages: DataFrame, dedupe: bool = False) -> DataFrame:
     """hits with archived points replaced by what follows them, the score kept: new_id, new_kind (its page if it has one), hops. Archived ones
     without successor, and hits whose entry is gone, are dropped. dedupe: each new_id once per query, the best score."""
     p = points.select("agent_id", "id", F.col("status").alias("_ps"))
@@ -98,7 +98,7 @@ def substitute(hits: DataFrame, edges: DataFrame, points: DataFrame, pages: Data
     backing = edges.filter("kind = 'has_page'").groupBy("agent_id", F.col("target_id").alias("id")).agg(F.min_by("source_id", F.struct(-F.col("weight"), F.col("source_id"))).alias("_point"))
     gone = gone.join(backing, ["agent_id", "id"], "left").withColumn("_start", F.when(F.col("kind") == "wiki_page", F.col("_point")).otherwise(F.col("id")))
     starts = gone.filter("_start is not null").select("agent_id", F.col("_start").alias("id")).distinct()
-    found = resolve_replacements(starts, edges, points, max_hops).withColumnRenamed("id", "_start")
+    found = resolve_replacements(starts, edges, points).withColumnRenamed("id", "_start")
     page = first_edge(edges, "has_page").select("agent_id", F.col("source_id").alias("replacement"), F.col("target_id").alias("_page"))
     page = page.join(pages.filter(F.col("status").isin("", "active")).select("agent_id", F.col("id").alias("_page")), ["agent_id", "_page"], "left_semi")
     moved = gone.join(found, ["agent_id", "_start"]).join(page, ["agent_id", "replacement"], "left")
