@@ -8,25 +8,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Star rewritings after which a graph that still changes is taken as a fault: enough for a path of 2**100 nodes.
+ROUNDS = 200
+
+
 def connected_components(edges: DataFrame, write: Callable[[DataFrame, str], DataFrame], name: str = "cc") -> DataFrame:
     """Components of undirected links (src, dst), as (node, component = its smallest node).
 
     Alternates two star rewritings: every node hands its larger neighbours, then its smaller ones, to its
     smallest neighbour, until each component is a star around its smallest node. The number of rounds grows
-    with the logarithm of a component's diameter. Minima are pre-aggregated before they are shuffled, so a
-    node of very many links isn't gathered anywhere. `write(df, name)` writes a table and reads it again;
-    it cuts the lineage of each round. Self-links and repeated links don't matter; nodes without
+    with the logarithm of a component's diameter; ROUNDS without an end raise. Minima are pre-aggregated before they are
+    shuffled, and written before they are joined back, so that Spark can split a node of very many links in that join.
+    `write(df, name)` writes a table and reads it again; it cuts the lineage of each round. Self-links and repeated links don't matter; nodes without
     a link to another node are not returned; null ends are ignored.
     """
     pairs = edges.filter("src != dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     current = write(pairs, f"{name}_links0")
     before = None
-    for step in range(1, 101):
+    for step in range(1, ROUNDS + 1):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        least = write(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), f"{name}_least{step}")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
         large = write(large.distinct(), f"{name}_large{step}")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = write(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}_kept{step}")
         kept = large.join(least, "u")
         small = kept.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         current = write(small.filter("u != v").distinct(), f"{name}_links{step}")
@@ -34,4 +38,6 @@ def connected_components(edges: DataFrame, write: Callable[[DataFrame, str], Dat
         if tuple(state) == before:
             break
         before = tuple(state)
+    else:
+        raise RuntimeError(f"connected components: no end after {ROUNDS} rounds")
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
