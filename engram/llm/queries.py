@@ -187,26 +187,36 @@ def _mixing_sql(percent: int = 80, epochs: int = 3, seed: int = 11) -> str:
 select doc_id, domain, lang, source, n_tokens, target, cast(case when target <= 0 then 0 when n_tokens = 0 then 1 else ep + case when before < rest then 1 else 0 end end as integer) as copies from o"""
 
 
+def _tree_sql(name: str, shapes: str) -> str:
+    """The tables of one path-template tree; {name}{DEPTH} has each shape's template t and purities p."""
+    steps = [f"""{name}0 as (select host, s, good, bad, gt, gp, sum(good) over h as g, sum(bad) over h as b, cast([] as varchar[]) as t,
+    [(sum(good) over h + 5.0::double * coalesce(gp[1], 1.0)) / (sum(good) over h + sum(bad) over h + 5.0::double)] as p from {shapes} window h as (partition by host))"""]
+    for i in range(DEPTH):
+        steps.append(f"""{name}c{i} as (select host, t, s[{i + 1}] as child, sum(good) as cg, sum(bad) as cb, first(g) as g, first(b) as b, coalesce(first(gt[{i + 1}]) != '*', false) as named from {name}{i} where len(s) > {i} group by all),
+  {name}v{i} as (select *, (cg + cb)::double as n, (g + b)::double as m, (g + b - cg - cb)::double as om from {name}c{i}),
+  {name}x{i} as (select host, t, child, case when named or case when n > 0 and om > 0 and g > 0 and b > 0 then abs(cg / n - (g - cg) / om) > 1.96::double * sqrt((g / m) * (1 - g / m) * (1 / n + 1 / om)) else false end then child else '*' end as nxt from {name}v{i}),
+  {name}z{i} as (select o.*, x.nxt from {name}{i} o join {name}x{i} x on o.host = x.host and o.t = x.t and o.s[{i + 1}] = x.child),
+  {name}w{i} as (select host, t, nxt, sum(good) as g, sum(bad) as b from {name}z{i} group by all),
+  {name}{i + 1} as (select z.host, z.s, z.good, z.bad, z.gt, z.gp, w.g, w.b, list_append(z.t, z.nxt) as t,
+    list_append(z.p, (w.g + 5.0::double * coalesce((z.p[{i + 1}] + z.gp[{i + 2}]) / 2, z.p[{i + 1}])) / (w.g + w.b + 5.0::double)) as p from {name}z{i} z join {name}w{i} w on z.host = w.host and z.t = w.t and z.nxt = w.nxt
+    union all select host, s, good, bad, gt, gp, g, b, t, p from {name}{i} where len(s) <= {i})""")
+    return ",\n  ".join(steps)
+
+
 def _url_sql() -> str:
     rules = sorted(RULES, key=lambda r: (-len(r.host) - len(r.path), -len(r.host), r.verdict != "block", r.name))
     fits = lambda r: f"(host = '{r.host}' or ends_with(host, '.{r.host}')) and starts_with(path, '{r.path}')"
     pick = lambda what: "case " + " ".join(f"when {fits(r)} then '{what(r)}'" for r in rules) + " end"
-    steps = []
-    for i in range(DEPTH):
-        steps.append(f"""c{i} as (select host, key, s[{i + 1}] as child, sum(good) as cg, sum(bad) as cb, first(g) as g, first(b) as b from o{i} group by host, key, s[{i + 1}]),
-  v{i} as (select *, count(child) over (partition by host, key) as fan, (cg + cb)::double as n, (g + b)::double as m, (g + b - cg - cb)::double as om from c{i}),
-  x{i} as (select *, case when n > 0 and om > 0 and g > 0 and b > 0 then abs(cg / n - (g - cg) / om) > 1.96::double * sqrt((g / m) * (1 - g / m) * (1 / n + 1 / om)) else false end as differs from v{i}),
-  y{i} as (select host, key, child, key || case when child is null then '' when fan > 20 or not differs then '/*' else '/' || child end as nxt from x{i}),
-  z{i} as (select o.*, y.nxt from o{i} o join y{i} y on o.host = y.host and o.key = y.key and o.s[{i + 1}] is not distinct from y.child),
-  w{i} as (select host, key, nxt, sum(good) as g, sum(bad) as b, first(purity) as up from z{i} group by host, key, nxt),
-  o{i + 1} as (select z.host, z.s, z.good, z.bad, z.nxt as key, case when z.nxt = z.key then w.up else (w.g + 5.0::double * w.up) / (w.g + w.b + 5.0::double) end as purity, w.g, w.b from z{i} z join w{i} w on z.host = w.host and z.key = w.key and z.nxt = w.nxt)""")
     return f"""with u as (select page_id, {_LOW.replace("text", "regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")} as host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages),
-  p as (select *, {pick(lambda r: r.name)} as rule, {pick(lambda r: r.verdict)} as rv, list_transform(list_filter(string_split(path, '/'), lambda q: q != '')[1:{DEPTH}], lambda q: case when regexp_matches(q, '^[0-9]+(\\.[A-Za-z0-9]+)?$') then regexp_replace(q, '^[0-9]+', '*')
+  q as (select *, {pick(lambda r: r.name)} as rule, {pick(lambda r: r.verdict)} as rv, list_transform(list_filter(string_split(path, '/'), lambda q: q != '')[1:{DEPTH}], lambda q: case when regexp_matches(q, '^[0-9]+(\\.[A-Za-z0-9]+)?$') then regexp_replace(q, '^[0-9]+', '*')
     when regexp_matches(q, '^[0-9a-fA-F-]{{8,}}$') and regexp_matches(q, '[0-9]') then '*' else q end) as s from u),
-  sh as (select host, s, count(*) filter (where rv = 'allow') as good, count(*) filter (where rv = 'block') as bad from p group by host, s),
-  o0 as (select host, s, good, bad, '' as key, (sum(good) over h + 5.0::double) / (sum(good) over h + sum(bad) over h + 5.0::double) as purity, sum(good) over h as g, sum(bad) over h as b from sh window h as (partition by host)),
-  {', '.join(steps)}
-select page_id, p.host, path, rule, coalesce(rv, case when purity < 0.25 then 'block' else 'allow' end) as verdict, key as template, purity from p join o{DEPTH} o on p.host = o.host and p.s = o.s"""
+  sh as (select host, s, count(*) filter (where rv = 'allow') as good, count(*) filter (where rv = 'block') as bad from q group by host, s),
+  ev as (select '' as host, s, sum(good) as good, sum(bad) as bad, cast(null as varchar[]) as gt, cast(null as double[]) as gp from sh group by s),
+  {_tree_sql("a", "ev")},
+  sg as (select sh.*, a.t as gt, a.p as gp from sh join a{DEPTH} a on sh.s = a.s),
+  {_tree_sql("o", "sg")}
+select page_id, q.host, path, rule, coalesce(rv, case when o.p[len(o.p)] < 0.25 then 'block' else 'allow' end) as verdict,
+  coalesce(array_to_string(list_transform(o.t, lambda x: '/' || x), ''), '') as template, o.p[len(o.p)] as purity from q join o{DEPTH} o on q.host = o.host and q.s = o.s"""
 
 
 ORACLES: dict[str, str] = {

@@ -1,7 +1,8 @@
-"""URL filters: longest-match rules, and a path-template tree that learns from the pages the rules decide."""
+"""URL filters: longest-match rules, and path-template trees that learn from the pages the rules decide."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,7 +25,13 @@ class Rule:
 
 
 #: The rules of the query's contract.
-RULES = [Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/")]
+RULES = [
+    Rule("allow", "org", "/"),
+    Rule("block", "example.org", "/es/"),
+    Rule("block", "example.org", "/en/1"),
+    Rule("allow", "com", "/fr/"),
+    Rule("block", "com", "/de/"),
+]
 
 #: Path segments that the SQL of the query goes down; the tree goes down to the deepest path.
 DEPTH = 3
@@ -55,56 +62,89 @@ def match_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
 def path_segments(path: Column) -> Column:
     """The segments; a segment of digits, or of hex digits with a digit, is variable from the start."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    return F.transform(parts, lambda s: F.when(s.rlike(r"^[0-9]+(\.[A-Za-z0-9]+)?$"), F.regexp_replace(s, "^[0-9]+", "*")).when(s.rlike("^[0-9a-fA-F-]{8,}$") & s.rlike("[0-9]"), F.lit("*")).otherwise(s))
+    number = lambda s: s.rlike(r"^[0-9]+(\.[A-Za-z0-9]+)?$")
+    code = lambda s: s.rlike("^[0-9a-fA-F-]{8,}$") & s.rlike("[0-9]")
+    return F.transform(parts, lambda s: F.when(number(s), F.regexp_replace(s, "^[0-9]+", "*")).when(code(s), F.lit("*")).otherwise(s))
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule] | None = None, z: float = 1.96, pull: float = 5.0, prior: float = 1.0, least_purity: float = 0.25) -> DataFrame:
+@dataclass(frozen=True)
+class Growth:
+    """How a tree grows: z of the test, pseudo-labels at the parent's purity, and the purity above the root."""
+
+    z: float = 1.96
+    pull: float = 5.0
+    prior: float = 1.0
+
+    def smoothed(self, good: Column, bad: Column, up: Column) -> Column:
+        return (good + F.lit(self.pull) * up) / (good + bad + F.lit(self.pull))
+
+    def differs(self, good: Column, bad: Column, all_good: Column, all_bad: Column) -> Column:
+        """If a child's labelled share differs from that of its node's other children (two proportions); without labels it doesn't."""
+        n, m = F.nullif(good + bad, F.lit(0)), F.nullif(all_good + all_bad, F.lit(0))
+        other, share = F.nullif(m - n, F.lit(0)), all_good / m
+        se = F.sqrt(share * (1 - share) * (1 / n + 1 / other))
+        told = (n > 0) & (other > 0) & (share > 0) & (share < 1)
+        return F.when(told, F.abs(good / n - (all_good - good) / other) > self.z * se).otherwise(F.lit(False))
+
+
+def grow_tree(shapes: DataFrame, growth: Growth, write: Callable[[DataFrame, str], DataFrame], name: str) -> DataFrame:
+    """shapes: host, _s (path segments), good, bad, and _gt, _gp: the template (segments) and purities, root first, of the shape in
+    a wider tree, or null. Returns host, _s, _t (template segments), _p (purities, root first) for each shape.
+
+    At each depth the children of a node whose labels don't differ from its others' merge into its wildcard, but for those that the wider
+    tree names; the others stay, however many there are. So a template lies in one template of the wider tree. Its purity is its labelled share, smoothed
+    towards the mean of its parent's purity and that of the wider template (without one: its parent's). The tree goes
+    down to the deepest path; a round only carries the shapes that go on.
+    """
+    wider = lambda depth, up: F.coalesce((up + F.get("_gp", F.lit(depth))) / 2, up)
+    top = shapes.groupBy("host").agg(F.sum("good").alias("_g"), F.sum("bad").alias("_b"), F.first(F.get("_gp", F.lit(0))).alias("_root"))
+    root = growth.smoothed(F.col("_g"), F.col("_b"), F.coalesce("_root", F.lit(growth.prior)))
+    top = top.select("host", "_g", "_b", F.array(root).alias("_p"))
+    open_ = write(shapes.join(top, "host").withColumn("_t", F.array().cast("array<string>")), f"{name}0")
+    deepest = shapes.agg(F.max(F.size("_s"))).first()[0] or 0
+    done = open_.filter(F.size("_s") == 0)
+    for depth in range(deepest):
+        open_ = open_.filter(F.size("_s") > depth).withColumn("_c", F.get("_s", F.lit(depth)))
+        named = F.coalesce(F.first(F.get("_gt", F.lit(depth))) != "*", F.lit(False)).alias("named")
+        children = open_.groupBy("host", "_t", "_c").agg(F.sum("good").alias("cg"), F.sum("bad").alias("cb"), F.first("_g").alias("_g"), F.first("_b").alias("_b"), named)
+        apart = F.col("named") | growth.differs(F.col("cg"), F.col("cb"), F.col("_g"), F.col("_b"))
+        moves = children.select("host", "_t", "_c", F.when(apart, F.col("_c")).otherwise("*").alias("_next"))
+        moved = write(open_.join(moves, ["host", "_t", "_c"]).drop("_c", "_g", "_b"), f"{name}_moved{depth + 1}")
+        nodes = moved.groupBy("host", "_t", "_next").agg(F.sum("good").alias("_g"), F.sum("bad").alias("_b"))
+        open_ = moved.join(nodes, ["host", "_t", "_next"])
+        own = growth.smoothed(F.col("_g"), F.col("_b"), wider(depth + 1, F.get("_p", F.lit(depth))))
+        extended = [F.concat("_t", F.array("_next")).alias("_t"), F.concat("_p", F.array(own)).alias("_p")]
+        open_ = write(open_.select("host", "_s", "good", "bad", "_gt", "_gp", "_g", "_b", *extended), f"{name}{depth + 1}")
+        done = done.unionByName(open_.filter(F.size("_s") == depth + 1))
+    return done.select("host", "_s", "_t", "_p")
+
+
+def judge_urls(pages: DataFrame, rules: list[Rule] | None = None, growth: Growth | None = None, least_purity: float = 0.25) -> DataFrame:
     """pages (page_id, url; more columns are ignored): page_id, host, path, rule, verdict, template, purity.
 
-    Rules decide what they fit, and label it. For the rest a path-template tree per host decides: the labels are
-    counted along each path; at each depth, the children whose labelled good share is statistically like that of the node's others
-    (two-proportion z-test under z; no labels count as alike) merge into the node's wildcard, and the others stay, however many
-    children there are. A template's purity is its good share, smoothed by
-    `pull` pseudo-labels at its parent's purity (`prior` above the host); under least_purity it is blocked.
+    Rules decide what they fit, and label it; no other labels of urls exist. For the rest path-template trees decide: one over
+    the paths of all hosts, then one per host (see grow_tree), whose purities are smoothed towards the first one's. So a
+    template that was blocked wherever it was labelled is blocked on hosts without labels, and a host's own labels
+    prevail as they get many. A template under least_purity is blocked.
     Null urls and urls without :// have empty host and path, and are judged by the tree of the empty host. Repeated rows
-    are judged alike; an empty table gives no rows. A host of any size is pre-aggregated by path shape first. The tree goes down
-    to the deepest path; a round only carries the shapes that go on.
+    are judged alike, ties don't arise (counts decide), and an empty table gives no rows. Very long paths cost a round per segment. A host or a
+    path shape of any number of rows is pre-aggregated first.
     """
-    rules = RULES if rules is None else rules
+    rules, growth = RULES if rules is None else rules, growth or Growth()
     base = pages.select(F.col("page_id"), url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     base = base.withColumn("_m", match_rule(F.col("host"), F.col("path"), rules)).withColumn("_s", path_segments(F.col("path")))
-    shapes = base.groupBy("host", "_s").agg(F.count("*").alias("n"), F.sum(F.when(F.col("_m.verdict") == "allow", 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("_m.verdict") == "block", 1).otherwise(0)).alias("bad"))
+    labelled = [F.sum(F.when(F.col("_m.verdict") == v, 1).otherwise(0)).alias(name) for v, name in (("allow", "good"), ("block", "bad"))]
     work = Workspace(pages.sparkSession, "url_filter")
-    shapes = work.write(shapes, "shapes")
-
-    # Node at depth 0: the host. _key is the template so far, _purity that of its node.
-    at = shapes.groupBy("host").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
-    at = at.withColumn("_purity", (F.col("g") + F.lit(pull * prior)) / (F.col("g") + F.col("b") + F.lit(pull))).withColumn("_key", F.lit(""))
-    open_ = work.write(shapes.join(at.select("host", "_key", "_purity", F.col("g").alias("_g"), F.col("b").alias("_b")), "host"), "depth0")
-    deepest = shapes.agg(F.max(F.size("_s"))).first()[0] or 0
-    done = open_.filter(F.size("_s") == 0)
-    for depth in range(deepest):
-        open_ = open_.filter(F.size("_s") > depth).withColumn("_child", F.get("_s", F.lit(depth)))
-        children = open_.groupBy("host", "_key", "_child").agg(F.sum("good").alias("cg"), F.sum("bad").alias("cb"), F.first("_g").alias("_g"), F.first("_b").alias("_b"))
-        n, m = F.nullif(F.col("cg") + F.col("cb"), F.lit(0)), F.nullif(F.col("_g") + F.col("_b"), F.lit(0))
-        other_n, other_g = F.nullif(m - n, F.lit(0)), F.col("_g") - F.col("cg")
-        pooled = F.col("_g") / m
-        se = F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / other_n))
-        differs = F.when((n > 0) & (other_n > 0) & (pooled > 0) & (pooled < 1), F.abs(F.col("cg") / n - other_g / other_n) > z * se).otherwise(F.lit(False))
-        named = F.when(~differs, F.lit("/*")).otherwise(F.concat(F.lit("/"), F.col("_child")))
-        moves = children.select(F.col("host").alias("mh"), F.col("_key").alias("mk"), F.col("_child").alias("mc"), F.concat("_key", named).alias("_next"))
-        on = (F.col("host") == F.col("mh")) & (F.col("_key") == F.col("mk")) & (F.col("_child") == F.col("mc"))
-        open_ = work.write(open_.join(moves, on).drop("mh", "mk", "mc", "_child"), f"moved{depth + 1}")
-        nodes = open_.groupBy("host", "_key", "_next").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"), F.first("_purity").alias("_up"))
-        own = (F.col("g") + pull * F.col("_up")) / (F.col("g") + F.col("b") + F.lit(pull))
-        nodes = nodes.select(F.col("host").alias("nh"), F.col("_key").alias("nk"), F.col("_next").alias("nn"), own.alias("np"), F.col("g").alias("ng"), F.col("b").alias("nb"))
-        open_ = open_.join(nodes, (F.col("host") == F.col("nh")) & (F.col("_key") == F.col("nk")) & (F.col("_next") == F.col("nn")))
-        open_ = open_.select("host", "_s", "n", "good", "bad", F.col("_next").alias("_key"), F.col("np").alias("_purity"), F.col("ng").alias("_g"), F.col("nb").alias("_b"))
-        open_ = work.write(open_, f"depth{depth + 1}")
-        work.drop(f"moved{depth + 1}")
-        done = done.unionByName(open_.filter(F.size("_s") == depth + 1))
-    work.drop("shapes")
-    verdicts = done.select(F.col("host").alias("vh"), F.col("_s").alias("vs"), F.col("_key").alias("template"), F.col("_purity").alias("purity"))
-    judged = base.join(verdicts, (F.col("host") == F.col("vh")) & (F.col("_s") == F.col("vs")))
+    shapes = work.write(base.groupBy("host", "_s").agg(*labelled), "shapes")
+
+    blank = [F.lit(None).cast("array<string>").alias("_gt"), F.lit(None).cast("array<double>").alias("_gp")]
+    every = shapes.groupBy("_s").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    wide = grow_tree(every.select(F.lit("").alias("host"), "_s", "good", "bad", *blank), growth, work.write, "all")
+    wide = work.write(wide.select("_s", F.col("_t").alias("_gt"), F.col("_p").alias("_gp")), "wide")
+    own = grow_tree(shapes.join(wide, "_s"), growth, work.write, "host")
+    template = F.concat(F.lit(""), F.array_join(F.transform("_t", lambda t: F.concat(F.lit("/"), t)), ""))
+    verdicts = own.select("host", "_s", template.alias("template"), F.element_at("_p", -1).alias("purity"))
+    judged = base.join(work.write(verdicts, "verdicts"), ["host", "_s"])
+    work.keep_only("verdicts")
     verdict = F.coalesce("_m.verdict", F.when(F.col("purity") < least_purity, F.lit("block")).otherwise(F.lit("allow")))
     return judged.select("page_id", "host", "path", F.col("_m.rule").alias("rule"), verdict.alias("verdict"), "template", "purity")
