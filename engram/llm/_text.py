@@ -27,23 +27,80 @@ ALNUM = np.zeros(256, dtype=bool)
 ALNUM[0x80:] = True
 ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
-_values = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
-FOLDED = _values[LOWER]
-EXACT = _values
-BASE = U64(0x9E3779B97F4A7C15 | 1)
-INVERSE = U64(pow(int(BASE), -1, 2**64))
+#: Byte values under which words are told apart as they are, or regardless of the case of A-Z.
+EXACT = np.arange(1, 257, dtype=np.uint64)
+FOLDED = EXACT[LOWER]
+#: Odd numbers for combining hashes, and two bases of the hash family below.
+BASE = U64(0x9E3779B97F4A7C15)
 MULTIPLIERS = _rng.integers(1, 2**63, 64, dtype=np.uint64) * U64(2) + U64(1)
-_powers = {"n": 0}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    if n > _powers["n"]:
-        size = max(n, CHUNK_BYTES + 1)
-        _powers["up"] = np.concatenate([np.ones(1, U64), np.cumprod(np.full(size - 1, BASE, U64))])
-        _powers["down"] = np.concatenate([np.ones(1, U64), np.cumprod(np.full(size - 1, INVERSE, U64))])
-        _powers["n"] = size
-    return _powers["up"], _powers["down"]
+P = U64((1 << 61) - 1)
+BASES = [int(x) % ((1 << 61) - 3) + 2 for x in _rng.integers(1, 2**62, 2)]
+_LOW32, _LOW29 = U64((1 << 32) - 1), U64((1 << 29) - 1)
+#: Bytes that a prefix sum may differ by: 2**8 * 2**32 * 2**23 stays under 2**64.
+RANGE = 1 << 23
+_powers: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+
+def codes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place, as one number."""
+    code = data.astype(U64)
+    for size in (1, 2, 4):
+        code = code[: max(len(code) - size, 0)] | (code[size:] << U64(8 * size))
+    return code
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**61 - 1."""
+    x = (x & P) + (x >> U64(61))
+    return np.where(x >= P, x - P, x)
+
+
+def mulmod(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    """a * b modulo 2**61 - 1, by halves of 32 bits."""
+    al, ah, bl, bh = a & _LOW32, a >> U64(32), b & _LOW32, b >> U64(32)
+    middle, low = ah * bl + al * bh, al * bl
+    return _fold(ah * bh * U64(8) + (middle >> U64(29)) + ((middle & _LOW29) << U64(32)) + (low & P) + (low >> U64(61)))
+
+
+def powers(n: int, family: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """BASE**i for i < n, as upper and lower 32 bits, and BASE**-i, modulo 2**61 - 1."""
+    if family not in _powers or n > len(_powers[family][0]):
+        size, base = max(n, CHUNK_BYTES + 1), BASES[family]
+        tables = []
+        for b in (base, pow(base, -1, int(P))):
+            table = np.ones(1, U64)
+            while len(table) < size:
+                table = np.concatenate((table, mulmod(table, U64(pow(b, len(table), int(P))))))
+            tables.append(table[:size])
+        _powers[family] = (tables[0] >> U64(32), tables[0] & _LOW32, tables[1])
+    return _powers[family]
+
+
+class Names:
+    """Names of byte ranges of `data`: a polynomial in a random base modulo the prime 2**61 - 1, mixed. Two different ranges of n bytes
+    agree for at most n of the 2**61 bases, whatever is in them; the two families have independent bases."""
+
+    def __init__(self, data: np.ndarray, values: np.ndarray, family: int = 0):
+        n = len(data)
+        high, low, self.down = powers(n + 1, family)
+        letters = values[data]
+        self.high, self.low = np.zeros(n + 1, dtype=U64), np.zeros(n + 1, dtype=U64)
+        np.cumsum(letters * high[:n], out=self.high[1:])
+        np.cumsum(letters * low[:n], out=self.low[1:])
+
+    def _sum(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        high, low = self.high[ends] - self.high[starts], self.low[ends] - self.low[starts]
+        # high * 2**32 + low; high has at most 60 bits.
+        high = _fold(high)
+        return _fold((high >> U64(29)) + ((high & _LOW29) << U64(32)) + (low & P) + (low >> U64(61)))
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        sizes = ends - starts
+        total = self._sum(starts, np.minimum(ends, starts + RANGE))
+        for i in np.flatnonzero(sizes > RANGE).tolist():
+            for at in range(int(starts[i]) + RANGE, int(ends[i]), RANGE):
+                total[i] = _fold(total[i : i + 1] + self._sum(np.array([at]), np.array([min(at + RANGE, int(ends[i]))])))[0]
+        return mix(mulmod(total, self.down[starts]) + sizes.astype(U64) * MULTIPLIERS[63])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -83,12 +140,9 @@ class Chunk:
         ends = np.flatnonzero(flags & ~after) + 1
         return starts, ends, np.searchsorted(starts, self.bounds)
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each byte range."""
-        up, down = powers(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, dtype=U64)
-        np.cumsum(values[self.data] * up[: len(self.data)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * MULTIPLIERS[63])
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, values: np.ndarray, family: int = 0) -> np.ndarray:
+        """A 64-bit name of each byte range (see Names)."""
+        return Names(self.data, values, family).of(starts, ends)
 
 
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:

@@ -3,18 +3,19 @@
 Sets of word n-grams with Jaccard similarity of at least num/den share a signature for certain:
 sets fall into size bands; within a band's reach two similar sets differ in at most k features, so when
 the hashed feature domain is cut into n1 parts of n2 pieces each, some part differs in at most k2
-pieces, and one of the enumerated subsets of n2 - k2 pieces of it is equal in both sets.
+pieces, and one of the enumerated subsets of n2 - k2 pieces of it is equal in both sets. n2 = 2 and k2 = 1 give the fewest
+signatures a set, about k.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm import _text as T
@@ -25,14 +26,14 @@ from engram.operators.components import connected_components
 LEAST_LONGS, MOST_LONGS = 8, 4096
 #: The sketch folded to LEAST_LONGS words, as columns: most pairs are ruled out by these alone.
 SHORT = [f"p{i}" for i in range(LEAST_LONGS)]
-#: Documents from which a component is kept out of the signature buckets and meets them as one.
-LARGE = 1000
+#: Bits of the index of the table that says which features are rare.
+RARITY_BITS = 20
 
 
 class PartEnum:
     """Signature scheme for Jaccard >= num/den. width: a band's largest size over its smallest, (den/num)**2 if not given."""
 
-    def __init__(self, num: int = 9, den: int = 10, k2: int = 1, n2: int = 3, width: float | None = None):
+    def __init__(self, num: int = 9, den: int = 10, k2: int = 1, n2: int = 2, width: float | None = None):
         if not 0 < num < den or not 0 <= k2 < n2:
             raise ValueError("need 0 < num < den and 0 <= k2 < n2")
         self.num, self.den, self.k2, self.n2, self.width = num, den, k2, n2, width or (den / num) ** 2
@@ -55,7 +56,7 @@ class PartEnum:
         k = self.tops[band] * (self.den - self.num) // self.num
         k2, n2 = (self.k2, self.n2) if k else (0, 1)
         n1 = -(-(k + 1) // (k2 + 1))
-        spare = 1 if n1 >= 8 else 0
+        spare = 1 if n1 >= 3 else 0
         n1 += spare
         cells = n1 * n2
         edges = np.array([(2**64 * i) // cells for i in range(1, cells)], dtype=object).astype(np.uint64) if cells > 1 else np.zeros(0, np.uint64)
@@ -85,12 +86,13 @@ class PartEnum:
         return np.concatenate(out)
 
 
-def _sets(batch: pa.RecordBatch, n: int, lower: bool) -> Iterator[np.ndarray]:
+def _sets(batch: pa.RecordBatch, n: int, lower: bool, families: tuple[int, ...] = (0,)) -> Iterator[tuple[np.ndarray, ...]]:
+    """The distinct features (hashed shingles, sorted) of each text, in each of the hash families."""
     for chunk in T.chunks(batch.column("text")):
         starts, ends, first = chunk.words(T.NOT_SPACE)
-        hashes = chunk.hashes(starts, ends, T.FOLDED if lower else T.EXACT)
+        hashes = [chunk.hashes(starts, ends, T.FOLDED if lower else T.EXACT, f) for f in families]
         for i in range(len(chunk)):
-            yield np.unique(T.shingles(hashes[first[i] : first[i + 1]], n))
+            yield tuple(np.unique(T.shingles(h[first[i] : first[i + 1]], n)) for h in hashes)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -108,45 +110,75 @@ def parity_sketch(s: np.ndarray) -> np.ndarray:
 
 
 def shingle_sketches(docs: DataFrame, n: int, lower: bool) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest (h1, h2) of the set, two minima of its hashed features, and its parity sketch, folded and whole."""
+    """doc_id, n_shingles, a 128-bit digest of the set (h1 and h2, by independent hash families), and its parity sketch, folded and whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, sketches = np.zeros((5 + LEAST_LONGS, batch.num_rows), dtype=np.uint64), []
-            for i, s in enumerate(_sets(batch, n, lower)):
-                a, b = T.mix(s), T.mix(s ^ T.MULTIPLIERS[58])
-                rows[:3, i] = len(s), a.sum(dtype=np.uint64), b.sum(dtype=np.uint64)
-                if len(s):
-                    rows[3:5, i] = a.min(), b.min()
+            rows, sketches = np.zeros((3 + LEAST_LONGS, batch.num_rows), dtype=np.uint64), []
+            for i, (s, other) in enumerate(_sets(batch, n, lower, (0, 1))):
+                rows[:3, i] = len(s), T.mix(s).sum(dtype=np.uint64), T.mix(other).sum(dtype=np.uint64)
                 sketches.append(parity_sketch(s))
-                rows[5:, i] = np.bitwise_xor.reduce(sketches[-1].reshape(-1, LEAST_LONGS), axis=0)
+                rows[3:, i] = np.bitwise_xor.reduce(sketches[-1].reshape(-1, LEAST_LONGS), axis=0)
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in sketches]))).astype(np.int32))
             sketch = pa.ListArray.from_arrays(offsets, pa.array(_signed(np.concatenate(sketches)) if sketches else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(_signed(r)) for r in rows), sketch], ["doc_id", "n_shingles", "h1", "h2", "m1", "m2", *SHORT, "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(_signed(r)) for r in rows), sketch], ["doc_id", "n_shingles", "h1", "h2", *SHORT, "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, m1 long, m2 long, " + ", ".join(f"{p} long" for p in SHORT) + ", sketch array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, " + ", ".join(f"{p} long" for p in SHORT) + ", sketch array<long>")
 
 
 def shingle_signatures(docs: DataFrame, n: int, lower: bool, scheme: PartEnum) -> DataFrame:
-    """doc_id and the array of PartEnum signatures of its set; documents without words have none."""
+    """sig and doc_id: a row for each PartEnum signature of each document's set; documents without words have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, arrays, lengths = batch.column("doc_id"), [], []
-            for s in _sets(batch, n, lower):
-                arrays.append(scheme.signatures(s) if len(s) else s)
-                lengths.append(len(arrays[-1]))
-            offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32))
-            values = pa.array(_signed(np.concatenate(arrays))) if arrays else pa.array([], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(offsets, values)], ["doc_id", "sigs"])
+            found = [scheme.signatures(s) if len(s) else s for (s,) in _sets(batch, n, lower)]
+            ids = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(found))), pa.array(ids)] if found else [pa.array([], pa.int64())] * 2, ["sig", "doc_id"])
 
-    return docs.mapInArrow(run, "doc_id long, sigs array<long>")
+    return docs.mapInArrow(run, "sig long, doc_id long")
+
+
+def _cells(features: np.ndarray) -> np.ndarray:
+    return (features >> np.uint64(64 - RARITY_BITS)).astype(np.int64)
+
+
+def feature_counts(docs: DataFrame, n: int, lower: bool) -> np.ndarray:
+    """How many features of docs fall into each of 2**RARITY_BITS cells: counted per task, then summed. Its size doesn't grow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << RARITY_BITS, dtype=np.int64)
+        for batch in batches:
+            for (s,) in _sets(batch, n, lower):
+                np.add.at(total, _cells(s), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["cell", "count"])
+
+    table = docs.mapInArrow(run, "cell long, count long").groupBy("cell").agg(F.sum("count").alias("count")).toArrow()
+    counts = np.zeros(1 << RARITY_BITS, dtype=np.int64)
+    counts[table.column("cell").to_numpy()] = table.column("count").to_numpy()
+    return counts
+
+
+def rarest_features(docs: DataFrame, n: int, lower: bool, num: int, den: int, counts: np.ndarray) -> DataFrame:
+    """sig and doc_id: of each set of m features the m - ceil(m * num / den) + 1 rarest by `counts`, ties by value. Under one order of all
+    features, whatever it is, two sets of Jaccard num/den or more share one of these: sets differ in fewer features than are taken."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [s[np.argsort(counts[_cells(s)], kind="stable")[: len(s) + (-len(s) * num // den) + 1]] for (s,) in _sets(batch, n, lower)]
+            ids = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(found))), pa.array(ids)] if found else [pa.array([], pa.int64())] * 2, ["sig", "doc_id"])
+
+    return docs.mapInArrow(run, "sig long, doc_id long")
 
 
 def shingle_sets(docs: DataFrame, n: int, lower: bool) -> DataFrame:
+    """doc_id and its set in the second hash family. Signatures and sketches are made of the first one, so a link needs that its
+    texts agree in both."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(_sets(batch, n, lower))
+            sets = [s for (s,) in _sets(batch, n, lower, (1,))]
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32))
             values = pa.array(_signed(np.concatenate(sets))) if sets else pa.array([], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "shingles"])
@@ -162,17 +194,17 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 3, num: int = 9, den: int = 1
     empty set and are linked with nothing; a text of fewer than n words has its whole sequence as the one
     shingle. Rows of one doc_id are taken as one node. A null doc_id is linked with nothing (null component).
 
-    Flow: equal sets collapse to one representative by their digest. Representatives that share the minimum of a hash are linked
-    to the smallest such one where the sets say so; that already joins most near copies. Then representatives meet in
-    signature buckets, where only those of different components matter: first each is compared with its bucket's smallest one, and
-    what then still lies in different components of one bucket is compared pair by pair. A component of over LARGE
-    representatives enters each bucket as one row, and brings its members only to buckets where it meets others. Pairs are pruned
-    by size and parity sketch, which never lose a link, and confirmed on the shingle sets themselves.
+    Flow: equal sets collapse to one representative by their digest. Representatives meet in signature buckets. Of each signature
+    only the smallest and the largest document are gathered first (pre-aggregated, so a signature of any number of rows isn't
+    brought together); the rows of signatures that are shared join their bucket's smallest document, in a join that Spark splits
+    where it is skewed. Documents of buckets that still hold several components then meet once more, by parts of one feature each,
+    the rarest ones first: what many texts share brings none of them together there. Only documents of different components are
+    paired, and a large component isn't compared within itself. Pairs are pruned by size and parity sketch, which never lose a link, and confirmed on the sets, in a second hash family.
     """
     spark = docs.sparkSession
     small_batches(spark)
     scheme = scheme or PartEnum(num, den)
-    work = Workspace(spark, "ngram_join")
+    work, number = Workspace(spark, "ngram_join"), count()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     sketch = work.write(shingle_sketches(docs, n, lower), "sketch")
@@ -181,7 +213,8 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 3, num: int = 9, den: int = 1
     reps = work.write(filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "reps")
     member = work.write(filled.select("doc_id", "h1", "h2").join(reps, ["h1", "h2"]).select("doc_id", "rep"), "member")
     copies = work.write(member.filter("doc_id != rep").select("doc_id").distinct(), "copies")
-    nodes = work.write(filled.join(member.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", *SHORT, "sketch", "m1", "m2"), "nodes")
+    nodes = work.write(filled.join(member.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", *SHORT, "sketch"), "nodes")
+    work.drop("reps")
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs a, b (each once) that are links."""
@@ -202,46 +235,29 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 3, num: int = 9, den: int = 1
     def components(links: DataFrame, name: str) -> DataFrame:
         return connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), work.write, name=name).select(F.col("node").alias("doc_id"), "component")
 
-    def star(rows: DataFrame, key: list[str], name: str) -> DataFrame:
-        """Each row of a bucket with the smallest one, if that lies in another component."""
-        pivot = work.write(rows.groupBy(*key).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("_top")).filter("a < _top").select(*key, "a"), name)
-        return rows.join(pivot, key).filter("doc_id != a").select("a", F.col("doc_id").alias("b")).distinct()
-
-    minima = nodes.select("doc_id", F.explode(F.array(F.struct(F.lit(1).alias("i"), F.col("m1").alias("m")), F.struct(F.lit(2).alias("i"), F.col("m2").alias("m")))).alias("x")).select("doc_id", "x.i", "x.m")
-    links = linked(star(minima, ["i", "m"], "near_pivots"), "near")
-    label = components(links, "near_groups")
-    label = work.write(_mark_large(label), "labels0")
-
-    def signed(which: DataFrame) -> DataFrame:
-        return shingle_signatures(which, n, lower, scheme)
+    def several(rows: DataFrame, label: DataFrame) -> DataFrame:
+        """sig, doc_id, component: the rows (sig, doc_id) of buckets that hold several components."""
+        labelled = rows.join(maybe_broadcast(label), "doc_id", "left").select("sig", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        ends = labelled.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("sig")
+        return labelled.join(work.write(ends, f"mixed{next(number)}"), "sig")
 
     named = docs.filter("doc_id is not null").join(maybe_broadcast(copies), "doc_id", "left_anti")
-    known = maybe_broadcast(label)
-    all_sigs = signed(named).join(known, "doc_id", "left")
-    small = all_sigs.filter("large is null or not large").select(F.explode("sigs").alias("sig"), "doc_id", "component")
-    some_large = label.filter("large").limit(1).count() > 0
-    if some_large:
-        as_one = all_sigs.filter("large").select(F.explode("sigs").alias("sig"), "component").distinct()
-        small = small.unionByName(as_one.select("sig", F.lit(None).cast("long").alias("doc_id"), "component"))
-    of = Window.partitionBy("sig")
-    own = F.coalesce("component", "doc_id")
-    mixed = small.withColumn("_lo", F.min(own).over(of)).withColumn("_hi", F.max(own).over(of)).filter("_lo < _hi")
-    buckets = work.write(mixed.select("sig", "doc_id", own.alias("component")), "mixed")
+    sigs = shingle_signatures(named, n, lower, scheme)
+    pivots = work.write(sigs.groupBy("sig").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("_top")).filter("a < _top").select("sig", "a"), "pivots")
+    work.release()
+    buckets = work.write(sigs.join(maybe_broadcast(pivots), "sig").select("sig", "doc_id", "a"), "buckets")
     work.release()
-    if some_large:
-        met = buckets.filter("doc_id is null").select("sig").distinct()
-        large_ids = maybe_broadcast(label.filter("large").select("doc_id"))
-        brought = signed(named.join(large_ids, "doc_id", "left_semi")).select(F.explode("sigs").alias("sig"), "doc_id").join(met, "sig").join(label.select("doc_id", "component"), "doc_id")
-        buckets = work.write(buckets.filter("doc_id is not null").unionByName(brought.select("sig", "doc_id", "component")), "buckets")
-
-    stars = work.write(star(buckets, ["sig"], "pivots").join(links, ["a", "b"], "left_anti"), "stars")
-    links = work.write(links.union(linked(stars, "star_links")), "links1")
+    stars = work.write(buckets.filter("doc_id != a").select("a", F.col("doc_id").alias("b")).distinct(), "stars")
+    links = linked(stars, "star_links")
     label = components(links, "star_groups")
-    labelled = buckets.select("sig", "doc_id").join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    still = work.write(labelled.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("sig"), "still")
-    rest = work.write(labelled.join(still, "sig", "left_semi").select("sig", "doc_id", "component").join(nodes.select("doc_id", "n_shingles", *SHORT, "sketch"), "doc_id"), "rest")
-    a, b = (rest.select(*[F.col(c).alias(f"{side}_{c}") for c in rest.columns]) for side in "ab")
-    cross = a.join(b, (F.col("a_sig") == F.col("b_sig")) & (F.col("a_doc_id") < F.col("b_doc_id")) & (F.col("a_component") != F.col("b_component")) & _may_link("a_", "b_", num, den))
+    open_ = work.write(several(buckets.select("sig", "doc_id"), label).select("doc_id").distinct(), "open")
+    work.drop("buckets")
+    again = docs.join(maybe_broadcast(open_), "doc_id", "left_semi")
+    rare = rarest_features(again, n, lower, num, den, feature_counts(again, n, lower))
+    known = nodes.select("doc_id", "n_shingles", *SHORT).join(open_, "doc_id", "left_semi")
+    rare = work.write(several(rare, label).join(maybe_broadcast(known), "doc_id"), "rare")
+    a, b = (rare.select("sig", *[F.col(c).alias(f"{side}_{c}") for c in ("doc_id", "component", "n_shingles", *SHORT)]) for side in "ab")
+    cross = a.join(b, "sig").filter((F.col("a_doc_id") < F.col("b_doc_id")) & (F.col("a_component") != F.col("b_component")) & _near_in_short("a_", "b_", num, den))
     cross = cross.select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     links = links.union(linked(work.write(cross, "cross"), "cross_links"))
     label = work.write(components(links, "all_groups"), "groups")
@@ -251,30 +267,36 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 3, num: int = 9, den: int = 1
     return sketch.select("doc_id", "n_shingles").join(by_rep, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _mark_large(label: DataFrame) -> DataFrame:
-    sizes = label.groupBy("component").agg((F.count("*") > LARGE).alias("large"))
-    return label.join(sizes, "component").select("doc_id", "component", "large")
+def _near_in_short(a: str, b: str, num: int, den: int) -> Column:
+    """False only for pairs whose sizes or folded sketches rule out Jaccard >= num/den."""
+    na, nb = F.col(a + "n_shingles"), F.col(b + "n_shingles")
+    bits = sum((F.bit_count(F.col(a + p).bitwiseXOR(F.col(b + p))) for p in SHORT), F.lit(0))
+    sized = F.least(na, nb) * den >= F.greatest(na, nb) * num
+    return sized & (bits * (num + den) <= (na + nb) * (den - num))
 
 
 def _may_link(a: str, b: str, num: int, den: int) -> Column:
-    """False only for pairs whose sizes or parity sketches rule out Jaccard >= num/den."""
-    na, nb, pa_, pb = (F.col(side + c) for c in ("n_shingles", "sketch") for side in (a, b))
+    """False only for pairs whose sizes or whole sketches rule out Jaccard >= num/den."""
+    pa_, pb = F.col(a + "sketch"), F.col(b + "sketch")
     words = F.least(F.size(pa_), F.size(pb))
 
     def folded(p: Column) -> Column:
-        fold = F.transform(F.sequence(F.lit(0), words - 1), lambda i: F.aggregate(F.sequence(F.lit(0), (F.size(p) / words).cast("int") - 1), F.lit(0).cast("long"), lambda x, j: x.bitwiseXOR(F.get(p, i + j * words))))
-        return F.when(F.size(p) == words, p).otherwise(fold)
+        return F.when(F.size(p) == words, p).otherwise(
+            F.transform(
+                F.sequence(F.lit(0), words - 1),
+                lambda i: F.aggregate(F.sequence(F.lit(0), (F.size(p) / words).cast("int") - 1), F.lit(0).cast("long"), lambda x, j: x.bitwiseXOR(F.get(p, i + j * words))),
+            )
+        )
 
-    short = sum((F.bit_count(F.col(a + p).bitwiseXOR(F.col(b + p))) for p in SHORT), F.lit(0))
     bits = F.aggregate(F.zip_with(folded(pa_), folded(pb), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    sized = F.least(na, nb) * den >= F.greatest(na, nb) * num
-    most = (na + nb) * (den - num)
-    return sized & (short * (num + den) <= most) & F.when(words > LEAST_LONGS, bits * (num + den) <= most).otherwise(F.lit(True))
+    most = (F.col(a + "n_shingles") + F.col(b + "n_shingles")) * (den - num)
+    return _near_in_short(a, b, num, den) & F.when(words > LEAST_LONGS, bits * (num + den) <= most).otherwise(F.lit(True))
 
 
 def keep_one_per_group(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """docs without near duplicates: of each group (see ngram_jaccard_groups) the row with the smallest
-    doc_id stays; rows of equal doc_id and null ids stay together."""
+    """docs without near duplicates, with all their columns: of each group (see ngram_jaccard_groups) the row with the smallest
+    doc_id stays; rows of equal doc_id and of null ids stay together. Null and empty texts are no one's duplicate, so they
+    stay. An empty table gives no rows; columns of any name pass through."""
     groups = ngram_jaccard_groups(docs, n, num, den)
     gone = groups.filter("doc_id != component_id").select("doc_id").distinct()
     gone = Workspace(docs.sparkSession, "near_duplicates").write(gone, "gone")

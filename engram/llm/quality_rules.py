@@ -88,9 +88,22 @@ def _per_doc(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(values, dtype=np.int64)))[first][1:] - np.concatenate(([0], np.cumsum(values, dtype=np.int64)))[first][:-1]
 
 
+def repeated_lines(data: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """If a line is equal to an earlier one of its text. Names only say which lines to compare; their bytes decide."""
+    _, inverse, counts = np.unique(T.mix(names ^ T.mix(doc.astype(np.uint64))), return_inverse=True, return_counts=True)
+    dup = np.zeros(len(names), dtype=bool)
+    seen: set[tuple[int, bytes]] = set()
+    for i in np.flatnonzero(counts[inverse] > 1).tolist():
+        line = (int(doc[i]), data[start[i] : end[i]].tobytes())
+        dup[i] = line in seen
+        seen.add(line)
+    return dup
+
+
 def chunk_stats(chunk: T.Chunk, least: int) -> dict[str, np.ndarray]:
     starts, ends, first = chunk.words(T.NOT_SPACE)
-    hashes = chunk.hashes(starts, ends, T.EXACT)
+    names = T.Names(chunk.data, T.EXACT)
+    hashes = names.of(starts, ends)
     docs = len(chunk)
     n_words = np.diff(first)
     doc = np.repeat(np.arange(docs), n_words)
@@ -106,10 +119,7 @@ def chunk_stats(chunk: T.Chunk, least: int) -> dict[str, np.ndarray]:
     stops.sort()
     line_to = stops[np.searchsorted(stops, line_from, side="right")] if len(line_from) else line_from
     line_doc = np.searchsorted(chunk.bounds, line_from, side="right") - 1
-    line_key = T.mix(chunk.hashes(line_from, line_to, T.EXACT) ^ T.mix(line_doc.astype(np.uint64)))
-    _, firsts = np.unique(line_key, return_index=True)
-    dup = np.ones(len(line_key), dtype=bool)
-    dup[firsts] = False
+    dup = repeated_lines(chunk.data, line_from, line_to, line_doc, names.of(line_from, line_to))
     # Windows of three words found twice or more in a text.
     window = np.zeros(len(hashes), dtype=bool)
     if len(hashes) > 2:

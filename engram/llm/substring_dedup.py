@@ -30,6 +30,16 @@ PLACE = np.uint64((1 << 24) - 1)
 BLOCK = 4096
 
 
+def gram_keys(data: np.ndarray) -> np.ndarray:
+    """A hash of the GRAM (three times eight) bytes from each place. Grams that share one become one trigger, which does no harm."""
+    code = T.codes(data)
+    count = max(len(data) - GRAM + 1, 0)
+    key = np.zeros(count, dtype=np.uint64)
+    for j in range(0, GRAM, 8):
+        key = T.mix((key ^ code[j : j + count]) + T.MULTIPLIERS[20 + j])
+    return key
+
+
 class Parse:
     """Phrases of a chunk's documents, in order. Phrase i has windows first[i]..last[i] (starts) and trigger at[i]."""
 
@@ -37,9 +47,7 @@ class Parse:
         self.chunk, self.length = chunk, length
         data = chunk.data
         n = len(data)
-        self.up, self.down = T.powers(n + 1)
-        self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(T.EXACT[data] * self.up[:n], out=self.sums[1:])
+        self.own = T.Names(data, T.EXACT)
         width = length - GRAM + 1
         windows = np.maximum(np.diff(chunk.bounds) - length + 1, 0)
         valid = np.zeros(n, dtype=bool)
@@ -53,7 +61,7 @@ class Parse:
             mine = np.flatnonzero(valid[low : low + SEGMENT])
             if not len(mine):
                 continue
-            grams = self.names(np.arange(low, min(low + SEGMENT + width, n - GRAM + 1)), GRAM)
+            grams = gram_keys(data[low : min(low + SEGMENT + width + GRAM - 1, n)])
             key = (grams & ~PLACE) | np.arange(len(grams), dtype=np.uint64)
             span = 1
             while span * 2 <= width:
@@ -74,13 +82,12 @@ class Parse:
         self.at = trigger[begins]
         self.doc = np.searchsorted(chunk.bounds, self.first, side="right") - 1
         self.bounds = np.searchsorted(self.first, chunk.bounds)
-        self.key = self.names(self.at, GRAM)
+        self.key = gram_keys(data[(self.at[:, None] + np.arange(GRAM)).ravel()])[::GRAM] if len(self.at) else np.zeros(0, np.uint64)
         self.phrase = T.mix(self.names(self.first, self.last - self.first + length) + (self.at - self.first).astype(np.uint64) * T.MULTIPLIERS[50])
 
     def names(self, starts: np.ndarray, sizes: np.ndarray | int) -> np.ndarray:
         """64-bit names of byte ranges."""
-        ends = starts + sizes
-        return T.mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + np.asarray(sizes).astype(np.uint64) * T.MULTIPLIERS[63])
+        return self.own.of(starts, starts + sizes)
 
     def first_in_doc(self) -> np.ndarray:
         """If a phrase is the first of its kind in its document."""
@@ -170,11 +177,7 @@ def suffix_order(chunk: T.Chunk, starts: np.ndarray, length: int) -> tuple[np.nd
     where it goes on to other letters (the longest common prefix with the suffix before falls under `length`). Suffixes that agree keep the order they
     have in `starts`. All others are put aside by a hash first, so that only what repeats is sorted.
     """
-    n = len(chunk.data)
-    up, down = T.powers(n + 1)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(T.EXACT[chunk.data] * up[:n], out=sums[1:])
-    _, inverse, counts = np.unique((sums[starts + length] - sums[starts]) * down[starts], return_inverse=True, return_counts=True)
+    _, inverse, counts = np.unique(T.Names(chunk.data, T.EXACT).of(starts, starts + length), return_inverse=True, return_counts=True)
     some = np.flatnonzero(counts[inverse] > 1)
     eight = np.lib.stride_tricks.sliding_window_view(chunk.data, 8)
     steps = [*range(0, length - 8, 8), length - 8]
@@ -294,7 +297,7 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, group: int = 50_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, group: int = 4096) -> DataFrame:
     """Removes each byte covered by a string of `length` bytes that also starts earlier: in a text of smaller doc_id, or
     earlier in the same one. Strings never cross texts and are judged on the input.
 
