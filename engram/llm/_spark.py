@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Rows of ids up to which a side may be broadcast after it was counted (8 MB of longs).
 BROADCAST_ROWS = 1_000_000
 
+#: Rows of narrow tables that go into a file, and files of a table whose rows were counted, at least.
+FILE_ROWS, LEAST_FILES = 50_000, 8
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir; own temporary folder only where unset (tests)."""
@@ -29,8 +32,11 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/engram/{name}-{uuid.uuid4().hex[:12]}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """rows: about how many rows go in, if that is known; then small tables get few files."""
         path = f"{self.root}/{name}"
+        if rows is not None:
+            df = df.coalesce(max(LEAST_FILES, rows // FILE_ROWS))
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -2,69 +2,80 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm._spark import rank_in_groups
+from engram.llm._spark import Workspace, rank_in_groups
 
-#: Source blocks. The matrix has BLOCKS x shards counts, whatever the input.
-BLOCKS = 256
+#: Standard deviations around the mode beyond which a hypergeometric count has a probability under 10**-30.
+REACH = 12
+#: Bits of a row's place in its partition, in the ids that Spark counts up.
+PLACE_BITS = 33
 
 
 def communication_matrix(sizes: list[int], shards: int, seed: int) -> list[list[int]]:
-    """How many rows each block sends to each shard, drawn as a uniform shuffle would: row sums are `sizes`,
-    column sums differ by at most one. Multivariate hypergeometric draws, block by block, from the free places."""
+    """How many rows each partition sends to each shard, drawn as a uniform shuffle would: row sums are `sizes`,
+    column sums differ by at most one. Multivariate hypergeometric draws, partition by partition, from the free places."""
     rng = np.random.default_rng(seed)
     total = sum(sizes)
-    free = np.array([total // shards + (s < total % shards) for s in range(shards)], dtype=np.int64)
+    free = [total // shards + (s < total % shards) for s in range(shards)]
     out = []
     for size in sizes:
-        # The marginal method draws one (univariate) hypergeometric count after another: exact for any size.
-        left, places, row = size, int(free.sum()), []
+        # The marginal method draws one (univariate) hypergeometric count after another.
+        left, places, row = size, sum(free), []
         for s in range(shards):
-            rest = places - int(free[s])
-            take = left if rest == 0 else _hypergeometric(rng, int(free[s]), rest, left)
-            row.append(take)
-            left -= take
-            places = rest
-        free -= np.array(row, dtype=np.int64)
+            places -= free[s]
+            row.append(hypergeometric(rng, free[s], places, left))
+            left -= row[-1]
+        free = [f - r for f, r in zip(free, row, strict=True)]
         out.append(row)
     return out
 
 
-def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    """One count. NumPy draws it exactly for up to 10**9 rows; beyond, where its relative spread is under 1e-4, from
-    the normal law of the same mean and variance, held inside the possible range. Sums stay exact either way."""
-    n = good + bad
-    if not draws or not good:
-        return 0
-    if n < 10**9:
-        return int(rng.hypergeometric(good, bad, draws))
-    mean = draws * good / n
-    var = mean * (bad / n) * ((n - draws) / (n - 1))
-    return int(min(max(round(rng.normal(mean, var**0.5)), draws - bad, 0), good, draws))
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    """How many of `draws` rows out of good + bad are good, for numbers of any size: the law's weights are made from the mode outwards by the ratio
+    of neighbouring ones, and inverted; what lies REACH deviations away is under a double's precision."""
+    low, high, n = max(0, draws - bad), min(good, draws), good + bad
+    if low == high:
+        return low
+    mode = min(max((draws + 1) * (good + 1) // (n + 2), low), high)
+    spread = (draws * (good / n) * (bad / n) * ((n - draws) / max(n - 1, 1))) ** 0.5
+    reach = int(REACH * spread) + 60
+    first, last = max(low, mode - reach), min(high, mode + reach)
+    k = np.arange(first, last, dtype=np.float64)
+    log_ratio = np.log(good - k) + np.log(draws - k) - np.log(k + 1) - np.log(bad - draws + k + 1)
+    weights = np.concatenate(([0.0], np.cumsum(log_ratio)))
+    below = np.cumsum(np.exp(weights - weights.max()))
+    return first + min(int(np.searchsorted(below, rng.random() * below[-1], side="right")), last - first)
 
 
 def shuffle_into_shards(df: DataFrame, key: list[Column], shards: int = 8, seed: int = 20) -> DataFrame:
     """df with shard (0..shards-1, sizes at most one apart) and slot (0.. without gaps inside each shard).
 
-    Rows fall into BLOCKS blocks by a hash of `key`; the matrix says how many rows each block sends to
-    each shard; a block is permuted by a seeded hash, cut by its counts, exchanged, and each shard is
-    permuted again by another hash. Only the block sizes (BLOCKS numbers) reach the driver. Rows equal in `key`
-    share a block and may go to any shard from there; which of them goes where is arbitrary, and the result
-    is the same as they are equal. Nulls hash like values; an empty table gives no rows.
+    The rows are written once, so that all passes see the same partitions. The matrix says how many rows each partition
+    sends to each shard. A partition is permuted inside its task (sorted by a seeded hash of `key`) and cut by its counts; the rows are
+    exchanged once, by shard and range of a second hash, which permutes each shard. Only the partitions' sizes
+    reach the driver, and their counts come back as one row per partition. Rows equal in `key` may go anywhere; which of
+    them goes where is arbitrary. The same files, split alike, give the same result.
+    Nulls hash like values; empty and long texts are rows like others; an empty table gives no rows. Columns named shard or slot are replaced; other
+    names never clash.
     """
     spark = df.sparkSession
-    names = df.columns
-    keyed = df.withColumn("_h", F.xxhash64(F.lit(seed), *key))
-    keyed = keyed.withColumn("_block", F.pmod("_h", F.lit(BLOCKS)).cast("int"))
-    sizes = {r["_block"]: r["n"] for r in keyed.groupBy("_block").agg(F.count("*").alias("n")).collect()}
-    matrix = communication_matrix([sizes.get(b, 0) for b in range(BLOCKS)], shards, seed)
-    rows = ", ".join(f"({b}, array({', '.join(f'{c}L' for c in np.cumsum(row))}))" for b, row in enumerate(matrix))
-    cuts = spark.sql(f"select * from values {rows} as t(_mb, _cuts)")
-    local = rank_in_groups(keyed, ["_block"], F.xxhash64(F.lit(seed + 1), "_h", *key), list(key), "_place", buckets=64, groups=BLOCKS)
-    sent = local.join(F.broadcast(cuts), F.col("_block") == F.col("_mb"))
-    sent = sent.withColumn("shard", F.size(F.filter("_cuts", lambda c: c <= F.col("_place"))).cast("int")).select(*names, "_h", "_block", "_place", "shard")
-    again = rank_in_groups(sent, ["shard"], F.xxhash64(F.lit(seed + 2), "_block", "_place"), [F.col("_block"), F.col("_place")], "slot", buckets=1024, groups=shards)
-    return again.select(*names, "shard", "slot")
+    work = Workspace(spark, "sharding")
+    kept = [c for c in df.columns if c not in ("shard", "slot")]
+    rows = df.select(F.struct(*[df[c] for c in kept]).alias("row"), F.xxhash64(F.lit(seed), *key).alias("h"), F.xxhash64(*key, F.lit(seed)).alias("tie"))
+    rows = work.write(rows, "rows")
+    sizes = {r["p"]: r["n"] for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}
+    order = sorted(sizes)
+    matrix = communication_matrix([sizes[p] for p in order], shards, seed)
+    counts = json.dumps([{"p": p, "cuts": np.cumsum(row).tolist()} for p, row in zip(order, matrix, strict=True)])
+    cuts = spark.range(1).select(F.explode(F.from_json(F.lit(counts), "array<struct<p:int,cuts:array<bigint>>>")).alias("c")).select("c.p", "c.cuts")
+    local = rows.sortWithinPartitions("h", "tie").withColumn("at", F.monotonically_increasing_id())
+    local = local.select("row", F.shiftright("at", PLACE_BITS).cast("int").alias("p"), F.col("at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("place"))
+    # One row per partition: its size is known before it is broadcast.
+    sent = local.join(F.broadcast(cuts), "p").withColumn("shard", F.size(F.filter("cuts", lambda c: c <= F.col("place"))).cast("int")).drop("cuts")
+    again = rank_in_groups(sent, ["shard"], F.xxhash64(F.lit(seed + 2), "p", "place"), [F.col("p"), F.col("place")], "slot", groups=shards)
+    return again.select(*[F.col("row").getField(c).alias(c) for c in kept], "shard", "slot")
