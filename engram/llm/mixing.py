@@ -61,37 +61,61 @@ def leaf_targets(leaves: DataFrame, levels: list[str], budget_percent: int, max_
     return tree.select(*levels, "supply", F.col("_budget").alias("target"))
 
 
+def _mix(docs: DataFrame, levels: dict[str, Column], weight: Column, budget_percent: int, max_epochs: int, seed: int) -> DataFrame:
+    """row (all columns of docs), l0, l1, ... (levels), n_tokens, target, copies. See mix_sources."""
+    names = list(levels)
+    inner = [f"l{i}" for i in range(len(names))]
+    rows = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+        *[levels[c].alias(a) for a, c in zip(inner, names, strict=True)],
+        token_count(F.col("text")).alias("tokens"),
+        F.col("doc_id").alias("id"),
+        F.xxhash64("text").alias("tie"),
+    )
+    named = [F.col(a).alias(b) for a, b in zip(inner, names, strict=True)]
+    work = Workspace(docs.sparkSession, "mixing")
+    leaves = rows.groupBy(*inner).agg(F.sum("tokens").alias("supply"))
+    weighted = leaves.select(*named, F.col("supply").alias("_supply")).withColumn("_weight", weight.cast("long"))
+    leaves = work.write(weighted.select(*[F.col(b).alias(a) for a, b in zip(inner, names, strict=True)], F.col("_supply").alias("supply"), F.col("_weight").alias("weight")), "leaves")
+    n_leaves = leaves.count()
+    targets = leaf_targets(leaves, inner, budget_percent, max_epochs)
+    targets = targets.select(*[F.col(c).alias(f"t_{c}") for c in inner], "supply", "target", F.monotonically_increasing_id().alias("leaf"))
+    targets = work.write(targets, "targets")
+    on = [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in inner]
+    placed = rows.join(maybe_broadcast(targets, n_leaves), on, "left").drop(*[f"t_{c}" for c in inner])
+    placed = placed.withColumn("epochs", F.coalesce(F.expr("target div supply"), F.lit(0)))
+    placed = rank_in_groups(placed, ["leaf"], epoch_order(seed, F.col("epochs"), F.col("id")), [F.col("id"), F.col("tie")], "before", F.col("tokens"), groups=n_leaves + 1)
+    target = F.coalesce("target", F.lit(0)).cast("long")
+    rest = target - F.col("epochs") * F.coalesce("supply", F.lit(0))
+    copies = F.when(target <= 0, 0).when(F.col("tokens") == 0, 1).otherwise(F.col("epochs") + F.when(F.col("before") < rest, 1).otherwise(0))
+    return placed.select("row", *inner, F.col("tokens").alias("n_tokens"), target.alias("target"), copies.cast("int").alias("copies"))
+
+
 def mix_sources(docs: DataFrame, levels: dict[str, Column], weight: Column, budget_percent: int = 80, max_epochs: int = 3, seed: int = 11) -> DataFrame:
     """docs (doc_id, text, ...) with its levels, n_tokens, target (tokens of its leaf) and copies (how often it is taken).
 
     levels names the tree's levels from the root, each with its expression; weight is a leaf's weight, a long over
     those names. The whole budget is budget_percent of all tokens. A leaf reads its documents in seeded
     epochs, each a fresh permutation, until its target is reached: whole epochs, then the prefix of the next one that
-    starts below the target. Rows without tokens cost nothing and are taken once if their leaf has a target. Leaves
+    starts below the target. Rows without tokens (null and empty texts) cost nothing and are taken once if their leaf has a target. Leaves
     of weight 0 or less get nothing (copies 0). Null levels form leaves of their own; which one of equal rows comes first
-    doesn't matter. A leaf of any size is read in hash ranges, never by one task. An empty table gives no rows.
+    doesn't matter. A leaf of any size is read in hash ranges, never by one task. An empty table gives no rows. Columns of docs
+    that are named like a level or a result are replaced by it; other names never clash.
     """
-    keep = docs.columns
     names = list(levels)
-    inner = [f"_level{i}" for i in range(len(names))]
-    rows = docs.withColumns({f"_level{i}": levels[c] for i, c in enumerate(names)} | {"_tokens": token_count(F.col("text")), "_tie": F.xxhash64("text")})
-    renamed = [F.col(a).alias(b) for a, b in zip(inner, names, strict=True)]
-    leaves = rows.groupBy(*inner).agg(F.sum("_tokens").alias("supply")).select(*renamed, "supply").withColumn("weight", weight.cast("long"))
-    work = Workspace(docs.sparkSession, "mixing")
-    leaves = work.write(leaves.select(*[F.col(b).alias(a) for a, b in zip(inner, names, strict=True)], "supply", "weight"), "leaves")
-    n_leaves = leaves.count()
-    targets = leaf_targets(leaves, inner, budget_percent, max_epochs)
-    targets = targets.select(*[F.col(c).alias(f"t{c}") for c in inner], F.col("supply").alias("_supply"), F.col("target").alias("_target"))
-    targets = work.write(targets, "targets")
-    on = [F.col(c).eqNullSafe(F.col(f"t{c}")) for c in inner]
-    placed = rows.join(maybe_broadcast(targets, n_leaves), on, "left").withColumn("_epochs", F.coalesce(F.expr("_target div _supply"), F.lit(0)))
-    placed = rank_in_groups(placed, inner, epoch_order(seed, F.col("_epochs"), F.col("doc_id")), [F.col("doc_id"), F.col("_tie")], "_before", F.col("_tokens"), groups=n_leaves)
-    rest = F.coalesce(F.col("_target") - F.col("_epochs") * F.col("_supply"), F.lit(0))
-    copies = F.when(F.coalesce(F.col("_target"), F.lit(0)) <= 0, 0).when(F.col("_tokens") == 0, 1).otherwise(F.col("_epochs") + F.when(F.col("_before") < rest, 1).otherwise(0))
-    own = [F.col(a).alias(b) for a, b in zip(inner, names, strict=True) if b not in keep]
-    return placed.select(*[c for c in keep], *own, F.col("_tokens").alias("n_tokens"), F.coalesce("_target", F.lit(0)).cast("long").alias("target"), copies.cast("int").alias("copies"))
+    mixed = _mix(docs, levels, weight, budget_percent, max_epochs, seed)
+    kept = [c for c in docs.columns if c not in (*names, "n_tokens", "target", "copies")]
+    own = [F.col(f"l{i}").alias(c) for i, c in enumerate(names)]
+    return mixed.select(*[F.col("row").getField(c).alias(c) for c in kept], *own, "n_tokens", "target", "copies")
+
+
+def mixed_copies(docs: DataFrame, levels: dict[str, Column], weight: Column, budget_percent: int = 80, max_epochs: int = 3, seed: int = 11) -> DataFrame:
+    """The rows of docs, with all their columns, each as often as the mix takes it (see mix_sources)."""
+    mixed = _mix(docs, levels, weight, budget_percent, max_epochs, seed)
+    taken = mixed.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+    return taken.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def take_copies(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows of a mix, each as often as it is taken."""
-    return mixed.filter("copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).select(*columns)
+    """The rows of a mix, each as often as it is taken; columns: those of them that are returned."""
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1))))).filter("copies > 0").select(*columns)
