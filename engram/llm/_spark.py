@@ -14,6 +14,8 @@ BROADCAST_ROWS = 1_000_000
 
 #: Rows of narrow tables that go into a file, and files of a table whose rows were counted, at least.
 FILE_ROWS, LEAST_FILES = 50_000, 8
+#: Rows that a range of a distributed rank has, about.
+RANGE_ROWS = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -72,28 +74,35 @@ def maybe_broadcast(small: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(small) if n <= BROADCAST_ROWS else small
 
 
-def rank_in_groups(df: DataFrame, group: list[str], order: Column, ties: list[Column], out: str, weight: Column | None = None, buckets: int = 1024, groups: int | None = None) -> DataFrame:
+def ranges_for(rows: int) -> int:
+    """Into how many ranges so many rows are cut, so that a range stays about as large at any size: a power of two."""
+    return max(64, 1 << max(rows // RANGE_ROWS, 1).bit_length())
+
+
+def rank_in_groups(
+    df: DataFrame, group: list[str], order: Column, ties: list[Column], out: str, weight: Column | None = None, buckets: int = 1024, groups: int | None = None
+) -> DataFrame:
     """Exact rank (from 0), or exact exclusive running sum of `weight`, inside each group, without
-    bringing a group into one task: `order` (a long, evenly spread such as a hash) is cut into `buckets`
+    bringing a group into one task: `order` (a long, evenly spread such as a hash) is cut into `buckets` (a power of two)
     ranges, range totals are prefix-summed on the small (group, range) table, and only ranges are sorted. groups: a known bound on
     the number of groups; with few of them, the (group, range) table is broadcast, and rows are exchanged only once.
+    Columns of df aren't named like the inner ones, which begin with _rank.
     """
-    spark_cols = df.columns
+    o, w, b, t, off, r = (f"_rank_{x}" for x in ("order", "weight", "range", "total", "offset", "place"))
     weight = F.lit(1).cast("bigint") if weight is None else weight
-    keyed = df.withColumn("_o", order).withColumn("_w", weight.cast("bigint")).withColumn("_b", F.shiftrightunsigned(F.col("_o"), 64 - (buckets - 1).bit_length()).cast("int"))
+    bits = (buckets - 1).bit_length()
+    top = F.shiftrightunsigned(F.col(o), 64 - bits) if bits else F.lit(0)
+    keyed = df.withColumn(o, order).withColumn(w, weight.cast("bigint")).withColumn(b, top.cast("int"))
     # A hash is signed: flip its sign bit's place by ranking unsigned buckets, and sort unsigned inside.
-    keyed = keyed.withColumn("_o", F.col("_o").bitwiseXOR(F.lit(-(2**63))))
-    totals = keyed.groupBy(*group, "_b").agg(F.sum("_w").alias("_t"))
-    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*group, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy(*group, "_b").orderBy("_o", *ties).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = keyed.withColumn("_r", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
-    on = None
-    offsets = offsets.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_b").alias("_gb"), "_off")
+    keyed = keyed.withColumn(o, F.col(o).bitwiseXOR(F.lit(-(2**63))))
+    totals = keyed.groupBy(*group, b).agg(F.sum(w).alias(t))
+    before = Window.partitionBy(*group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*[F.col(g).alias(f"_rank_g{i}") for i, g in enumerate(group)], F.col(b).alias("_rank_at"), F.coalesce(F.sum(t).over(before), F.lit(0)).alias(off))
+    inside = Window.partitionBy(*group, b).orderBy(o, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = keyed.withColumn(r, F.coalesce(F.sum(w).over(inside), F.lit(0)))
+    on = F.col(b) == F.col("_rank_at")
     for i, g in enumerate(group):
-        c = F.col(g).eqNullSafe(F.col(f"_g{i}"))
-        on = c if on is None else on & c
-    on = (F.col("_b") == F.col("_gb")) if on is None else on & (F.col("_b") == F.col("_gb"))
+        on = on & F.col(g).eqNullSafe(F.col(f"_rank_g{i}"))
     if groups is not None and groups * buckets <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
-    return ranked.join(offsets, on).select(*spark_cols, (F.col("_r") + F.col("_off")).cast("bigint").alias(out))
+    return ranked.join(offsets, on).select(*df.columns, (F.col(r) + F.col(off)).cast("bigint").alias(out))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from engram.llm._spark import Workspace, maybe_broadcast, rank_in_groups
+from engram.llm._spark import Workspace, maybe_broadcast, rank_in_groups, ranges_for
 
 
 def token_count(text: Column) -> Column:
@@ -74,17 +74,17 @@ def _mix(docs: DataFrame, levels: dict[str, Column], weight: Column, budget_perc
     )
     named = [F.col(a).alias(b) for a, b in zip(inner, names, strict=True)]
     work = Workspace(docs.sparkSession, "mixing")
-    leaves = rows.groupBy(*inner).agg(F.sum("tokens").alias("supply"))
-    weighted = leaves.select(*named, F.col("supply").alias("_supply")).withColumn("_weight", weight.cast("long"))
-    leaves = work.write(weighted.select(*[F.col(b).alias(a) for a, b in zip(inner, names, strict=True)], F.col("_supply").alias("supply"), F.col("_weight").alias("weight")), "leaves")
-    n_leaves = leaves.count()
-    targets = leaf_targets(leaves, inner, budget_percent, max_epochs)
+    leaves = rows.groupBy(*inner).agg(F.sum("tokens").alias("supply"), F.count("*").alias("size"))
+    weighted = leaves.select(*named, F.col("supply").alias("_supply"), F.col("size").alias("_size")).withColumn("_weight", weight.cast("long"))
+    leaves = work.write(weighted.select(*[F.col(b).alias(a) for a, b in zip(inner, names, strict=True)], F.col("_supply").alias("supply"), F.col("_weight").alias("weight"), F.col("_size").alias("size")), "leaves")
+    n_leaves, largest = leaves.agg(F.count("*"), F.coalesce(F.max("size"), F.lit(0))).first()
+    targets = leaf_targets(leaves.drop("size"), inner, budget_percent, max_epochs)
     targets = targets.select(*[F.col(c).alias(f"t_{c}") for c in inner], "supply", "target", F.monotonically_increasing_id().alias("leaf"))
     targets = work.write(targets, "targets")
     on = [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in inner]
     placed = rows.join(maybe_broadcast(targets, n_leaves), on, "left").drop(*[f"t_{c}" for c in inner])
     placed = placed.withColumn("epochs", F.coalesce(F.expr("target div supply"), F.lit(0)))
-    placed = rank_in_groups(placed, ["leaf"], epoch_order(seed, F.col("epochs"), F.col("id")), [F.col("id"), F.col("tie")], "before", F.col("tokens"), groups=n_leaves + 1)
+    placed = rank_in_groups(placed, ["leaf"], epoch_order(seed, F.col("epochs"), F.col("id")), [F.col("id"), F.col("tie")], "before", F.col("tokens"), ranges_for(largest), n_leaves + 1)
     target = F.coalesce("target", F.lit(0)).cast("long")
     rest = target - F.col("epochs") * F.coalesce("supply", F.lit(0))
     copies = F.when(target <= 0, 0).when(F.col("tokens") == 0, 1).otherwise(F.col("epochs") + F.when(F.col("before") < rest, 1).otherwise(0))

@@ -14,11 +14,11 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm import _text as T
-from engram.llm._spark import Workspace, maybe_broadcast, small_batches
+from engram.llm._spark import Workspace, rank_in_groups, ranges_for, small_batches
 
 #: Split pattern of the byte-level vocabularies (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -29,7 +29,7 @@ class Layout:
     """sequence: tokens per sequence; a record is that many ids of `width` bytes, little-endian."""
 
     sequence: int = 1024
-    per_shard: int = 16384
+    per_shard: int = 8192
     key: int = 2024
     end_id: int = 50256
     pad_id: int = 50256
@@ -88,29 +88,24 @@ class Tokenizer:
 
 
 def token_stream(docs: DataFrame, path: str, layout: Layout) -> DataFrame:
-    """part (of the table), at (tokens before it in its part), n and ids (compressed): one row for some texts in a row, each
-    followed by the end id."""
+    """docs (id, tie, text): id, tie, n and ids (compressed) of each text, with the end id behind it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, pack = Tokenizer(path).encode, zstandard.ZstdCompressor(level=3)
-        part, at = TaskContext.get().partitionId(), 0
+        encode, pack = Tokenizer(path).encode, zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            column = batch.column("text")
-            for chunk in T.chunks(column):
-                ids: list[int] = []
-                for i in range(chunk.first, chunk.first + len(chunk)):
-                    if text := column[i].as_py():
-                        ids += encode(text)
-                    ids.append(layout.end_id)
-                raw = pack.compress(np.array(ids, dtype=layout.dtype).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([at], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([raw], pa.binary())], ["part", "at", "n", "ids"])
-                at += len(ids)
+            sizes, packed = [], []
+            for text in batch.column("text"):
+                ids = encode(text.as_py()) if text.is_valid else []
+                ids.append(layout.end_id)
+                sizes.append(len(ids))
+                packed.append(pack(np.array(ids, dtype=layout.dtype).tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tie"), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], ["id", "tie", "n", "ids"])
 
-    return docs.mapInArrow(run, "part long, at long, n long, ids binary")
+    return docs.mapInArrow(run, "id long, tie long, n long, ids binary")
 
 
 def packed_pieces(stream: DataFrame, layout: Layout, n: int, slots: tuple[int, int]) -> DataFrame:
-    """stream with `start` (tokens before its part): slot, place and ids (bytes) of the pieces of sequences that each row has
+    """stream (at: tokens before it; n, ids): slot, place and ids (bytes) of the pieces of sequences that each row has
     and whose slot lies in the range `slots`."""
     L = layout.sequence
 
@@ -129,7 +124,7 @@ def packed_pieces(stream: DataFrame, layout: Layout, n: int, slots: tuple[int, i
                 ids = [raw[a * layout.width : b * layout.width] for a, b in zip((low - at).tolist(), (high - at).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(slot[mine]), pa.array((low - seq[mine] * L).astype(np.int32)), pa.array(ids, pa.binary())], ["slot", "place", "ids"])
 
-    return stream.select((F.col("start") + F.col("at")).alias("at"), "n", "ids").mapInArrow(run, "slot long, place int, ids binary")
+    return stream.select("at", "n", "ids").mapInArrow(run, "slot long, place int, ids binary")
 
 
 def _open_output(uri: str):
@@ -209,35 +204,39 @@ def write_shards(pieces: DataFrame, out: str, layout: Layout, first: int, last:
 
 
 def materialise_training_order(docs: DataFrame, tokenizer_path: str, out: str | None = None, layout: Layout | None = None, waves: int = 4) -> DataFrame:
-    """Tokenises docs (text; more columns are ignored), packs all texts, each followed by the end id, into
+    """Tokenises docs (doc_id, text; more columns are ignored), packs all texts, each followed by the end id, into
     sequences of layout.sequence tokens, gives each sequence a global slot by a keyed permutation, and writes the slots in order into
     shard files of layout.per_shard fixed-stride records; only the very last sequence is padded.
 
-    Null and empty texts give just the end id; an empty table gives no shards. Repeated rows stay. Returns one row per
-    slot (see write_shards); out (default: a folder in the shared one) also gets manifest.json. Texts are in the order of
-    the table's parts. The compressed ids are written once; then `waves` ranges of shards are made one after the other, so
-    that only a part of all ids is in exchange at a time.
+    Texts are packed in the order of a keyed hash of doc_id, then doc_id, then a hash of the text: the same rows give the same
+    shards, however the table is cut into files. Null and empty texts give just the end id; an empty table gives no shards. Repeated rows
+    stay (it doesn't matter which of equal ones comes first); rows of null doc_id are ordered by their texts; a long text goes over many
+    sequences. Returns one row per slot (see write_shards); out (default: a folder in the shared one) also gets
+    manifest.json. The compressed ids are brought into order once; then `waves` ranges of shards are made one
+    after the other, so that only a part of all ids is in exchange at a time. A job that runs again writes the same bytes.
     """
     spark = docs.sparkSession
     layout = layout or Layout()
     small_batches(spark)
     work = Workspace(spark, "training_order")
     out = out or f"{work.root}/shards"
-    stream = work.write(token_stream(docs.select(F.col("text").cast("string").alias("text")), tokenizer_path, layout), "tokens")
-    parts = stream.groupBy("part").agg(F.sum("n").alias("_n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = work.write(parts.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("start"), "_n"), "parts")
-    total, rows = parts.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count("*")).first()
+    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("tie"), F.col("text").cast("string").alias("text"))
+    tokens = work.write(token_stream(keyed, tokenizer_path, layout), "tokens")
+    total, rows = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    order = F.xxhash64(F.lit(layout.key), "id")
+    ordered = rank_in_groups(tokens, [], order, [F.col("id"), F.col("tie")], "at", F.col("n"), buckets=ranges_for(rows), groups=1)
+    stream = work.write(ordered.select("at", "n", "ids"), "ordered")
+    work.drop("tokens")
+    work.release()
     n = -(-total // layout.sequence)
     shards = -(-n // layout.per_shard)
     manifest = asdict(layout) | {"sequences": n, "tokens": total, "shards": shards, "stride": layout.stride}
     _open_output(out)("manifest.json", iter([json.dumps(manifest, indent=1).encode()]))
-    placed = stream.join(maybe_broadcast(parts.select("part", "start"), rows), "part")
     done = spark.createDataFrame([], WRITTEN)
     step = -(-shards // waves) if shards else 1
     for first in range(0, shards, step):
         last = min(first + step, shards)
-        pieces = packed_pieces(placed, layout, n, (first * layout.per_shard, last * layout.per_shard))
+        pieces = packed_pieces(stream, layout, n, (first * layout.per_shard, last * layout.per_shard))
         done = done.union(work.write(write_shards(pieces, out, layout, first, last), f"rows{first}"))
         del pieces
         work.release()  # what the wave has shuffled may go
