@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-import hashlib
+import pickle
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm import _text as T
 from engram.llm._spark import small_batches
 
-#: Bytes of benchmark text that one searcher takes; a larger benchmark is searched in several passes over each batch.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text that are searched for at once, and of documents that a task holds while it goes through the blocks
+#: of a benchmark with more text than that.
+BLOCK_BYTES, HELD_BYTES = 16 << 20, 64 << 20
 #: Words in a block of the shift table, and bits of its index.
 BLOCK, TABLE_BITS = 2, 18
 
@@ -103,7 +105,7 @@ class WuManber:
                 yield end - m, pattern
 
 
-def searchers(items: list[tuple[int, str | None]], window: int) -> list[WuManber]:
+def searchers(items: list[tuple[str, str | None]], window: int) -> list[WuManber]:
     """One searcher for each pattern length: windows of `window` words, or whole shorter items."""
     by_length: dict[int, dict[tuple[bytes, ...], set[int]]] = defaultdict(dict)
     for item, text in items:
@@ -114,30 +116,66 @@ def searchers(items: list[tuple[int, str | None]], window: int) -> list[WuManber
     return [WuManber(p) for _, p in sorted(by_length.items())]
 
 
-def scan(chunk: T.Chunk, engines: list[WuManber]) -> tuple[np.ndarray, np.ndarray, list[set[int]]]:
-    """n_words, n_hit and the items found in each document of a chunk."""
-    starts, ends, first = chunk.words(T.ALNUM)
-    hashes = chunk.hashes(starts, ends, T.FOLDED)
-    doc = np.repeat(np.arange(len(chunk)), np.diff(first))
-    steps = np.zeros(len(hashes) + 1, dtype=np.int64)
-    found: list[set[int]] = [set() for _ in range(len(chunk))]
-    low = None
-    sure: dict[tuple[int, bytes], bool] = {}
-    for engine in engines:
-        for at, pattern in engine.search(hashes, doc):
-            if low is None:
-                low = T.LOWER[chunk.data].tobytes()
-            # Direct comparison: each word's bytes.
-            span = low[starts[at] : ends[at + engine.m - 1]]
-            key = (pattern, span)
-            if key not in sure:
-                sure[key] = all(low[starts[at + j] : ends[at + j]] == w for j, w in enumerate(engine.words[pattern]))
-            if sure[key]:
-                steps[at] += 1
-                steps[at + engine.m] -= 1
-                found[doc[at]] |= engine.items[pattern]
-    hit = np.concatenate(([0], np.cumsum(np.cumsum(steps[:-1]) > 0)))
-    return np.diff(first), np.diff(hit[first]), found
+class Scan:
+    """The hits in a chunk, gathered over several searchers."""
+
+    def __init__(self, chunk: T.Chunk):
+        self.chunk, self.low = chunk, None
+        self.starts, self.ends, self.first = chunk.words(T.ALNUM)
+        self.hashes = chunk.hashes(self.starts, self.ends, T.FOLDED)
+        self.doc = np.repeat(np.arange(len(chunk)), np.diff(self.first))
+        self.steps = np.zeros(len(self.hashes) + 1, dtype=np.int64)
+        self.found: list[set[str]] = [set() for _ in range(len(chunk))]
+
+    def search(self, engines: list[WuManber]) -> None:
+        sure: dict[tuple[int, int, bytes], bool] = {}
+        for number, engine in enumerate(engines):
+            for at, pattern in engine.search(self.hashes, self.doc):
+                if self.low is None:
+                    self.low = T.LOWER[self.chunk.data].tobytes()
+                # Direct comparison: each word's bytes.
+                key = (number, pattern, self.low[self.starts[at] : self.ends[at + engine.m - 1]])
+                if key not in sure:
+                    sure[key] = all(self.low[self.starts[at + j] : self.ends[at + j]] == w for j, w in enumerate(engine.words[pattern]))
+                if sure[key]:
+                    self.steps[at] += 1
+                    self.steps[at + engine.m] -= 1
+                    self.found[self.doc[at]] |= engine.items[pattern]
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """n_words and n_hit of each document."""
+        hit = np.concatenate(([0], np.cumsum(np.cumsum(self.steps[:-1]) > 0)))
+        return np.diff(self.first), np.diff(hit[self.first])
+
+
+Block = list[tuple[str, str | None]]
+
+
+def scan_batches(batches: Iterator[pa.RecordBatch], text_at: int, blocks: list[Broadcast], window: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[set[str]]]]:
+    """Each batch with n_words, n_hit and the items found of its rows. With several blocks of the benchmark, batches of HELD_BYTES are
+    searched for one block after the other, so that a task never holds the searchers of more than one."""
+    engines = searchers(pickle.loads(blocks[0].value), window) if len(blocks) == 1 else None
+
+    def searched(held: list[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[set[str]]]]:
+        scans = [[Scan(chunk) for chunk in T.chunks(batch.column(text_at))] for batch in held]
+        for block in blocks:
+            own = searchers(pickle.loads(block.value), window) if engines is None else engines
+            for scan in (s for part in scans for s in part):
+                scan.search(own)
+        for batch, part in zip(held, scans, strict=True):
+            counts = [s.counts() for s in part]
+            n, k = (np.concatenate([c[i] for c in counts]).astype(np.int64) if counts else np.zeros(0, np.int64) for i in (0, 1))
+            yield batch, n, k, [f for s in part for f in s.found]
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if engines is not None or size >= HELD_BYTES:
+            yield from searched(held)
+            held, size = [], 0
+    if held:
+        yield from searched(held)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, min_share: int = 20) -> DataFrame:
@@ -147,59 +185,46 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     n_items, item_ids (sorted as strings, comma-joined), contaminated (n_hit > 0 and min_share * n_hit >= n_words). Null and
     empty texts have no words and aren't contaminated; wordless items have no window. Items sharing an id count as
     one item, repeated rows of docs are judged one by one; an empty benchmark finds nothing. A null item_id counts as an item
-    named "". The benchmark doesn't grow with the corpus; it goes to the workers in blocks of BLOCK_BYTES of text.
+    named "". The benchmark doesn't grow with the corpus; it is broadcast in blocks of BLOCK_BYTES of text, of which a task
+    searches for one at a time.
     """
     small_batches(docs.sparkSession)
     blocks = _blocks(benchmark)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        engines = [e for block in blocks for e in searchers(block, window)]
-        for batch in batches:
-            words, hits, items = [], [], []
-            for chunk in T.chunks(batch.column("text")):
-                w, h, found = scan(chunk, engines)
-                words.append(w)
-                hits.append(h)
-                items += [sorted(x) for x in found]
-            n = np.concatenate(words) if words else np.zeros(0, np.int64)
-            k = np.concatenate(hits) if hits else np.zeros(0, np.int64)
+        for batch, n, k, found in scan_batches(batches, 1, blocks, window):
+            items = [",".join(sorted(x)) for x in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(k.astype(np.int64)), pa.array([len(x) for x in items], pa.int64()), pa.array([",".join(x) for x in items], pa.string()), pa.array((k > 0) & (min_share * k >= n))],
+                [batch.column("doc_id"), pa.array(n), pa.array(k), pa.array([len(x) for x in found], pa.int64()), pa.array(items, pa.string()), pa.array((k > 0) & (min_share * k >= n))],
                 ["doc_id", "n_words", "n_hit", "n_items", "item_ids", "contaminated"],
             )
 
     return narrow.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, item_ids string, contaminated boolean")
 
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple[str, str | None]]]:
-    blocks, size = [[]], 0
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.col("text").cast("string").alias("t")).toLocalIterator()
-    for r in rows:
+def _blocks(benchmark: DataFrame) -> list[Broadcast]:
+    """The rows, as broadcast blocks. The driver holds one block at a time."""
+    context, blocks = benchmark.sparkSession.sparkContext, []
+    block: Block = []
+    size = 0
+    for r in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.col("text").cast("string").alias("t")).toLocalIterator():
         if size > BLOCK_BYTES:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r.i, r.t))
+            blocks.append(context.broadcast(pickle.dumps(block)))
+            block, size = [], 0
+        block.append((r.i, r.t))
         size += len(r.t or "")
-    return blocks
+    return [*blocks, context.broadcast(pickle.dumps(block))]
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, min_share: int = 20) -> DataFrame:
-    """The rows of docs that find_contamination doesn't call contaminated, with all their columns."""
+    """The rows of docs that find_contamination doesn't call contaminated, with all their columns. Rows with null or empty
+    texts stay, repeated rows share their fate, and an empty table or benchmark drops nothing."""
     small_batches(docs.sparkSession)
     blocks, text_at = _blocks(benchmark), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        engines = [e for block in blocks for e in searchers(block, window)]
-        for batch in batches:
-            bad = []
-            for chunk in T.chunks(batch.column(text_at)):
-                n, k, _ = scan(chunk, engines)
-                bad.append((k > 0) & (min_share * k >= n))
-            yield batch.filter(pa.array(~np.concatenate(bad) if bad else np.zeros(0, bool)))
+        for batch, n, k, _ in scan_batches(batches, text_at, blocks, window):
+            yield batch.filter(pa.array(~((k > 0) & (min_share * k >= n))))
 
     return docs.mapInArrow(run, docs.schema)
-
-
-def items_digest(item_ids: str) -> str:
-    return hashlib.sha256(item_ids.encode()).hexdigest()
