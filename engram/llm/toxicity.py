@@ -14,15 +14,20 @@ from engram.llm import _text as T
 from engram.llm._spark import Workspace, maybe_broadcast, small_batches
 
 #: n-gram lengths in bytes (A-Z lower-cased), and bits of the feature index.
-LENGTHS, BITS = (3, 4, 5), 18
+LENGTHS, BITS = (4, 5, 6), 20
 #: Labelled rows of each class that the weights are fitted on, at most; the ratios count all labelled rows.
 FIT_ROWS = 3000
 #: Documents that a feature has to be in, and the least absolute log-count ratio, for it to get a weight.
-LEAST_DOCS, LEAST_RATIO = 5, 1.0
+LEAST_DOCS, LEAST_RATIO = 5, 2.0
+
+
+def again(index: np.ndarray) -> np.ndarray:
+    """The feature that an n-gram's being there twice or more is."""
+    return (index.astype(np.int64) * 2654435761 + 12345 & (1 << BITS) - 1).astype(np.int32)
 
 
 def _features(data: np.ndarray, bounds: np.ndarray, seen: np.ndarray) -> Iterator[np.ndarray]:
-    """The distinct feature indexes of each document. seen: scratch of 2**BITS int32."""
+    """The distinct feature indexes of each document: its n-grams, and those that it has twice or more. seen: scratch of 2**BITS int32."""
     low = T.LOWER[data].astype(np.uint64)
     n = len(low)
     grams, code = {}, low
@@ -30,11 +35,19 @@ def _features(data: np.ndarray, bounds: np.ndarray, seen: np.ndarray) -> Iterato
         code = code[: n - size + 1] | (low[size - 1 :] << np.uint64(8 * (size - 1))) if n >= size else np.zeros(0, np.uint64)
         if size in LENGTHS:
             grams[size] = ((code + np.uint64(size)) * T.BASE >> np.uint64(64 - BITS)).astype(np.int32)
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        own = np.concatenate([grams[s][a : max(a, b - s + 1)] for s in LENGTHS])
+
+    def distinct(own: np.ndarray) -> np.ndarray:
+        """Where the last one of each value stands."""
         number = np.arange(len(own), dtype=np.int32)
         seen[own] = number
-        yield own[seen[own] == number]
+        return seen[own] == number
+
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        own = np.concatenate([grams[s][a : max(a, b - s + 1)] for s in LENGTHS])
+        last = distinct(own)
+        twice = own[~last]
+        found = np.concatenate((own[last], again(twice[distinct(twice)])))
+        yield found[distinct(found)]
 
 
 @dataclass
@@ -79,17 +92,12 @@ def fit_weights(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray,
     return Model(weights, bias)
 
 
-def train_toxicity(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """labelled: doc_id, text, label (0/1; others and nulls are ignored).
+def count_ratios(rows: DataFrame) -> tuple[np.ndarray, int, int]:
+    """rows: text, label (0 or 1). The log-count ratio of each feature, and the rows of label 0 and of label 1.
 
-    The log-count ratio of a feature is log((p + 1) / (P + 2)) - log((q + 1) / (Q + 2)), p of P rows of label 1 and q of Q
-    rows of label 0 having it: counted over all labelled rows, per task, then summed. Weights are fitted on the driver
-    on at most fit_rows rows of each class, those with the smallest hashes of doc_id. Without rows of both classes the
-    score is the base rate (0.5 without any row).
+    log((p + 1) / (P + 2)) - log((q + 1) / (Q + 2)), p of P rows of label 1 and q of Q rows of label 0 having the feature: counted
+    over all rows, per task, then summed. 0 for features in fewer than LEAST_DOCS rows or under LEAST_RATIO.
     """
-    small_batches(labelled.sparkSession)
-    work = Workspace(labelled.sparkSession, "toxicity")
-    rows = labelled.filter("label in (0, 1)").select("doc_id", F.col("text").cast("string").alias("text"), F.col("label").cast("int").alias("label"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << BITS, dtype=np.int32)
@@ -107,17 +115,30 @@ def train_toxicity(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(index), *(pa.array(np.append(has[k][used], total[k])) for k in (0, 1))], ["feature", "n0", "n1"])
 
     counts = rows.mapInArrow(count, "feature long, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    table = counts.toArrow()  # at most 2**BITS + 1 rows, whatever the input
+    # Features in too few rows get no weight, so they needn't be brought; at most 2**BITS + 1 rows are, whatever the input.
+    table = counts.filter(f"feature < 0 or n0 + n1 >= {LEAST_DOCS}").toArrow()
     feature = table.column("feature").to_numpy()
     n0, n1 = np.zeros(1 << BITS), np.zeros(1 << BITS)
     own = feature >= 0
     n0[feature[own]], n1[feature[own]] = table.column("n0").to_numpy()[own], table.column("n1").to_numpy()[own]
     all0, all1 = (int(table.column(c).to_numpy()[~own].sum()) for c in ("n0", "n1"))
+    ratios = np.log((n1 + 1) / (all1 + 2)) - np.log((n0 + 1) / (all0 + 2))
+    ratios[(n0 + n1 < LEAST_DOCS) | (np.abs(ratios) < LEAST_RATIO)] = 0
+    return ratios, all0, all1
+
+
+def train_toxicity(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+    """labelled: doc_id, text, label (0/1; others and nulls are ignored). Ratios: see count_ratios. Weights are fitted on the driver
+    on at most fit_rows rows of each class, those with the smallest hashes of doc_id. Without rows of both classes the
+    score is the base rate (0.5 without any row).
+    """
+    small_batches(labelled.sparkSession)
+    work = Workspace(labelled.sparkSession, "toxicity")
+    rows = labelled.filter("label in (0, 1)").select("doc_id", F.col("text").cast("string").alias("text"), F.col("label").cast("int").alias("label"))
+    ratios, all0, all1 = count_ratios(rows)
     if not all0 or not all1:
         rate = min(max(all1 / (all0 + all1), 1e-6), 1 - 1e-6) if all0 + all1 else 0.5
         return Model(np.zeros(1 << BITS), float(np.log(rate / (1 - rate))))
-    ratios = np.log((n1 + 1) / (all1 + 2)) - np.log((n0 + 1) / (all0 + 2))
-    ratios[(n0 + n1 < LEAST_DOCS) | (np.abs(ratios) < LEAST_RATIO)] = 0
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << BITS, dtype=np.int32)
