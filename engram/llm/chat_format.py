@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Control strings of the template. Each holds "<", which texts and roles never do once they are escaped.
@@ -38,14 +38,13 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
         texts = F.transform(F.slice("ts", start + 1, stop - start), lambda t, j: F.array(piece(F.when(j > 0, F.lit(TURN)).otherwise(F.lit("")), no), piece(escape(t.text), role == loss_role)))
         return F.concat(F.array(piece(F.concat(F.lit(OPEN), escape(role), F.lit(CLOSE)), no)), F.flatten(texts), F.array(piece(F.lit(END), no)))
 
-    pieces = with_starts.select("conv_id", F.flatten(F.transform("starts", block)).alias("pieces"))
-    span_type = "array<struct<start:int,length:int>>"
-    add = lambda acc, p: F.struct(
-        (acc.at + F.length(p.s)).alias("at"),
-        F.when(p.loss, F.concat(acc.spans, F.array(F.struct(acc.at.alias("start"), F.length(p.s).alias("length"))))).otherwise(acc.spans).alias("spans"),
-    )
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(span_type).alias("spans"))
-    return pieces.select("conv_id", F.array_join(F.transform("pieces", lambda p: p.s), "").alias("formatted"), F.aggregate("pieces", begin, add, lambda acc: acc.spans).alias("loss_spans"))
+    # Each piece's place: a running sum over a conversation's pieces. All of this keeps to the partitioning by conv_id.
+    pieces = with_starts.select("conv_id", F.posexplode(F.flatten(F.transform("starts", block))).alias("pos", "p"))
+    so_far = Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    placed = pieces.withColumn("at", F.coalesce(F.sum(F.length("p.s")).over(so_far), F.lit(0)).cast("int"))
+    whole = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("pos", "at", "p.s", "p.loss"))).alias("ps"))
+    spans = F.transform(F.filter("ps", lambda p: p.loss), lambda p: F.struct(p["at"].alias("start"), F.length(p.s).alias("length")))
+    return whole.select("conv_id", F.array_join(F.transform("ps", lambda p: p.s), "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:
