@@ -3,10 +3,15 @@
 A rolling hash over short grams sets triggers: each window of `length` bytes is triggered by its smallest
 gram. Runs of windows with one trigger are a phrase; phrases overlap by length - 1 bytes, so each window
 lies in just one. The parse is the sequence of a text's phrases; the dictionary holds each different phrase
-once, with the first text that has it. Equal windows have equal triggers at equal places, so suffixes of dictionary
-phrases, cut to `length` bytes, need a suffix array only among the phrases of one trigger, and only where a trigger has
-more than one; all other repeats are repeats of whole phrases. Suffix order (which windows are equal) and parse (which text
-comes first) together give what is a repeat in corpus order.
+once, with the first text that has it. Two parts give the order of all windows, cut to `length` bytes, in the corpus:
+
+* Within phrases, the dictionary's suffix array. Equal windows have equal triggers at equal places, so it falls into independent parts, one per
+  trigger, and only triggers with several phrases have anything to order.
+* Among phrases, the parse's suffix array. As no window reaches beyond its phrase, suffixes of the parse are ordered by
+  their first phrase alone, ties by place in the corpus; and of each run of equal ones only the first is asked for. So that array isn't
+  written down: its runs are the groups of equal phrases, and each run's head is the smallest place, by aggregation.
+
+A window is a repeat if it isn't the first of its run. Inside one text, where places are known without an exchange, runs are found by names.
 """
 
 from __future__ import annotations
@@ -306,8 +311,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, group: int = 4096) -> Dat
     shorter texts stay whole. Rows that share a doc_id aren't earlier than each other; rows of null doc_id are only
     compared with themselves. An empty table gives no rows.
 
-    A trigger with more than one phrase is put in order by one task, unless it has over `group` phrases: these are ordered
-    window by window, as rows of their own, which splits them at any size.
+    A trigger with more than one phrase is put in order by one task, unless it has over `group` phrases: then each of its windows is
+    a row of its own, and a run of equal windows is a group of rows (told apart by 64-bit names modulo a prime) whose head is
+    aggregated, which splits at any size.
     """
     if length <= GRAM:
         raise ValueError(f"length has to exceed {GRAM}")
