@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of ids up to which a side may be broadcast after it was counted (8 MB of longs).
-BROADCAST_ROWS = 1_000_000
+#: Measured bytes up to which a side may be broadcast, and rows of a table of counts that is known to have no more.
+BROADCAST_BYTES, BROADCAST_ROWS = 16 << 20, 500_000
 
 #: Rows of narrow tables that go into a file, and files of a table whose rows were counted, at least.
 FILE_ROWS, LEAST_FILES = 50_000, 8
@@ -19,9 +20,12 @@ RANGE_ROWS = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; own temporary folder only where unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset a local session gets a temporary one; a cluster, whose
+    executors wouldn't share that, is refused."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='engram-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -68,10 +72,14 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def maybe_broadcast(small: DataFrame, rows: int | None = None) -> DataFrame:
-    """A broadcast hint only if the counted rows stay under BROADCAST_ROWS; Spark shuffles otherwise."""
-    n = small.count() if rows is None else rows
-    return F.broadcast(small) if n <= BROADCAST_ROWS else small
+def maybe_broadcast(small: DataFrame) -> DataFrame:
+    """A broadcast hint only if its rows, measured first, stay under BROADCAST_BYTES; Spark shuffles otherwise."""
+    width = F.lit(8 * (1 + len(small.columns))).cast("long")
+    for c, kind in small.dtypes:
+        if kind in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(F.col(c)), F.lit(0))
+    size = small.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+    return F.broadcast(small) if size <= BROADCAST_BYTES else small
 
 
 def ranges_for(rows: int) -> int:

@@ -82,7 +82,7 @@ def _mix(docs: DataFrame, levels: dict[str, Column], weight: Column, budget_perc
     targets = targets.select(*[F.col(c).alias(f"t_{c}") for c in inner], "supply", "target", F.monotonically_increasing_id().alias("leaf"))
     targets = work.write(targets, "targets")
     on = [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in inner]
-    placed = rows.join(maybe_broadcast(targets, n_leaves), on, "left").drop(*[f"t_{c}" for c in inner])
+    placed = rows.join(maybe_broadcast(targets), on, "left").drop(*[f"t_{c}" for c in inner])
     placed = placed.withColumn("epochs", F.coalesce(F.expr("target div supply"), F.lit(0)))
     placed = rank_in_groups(placed, ["leaf"], epoch_order(seed, F.col("epochs"), F.col("id")), [F.col("id"), F.col("tie")], "before", F.col("tokens"), ranges_for(largest), n_leaves + 1)
     target = F.coalesce("target", F.lit(0)).cast("long")
