@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Star rewritings after which a graph that still changes is taken as a fault: enough for a path of 2**100 nodes.
 ROUNDS = 200
+#: Links that go into a file.
+FILE_ROWS = 50_000
 
 
 def connected_components(edges: DataFrame, write: Callable[[DataFrame, str], DataFrame], name: str = "cc") -> DataFrame:
@@ -22,22 +24,26 @@ def connected_components(edges: DataFrame, write: Callable[[DataFrame, str], Dat
     `write(df, name)` writes a table and reads it again; it cuts the lineage of each round. Self-links and repeated links don't matter; nodes without
     a link to another node are not returned; null ends are ignored.
     """
+    def put(df: DataFrame, part: str) -> DataFrame:
+        """A round's tables have no more rows than there are links; few of them go into few files."""
+        return write(df.coalesce(max(8, links // FILE_ROWS)), f"{name}_{part}")
+
     pairs = edges.filter("src != dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     current = write(pairs, f"{name}_links0")
-    before = None
+    before, links = None, current.count()
     for step in range(1, ROUNDS + 1):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = write(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), f"{name}_least{step}")
+        least = put(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), f"least{step}")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
-        large = write(large.distinct(), f"{name}_large{step}")
-        least = write(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}_kept{step}")
+        large = put(large.distinct(), f"large{step}")
+        least = put(large.groupBy("u").agg(F.min("v").alias("m")), f"kept{step}")
         kept = large.join(least, "u")
         small = kept.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        current = write(small.filter("u != v").distinct(), f"{name}_links{step}")
+        current = put(small.filter("u != v").distinct(), f"links{step}")
         state = current.agg(F.count("*"), F.coalesce(F.sum(F.hash("u", "v").cast("long")), F.lit(0))).first()
         if tuple(state) == before:
             break
-        before = tuple(state)
+        before, links = tuple(state), state[0]
     else:
         raise RuntimeError(f"connected components: no end after {ROUNDS} rounds")
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -12,18 +12,22 @@ from engram.operators import lookups as L
 from engram.operators import vectors as K
 from engram.plans import recall as R
 from engram.plans.fixtures import Fixtures, with_tables
-from engram.plans.registry import query, without
+from engram.plans.registry import query
 from engram.sources.store import retain_newest
 
-_TOPK_SQL = with_tables("vecs") + """, s as (select q.id as q, v.id, v.kind, v.ord, greatest(0.0, list_cosine_similarity(q.v, v.v)) as score from vecs q, vecs v where q.ord < 5),
+_TOPK_SQL = with_tables("vecs") + """, s as (select q.id as q, v.id, v.kind, v.ord, greatest(0.0, list_cosine_similarity(q.v, v.v)) as score from vecs q, vecs v where q.ord % 100 = 0),
     k as (select *, row_number() over (partition by q, kind order by score desc, ord) as rk from s),
     r as (select *, row_number() over (partition by q order by score desc, kind, ord) as rank from k where rk <= 8),
     top as (select * from r where rank <= 8)"""
 
 
-def _top(fx: Fixtures, k: int = 8, only: str = "ord < 5") -> DataFrame:
+#: The query set of vector searches: every row whose id is divisible by 100, against all rows.
+ASKED = "ord % 100 = 0"
+
+
+def _top(fx: Fixtures, k: int = 8) -> DataFrame:
     v = fx.vectors()
-    return K.top_k(v.filter(only).select("id", "ord", "v"), v, k)
+    return K.top_k(v.filter(ASKED).select("id", "ord", "v"), v, k)
 
 
 @query(_TOPK_SQL + " select q, id, kind, round(score, 6) as score, cast(rank as bigint) as rank from top")
@@ -31,12 +35,6 @@ def knn_topk(fx: Fixtures) -> DataFrame:
     return _ranked(_top(fx))
 
 
-@query(without("knn_topk", " where q.ord < 5"))
-def knn_topk_all(fx: Fixtures) -> DataFrame:
-    """Every vector is a query, as in the other queries named _all."""
-    return _ranked(_top(fx, only="true"))
-
-
 def _ranked(top: DataFrame) -> DataFrame:
     return top.select("q", "id", "kind", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
@@ -46,11 +44,6 @@ def knn_min_score_kind(fx: Fixtures) -> DataFrame:
     return _near_points(_top(fx))
 
 
-@query(without("knn_min_score_kind", " where q.ord < 5"))
-def knn_min_score_kind_all(fx: Fixtures) -> DataFrame:
-    return _near_points(_top(fx, only="true"))
-
-
 def _near_points(top: DataFrame) -> DataFrame:
     return R.filter_hits(top, min_score=0.3, include_wiki=False).select("q", "id", F.round("score", 6).alias("score"))
 
@@ -100,21 +93,16 @@ def fulltext_fallback(fx: Fixtures) -> DataFrame:
     return R.full_text_fallback(_queries(fx), fx.points(), fx.pages(), 8).select("q", "id", "kind", "score", F.col("place").cast("long").alias("place"))
 
 
-@query(_FALLBACK_SQL + """, kn as (select 'q' || q as q, id, kind, score, rank as place from (""" + _TOPK_SQL.replace("with vecs", "with vecs2", 1).replace("from vecs q, vecs v where q.ord < 5", "from vecs2 q, vecs2 v where q.ord < 1", 1) + """ select * from top)),
+@query(_FALLBACK_SQL + """, kn as (select 'q' || q as q, id, kind, score, rank as place from (""" + _TOPK_SQL.replace("with vecs", "with vecs2", 1).replace("from vecs q, vecs v", "from vecs2 q, vecs2 v", 1) + """ select * from top)),
     every as (select q, id, kind, round(score, 6) as score, place, 1 as tier from kn union all select q, id, kind, 0.5, place, 2 from ft)
     select q, id, kind, score, cast(place as bigint) as place, tier from (select *, min(tier) over (partition by q) as first from every) where tier = first""")
 def retrieval_cascade(fx: Fixtures) -> DataFrame:
-    return _cascade(fx, "ord < 1")
+    return _cascade(fx)
 
 
-@query(without("retrieval_cascade", " where q.ord < 1"))
-def retrieval_cascade_all(fx: Fixtures) -> DataFrame:
-    return _cascade(fx, "true")
-
-
-def _cascade(fx: Fixtures, only: str) -> DataFrame:
+def _cascade(fx: Fixtures) -> DataFrame:
     v = fx.vectors()
-    near = K.top_k(v.filter(only).select(F.concat(F.lit("q"), "id").alias("id"), "ord", "v"), v, 8)
+    near = K.top_k(v.filter(ASKED).select(F.concat(F.lit("q"), "id").alias("id"), "ord", "v"), v, 8)
     near = near.select("q", F.when(F.col("q") == "q2", "src7").otherwise("src3").alias("agent_id"), "id", "kind", F.round("score", 6).alias("score"), F.col("rank").alias("place"))
     hits = R.cascade(near, R.full_text_fallback(_queries(fx), fx.points(), fx.pages(), 8))
     return hits.select("q", "id", "kind", "score", F.col("place").cast("long").alias("place"), "tier")
@@ -169,20 +157,15 @@ def namespace_visible(fx: Fixtures) -> DataFrame:
     return _visible(fx).select("reader", "ns", F.col("ord").cast("long").alias("ord"))
 
 
-@query("""with n as (select n_nationkey as k from nation where n_nationkey < 5), h as (select k as ns_ord, 'src' || k as agent_id, cast(doc_id % 40 as varchar) as id, 'q' || (doc_id % 3) as q, (doc_id * 31 % 1009) / 1009.0::double as score, doc_id as place from documents, n where source = 'src' || k),
+@query("""with n as (select n_nationkey as k from nation), h as (select k as ns_ord, 'src' || k as agent_id, cast(doc_id % 40 as varchar) as id, 'q' || (doc_id % 3) as q, (doc_id * 31 % 1009) / 1009.0::double as score, doc_id as place from documents, n where source = 'src' || k),
     o as (select *, row_number() over (partition by q, agent_id, id order by ns_ord, place) as n1 from h), r as (select *, row_number() over (partition by q order by score desc, ns_ord, place, agent_id, id) as rank from o where n1 = 1)
     select q, agent_id, id, round(score, 6) as score, rank from r where rank <= 10""")
 def cross_ns_dedupe(fx: Fixtures) -> DataFrame:
-    return _best_of_namespaces(fx, "n_nationkey < 5")
-
+    return _best_of_namespaces(fx)
 
-@query(without("cross_ns_dedupe", " where n_nationkey < 5"))
-def cross_ns_dedupe_all(fx: Fixtures) -> DataFrame:
-    return _best_of_namespaces(fx, "true")
 
-
-def _best_of_namespaces(fx: Fixtures, only: str) -> DataFrame:
-    n = fx.table("nation").filter(only).select(F.col("n_nationkey").alias("ns_ord"), F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("source"))
+def _best_of_namespaces(fx: Fixtures) -> DataFrame:
+    n = fx.table("nation").select(F.col("n_nationkey").alias("ns_ord"), F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("source"))
     i = F.col("doc_id")
     h = fx.table("documents").join(F.broadcast(n), "source").select("ns_ord", F.col("source").alias("agent_id"), (i % 40).cast("string").alias("id"), F.concat(F.lit("q"), (i % 3).cast("string")).alias("q"), (i * 31 % 1009 / 1009.0).alias("score"), i.alias("place"))
     return R.rerank(h, 10).select("q", "agent_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
@@ -300,11 +283,6 @@ def graded_hits(fx: Fixtures) -> DataFrame:
     return _graded(fx, _top(fx))
 
 
-@query(without("graded_hits", " where q.ord < 5"))
-def graded_hits_all(fx: Fixtures) -> DataFrame:
-    return _graded(fx, _top(fx, only="true"))
-
-
 def _graded(fx: Fixtures, top: DataFrame) -> DataFrame:
     v = fx.vectors()
     hits = top.withColumn("agent_id", F.concat(F.lit("a"), (F.col("id").cast("int") % 2).cast("string")))

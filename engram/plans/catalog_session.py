@@ -14,7 +14,7 @@ from engram.plans import consolidate as P
 from engram.plans import recall as R
 from engram.plans import session as S
 from engram.plans.fixtures import Fixtures, with_tables
-from engram.plans.registry import query, without
+from engram.plans.registry import query
 from engram.sources.scratch import scratch
 from engram.sources.store import delete_keys
 from engram.sources.transcripts import parse_search_output
@@ -57,30 +57,21 @@ def compile_units(fx: Fixtures) -> DataFrame:
     return u.select("unit", F.array_join("ids", ",").alias("ids"), "start", "end")
 
 
-@query(with_tables("sims", recursive=True) + """, es as (select a as f, b as t from sims where sim >= 0.33 union all select b, a from sims where sim >= 0.33), r(id, hops) as (select id, 0 from vecs where ord < 5 union select es.t, hops + 1 from r join es on es.f = r.id where hops < 3),
+@query(with_tables("sims", recursive=True) + """, es as (select a as f, b as t from sims where sim >= 0.33 union all select b, a from sims where sim >= 0.33), r(id, hops) as (select id, 0 from vecs where ord % 100 = 0 union select es.t, hops + 1 from r join es on es.f = r.id where hops < 3),
     d as (select id, min(hops) as hops from r group by id) select id, hops, cast((row_number() over (order by hops, id) - 1) // 10 as integer) as batch_no from d""")
 def reconcile_plan(fx: Fixtures) -> DataFrame:
     v = fx.vectors()
     e = scratch(fx.spark)(K.similar_pairs(v, 0.33).select(F.lit("a").alias("agent_id"), F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.lit("related").alias("kind")), "plan_edges")
     pages = v.select(F.lit("a").alias("agent_id"), "id", F.lit("active").alias("status"), "ord")
-    return S.reconcile_batches(pages.filter("ord < 5"), e, pages, Config()).select("id", "hops", "batch_no")
+    return S.reconcile_batches(pages.filter("ord % 100 = 0"), e, pages, Config()).select("id", "hops", "batch_no")
 
 
-@query(with_tables("vecs") + """, s as (select q.agent_id, q.id as q, v.id, v.kind, v.ord, greatest(0.0, list_cosine_similarity(q.v, v.v)) as score from vecs q join vecs v using (agent_id) where q.ord < 20),
+@query(with_tables("vecs") + """, s as (select q.agent_id, q.id as q, v.id, v.kind, v.ord, greatest(0.0, list_cosine_similarity(q.v, v.v)) as score from vecs q join vecs v using (agent_id) where q.ord % 100 = 0),
     k as (select *, row_number() over (partition by q, kind order by score desc, ord) as rk from s), r as (select *, row_number() over (partition by q order by score desc, kind, ord) as rank from k where rk <= 4),
     o as (select q, id, score, row_number() over (partition by q order by rank) as rank from r where rank <= 4 and q != id) select q, id, round(score, 6) as score, rank from o where rank <= 3""")
 def prelookup_related(fx: Fixtures) -> DataFrame:
-    return _prelookup(fx, "ord < 20")
-
-
-@query(without("prelookup_related", " where q.ord < 20"))
-def prelookup_related_all(fx: Fixtures) -> DataFrame:
-    return _prelookup(fx, "true")
-
-
-def _prelookup(fx: Fixtures, only: str) -> DataFrame:
     v = fx.vectors()
-    return S.prelookup(v.filter(only), v, 3).select("q", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return S.prelookup(v.filter("ord % 100 = 0"), v, 3).select("q", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(with_tables("points") + """, qs as (select * from (values ('q0', 'src3', 'the'), ('q2', 'src7', 'de')) t(q, agent_id, text)), h as (select q, p.agent_id, id, row_number() over (partition by q, p.agent_id order by ord) as place from qs join points p using (agent_id) where lower(name || ' ' || summary) like '%' || lower(text) || '%')
@@ -160,19 +151,10 @@ def search_results(fx: Fixtures) -> DataFrame:
     return parse_search_output(p, ["page_id"], 5).select("page_id", "pos", "title", "url")
 
 
-@query("select cast(doc_id as varchar) as id, coalesce(array_to_string(list(page_id || ' (' || title || ')' order by page_id || ' (' || title || ')'), ', '), '') as pages from (select doc_id, 'page-' || page_id as page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from documents join pages on page_id in (doc_id, doc_id + 1) where doc_id % 5 = 0) group by doc_id")
+@query("select cast(doc_id as varchar) as id, coalesce(array_to_string(list(page_id || ' (' || title || ')' order by page_id || ' (' || title || ')'), ', '), '') as pages from (select doc_id, 'page-' || page_id as page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from documents join pages on page_id in (doc_id, doc_id + 1)) group by doc_id")
 def points_with_pages(fx: Fixtures) -> DataFrame:
-    return _with_pages(fx, "doc_id % 5 = 0")
-
-
-@query(without("points_with_pages", " where doc_id % 5 = 0"))
-def points_with_pages_all(fx: Fixtures) -> DataFrame:
-    return _with_pages(fx, "true")
-
-
-def _with_pages(fx: Fixtures, only: str) -> DataFrame:
     i = F.col("doc_id")
-    d = fx.table("documents").filter(only)
+    d = fx.table("documents")
     e = d.select(F.lit("a").alias("agent_id"), i.cast("string").alias("source_id"), F.explode(F.array(i, i + 1)).alias("p")).select("agent_id", "source_id", F.concat(F.lit("page-"), F.col("p").cast("string")).alias("target_id"), F.lit("has_page").alias("kind"))
     p = L.points_pages(e, fx.pages().withColumn("agent_id", F.lit("a"))).filter("title is not null")
     return p.groupBy(F.col("point_id").alias("id")).agg(F.array_join(F.sort_array(F.collect_list(F.concat("page_id", F.lit(" ("), "title", F.lit(")")))), ", ").alias("pages"))

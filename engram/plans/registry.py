@@ -25,13 +25,3 @@ def query(oracle: str | None = None, name: str | None = None) -> Callable:
         return f
 
     return add
-
-
-def without(name: str, *filters: str) -> str:
-    """The SQL of a registered query with these filters left out."""
-    sql = ORACLES[name]
-    for f in filters:
-        if sql.count(f) != 1:
-            raise ValueError(f"{name} has no single {f!r}")
-        sql = sql.replace(f, "")
-    return sql
