@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,56 +16,66 @@ from engram.functions.vectors import unit
 BLOCK_ROWS = 1024
 
 
-def _blocks(df: DataFrame, scope: list[str], block_rows: int) -> DataFrame:
-    """scope, block, rows (array of struct<ord, id, kind, v>) of about block_rows vectors, spread by a hash of the id."""
-    n = df.count()
-    blocks = max(1, -(-n // block_rows))
-    rows = df.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    return rows.groupBy(*scope, "_block").agg(F.collect_list(F.struct("ord", "id", "kind", unit(F.col("v")).alias("v"))).alias("rows"))
+def _blocks(df: DataFrame, scope: list[str], block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The vectors as blocks, and the number of blocks. Blocks: scope, dim, block, rows (array of struct<ord, id, kind, v>) of about block_rows
+    unit vectors of one dimension, spread by a hash of the id. Numbers: scope, dim, blocks. Null and zero vectors are in no block."""
+    rows = df.withColumn("v", unit(F.col("v"))).withColumn("dim", F.size("v")).filter("dim > 0 and exists(v, x -> x != 0)")
+    sizes = rows.groupBy(*scope, "dim").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    by = sizes.select(*[F.col(c).alias(f"_{c}") for c in scope], F.col("dim").alias("_dim"), "blocks")
+    on = F.col("dim") == F.col("_dim")
+    for c in scope:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    dealt = rows.join(by, on).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    return dealt.groupBy(*scope, "dim", "block").agg(F.collect_list(F.struct("ord", "id", "kind", "v")).alias("rows")), sizes
+
 
+def _meet(pairs: DataFrame, left: DataFrame, right: DataFrame, scope: list[str]) -> DataFrame:
+    """pairs (scope, dim, x, y) of block numbers with the rows of both: scope, same, rx, ry. Equality joins, which Spark plans by size."""
+    key = [*scope, "dim"]
+    for side, blocks in (("x", left), ("y", right)):
+        other = blocks.select(*[F.col(c).alias(f"_{c}") for c in key], F.col("block").alias(f"_{side}"), F.col("rows").alias(f"r{side}"))
+        on = F.col(side) == F.col(f"_{side}")
+        for c in key:
+            on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        pairs = pairs.join(other, on).drop(*[f"_{c}" for c in key], f"_{side}")
+    return pairs.select(*scope, (F.col("x") == F.col("y")).alias("same"), "rx", "ry")
 
-def _matrix(rows: pa.Scalar) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
+
+def _matrix(rows: pa.Scalar) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Vectors, ords, ids and kinds of a block."""
     s = rows.values
-    ids, kinds = s.field("id").to_pylist(), np.array(s.field("kind").to_pylist(), dtype=object)
-    lists = s.field("v").to_pylist()
-    width = max((len(x) for x in lists if x), default=0)
-    m = np.array([x if x and len(x) == width else [0.0] * width for x in lists], dtype=np.float64).reshape(len(lists), width)
-    return m, np.array(s.field("ord").to_pylist(), dtype=np.int64), ids, kinds
+    flat = s.field("v").flatten().to_numpy(zero_copy_only=False)
+    kinds = np.asarray(s.field("kind").to_pylist(), dtype=object)
+    return flat.reshape(len(s), -1), s.field("ord").to_numpy(zero_copy_only=False).astype(np.int64), s.field("id"), kinds
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, strict: bool = False, scope: list[str] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """All pairs of vectors (id string, ord long, v array) within a scope whose cosine reaches the threshold (strict: exceeds it):
-    scope, a, b, sim with a before b in ord. A vector of length zero, or of another dimension than its block's, is like none.
+    scope, a, b, sim with a before b in ord. Vectors of different dimension aren't compared; null and zero vectors are like none.
 
-    Each pair of blocks is one task's matrix product, so the work spreads evenly, and only the pairs found leave it.
+    Each pair of blocks is one matrix product, so the work spreads evenly however large a scope is, and only the pairs found leave it.
     """
     scope = scope or []
     rows = vectors.withColumn("kind", F.lit("")) if "kind" not in vectors.columns else vectors
-    blocks = _blocks(rows.select(*scope, "id", "ord", "kind", "v"), scope, block_rows)
-    left = blocks.select(*scope, F.col("_block").alias("ba"), F.col("rows").alias("ra"))
-    right = blocks.select(*[F.col(c).alias(f"_{c}") for c in scope], F.col("_block").alias("bb"), F.col("rows").alias("rb"))
-    on = F.col("ba") <= F.col("bb")
-    for c in scope:
-        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    both = left.join(right, on).select(*scope, (F.col("ba") == F.col("bb")).alias("same"), "ra", "rb")
+    blocks, sizes = _blocks(rows.select(*scope, "id", "ord", "kind", "v"), scope, block_rows)
+    pairs = sizes.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("y"))))
+    both = _meet(pairs.select(*scope, "dim", "x", "y"), blocks, blocks, scope)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ma, oa, ia, _ = _matrix(batch.column("ra")[i])
-                mb, ob, ib, _ = _matrix(batch.column("rb")[i])
-                if ma.shape[1] != mb.shape[1] or not ma.shape[1]:
-                    continue
+                ma, oa, ia, _ = _matrix(batch.column("rx")[i])
+                mb, ob, ib, _ = _matrix(batch.column("ry")[i])
                 sim = ma @ mb.T
                 ok = sim > threshold if strict else sim >= threshold
                 if batch.column("same")[i].as_py():
                     ok &= oa[:, None] < ob[None, :]
                 x, y = np.nonzero(ok)
-                swap = oa[x] > ob[y]
-                a = [ib[q] if s else ia[p] for p, q, s in zip(x, y, swap, strict=True)]
-                b = [ia[p] if s else ib[q] for p, q, s in zip(x, y, swap, strict=True)]
-                keys = [pa.array([batch.column(c)[i].as_py()] * len(a), batch.schema.field(c).type) for c in scope]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(sim[x, y], pa.float64())], [*scope, "a", "b", "sim"])
+                swap = pa.array(oa[x] > ob[y])
+                left, right = ia.take(pa.array(x)), ib.take(pa.array(y))
+                a, b = pc.if_else(swap, right, left), pc.if_else(swap, left, right)
+                keys = [pa.array([batch.column(c)[i].as_py()] * len(x), batch.schema.field(c).type) for c in scope]
+                yield pa.RecordBatch.from_arrays([*keys, a, b, pa.array(sim[x, y], pa.float64())], [*scope, "a", "b", "sim"])
 
     kinds = dict(vectors.dtypes)
     return both.mapInArrow(run, ", ".join([f"{c} {kinds[c]}" for c in scope] + ["a string, b string, sim double"]))
@@ -72,36 +83,37 @@ def similar_pairs(vectors: DataFrame, threshold: float, strict: bool = False, sc
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, scope: list[str] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The k nearest vectors (id string, ord long, kind string, v) of each query (id string, ord long, v) by cosine, per kind first and then over
-    all: scope, q, id, kind, score (not below 0), rank (from 1). Ties: interest points first, then by ord.
+    all: scope, q, id, kind, score (not below 0), rank (from 1). Ties: interest points first, then by ord. Vectors of another dimension than
+    the query's, null and zero ones aren't found, and null and zero queries find nothing.
 
     Each block of vectors gives at most k rows per query and kind, before anything is shuffled.
     """
     scope = scope or []
-    q = _blocks(queries.withColumn("kind", F.lit("")).select(*scope, "id", "ord", "kind", "v"), scope, block_rows)
-    v = _blocks(vectors.select(*scope, "id", "ord", "kind", "v"), scope, block_rows)
-    right = v.select(*[F.col(c).alias(f"_{c}") for c in scope], F.col("rows").alias("rv"))
-    on = F.lit(True)
+    q, q_sizes = _blocks(queries.withColumn("kind", F.lit("")).select(*scope, "id", "ord", "kind", "v"), scope, block_rows)
+    v, v_sizes = _blocks(vectors.select(*scope, "id", "ord", "kind", "v"), scope, block_rows)
+    named = v_sizes.select(*[F.col(c).alias(f"_{c}") for c in scope], F.col("dim").alias("_dim"), F.col("blocks").alias("_blocks"))
+    on = F.col("dim") == F.col("_dim")
     for c in scope:
         on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    both = q.withColumnRenamed("rows", "rq").join(right, on).select(*scope, "rq", "rv")
+    pairs = q_sizes.join(named, on).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    both = _meet(pairs.select(*scope, "dim", "x", "y"), q, v, scope)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                mq, _, iq, _ = _matrix(batch.column("rq")[i])
-                mv, ov, iv, kv = _matrix(batch.column("rv")[i])
-                if mq.shape[1] != mv.shape[1]:
-                    continue
+                mq, _, iq, _ = _matrix(batch.column("rx")[i])
+                mv, ov, iv, kv = _matrix(batch.column("ry")[i])
                 sim = np.maximum(mq @ mv.T, 0.0)
-                out: list[tuple] = []
                 for kind in sorted(set(kv)):
                     mine = np.flatnonzero(kv == kind)
-                    for row in range(len(iq)):
-                        best = mine[np.lexsort((ov[mine], -sim[row, mine]))[:k]]
-                        out += [(iq[row], iv[j], kind, float(sim[row, j]), int(ov[j])) for j in best]
-                keys = [pa.array([batch.column(c)[i].as_py()] * len(out), batch.schema.field(c).type) for c in scope]
-                columns = list(zip(*out, strict=True)) if out else [[], [], [], [], []]
-                yield pa.RecordBatch.from_arrays([*keys, *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.float64(), pa.int64()), strict=True))], [*scope, "q", "id", "kind", "score", "ord"])
+                    mine = mine[np.argsort(ov[mine], kind="stable")]
+                    # Stable: of equal scores the smaller ord comes first.
+                    best = mine[np.argsort(-sim[:, mine], axis=1, kind="stable")[:, :k]]
+                    row = np.repeat(np.arange(len(iq)), best.shape[1])
+                    at = best.ravel()
+                    keys = [pa.array([batch.column(c)[i].as_py()] * len(at), batch.schema.field(c).type) for c in scope]
+                    found = [iq.take(pa.array(row)), iv.take(pa.array(at)), pa.array([kind] * len(at), pa.string()), pa.array(sim[row, at]), pa.array(ov[at])]
+                    yield pa.RecordBatch.from_arrays([*keys, *found], [*scope, "q", "id", "kind", "score", "ord"])
 
     kinds = dict(vectors.dtypes)
     found = both.mapInArrow(run, ", ".join([f"{c} {kinds[c]}" for c in scope] + ["q string, id string, kind string, score double, ord long"]))
