@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from engram.schemas import KEPT, TABLES, conform, schema
 
@@ -46,7 +49,7 @@ def add_edge_pairs(edges: DataFrame) -> DataFrame:
 
 def retain_newest(logs: DataFrame, default_cap: int, caps: DataFrame | None = None) -> DataFrame:
     """The newest rows of each agent, up to its own cap (agent_id, cap) or the default; a cap of 0 or less is none."""
-    capped = logs.join(F.broadcast(caps), "agent_id", "left") if caps is not None else logs.withColumn("cap", F.lit(None).cast("int"))
+    capped = logs.join(caps, "agent_id", "left") if caps is not None else logs.withColumn("cap", F.lit(None).cast("int"))
     cap = F.coalesce("cap", F.lit(default_cap))
     rank = F.row_number().over(Window.partitionBy("agent_id").orderBy(F.col("created_at").desc(), F.col("id").desc()))
     kept = capped.withColumn("_rn", rank)
@@ -71,49 +74,143 @@ def write_back_reliability(points: DataFrame, audits: DataFrame, now: Column) ->
     return joined.select(*[(F.coalesce(new[c], F.col(c)) if c in new else F.col(c)).alias(c) for c in points.columns])
 
 
-class Store:
-    """All tables under one root. A write makes a new version folder and then moves the pointer, so readers of an older
-    version aren't disturbed; a table that was never written is empty."""
+#: Seconds after which a number that was claimed without a version following is free again.
+STALE = 600
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
 
-    def _pointer(self, table: str) -> str:
-        return f"{self.root}/{table}/_current"
+class Conflict(RuntimeError):
+    """Another writer has made a version in between."""
 
-    def version(self, table: str) -> str | None:
-        try:
-            return self.spark.read.text(self._pointer(table)).first()[0]
-        except AnalysisException:
-            return None
 
-    def read(self, table: str) -> DataFrame:
-        version = self.version(table)
-        if version is None:
+class Store:
+    """All tables under one root, in versions. A version is a file named by its number whose text says which folder holds each part of the table: parts are
+    hashes of agent_id, so that a write only touches the parts of the agents it is about. A writer makes its folders first and
+    then claims the next number, which only one can get; the others begin again from the new version. So nothing that was written is lost,
+    and readers of an older version aren't disturbed as long as it is among the last `keep`. A table that was never written is empty.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, parts: int = 64, keep: int = 20, attempts: int = 20):
+        self.spark, self.root, self.parts, self.keep, self.attempts = spark, root.rstrip("/"), parts, keep, attempts
+
+    def _at(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}")
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _list(self, path: str) -> list[str]:
+        p, fs = self._at(path)
+        return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+    def version(self, table: str) -> int:
+        """The number of the newest version; 0 if there is none."""
+        return max((int(n) for n in self._list(f"{table}/_versions") if n.isdigit()), default=0)
+
+    def _manifest(self, table: str, number: int) -> dict[str, str]:
+        """Part: folder, of a version."""
+        if not number:
+            return {}
+        p, fs = self._at(f"{table}/_versions/{number:012d}")
+        source = fs.open(p)
+        try:
+            return json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(source)).decode())
+        finally:
+            source.close()
+
+    def _claim(self, table: str, number: int, manifest: dict[str, str]) -> bool:
+        """Puts a version in place, if no one else has that number. The text is written aside and renamed, which never replaces a file."""
+        aside, fs = self._at(f"{table}/_versions/_{uuid.uuid4().hex}")
+        out = fs.create(aside)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        claim, _ = self._at(f"{table}/_claims/{number:012d}")
+        try:
+            fs.create(claim, False).close()
+        except Py4JJavaError as e:
+            if not fs.exists(claim):
+                raise e
+            number_file, _ = self._at(f"{table}/_versions/{number:012d}")
+            if not fs.exists(number_file) and time.time() - fs.getFileStatus(claim).getModificationTime() / 1000 > STALE:
+                fs.delete(claim, False)  # its writer died before it put its version in place
+            fs.delete(aside, False)
+            return False
+        return fs.rename(aside, self._at(f"{table}/_versions/{number:012d}")[0])
+
+    def _part(self, df: DataFrame) -> Column:
+        return F.pmod(F.xxhash64("agent_id"), F.lit(self.parts)).cast("int") if "agent_id" in df.columns else F.lit(0)
+
+    def _load(self, table: str, manifest: dict[str, str], parts: set[str] | None = None) -> DataFrame:
+        folders = sorted(f for p, f in manifest.items() if parts is None or p in parts)
+        if not folders:
             return self.spark.createDataFrame([], schema(table))
-        return conform(self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/{table}/{version}"), table)
+        return conform(self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.root}/{table}/{f}" for f in folders]), table)
+
+    def _save(self, table: str, df: DataFrame) -> dict[str, str]:
+        folder = f"v-{uuid.uuid4().hex[:12]}"
+        rows = conform(df, table)
+        rows = rows.withColumn("_part", self._part(rows)).hint("rebalance", F.col("_part"))
+        rows.write.partitionBy("_part").option("maxRecordsPerFile", 5_000_000).parquet(f"{self.root}/{table}/{folder}")
+        return {n.removeprefix("_part="): f"{folder}/{n}" for n in self._list(f"{table}/{folder}") if n.startswith("_part=")}
+
+    def _vacuum(self, table: str) -> None:
+        """Removes versions before the last `keep`, and folders that none of these uses and no newer writer can be at work on."""
+        numbers = sorted(int(n) for n in self._list(f"{table}/_versions") if n.isdigit())
+        old, kept = numbers[: -self.keep], numbers[-self.keep :]
+        if not old:
+            return
+        used = {f.split("/")[0] for n in kept for f in self._manifest(table, n).values()}
+        gone = {f.split("/")[0] for n in old for f in self._manifest(table, n).values()} - used
+        for path in [*(f"{table}/{f}" for f in gone), *(f"{table}/_versions/{n:012d}" for n in old), *(f"{table}/_claims/{n:012d}" for n in old)]:
+            p, fs = self._at(path)
+            fs.delete(p, True)
 
-    def write(self, table: str, df: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex[:12]}"
-        out = conform(df, table).write
-        if "agent_id" in df.columns:
-            out = out.option("maxRecordsPerFile", 5_000_000)
-        out.parquet(f"{self.root}/{table}/{version}")
-        self.spark.range(1).select(F.lit(version)).coalesce(1).write.mode("overwrite").text(self._pointer(table))
+    def read(self, table: str) -> DataFrame:
+        return self._load(table, self._manifest(table, self.version(table)))
+
+    def write(self, table: str, df: DataFrame, base: int | None = None) -> None:
+        """Replaces the whole table. base: the version that df was made from; if it isn't the newest any more, Conflict is raised."""
+        number = self.version(table) if base is None else base
+        if not self._claim(table, number + 1, self._save(table, df)):
+            raise Conflict(f"{table}: version {number + 1} is there already")
+        self._vacuum(table)
+
+    def update(self, table: str, change: Callable[[DataFrame], DataFrame], parts: set[str] | None = None) -> None:
+        """The table (or the parts that are named) after `change`, made again from the newest version if another writer comes first."""
+        for _ in range(self.attempts):
+            number = self.version(table)
+            manifest = self._manifest(table, number)
+            new = self._save(table, change(self._load(table, manifest, parts)))
+            kept = {} if parts is None else {p: f for p, f in manifest.items() if p not in parts}
+            if self._claim(table, number + 1, kept | new):
+                self._vacuum(table)
+                return
+        raise Conflict(f"{table}: no version after {self.attempts} attempts")
+
+    def _touched(self, rows: DataFrame) -> set[str]:
+        """The parts of rows: at most `parts` numbers."""
+        return {str(r[0]) for r in rows.select(self._part(rows)).distinct().collect()}
 
     def upsert(self, table: str, new: DataFrame) -> None:
-        key = TABLES[table][1]
-        self.write(table, upsert(self.read(table), conform(new, table), key, KEPT.get(table)))
+        rows = conform(new, table)
+        if parts := self._touched(rows):
+            self.update(table, lambda old: upsert(old, rows, TABLES[table][1], KEPT.get(table)), parts)
 
     def delete(self, table: str, keys: DataFrame, on: list[str] | None = None) -> None:
-        self.write(table, delete_keys(self.read(table), keys, on or TABLES[table][1]))
+        on = on or TABLES[table][1]
+        parts = self._touched(keys) if "agent_id" in on else None
+        if parts is None or parts:
+            self.update(table, lambda old: delete_keys(old, keys, on), parts)
 
     def append_log(self, rows: DataFrame, retain: int = 0) -> None:
         """Adds change-log rows (upserted by id), then keeps the newest `retain` of each agent."""
-        merged = upsert(self.read("change_log"), conform(rows, "change_log"), TABLES["change_log"][1])
-        self.write("change_log", retain_newest(merged, retain))
+        new = conform(rows, "change_log")
+        if parts := self._touched(new):
+            self.update("change_log", lambda old: retain_newest(upsert(old, new, TABLES["change_log"][1]), retain), parts)
 
     def mark_processed(self, sessions: DataFrame, now: Column) -> None:
         done = sessions.select("agent_id", "session_id").distinct().withColumn("_done", F.lit(1))
-        rows = self.read("session_transcripts").join(done, ["agent_id", "session_id"], "left")
-        self.write("session_transcripts", rows.withColumn("processed_at", F.when(F.col("_done") == 1, now).otherwise(F.col("processed_at"))))
+
+        def mark(old: DataFrame) -> DataFrame:
+            at = F.when(F.col("_done") == 1, now).otherwise(F.col("processed_at"))
+            return old.join(done, ["agent_id", "session_id"], "left").withColumn("processed_at", at)
+
+        if parts := self._touched(done):
+            self.update("session_transcripts", mark, parts)
