@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES, BROADCAST_ROWS = 16 << 20, 500_000
 
 #: Rows of narrow tables that go into a file, and files of a table whose rows were counted, at least.
-FILE_ROWS, LEAST_FILES = 50_000, 8
+FILE_ROWS, LEAST_FILES = 16_000, 8
 #: Rows that a range of a distributed rank has, about.
 RANGE_ROWS = 20_000
 

@@ -208,26 +208,28 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 3, num: int = 9, den: int = 1
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     sketch = work.write(shingle_sketches(docs, n, lower), "sketch")
+    n_docs = sketch.count()
     filled = sketch.filter("n_shingles > 0 and doc_id is not null")
     # Minima are written before they are joined back, so that Spark can split a key with very many rows in that join.
-    reps = work.write(filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "reps")
-    member = work.write(filled.select("doc_id", "h1", "h2").join(reps, ["h1", "h2"]).select("doc_id", "rep"), "member")
-    copies = work.write(member.filter("doc_id != rep").select("doc_id").distinct(), "copies")
-    nodes = work.write(filled.join(member.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", *SHORT, "sketch"), "nodes")
+    reps = work.write(filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "reps", n_docs)
+    member = work.write(filled.select("doc_id", "h1", "h2").join(reps, ["h1", "h2"]).select("doc_id", "rep"), "member", n_docs)
+    copies = member.filter("doc_id != rep").select("doc_id").distinct()
+    first = member.filter("doc_id = rep").select("doc_id").distinct()
+    nodes = work.write(filled.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", *SHORT, "sketch"), "nodes", 4 * n_docs)
     work.drop("reps")
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs a, b (each once) that are links."""
         a, b = (nodes.select(*[F.col(c).alias(f"{side}_{c}") for c in ("doc_id", "n_shingles", *SHORT, "sketch")]) for side in "ab")
         joined = pairs.join(a, F.col("a") == F.col("a_doc_id")).join(b, F.col("b") == F.col("b_doc_id"))
-        pairs = work.write(joined.filter(_may_link("a_", "b_", num, den)).select("a", "b", "a_n_shingles", "b_n_shingles"), f"{name}_pairs")
-        needed = work.write(pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("doc_id")), f"{name}_ids")
+        pairs = work.write(joined.filter(_may_link("a_", "b_", num, den)).select("a", "b", "a_n_shingles", "b_n_shingles"), f"{name}_pairs", n_docs)
+        needed = pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("doc_id"))
         sets = work.write(shingle_sets(docs.join(maybe_broadcast(needed), "doc_id", "left_semi"), n, lower).dropDuplicates(["doc_id"]), f"{name}_sets")
         with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
         both = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
         common = F.size(F.array_intersect("sa", "sb")).cast("long")
         total = F.col("a_n_shingles") + F.col("b_n_shingles")
-        found = work.write(both.filter(common * (num + den) >= total * num).select("a", "b"), name)
+        found = work.write(both.filter(common * (num + den) >= total * num).select("a", "b"), name, n_docs)
         work.drop(f"{name}_sets")
         work.release()
         return found
@@ -239,7 +241,7 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 3, num: int = 9, den: int = 1
         """sig, doc_id, component: the rows (sig, doc_id) of buckets that hold several components."""
         labelled = rows.join(maybe_broadcast(label), "doc_id", "left").select("sig", "doc_id", F.coalesce("component", "doc_id").alias("component"))
         ends = labelled.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("sig")
-        return labelled.join(work.write(ends, f"mixed{next(number)}"), "sig")
+        return labelled.join(work.write(ends, f"mixed{next(number)}", 4 * n_docs), "sig")
 
     named = docs.filter("doc_id is not null").join(maybe_broadcast(copies), "doc_id", "left_anti")
     sigs = shingle_signatures(named, n, lower, scheme)
@@ -247,10 +249,9 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 3, num: int = 9, den: int = 1
     work.release()
     buckets = work.write(sigs.join(maybe_broadcast(pivots), "sig").select("sig", "doc_id", "a"), "buckets")
     work.release()
-    stars = work.write(buckets.filter("doc_id != a").select("a", F.col("doc_id").alias("b")).distinct(), "stars")
-    links = linked(stars, "star_links")
-    label = components(links, "star_groups")
-    open_ = work.write(several(buckets.select("sig", "doc_id"), label).select("doc_id").distinct(), "open")
+    links = linked(buckets.filter("doc_id != a").select("a", F.col("doc_id").alias("b")).distinct(), "star_links")
+    label = work.write(components(links, "star_groups"), "stars", n_docs)
+    open_ = work.write(several(buckets.select("sig", "doc_id"), label).select("doc_id").distinct(), "open", n_docs)
     work.drop("buckets")
     again = docs.join(maybe_broadcast(open_), "doc_id", "left_semi")
     rare = rarest_features(again, n, lower, num, den, feature_counts(again, n, lower))
@@ -258,9 +259,9 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 3, num: int = 9, den: int = 1
     rare = work.write(several(rare, label).join(maybe_broadcast(known), "doc_id"), "rare")
     a, b = (rare.select("sig", *[F.col(c).alias(f"{side}_{c}") for c in ("doc_id", "component", "n_shingles", *SHORT)]) for side in "ab")
     cross = a.join(b, "sig").filter((F.col("a_doc_id") < F.col("b_doc_id")) & (F.col("a_component") != F.col("b_component")) & _near_in_short("a_", "b_", num, den))
-    cross = cross.select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    links = links.union(linked(work.write(cross, "cross"), "cross_links"))
-    label = work.write(components(links, "all_groups"), "groups")
+    more = linked(cross.select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")).distinct(), "cross_links")
+    joined = more.unionByName(label.filter("doc_id != component").select(F.col("component").alias("a"), F.col("doc_id").alias("b")))
+    label = work.write(components(joined, "all_groups"), "groups", n_docs)
     work.keep_only("sketch", "member", "groups")
 
     by_rep = member.distinct().join(label.select(F.col("doc_id").alias("node"), "component"), member.rep == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
