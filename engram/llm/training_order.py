@@ -107,22 +107,27 @@ def token_stream(docs: DataFrame, path: str, layout: Layout) -> DataFrame:
 def packed_pieces(stream: DataFrame, layout: Layout, n: int, slots: tuple[int, int]) -> DataFrame:
     """stream (at: tokens before it; n, ids): slot, place and ids (bytes) of the pieces of sequences that each row has
     and whose slot lies in the range `slots`."""
-    L = layout.sequence
+    L, width = layout.sequence, layout.width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, unpack = Feistel(n, layout.key), zstandard.ZstdDecompressor()
+        order, unpack = Feistel(n, layout.key), zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for at, size, packed in zip(batch.column("at").to_pylist(), batch.column("n").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                seq = np.arange(at // L, -(-(at + size) // L))
-                slot = order.slots(seq)
-                mine = (slot >= slots[0]) & (slot < slots[1])
-                if not mine.any():
-                    continue
-                low = np.maximum(seq * L, at)[mine]
-                high = np.minimum((seq + 1) * L, at + size)[mine]
-                raw = unpack.decompress(packed)
-                ids = [raw[a * layout.width : b * layout.width] for a, b in zip((low - at).tolist(), (high - at).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(slot[mine]), pa.array((low - seq[mine] * L).astype(np.int32)), pa.array(ids, pa.binary())], ["slot", "place", "ids"])
+            at, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("at", "n"))
+            first = at // L
+            counts = -(-(at + size) // L) - first
+            row = np.repeat(np.arange(len(at)), counts)
+            seq = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + first[row]
+            slot = order.slots(seq)
+            mine = (slot >= slots[0]) & (slot < slots[1])
+            row, seq, slot = row[mine], seq[mine], slot[mine]
+            low = np.maximum(seq * L, at[row])
+            high = np.minimum((seq + 1) * L, at[row] + size[row])
+            column, raw, ids, last = batch.column("ids"), b"", [], -1
+            for r, a, b in zip(row.tolist(), ((low - at[row]) * width).tolist(), ((high - at[row]) * width).tolist(), strict=True):
+                if r != last:
+                    raw, last = unpack(column[r].as_py()), r
+                ids.append(raw[a:b])
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array((low - seq * L).astype(np.int32)), pa.array(ids, pa.binary())], ["slot", "place", "ids"])
 
     return stream.select("at", "n", "ids").mapInArrow(run, "slot long, place int, ids binary")
 
