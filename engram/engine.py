@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.config import Config
-from engram.functions.text import hash_id, wrap_memory
+from engram.functions import coerce as C
+from engram.functions.text import candidate_text, hash_id, normalize_id, strip_fence, wrap_memory
+from engram.functions.vectors import unit
 from engram.operators import graph as G
 from engram.operators import lookups as L
 from engram.operators import vectors as K
+from engram.operators import view as V
 from engram.operators import windows as W
 from engram.plans import consolidate as P
+from engram.plans import process as Z
 from engram.plans import recall as R
+from engram.schemas import VERDICTS, schema
 from engram.sources import providers
 from engram.sources.scratch import scratch
 from engram.sources.store import Store, add_edge_pairs, retain_newest
@@ -92,7 +98,17 @@ class Engine:
         return L.log_page(self.store.read("change_log").filter(F.col("agent_id") == agent), limit, offset)
 
     def wiki_query(self, agent: str, text: str, top_k: int = 3) -> DataFrame:
-        return L.search_pages(self.store.read("wiki_pages").filter(F.col("agent_id") == agent), text, min(max(top_k, 1), 10))
+        """Pages near the text by vectors; by keywords if there is no embedder, or nothing is near."""
+        pages, k = self.store.read("wiki_pages").filter(F.col("agent_id") == agent), min(max(top_k, 1), 10)
+        if self.embedder:
+            asked = self.embed(self.spark.createDataFrame([("q", agent, text)], "id string, agent_id string, text string"))
+            v = self.store.read("vectors").filter((F.col("agent_id") == agent) & (F.col("kind") == "wiki_page"))
+            v = v.select("agent_id", "id", F.xxhash64("id").alias("ord"), "kind", F.col("embedding").alias("v"))
+            near = K.top_k(asked.select("id", "agent_id", F.lit(0).cast("long").alias("ord"), "v"), v, k, scope=["agent_id"])
+            found = scratch(self.spark)(pages.join(near.select("agent_id", "id", "rank"), ["agent_id", "id"]), "near_pages")
+            if found.limit(1).count():
+                return found.orderBy("rank").drop("rank")
+        return L.search_pages(pages, text, k)
 
     def ip_query(self, agent: str, text: str, top_k: int = 3) -> DataFrame:
         """Points with the pages that they have, as text."""
@@ -128,37 +144,201 @@ class Engine:
     def next_unprocessed(self, agent: str) -> DataFrame:
         return self.store.read("session_transcripts").filter((F.col("agent_id") == agent) & F.col("processed_at").isNull()).orderBy("received_at", "session_id").limit(1)
 
+    def contradictions(self, agent: str) -> DataFrame:
+        return self.store.read("contradictions").filter(F.col("agent_id") == agent).orderBy("created_at", "id")
+
+    def edges(self, agent: str) -> DataFrame:
+        return self.store.read("edges").filter(F.col("agent_id") == agent).orderBy(F.col("weight").desc(), "source_id", "target_id", "kind")
+
+    def review_pages(self, agent: str) -> DataFrame:
+        """What a reviewer sees of a page."""
+        return self.store.read("wiki_pages").filter(F.col("agent_id") == agent).select("id", "title", F.col("body_md").alias("body"), "status", "tags", "sources")
+
+    def verify_claims(self, claims: DataFrame, evidence: DataFrame) -> DataFrame:
+        """claims (any keys, text) with status, confidence and reason: a model's verdict on each text with its evidence (text, snippet). Without evidence, or
+        where the answer fails, unknown."""
+        read = F.from_json(strip_fence("answer"), VERDICTS["audit"])
+        told = evidence.groupBy("text").agg(F.array_join(F.sort_array(F.collect_list("snippet")), "\n").alias("found"))
+        asked = claims.select("text").distinct().join(told, "text")
+        prompt = F.concat(F.lit("Does the evidence bear this out? Answer as JSON with status (supported, contested, unknown), confidence and reason.\nClaim: "), "text", F.lit("\nEvidence:\n"), "found")
+        answers = self.ask(asked.select("text", prompt.alias("prompt"))).select("text", read.alias("a")) if self.chat else asked.select("text", F.lit(None).cast(VERDICTS["audit"]).alias("a"))
+        status = C.enum(F.col("a.status"), C.RELIABILITY, C.RELIABILITY_ELSE)
+        out = claims.join(answers, "text", "left")
+        return out.select(*claims.columns, status.alias("status"), C.given_confidence(F.coalesce("a.confidence", F.lit(0.0))).alias("confidence"), F.coalesce("a.reason", F.lit("")).alias("reason"))
+
+    def review(self, drafts: DataFrame, limit: int = 5) -> DataFrame:
+        """drafts (q, agent_id, id, draft) with summary and suggestions (type, page_id, message) of a model that sees the draft beside the page it
+        names and the pages its words find. Empty where the answer fails."""
+        pages = self.store.read("wiki_pages")
+        hits = R.full_text_fallback(drafts.select(F.col("q"), "agent_id", F.col("draft").alias("text")), self.store.read("interest_points").limit(0), pages, limit)
+        near = V.related_pages(drafts.select("q", "agent_id", "id"), hits.withColumnRenamed("place", "rank"), pages, limit)
+        shown = near.join(drafts.select("q", "agent_id"), "q").join(pages.select("agent_id", "id", "title", "body_md"), ["agent_id", "id"])
+        told = shown.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("place", F.concat_ws("\n", "id", "title", "body_md").alias("t")))).alias("x"))
+        seen = F.coalesce(F.array_join(F.transform("x", lambda p: p.t), "\n---\n"), F.lit(""))
+        prompt = F.concat(F.lit("Review this draft beside these pages; answer as JSON with summary and suggestions (type, page_id, message).\n"), "draft", F.lit("\n---\n"), seen)
+        answers = self.ask(drafts.join(told, "q", "left").select("q", prompt.alias("prompt"))).select("q", F.from_json(strip_fence("answer"), VERDICTS["review"]).alias("a"))
+        out = drafts.join(answers, "q", "left")
+        none = F.array().cast("array<struct<type:string,page_id:string,message:string>>")
+        return out.select(*drafts.columns, F.coalesce("a.summary", F.lit("")).alias("summary"), F.coalesce("a.suggestions", none).alias("suggestions"))
+
+    def job(self, jobs: DataFrame, agent: str, job_id: str) -> DataFrame:
+        """The job of that id, if it is the agent's own."""
+        return jobs.filter((F.col("id") == job_id) & (F.col("agent_id") == agent))
+
     # Writes
 
     def save_edges(self, edges: DataFrame) -> None:
         """edges with seq: contradicts in both directions, the last of equal keys."""
         self.store.upsert("edges", add_edge_pairs(edges).drop("seq"))
 
-    def persist(self, changes: DataFrame, now: Column) -> None:
-        """Applies P.adjudicate's changes: new and updated points, archived ones (also out of the vectors), and the log."""
+    def save_vectors(self, vectors: DataFrame) -> None:
+        """vectors: id, agent_id, kind ('': wiki_page), v. Stored with length one; a vector whose dimension isn't the store's is refused."""
+        some = vectors.filter("v is not null and exists(v, x -> x != 0)")
+        known = {r[0] for r in self.store.read("vectors").select(F.size("embedding")).distinct().limit(2).collect()}
+        new = {r[0] for r in some.select(F.size("v")).distinct().limit(2).collect()}
+        if len(known | new) > 1:
+            raise ValueError(f"vectors of different dimensions: {sorted(known | new)}")
+        kind = F.coalesce(F.nullif("kind", F.lit("")), F.lit("wiki_page"))
+        self.store.upsert("vectors", some.select("id", "agent_id", kind.alias("kind"), unit(F.col("v")).cast("array<float>").alias("embedding")))
+
+    def persist(self, changes: DataFrame, now: Column, details: DataFrame | None = None, contradictions: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
+        """Applies P.adjudicate's changes, and returns what each point became: agent_id, id, action, and the columns of interest_points.
+
+        An update starts from the stored point and replaces only what the change names; an archived point only changes its status, and
+        loses its vector; a created one takes its confidence from its importance and is unknown in reliability and freshness. details: agent_id, id and any
+        further columns of created points (subjective, wiki_worthy, turn ranges, sessions). contradictions: rows of P.resolve_contradictions,
+        stored with an edge in both directions. vectors (agent_id, id, v): those of created and updated points, stored, and related to one another
+        where they are similar enough. Edges and vectors come after the points, and the log comes last.
+        """
+        write, c = scratch(self.spark), self.config.fork
         last = changes.withColumn("_o", F.when(F.col("action") == "archive", 2).when(F.col("action") == "update", 1).otherwise(0))
-        old = self.store.read("interest_points").select("agent_id", "id", F.col("first_seen_at").alias("_f"))
-        keyed = last.groupBy("agent_id", "id").agg(F.max_by(F.struct("action", "name", "summary", "importance", "keywords", "seen_count", "event_time"), "_o").alias("x")).select("agent_id", "id", "x.*")
-        rows = keyed.join(old, ["agent_id", "id"], "left").withColumn("status", F.when(F.col("action") == "archive", "archived").otherwise("active")).withColumns({"first_seen_at": F.coalesce("_f", now), "last_seen_at": now, "updated_at": now})
-        rows = scratch(self.spark)(rows, "changes")
-        self.store.upsert("interest_points", rows)
+        named = ["action", "name", "summary", "importance", "keywords", "seen_count", "event_time"]
+        keyed = last.groupBy("agent_id", "id").agg(F.max_by(F.struct(*named), "_o").alias("x"))
+        columns = schema("interest_points").names
+        old = self.store.read("interest_points").select("agent_id", "id", F.struct(*columns).alias("o"))
+        rows = keyed.join(old, ["agent_id", "id"], "left")
+        if details is not None:
+            more = [x for x in details.columns if x in columns and x not in ("agent_id", "id")]
+            rows = rows.join(details.select("agent_id", "id", F.struct(*more).alias("d")), ["agent_id", "id"], "left")
+        action = F.col("x.action")
+        created, archived = (action == "create") | F.col("o.id").isNull(), action == "archive"
+        fresh = {
+            "confidence": F.col("x.importance"), "reliability_status": F.lit("unknown"), "freshness_level": F.lit("unknown"), "first_seen_at": now,
+            "subjective": F.lit(False), "source_session_ids": F.array().cast("array<string>"), "evidence": F.array(),
+        }
+        given = {x: F.col(f"d.{x}") for x in more} if details is not None else {}
+        stamps = {"status": F.lit("active"), "last_seen_at": now, "updated_at": now}
+        out = []
+        for f in schema("interest_points").fields:
+            if f.name in ("agent_id", "id"):
+                continue
+            stored = F.col(f"o.{f.name}")
+            new = F.coalesce(*[x for x in (given.get(f.name), fresh.get(f.name)) if x is not None], F.lit(None)).cast(f.dataType)
+            changed = stamps.get(f.name, F.col(f"x.{f.name}") if f.name in named else None)
+            value = F.when(created, new if changed is None else changed).otherwise(stored if changed is None else changed)
+            kept = F.when(archived, F.lit("archived") if f.name == "status" else now if f.name == "updated_at" else stored).otherwise(value)
+            out.append(kept.cast(f.dataType).alias(f.name))
+        rows = write(rows.select("agent_id", "id", action.alias("action"), *out), "changes")
+        self.store.upsert("interest_points", rows.drop("action"))
         self.store.delete("vectors", rows.filter("action = 'archive'").select("agent_id", F.lit("interest_point").alias("kind"), "id"))
+
+        edges = []
+        if contradictions is not None:
+            found = write(contradictions, "contradictions")
+            self.store.upsert("contradictions", found)
+            edges.append(found.select("agent_id", F.col("left_id").alias("source_id"), F.col("right_id").alias("target_id"), F.lit("contradicts").alias("kind"), F.lit(1.0).alias("weight"), now.alias("created_at"), F.lit(0).alias("seq")))
+        if vectors is not None:
+            alive = rows.filter("action != 'archive'").select("agent_id", "id")
+            kept = write(vectors.join(alive, ["agent_id", "id"], "left_semi").filter("v is not null"), "kept_vectors")
+            self.save_vectors(kept.select("id", "agent_id", F.lit("interest_point").alias("kind"), "v"))
+            near = P.related_edges(kept.select("agent_id", "id", F.xxhash64("id").alias("ord"), "v"), c.similarity_relate, now)
+            edges.append(near.withColumn("seq", F.lit(1)))
+        if edges:
+            self.save_edges(reduce(DataFrame.unionByName, edges))
         log = rows.select(hash_id("agent_id", "id", now.cast("string")).alias("id"), "agent_id", now.alias("created_at"), F.lit("interest_point").alias("entity_kind"), F.col("id").alias("entity_id"), F.col("name").alias("title"), "action")
         self.store.append_log(log, self.config.log_retain)
+        return rows
+
+    def ask(self, prompts: DataFrame) -> DataFrame:
+        return providers.ask(prompts, self.chat)
+
+    def embed(self, texts: DataFrame) -> DataFrame:
+        return providers.embed(texts, self.embedder)
+
+    def process_next(self, now: Column) -> int:
+        """Processes the oldest unprocessed session of each agent, and says how many these were: candidates, merging, clustering,
+        adjudication, points, edges, and, where the wiki is on, pages, their links and the pages around them.
+        A session is marked as processed at the very end, so that one that fails is taken again. Without providers, and for sessions without turns or
+        candidates, only the mark is set.
+        """
+        write = scratch(self.spark)
+        sessions = write(Z.oldest_unprocessed(self.store.read("session_transcripts")), "sessions")
+        n = sessions.count()
+        if n and self.chat and self.embedder:
+            found = write(Z.extract(sessions, self.ask, self.config), "candidates")
+            if found.limit(1).count():
+                self._consolidate(sessions, found, now, write)
+        if n:
+            self.store.mark_processed(sessions, now)
+        return n
+
+    def _consolidate(self, sessions: DataFrame, found: DataFrame, now: Column, write: Callable[[DataFrame, str], DataFrame]) -> None:
+        c = self.config
+        points = Z.merge_candidates(found, self.ask, self.embed, c, write)
+        stored = self.store.read("interest_points")
+        related = Z.relate(points, self.store.read("vectors"), c, write)
+        verdicts = Z.ask_adjudication(points, related, stored, self.ask, write)
+        changes = write(Z.changes_of(verdicts, stored, now), "all_changes")
+        sides = P.resolve_contradictions(verdicts["contradictions"], verdicts["members"].select("agent_id", "component", "topic"), verdicts["history"], now)
+        details = points.select(
+            "agent_id", "id", "subjective", F.col("start").alias("turn_range_start"), F.col("end").alias("turn_range_end"), F.col("worthy").alias("wiki_worthy"), F.array("session_id").alias("source_session_ids")
+        )
+        texts = changes.filter("action != 'archive'").select("agent_id", "id", candidate_text("name", "summary").alias("text"))
+        vectors = write(self.embed(texts).select("agent_id", "id", "v").dropDuplicates(["agent_id", "id"]), "new_vectors")
+        rows = self.persist(changes, now, details, sides, vectors)
+        if not c.wiki_enabled:
+            return
+        alive = rows.filter("action != 'archive'").join(vectors, ["agent_id", "id"], "left")
+        alive = alive.withColumnsRenamed({"turn_range_start": "start", "turn_range_end": "end"})
+        drafts = write(Z.draft_pages(alive, sessions, self.ask, c, write), "drafts")
+        self.wiki_write(drafts, now)
+        touched = write(drafts.select("agent_id", normalize_id("id").alias("id")).distinct(), "touched")
+        self.rebuild_links(touched, now)
+        seeds = touched.unionByName(rows.filter("action = 'archive'").select("agent_id", "id"))
+        again = write(Z.reconcile(seeds, self.store.read("edges"), self.store.read("wiki_pages"), self.ask, c), "rewrites")
+        if again.limit(1).count():
+            self.wiki_write(again, now)
+            self.rebuild_links(again.select("agent_id", "id").distinct(), now)
+
+    def process_all(self, now: Column, most: int = 1000) -> int:
+        """process_next until no session is left (an agent's sessions in order of receipt), or `most` rounds."""
+        done = 0
+        for _ in range(most):
+            n = self.process_next(now)
+            if not n:
+                break
+            done += n
+        return done
 
     def wiki_write(self, writes: DataFrame, now: Column) -> None:
+        """Page writes, each page once: pages, the edges of their points, claims, vectors (with an embedder) and the log."""
         out = P.write_pages(writes, self.store.read("wiki_pages"), now)
         for table in ("wiki_pages", "edges", "claims"):
             self.store.upsert(table, out[table])
+        if self.embedder:
+            v = scratch(self.spark)(self.embed(out["texts"]), "page_vectors")
+            self.save_vectors(v.select("id", "agent_id", F.lit("wiki_page").alias("kind"), "v"))
         self.store.append_log(out["change_log"], self.config.log_retain)
 
     def rebuild_links(self, touched: DataFrame, now: Column, strict_parity: bool = False) -> None:
+        base = {t: self.store.version(t) for t in ("edges", "pending_links")}
         edges, pending = G.rebuild_links(touched, self.store.read("wiki_pages"), self.store.read("edges"), self.store.read("pending_links"), now, strict_parity)
-        self.store.write("edges", edges)
-        self.store.write("pending_links", pending)
+        write = scratch(self.spark)
+        for table, rows in [(t, write(df, t)) for t, df in (("edges", edges), ("pending_links", pending))]:
+            self.store.write(table, rows, base[table])
 
     def prune_logs(self, default_cap: int, caps: DataFrame | None = None) -> None:
-        self.store.write("change_log", retain_newest(self.store.read("change_log"), default_cap, caps))
+        self.store.update("change_log", lambda old: retain_newest(old, default_cap, caps))
 
     def windows(self, transcripts: DataFrame) -> DataFrame:
         """The windows of transcripts by the configured route: agent_id, session_id, win_no, role, content, idx."""
