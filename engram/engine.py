@@ -20,7 +20,7 @@ from engram.operators import windows as W
 from engram.plans import consolidate as P
 from engram.plans import process as Z
 from engram.plans import recall as R
-from engram.schemas import VERDICTS, schema
+from engram.schemas import VERDICTS
 from engram.sources import providers
 from engram.sources.scratch import scratch
 from engram.sources.store import Store, add_edge_pairs, retain_newest
@@ -211,34 +211,7 @@ class Engine:
         where they are similar enough. Edges and vectors come after the points, and the log comes last.
         """
         write, c = scratch(self.spark), self.config.fork
-        last = changes.withColumn("_o", F.when(F.col("action") == "archive", 2).when(F.col("action") == "update", 1).otherwise(0))
-        named = ["action", "name", "summary", "importance", "keywords", "seen_count", "event_time"]
-        keyed = last.groupBy("agent_id", "id").agg(F.max_by(F.struct(*named), "_o").alias("x"))
-        columns = schema("interest_points").names
-        old = self.store.read("interest_points").select("agent_id", "id", F.struct(*columns).alias("o"))
-        rows = keyed.join(old, ["agent_id", "id"], "left")
-        if details is not None:
-            more = [x for x in details.columns if x in columns and x not in ("agent_id", "id")]
-            rows = rows.join(details.select("agent_id", "id", F.struct(*more).alias("d")), ["agent_id", "id"], "left")
-        action = F.col("x.action")
-        created, archived = (action == "create") | F.col("o.id").isNull(), action == "archive"
-        fresh = {
-            "confidence": F.col("x.importance"), "reliability_status": F.lit("unknown"), "freshness_level": F.lit("unknown"), "first_seen_at": now,
-            "subjective": F.lit(False), "source_session_ids": F.array().cast("array<string>"), "evidence": F.array(),
-        }
-        given = {x: F.col(f"d.{x}") for x in more} if details is not None else {}
-        stamps = {"status": F.lit("active"), "last_seen_at": now, "updated_at": now}
-        out = []
-        for f in schema("interest_points").fields:
-            if f.name in ("agent_id", "id"):
-                continue
-            stored = F.col(f"o.{f.name}")
-            new = F.coalesce(*[x for x in (given.get(f.name), fresh.get(f.name)) if x is not None], F.lit(None)).cast(f.dataType)
-            changed = stamps.get(f.name, F.col(f"x.{f.name}") if f.name in named else None)
-            value = F.when(created, new if changed is None else changed).otherwise(stored if changed is None else changed)
-            kept = F.when(archived, F.lit("archived") if f.name == "status" else now if f.name == "updated_at" else stored).otherwise(value)
-            out.append(kept.cast(f.dataType).alias(f.name))
-        rows = write(rows.select("agent_id", "id", action.alias("action"), *out), "changes")
+        rows = write(P.changed_points(changes, self.store.read("interest_points"), now, details), "changes")
         self.store.upsert("interest_points", rows.drop("action"))
         self.store.delete("vectors", rows.filter("action = 'archive'").select("agent_id", F.lit("interest_point").alias("kind"), "id"))
 

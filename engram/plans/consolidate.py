@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from engram.functions.text import hash_id, relink, truncate_utf8
 from engram.operators.vectors import similar_pairs
+from engram.schemas import schema
 
 
 def apply_merges(candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -57,6 +58,36 @@ def adjudicate(members: DataFrame, decisions: DataFrame, points: DataFrame, now:
     return made.unionByName(back).unionByName(updated).unionByName(archived)
 
 
+def changed_points(changes: DataFrame, stored: DataFrame, now: Column, details: DataFrame | None = None) -> DataFrame:
+    """The rows of interest_points that changes (see adjudicate) make, one per agent_id and id, with action: archiving comes last, so it prevails, then
+    updates. An update starts from the stored row and replaces what the change names; an archived point changes its status only; a created one takes its
+    confidence from its importance and is unknown in reliability and freshness. details: agent_id, id, further columns of created points."""
+    rank = F.when(F.col("action") == "archive", 2).when(F.col("action") == "update", 1).otherwise(0)
+    named = ["action", "name", "summary", "importance", "keywords", "seen_count", "event_time"]
+    keyed = changes.withColumn("_o", rank).groupBy("agent_id", "id").agg(F.max_by(F.struct(*named), "_o").alias("x"))
+    fields = [f for f in schema("interest_points").fields if f.name not in ("agent_id", "id")]
+    rows = keyed.join(stored.select("agent_id", "id", F.struct("id", *[f.name for f in fields]).alias("o")), ["agent_id", "id"], "left")
+    given: dict[str, Column] = {}
+    if details is not None:
+        more = [f.name for f in fields if f.name in details.columns]
+        rows = rows.join(details.select("agent_id", "id", F.struct(*more).alias("d")), ["agent_id", "id"], "left")
+        given = {c: F.col(f"d.{c}") for c in more}
+    action = F.col("x.action")
+    fresh = {
+        "confidence": F.col("x.importance"), "reliability_status": F.lit("unknown"), "freshness_level": F.lit("unknown"), "first_seen_at": now,
+        "subjective": F.lit(False), "source_session_ids": F.array().cast("array<string>"), "evidence": F.array(),
+    }
+    changed = {c: F.col(f"x.{c}") for c in named[1:]} | {"status": F.lit("active"), "last_seen_at": now, "updated_at": now}
+    archived = {"status": F.lit("archived"), "updated_at": now}
+    out = []
+    for f in fields:
+        c, old = f.name, F.col(f"o.{f.name}")
+        new = F.coalesce(*[x for x in (given.get(c), fresh.get(c)) if x is not None], F.lit(None)).cast(f.dataType)
+        value = F.when((action == "create") | F.col("o.id").isNull(), changed.get(c, new)).otherwise(changed.get(c, old))
+        out.append(F.when(action == "archive", archived.get(c, old)).otherwise(value).cast(f.dataType).alias(c))
+    return rows.select("agent_id", "id", action.alias("action"), *out)
+
+
 def resolve_contradictions(sides: DataFrame, members: DataFrame, component_history: DataFrame, now: Column) -> DataFrame:
     """sides (agent_id, component, left, right, description) as rows of contradictions: a side is a historical id of its component, else a member's
     topic; pairs with an unknown or the same side are dropped. The id comes from the agent and both sides, so that all pairs are kept apart."""
