@@ -67,9 +67,11 @@ class Workspace:
                 fs.delete(status.getPath(), True)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Python workers get at most this many rows at once, so that a worker's memory doesn't follow the text length."""
+def small_batches(spark: SparkSession, rows: int = 500, size: int = 8 << 20) -> None:
+    """Python workers get at most so many rows and bytes at once (but a whole row always), so that a worker's memory doesn't follow the length
+    of texts. The settings are the session's; plans that are built later read them when they run."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def maybe_broadcast(small: DataFrame) -> DataFrame:
