@@ -67,10 +67,16 @@ class Config:
     job_timeout_minutes: int = 45
     excluded_boards: tuple[str, ...] = ()
     wiki_enabled: bool = True
+    mode: str = "both"  # what a client does: input (it pushes sessions), output (it reads), or both
+    port: int = 8080
+
+    def __post_init__(self) -> None:
+        if self.mode not in ("both", "input", "output"):
+            raise ValueError(f"unknown mode {self.mode}")
 
 
 def load(text: str = "", env: dict[str, str] | None = None) -> Config:
-    """JSON over the defaults; ENGRAM_ROOT overrides the root."""
+    """JSON over the defaults; ENGRAM_ROOT, ENGRAM_MODE and ENGRAM_PORT override root, mode and port."""
     given = json.loads(text) if text.strip() else {}
     config = Config()
     for f in fields(Config):
@@ -78,5 +84,7 @@ def load(text: str = "", env: dict[str, str] | None = None) -> Config:
             old = getattr(config, f.name)
             new = replace(old, **given[f.name]) if isinstance(given[f.name], dict) else type(old)(given[f.name])
             config = replace(config, **{f.name: new})
-    root = (os.environ if env is None else env).get("ENGRAM_ROOT")
-    return replace(config, root=root) if root else config
+    for f in ("root", "mode", "port"):
+        if value := (os.environ if env is None else env).get(f"ENGRAM_{f.upper()}"):
+            config = replace(config, **{f: type(getattr(config, f))(value)})
+    return config

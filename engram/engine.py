@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from functools import reduce
 
@@ -15,8 +16,9 @@ from engram.functions.vectors import unit
 from engram.operators import graph as G
 from engram.operators import lookups as L
 from engram.operators import vectors as K
-from engram.operators import view as V
+from engram.operators import results as V
 from engram.operators import windows as W
+from engram.operators.view import Remembered, related_pages
 from engram.plans import consolidate as P
 from engram.plans import process as Z
 from engram.plans import recall as R
@@ -32,20 +34,29 @@ class Engine:
 
     def __init__(self, spark: SparkSession, config: Config | None = None, embedder: Callable[[], providers.EmbedProvider] | None = None, chat: Callable[[], providers.ChatProvider] | None = None):
         self.spark, self.config = spark, config or Config()
-        self.store, self.embedder, self.chat = Store(spark, self.config.root), embedder, chat
+        self.store, self.chat = Store(spark, self.config.root), chat
+        self.embedder = providers.remembering(embedder) if embedder else None
+        self.recalled = Remembered(512, 30.0, time.monotonic)
 
     # Reads
 
-    def _visible(self, queries: DataFrame) -> DataFrame:
-        """queries by the namespaces their agent sees: q, reader, agent_id (namespace), ns_ord, text."""
-        mode, readers = self.config.namespaces.mode, queries.select(F.col("agent_id").alias("reader")).distinct()
+    def _namespaces(self, readers: DataFrame) -> DataFrame:
+        """What readers (reader) see: reader, ns, ord, their own first. In mode all these are all agents that have written anything, which is a list
+        per reader by definition."""
+        mode = self.config.namespaces.mode
         if mode == "all":
             every = L.list_agents(self.store.read("interest_points"), self.store.read("wiki_pages")).select(F.col("agent_id").alias("ns"))
-            shared = readers.join(every, F.lit(True)).select("reader", "ns", F.lit(1).alias("ord"))
+            listed = every.agg(F.sort_array(F.collect_set("ns")).alias("all"))
+            shared = readers.join(listed, F.lit(True)).select("reader", F.explode("all").alias("ns"), F.lit(1).alias("ord"))
         else:
-            listed = [(a, ns, i + 1) for a, spaces in self.config.namespaces.visible.items() for i, ns in enumerate(spaces)] if mode == "custom" else []
-            shared = self.spark.createDataFrame(listed, "reader string, ns string, ord int")
-        seen = R.visible_namespaces(readers, shared).select("reader", F.col("ns").alias("agent_id"), F.col("ord").alias("ns_ord"))
+            rows = [(a, ns, i + 1) for a, spaces in self.config.namespaces.visible.items() for i, ns in enumerate(spaces)] if mode == "custom" else []
+            shared = self.spark.createDataFrame(rows, "reader string, ns string, ord int")
+        return R.visible_namespaces(readers, shared)
+
+    def _visible(self, queries: DataFrame) -> DataFrame:
+        """queries by the namespaces their agent sees: q, reader, agent_id (namespace), ns_ord, text."""
+        seen = self._namespaces(queries.select(F.col("agent_id").alias("reader")).distinct())
+        seen = seen.select("reader", F.col("ns").alias("agent_id"), F.col("ord").alias("ns_ord"))
         return queries.withColumnRenamed("agent_id", "reader").join(seen, "reader")
 
     def retrieve(self, queries: DataFrame, k: int) -> DataFrame:
@@ -62,8 +73,10 @@ class Engine:
         return hits.join(q.select("q", "agent_id", "reader", "ns_ord"), ["q", "agent_id"])
 
     def recall(self, queries: DataFrame, now: Column, after: Column | None = None, before: Column | None = None, days: int = 0, include_wiki: bool = False) -> DataFrame:
-        """One text per query: q, text."""
+        """One text per query: q, text. A client that only writes (mode input) is told nothing."""
         c = self.config.recall
+        if self.config.mode == "input":
+            return self.spark.createDataFrame([], "q string, text string")
         points, pages, edges, claims = (self.store.read(t) for t in ("interest_points", "wiki_pages", "edges", "claims"))
         wiki = self.config.wiki_enabled and (include_wiki or c.include_wiki)
         hits = R.event_times(R.rerank(self.retrieve(queries, c.top_k), c.top_k), points, pages)
@@ -72,23 +85,45 @@ class Engine:
         graded = R.regroup_by_agent(R.grade(moved, points, pages, claims))
         return R.recall_text(graded, own=F.col("reader")).withColumn("text", wrap_memory("text"))
 
+    def recall_one(self, agent: str, text: str, now: Column, after: str = "", before: str = "", days: int = 0) -> str:
+        """The text of one query. It is kept for a while under all that it depends on; a write of this engine forgets what was kept."""
+        c = self.config.recall
+        at = lambda t: F.lit(t).cast("timestamp") if t else None
+        queries = self.spark.createDataFrame([("q", agent, text)], "q string, agent_id string, text string")
+        if self.embedder:
+            queries = self.embed(queries)
+
+        def make() -> str:
+            row = self.recall(queries, now, at(after), at(before), days).first()
+            return row.text if row else ""
+
+        return self.recalled.get((agent, text, c.top_k, c.include_wiki, c.min_score, after, before, days), make)
+
     def search(self, queries: DataFrame) -> DataFrame:
-        """Whole documents per query: q, rank, id, kind, title, body."""
+        """Whole documents per query: q, rank, score, the columns of entry_results, and links; archived ones are replaced by what follows them."""
         k = self.config.search.top_k
         points, pages = self.store.read("interest_points"), self.store.read("wiki_pages")
         hits = R.rerank(self.retrieve(queries, k), k)
         moved = R.substitute(hits, self.store.read("edges"), points, pages).drop("id", "kind").withColumnsRenamed({"new_id": "id", "new_kind": "kind"})
-        texts = points.select("agent_id", "id", F.lit("interest_point").alias("kind"), F.col("name").alias("title"), F.col("summary").alias("body"))
-        texts = texts.unionByName(pages.select("agent_id", "id", F.lit("wiki_page").alias("kind"), "title", F.col("body_md").alias("body")))
-        return moved.join(texts, ["agent_id", "id", "kind"]).select("q", "rank", "agent_id", "id", "kind", "score", "title", F.substring("body", 1, self.config.search.max_body_len).alias("body"))
+        found = self._results(self.config.search.max_body_len)
+        rows = moved.drop("status").join(found, ["agent_id", "id", "kind"])
+        rows = V.with_edges(rows, self.store.read("edges"), points, pages)
+        return rows if self.config.wiki_enabled else rows.filter("kind != 'wiki_page'")
+
+    def _results(self, max_body: int) -> DataFrame:
+        return V.entry_results(self.store.read("interest_points"), self.store.read("wiki_pages"), self.store.read("claims"), max_body)
 
     def get(self, ids: DataFrame) -> DataFrame:
-        """Entries (agent_id, id) with status, and what replaces archived ones: agent_id, id, kind, title, status, replacement."""
-        points, pages = self.store.read("interest_points"), self.store.read("wiki_pages")
-        both = points.select("agent_id", "id", F.lit("interest_point").alias("kind"), F.col("name").alias("title"), "status").unionByName(pages.select("agent_id", "id", F.lit("wiki_page").alias("kind"), "title", "status"))
-        found = L.by_ids(both, ids)
-        after = G.resolve_replacements(found.filter("status = 'archived'"), self.store.read("edges"), points)
-        return found.join(after.select("agent_id", "id", "replacement"), ["agent_id", "id"], "left")
+        """Entries by id (agent_id, id), each from the first namespace that its agent sees it in: agent_id, id, namespace, the columns of entry_results, links,
+        and for archived ones, which are returned as they are, the replacement (struct)."""
+        points, pages, edges = (self.store.read(t) for t in ("interest_points", "wiki_pages", "edges"))
+        asked = ids.select(F.col("agent_id").alias("reader"), "id").distinct()
+        seen = self._namespaces(asked.select("reader").distinct())
+        found = scratch(self.spark)(V.first_visible(self._results(self.config.search.max_body_len), seen, asked), "found")
+        linked = V.with_edges(found, edges, points, pages)
+        gone = found.filter("status not in ('', 'active')").select("agent_id", "id")
+        after = V.replacement_refs(gone, edges, points, pages)
+        return linked.join(after, ["agent_id", "id"], "left").withColumnsRenamed({"agent_id": "namespace", "reader": "agent_id"})
 
     def memory_search(self, queries: DataFrame | None = None, ids: DataFrame | None = None) -> DataFrame:
         """By id if ids are given, else by query."""
@@ -152,7 +187,7 @@ class Engine:
 
     def review_pages(self, agent: str) -> DataFrame:
         """What a reviewer sees of a page."""
-        return self.store.read("wiki_pages").filter(F.col("agent_id") == agent).select("id", "title", F.col("body_md").alias("body"), "status", "tags", "sources")
+        return V.review_pages(self.store.read("wiki_pages").filter(F.col("agent_id") == agent)).drop("agent_id")
 
     def verify_claims(self, claims: DataFrame, evidence: DataFrame) -> DataFrame:
         """claims (any keys, text) with status, confidence and reason: a model's verdict on each text with its evidence (text, snippet). Without evidence, or
@@ -171,7 +206,7 @@ class Engine:
         names and the pages its words find. Empty where the answer fails."""
         pages = self.store.read("wiki_pages")
         hits = R.full_text_fallback(drafts.select(F.col("q"), "agent_id", F.col("draft").alias("text")), self.store.read("interest_points").limit(0), pages, limit)
-        near = V.related_pages(drafts.select("q", "agent_id", "id"), hits.withColumnRenamed("place", "rank"), pages, limit)
+        near = related_pages(drafts.select("q", "agent_id", "id"), hits.withColumnRenamed("place", "rank"), pages, limit)
         shown = near.join(drafts.select("q", "agent_id"), "q").join(pages.select("agent_id", "id", "title", "body_md"), ["agent_id", "id"])
         told = shown.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("place", F.concat_ws("\n", "id", "title", "body_md").alias("t")))).alias("x"))
         seen = F.coalesce(F.array_join(F.transform("x", lambda p: p.t), "\n---\n"), F.lit(""))
@@ -183,7 +218,11 @@ class Engine:
 
     def job(self, jobs: DataFrame, agent: str, job_id: str) -> DataFrame:
         """The job of that id, if it is the agent's own."""
-        return jobs.filter((F.col("id") == job_id) & (F.col("agent_id") == agent))
+        return V.own_jobs(self.spark.createDataFrame([(agent, job_id)], "agent_id string, id string"), jobs)
+
+    def fork(self, agent: str) -> DataFrame:
+        """The session that processing would take next for an agent, with its windows: session_id, win_no, role, content, idx."""
+        return self.windows(self.next_unprocessed(agent)).drop("agent_id")
 
     # Writes
 
@@ -230,6 +269,7 @@ class Engine:
             self.save_edges(reduce(DataFrame.unionByName, edges))
         log = rows.select(hash_id("agent_id", "id", now.cast("string")).alias("id"), "agent_id", now.alias("created_at"), F.lit("interest_point").alias("entity_kind"), F.col("id").alias("entity_id"), F.col("name").alias("title"), "action")
         self.store.append_log(log, self.config.log_retain)
+        self.recalled.rows.clear()
         return rows
 
     def ask(self, prompts: DataFrame) -> DataFrame:

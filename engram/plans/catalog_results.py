@@ -132,7 +132,7 @@ def cache_keys(fx: Fixtures) -> DataFrame:
     return e.select("event_id", key.alias("recall_key"), R.embed_key(F.lit("m"), F.lit(64), F.col("props")).alias("embed_key"))
 
 
-@query("""with l as (select user_id, event_type, max_by(value, (ts, cast(value as varchar))) as f from events group by 1, 2)
+@query("""with l as (select user_id, event_type, max_by(value, (ts, cast(cast(floor(value) as bigint) as varchar))) as f from events group by 1, 2)
     select cast(user_id as varchar) as agent_id, '{' || string_agg('"' || event_type || '":"' || cast(cast(floor(f) as bigint) as varchar) || '"', ',' order by event_type) || '}' as state from l group by 1""")
 def push_state(fx: Fixtures) -> DataFrame:
     """The newest fingerprint of each session, as one JSON object per agent, and read back from it."""

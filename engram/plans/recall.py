@@ -16,7 +16,7 @@ KEYWORD_SCORE = 0.5
 def keyword_hits(queries: DataFrame, entries: DataFrame, k: int, order: list[Column], status: Column | None = None) -> DataFrame:
     """queries: q, agent_id, text; entries: agent_id, id, kind, body, ...: the first k entries by `order` that a query matches, of these
     the ones that pass `status` (the cut comes first): q, agent_id, id, kind, score, place."""
-    joined = F.broadcast(queries).join(entries, "agent_id").filter(keyword_match("body", "text"))
+    joined = entries.join(queries, "agent_id").filter(keyword_match("body", "text"))
     rank = F.row_number().over(Window.partitionBy("q", "agent_id").orderBy(*order))
     cut = joined.withColumn("place", rank).filter(F.col("place") <= k)
     if status is not None:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -72,6 +74,33 @@ def embed(texts: DataFrame, make: Callable[[], EmbedProvider], batch: int = 64)
     return texts.join(texts.select("text").distinct().mapInPandas(run, "text string, v array<float>"), "text", "left")
 
 
+#: Vectors that a worker keeps.
+KEPT_VECTORS = 4096
+
+
+def remembering(make: Callable[[], EmbedProvider], size: int = KEPT_VECTORS) -> Callable[[], EmbedProvider]:
+    """A factory whose providers keep the vectors of the texts they were asked for last (by content hash): only unknown texts are sent on, in order. A factory stands for one
+    model and dimension, so its vectors never mix with another's."""
+
+    class Remembering:
+        def __init__(self) -> None:
+            self.inner, self.kept = make(), OrderedDict()
+
+        def embed(self, texts: list[str]) -> list[list[float]]:
+            keys = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t in texts]
+            missing = {k: t for k, t in zip(keys, texts, strict=True) if k not in self.kept}
+            new = dict(zip(missing, self.inner.embed(list(missing.values())), strict=True)) if missing else {}
+            out = [new[k] if k in new else self.kept[k] for k in keys]
+            for k, v in zip(keys, out, strict=True):
+                self.kept[k] = v
+                self.kept.move_to_end(k)
+            while len(self.kept) > size:
+                self.kept.popitem(last=False)
+            return out
+
+    return Remembering
+
+
 class TableChat:
     """A provider whose answers are given, for tests and replays."""
 

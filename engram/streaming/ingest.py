@@ -29,9 +29,11 @@ def accept_pushes(pushes: DataFrame, excluded_boards: list[str]) -> DataFrame:
     return ok.select("session_id", "agent_id", "turn_count", "raw_turns", "received_at", rfc3339("session_date").alias("session_date"), F.lit(None).cast("timestamp").alias("processed_at"))
 
 
-def ingest(pushes: DataFrame, store: Store, checkpoint: str, excluded_boards: list[str] | None = None, process: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
+def ingest(pushes: DataFrame, store: Store, checkpoint: str, excluded_boards: list[str] | None = None, process: Callable[[DataFrame], None] | None = None, mode: str = "both") -> StreamingQuery:
     """Upserts accepted pushes into session_transcripts, batch by batch, then hands the new ones to `process`, in order of receipt per agent. A batch that
-    is run again writes the same rows; a session that fails to process stays unprocessed."""
+    is run again writes the same rows; a session that fails to process stays unprocessed. A client that only reads (mode output) pushes nothing."""
+    if mode == "output":
+        raise ValueError("this client only reads")
 
     def batch(df: DataFrame, _: int) -> None:
         rows = latest_per_key(accept_pushes(df, excluded_boards or []), ["agent_id", "session_id"], [F.col("received_at"), F.col("turn_count")])
