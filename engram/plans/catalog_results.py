@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from engram.config import Config
+from engram.engine import Engine
+from engram.functions import coerce as C
+from engram.functions import text as X
 from engram.functions import vectors as V
 from engram.operators import results as R
 from engram.operators import vectors as K
+from engram.operators import view as W
 from engram.plans import consolidate as P
 from engram.plans.fixtures import Fixtures, with_tables
 from engram.plans.registry import query
 from engram.schemas import conform
+from engram.sources.scratch import scratch, scratch_path
 from engram.sources.store import add_edge_pairs
 
 
@@ -139,3 +145,102 @@ def push_state(fx: Fixtures) -> DataFrame:
     e = fx.table("events").select(F.col("user_id").cast("string").alias("agent_id"), F.col("event_type").alias("session_id"), F.floor("value").cast("string").alias("fingerprint"), F.col("ts").alias("received_at"))
     states = R.push_state(e)
     return R.push_state(R.read_state(states).withColumn("received_at", F.lit(0)))
+
+
+@query("""select doc_id, cast(doc_id as varchar) as fenced, case when doc_id % 3 = 0 then lang else lang || chr(10) || source end as candidate, lang || ' ' || source || ' ' || lang as entry,
+    '<memory_context>' || chr(10) || lang || chr(10) || '</memory_context>' as wrapped, case when doc_id % 2 = 0 then source || ' -> ' || lang else source end as archived from documents""")
+def text_forms(fx: Fixtures) -> DataFrame:
+    """Answers without their fence, texts of candidates and entries that are embedded, wrapped memory, log texts of archived entries."""
+    d, i = fx.table("documents"), F.col("doc_id")
+    n = i.cast("string")
+    fenced = F.when(i % 3 == 0, F.concat(F.lit(" ```json\n"), n, F.lit("\n```\n"))).when(i % 3 == 1, F.concat(F.lit("```\n"), n, F.lit("```"))).otherwise(n)
+    return d.select(
+        "doc_id", X.strip_fence(fenced).alias("fenced"), X.candidate_text("lang", F.when(i % 3 == 0, "").otherwise(F.col("source"))).alias("candidate"), X.entry_body("lang", F.array("source", "lang")).alias("entry"),
+        X.wrap_memory("lang").alias("wrapped"), X.describe_archived(F.col("source"), F.when(i % 2 == 0, F.col("lang")).otherwise("")).alias("archived"),
+    )
+
+
+@query("""select event_id, case when event_id % 2 = 0 then event_type || '|x' else '' end as strings, case when event_id % 3 = 0 then 'a-b:related' else '' end as edges,
+    case when event_id % 4 = 0 then 'contested:0.5' when event_id % 4 = 1 then 'supported:0.25' else '' end as claims, case when event_id % 5 = 0 then null else strftime(ts, '%Y-%m-%d %H:%M:%S') end as at, strftime(case when event_id % 5 = 0 then timestamp '2024-01-01' else date_trunc('second', ts) end, '%Y-%m-%d %H:%M:%S') as event_at from events""")
+def decoded_arguments(fx: Fixtures) -> DataFrame:
+    """Lists, edges, claims and dates as tools get them, well-formed or not."""
+    e, i = fx.table("events"), F.col("event_id")
+    kind = F.col("event_type")
+    strings = F.when(i % 2 == 0, F.concat(F.lit('[" '), kind, F.lit(' ", "", "x"]'))).otherwise("no list")
+    edges = F.when(i % 3 == 0, '[{"target_id": " A_B ", "kind": "Related"}, {"target_id": "", "kind": "x"}, {"target_id": "y"}]').otherwise("{")
+    claims = F.when(i % 4 == 0, '```json\n[{"text": "t", "status": "contested", "confidence": 7}, {"text": " "}]\n```').when(i % 4 == 1, '[{"text": "t", "status": "odd", "confidence": 0.25}]').otherwise("7")
+    date = F.when(i % 5 == 0, F.date_format("ts", "yyyy-MM-dd")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    pair = lambda a, b: F.concat(a, F.lit(":"), b.cast("string"))
+    at = C.rfc3339(date)
+    return e.select(
+        "event_id", F.array_join(C.json_list(strings), "|").alias("strings"), F.array_join(F.transform(C.edge_list(edges), lambda x: pair(x.target_id, x.kind)), "|").alias("edges"),
+        F.array_join(F.transform(C.claim_list(claims), lambda x: pair(x.status, x.confidence)), "|").alias("claims"), F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("at"),
+        F.date_format(C.event_time(at, F.lit("2024-01-01").cast("timestamp")), "yyyy-MM-dd HH:mm:ss").alias("event_at"),
+    )
+
+
+@query(with_tables("vecs") + ", q as (select id, v from vecs where ord % 100 = 0) select q.id as q, vecs.label as label, round(max(list_cosine_similarity(q.v, vecs.v)), 6) as affinity from q, vecs group by 1, 2")
+def member_affinity(fx: Fixtures) -> DataFrame:
+    """The largest cosine between a vector and the members of each group."""
+    v = fx.vectors()
+    asked = v.filter("ord % 100 = 0").select(F.col("id").alias("q"), F.col("v").alias("w"))
+    near = v.select("label", "v").join(asked, F.lit(True)).groupBy("q", "label", "w").agg(F.collect_list("v").alias("m"))
+    return near.select("q", "label", F.round(K.affinity(F.col("m"), F.col("w")), 6).alias("affinity"))
+
+
+@query(with_tables("wpages") + " select id, case when title = '' or ord % 4 = 0 then id else title end as title, '{\"agent_id\":\"' || agent_id || '\",\"ord\":' || ord || '}' as body from wpages")
+def hit_bodies(fx: Fixtures) -> DataFrame:
+    """Titles of hits (an id stands in for a missing one), and rows as JSON."""
+    p = fx.pages().withColumn("title", F.when(F.col("ord") % 4 == 0, "").otherwise(F.col("title")))
+    return W.as_json(W.hit_titles(p.select("id", "title", "agent_id", "ord")), ["id", "title"])
+
+
+def _stored(fx: Fixtures) -> Engine:
+    """An engine over a fresh store with points, pages, edges and transcripts."""
+    e = Engine(fx.spark, Config(root=scratch_path(fx.spark, "catalog_store")))
+    e.store.write("interest_points", fx.points())
+    e.store.write("wiki_pages", fx.pages())
+    i = F.col("event_id")
+    e.store.write("edges", fx.table("events").select(F.concat(F.lit("a"), (F.col("user_id") % 3).cast("string")).alias("agent_id"), i.cast("string").alias("source_id"), (i + 1).cast("string").alias("target_id"), F.lit("related").alias("kind"), F.col("value").alias("weight")))
+    return e
+
+
+@query(with_tables("points", "wpages") + """, p as (select 'point' as what, id, row_number() over (order by importance desc, id) as place from points where agent_id = 'src1'), w as (select 'page' as what, id, null::bigint as place from wpages where agent_id = 'src3' and page_type = 'source'),
+    e as (select 'edge' as what, cast(event_id as varchar) as id, row_number() over (order by value desc, cast(event_id as varchar)) as place from events where user_id % 3 = 1)
+    select * from p union all select * from w union all select * from e""")
+def engine_lists(fx: Fixtures) -> DataFrame:
+    """An agent's points by importance, pages of a type, and edges by weight, out of the store."""
+    e = _stored(fx)
+    place = lambda df, *order: df.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    points = place(e.interest_points("src1").select(F.lit("point").alias("what"), "id", "importance"), F.col("importance").desc(), "id").drop("importance")
+    pages = e.wiki_pages("src3", "source").select(F.lit("page").alias("what"), "id", F.lit(None).cast("long").alias("place"))
+    edges = place(e.edges("a1").select(F.lit("edge").alias("what"), F.col("source_id").alias("id"), "weight"), F.col("weight").desc(), "id").drop("weight")
+    return points.unionByName(pages).unionByName(edges)
+
+
+@query(with_tables("points") + """, o as (select id, agent_id, name, ord, ord % 4 as k from points) select id, agent_id, case when k = 1 then 'changed' else name end as name, case when k = 1 then '2024-01-01' else '2023-01-01' end as last_seen, '2023-01-01' as first_seen from o where k != 2
+    union all select 'x' || id, agent_id, 'added', '2024-01-01', '2024-01-01' from o where k = 3""")
+def store_writes(fx: Fixtures) -> DataFrame:
+    """A store after upserts, which keep when a point was first seen, and deletes."""
+    e, k, i = _stored(fx), F.col("ord") % 4, F.col("id")
+    at = lambda t: F.lit(t).cast("timestamp")
+    p = fx.points()
+    e.store.write("interest_points", p.withColumns({"first_seen_at": at("2023-01-01"), "last_seen_at": at("2023-01-01")}))
+    new = p.filter("ord % 4 in (1, 3)").withColumns({"id": F.when(k == 3, F.concat(F.lit("x"), i)).otherwise(i), "name": F.when(k == 3, "added").otherwise("changed"), "first_seen_at": at("2024-01-01"), "last_seen_at": at("2024-01-01")})
+    e.store.upsert("interest_points", new)
+    e.store.delete("interest_points", p.filter("ord % 4 = 2").select("agent_id", "id"))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return e.store.read("interest_points").select("id", "agent_id", "name", day("last_seen_at").alias("last_seen"), day("first_seen_at").alias("first_seen"))
+
+
+@query(with_tables("logs") + """, t as (select 't' || cast(id as varchar) as s, 'a' || (agent_id % 5) as a, created_at as got, id from logs), p as (select *, row_number() over (partition by a order by got, s) as n from t) select s as session_id, a as agent_id, n <= 3 as processed from p""")
+def processed_in_order(fx: Fixtures) -> DataFrame:
+    """Three rounds of processing: each takes the session of every agent that was received first."""
+    from engram.plans.process import oldest_unprocessed
+
+    e = _stored(fx)
+    t = fx.logs().select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("session_id"), F.concat(F.lit("a"), (F.col("agent_id") % 5).cast("string")).alias("agent_id"), F.col("created_at").cast("timestamp").alias("received_at"))
+    e.store.write("session_transcripts", t)
+    for _ in range(3):
+        e.store.mark_processed(scratch(fx.spark)(oldest_unprocessed(e.store.read("session_transcripts")), "oldest"), _now())
+    return e.store.read("session_transcripts").select("session_id", "agent_id", F.col("processed_at").isNotNull().alias("processed"))
