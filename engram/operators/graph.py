@@ -42,16 +42,21 @@ def resolve_replacements(starts: DataFrame, edges: DataFrame, points: DataFrame)
 
 def bfs_hops(seeds: DataFrame, edges: DataFrame, is_page: DataFrame, max_hops: int) -> DataFrame:
     """Nodes within max_hops of the seeds (agent_id, id), with the fewest hops: agent_id, id, hops. Pages (agent_id, id in is_page) go
-    on along all edges both ways; all others along has_page edges only."""
+    on along all edges both ways; all others along has_page edges only. Each frontier is written, so that a hop doesn't compute the earlier ones again,
+    and the walk ends with the first empty one."""
+    write = scratch(seeds.sparkSession)
     out = edges.select("agent_id", F.col("source_id").alias("f"), F.col("target_id").alias("t"), F.lit(True).alias("forward"), "kind")
     ways = out.unionByName(edges.select("agent_id", F.col("target_id").alias("f"), F.col("source_id").alias("t"), F.lit(False).alias("forward"), "kind"))
     pages = is_page.select("agent_id", F.col("id").alias("f")).distinct().withColumn("_page", F.lit(True))
     ways = ways.join(pages, ["agent_id", "f"], "left").filter(F.col("_page").isNotNull() | (F.col("forward") & (F.col("kind") == "has_page"))).select("agent_id", "f", "t").distinct()
-    seen = seeds.select("agent_id", "id").distinct().withColumn("hops", F.lit(0))
+    ways = write(ways, "ways")
+    seen = write(seeds.select("agent_id", "id").distinct().withColumn("hops", F.lit(0)), "hop0")
     frontier = seen
     for hop in range(1, max_hops + 1):
         reached = frontier.select("agent_id", F.col("id").alias("f")).join(ways, ["agent_id", "f"]).select("agent_id", F.col("t").alias("id")).distinct()
-        frontier = reached.join(seen, ["agent_id", "id"], "left_anti").withColumn("hops", F.lit(hop))
+        frontier = write(reached.join(seen, ["agent_id", "id"], "left_anti").withColumn("hops", F.lit(hop)), f"hop{hop}")
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 

@@ -150,5 +150,6 @@ def parse_search_output(results: DataFrame, keys: list[str], limit: int = 5, sni
     lines = F.split("output", "\n")
     link = r"\[([^\]]+)\]\(([^)]+)\)"
     found = F.transform(lines, lambda line, i: F.struct(F.regexp_extract(line, link, 1).alias("title"), F.regexp_extract(line, link, 2).alias("url"), truncate_utf8(trim_space(F.coalesce(F.get(lines, i + 1), F.lit(""))), snippet_bytes).alias("snippet")))
-    items = F.when(is_json, F.coalesce(read, F.array().cast(f"array<{item}>"))).otherwise(F.slice(F.filter(found, lambda x: x.url != ""), 1, limit))
+    items = F.when(is_json, F.coalesce(read, F.array().cast(f"array<{item}>"))).otherwise(F.filter(found, lambda x: x.url != ""))
+    items = F.slice(items, 1, limit)
     return results.select(*keys, F.posexplode(items).alias("pos", "i")).select(*keys, "pos", "i.title", "i.url", "i.snippet")
