@@ -22,6 +22,7 @@ from engram.operators.view import Remembered, related_pages
 from engram.plans import consolidate as P
 from engram.plans import process as Z
 from engram.plans import recall as R
+from engram.plans import session as S
 from engram.schemas import VERDICTS
 from engram.sources import providers
 from engram.sources.scratch import scratch
@@ -313,7 +314,10 @@ class Engine:
             return
         alive = rows.filter("action != 'archive'").join(vectors, ["agent_id", "id"], "left")
         alive = alive.withColumnsRenamed({"turn_range_start": "start", "turn_range_end": "end"})
-        drafts = write(Z.draft_pages(alive, sessions, self.ask, c, write), "drafts")
+        alive = write(alive, "survivors")
+        known = self.store.read("vectors").select("agent_id", "id", F.xxhash64("id").alias("ord"), "kind", F.col("embedding").alias("v"))
+        near = write(S.related_entries(alive, known, self.store.read("interest_points"), self.store.read("wiki_pages")), "related")
+        drafts = write(Z.draft_pages(alive, sessions, near, self.ask, c, write), "drafts")
         self.wiki_write(drafts, now)
         touched = write(drafts.select("agent_id", normalize_id("id").alias("id")).distinct(), "touched")
         self.rebuild_links(touched, now)

@@ -119,13 +119,16 @@ def changes_of(verdicts: dict[str, DataFrame], stored: DataFrame, now: Column) -
     return changed.unionByName(alone)
 
 
-def page_prompt(points: Column, dialog: Column) -> Column:
-    return F.concat(F.lit("Write one page about these points as JSON with id, page_type, title, content, status, tags, sources and claims.\nPoints:\n"), F.array_join(points, "\n"), F.lit("\nDialogue:\n"), dialog)
+def page_prompt(points: Column, related: Column, dialog: Column) -> Column:
+    return F.concat(
+        F.lit("Write one page about these points as JSON with id, page_type, title, content, status, tags, sources and claims.\nPoints:\n"),
+        F.array_join(points, "\n"), F.lit("\nRelated entries: "), F.array_join(related, ", "), F.lit("\nDialogue:\n"), dialog,
+    )
 
 
-def draft_pages(survivors: DataFrame, sessions: DataFrame, ask: Ask, config: Config, write: Write) -> DataFrame:
+def draft_pages(survivors: DataFrame, sessions: DataFrame, related: DataFrame, ask: Ask, config: Config, write: Write) -> DataFrame:
     """survivors (agent_id, id, name, summary, v, wiki_worthy, start, end, event_time) as page writes, one for each unit of similar ones: agent_id, DRAFT's fields and
-    points. A unit whose answer fails gives no page."""
+    points. related: what S.related_entries finds. A unit whose answer fails gives no page."""
     good = survivors.filter(F.coalesce("wiki_worthy", F.lit(True))).withColumn("pid", F.concat_ws("/", "agent_id", "id"))
     vectors = good.filter("v is not null").select("agent_id", F.col("pid").alias("id"), F.xxhash64("pid").alias("ord"), "v")
     units = G.group_points(good.select(F.col("pid").alias("id")), K.similar_pairs(vectors, config.wiki.group_sim, scope=["agent_id"]), write)
@@ -134,9 +137,12 @@ def draft_pages(survivors: DataFrame, sessions: DataFrame, ask: Ask, config: Con
         F.sort_array(F.collect_list("id")).alias("points"), F.sort_array(F.collect_list(F.concat_ws(": ", "name", "summary"))).alias("lines"),
         F.coalesce(F.min("start"), F.lit(0)).alias("start"), F.coalesce(F.max("end"), F.lit(0)).alias("end"),
     )
+    near = rows.select("pid", "agent_id", "component").join(related.withColumnRenamed("q", "pid"), ["agent_id", "pid"])
+    near = near.groupBy("agent_id", "component").agg(F.array_sort(F.collect_set(F.col("id"))).alias("near"))
+    unit = unit.join(near, ["agent_id", "component"], "left").withColumn("near", F.coalesce("near", F.array().cast(NONE)))
     turns = explode_transcripts(sessions, ["agent_id"], strict=False).groupBy("agent_id").agg(F.sort_array(F.collect_list(F.struct("idx", "role", "content"))).alias("t"))
     said = dialog_segment(F.transform("t", lambda t: F.struct(t.role.alias("role"), t.content.alias("content"))), F.col("start"), F.col("end"))
-    prompts = unit.join(turns, "agent_id", "left").select("agent_id", "component", "points", page_prompt(F.col("lines"), F.coalesce(said, F.lit(""))).alias("prompt"))
+    prompts = unit.join(turns, "agent_id", "left").select("agent_id", "component", "points", page_prompt(F.col("lines"), F.col("near"), F.coalesce(said, F.lit(""))).alias("prompt"))
     answers = write(ask(prompts).select("agent_id", "points", "answer"), "page_answers")
     draft = answers.select("agent_id", "points", F.from_json(strip_fence("answer"), DRAFT).alias("p")).select("agent_id", "p.*", "points")
     return _whole(draft)

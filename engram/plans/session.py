@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from engram.config import Config
 from engram.functions.coerce import clamp_confidence, worthy
-from engram.functions.text import candidate_text, hash_id, normalize_topic, strip_fence, trim_space
+from engram.functions.text import candidate_text, normalize_topic, strip_fence, trim_space
 from engram.operators import folds as D
 from engram.operators import graph as G
 from engram.operators import vectors as K
 from engram.operators import windows as W
+from engram.plans import recall as R
 from engram.plans.consolidate import apply_merges
 from engram.schemas import VERDICTS
 from engram.sources.transcripts import chat_role
@@ -123,13 +124,20 @@ def reconcile_batches(seeds: DataFrame, edges: DataFrame, pages: DataFrame, conf
     return W.batches(kept, ["agent_id"], [F.col("hops"), F.col("id")], config.wiki.batch_size).select("agent_id", "id", "hops", "batch_no")
 
 
+def related_entries(points: DataFrame, vectors: DataFrame, stored: DataFrame, pages: DataFrame, k: int = 3) -> DataFrame:
+    """For each point (agent_id, id, name, v) the k entries to look at before a page is written: the nearest by vectors, itself left out; where there are none, those
+    that hold its name: agent_id, q, id, kind, place."""
+    own = points.select("agent_id", F.concat_ws("/", "agent_id", "id").alias("q"), "id", "name", "v")
+    near = K.top_k(own.filter("v is not null").select("agent_id", F.col("q").alias("id"), F.xxhash64("q").alias("ord"), "v"), vectors, k + 1, scope=["agent_id"])
+    near = near.select("q", "agent_id", "id", "kind", "score", F.col("rank").alias("place"))
+    words = R.full_text_fallback(own.select("q", "agent_id", F.col("name").alias("text")), stored, pages, k + 1)
+    hits = R.cascade(near.filter("q != concat_ws('/', agent_id, id)"), words.filter("q != concat_ws('/', agent_id, id)"))
+    place = F.row_number().over(Window.partitionBy("agent_id", "q").orderBy("place"))
+    return hits.withColumn("place", place).filter(F.col("place") <= k).select("agent_id", "q", "id", "kind", "place")
+
+
 def prelookup(points: DataFrame, vectors: DataFrame, k: int = 3) -> DataFrame:
     """The k nearest entries of each point (agent_id, id, ord, v), itself left out."""
     near = K.top_k(points.select("agent_id", "id", "ord", "v"), vectors, k + 1, scope=["agent_id"])
     rank = F.row_number().over(Window.partitionBy("agent_id", "q").orderBy("rank"))
     return near.filter("q != id").withColumn("rank", rank).filter(F.col("rank") <= k)
-
-
-def new_points(isolated: DataFrame, now: Column) -> DataFrame:
-    """Isolated candidates (agent_id, topic, reason, confidence, tags, event_time, session_id) as created points, event time and session carried through."""
-    return isolated.select(hash_id("topic").alias("id"), "agent_id", F.col("topic").alias("name"), F.col("reason").alias("summary"), F.col("tags").alias("keywords"), F.col("confidence").alias("importance"), F.lit("active").alias("status"), "event_time", F.lit(1).alias("seen_count"), F.array("session_id").alias("source_session_ids"), now.alias("first_seen_at"), now.alias("last_seen_at"), now.alias("updated_at"))
