@@ -33,7 +33,13 @@ from engram.sources.transcripts import explode_transcripts
 class Engine:
     """All reads take many queries and agents at once; `now` is passed in, so that plans stay deterministic."""
 
-    def __init__(self, spark: SparkSession, config: Config | None = None, embedder: Callable[[], providers.EmbedProvider] | None = None, chat: Callable[[], providers.ChatProvider] | None = None):
+    def __init__(
+        self,
+        spark: SparkSession,
+        config: Config | None = None,
+        embedder: Callable[[], providers.EmbedProvider] | None = None,
+        chat: Callable[[], providers.ChatProvider] | None = None,
+    ):
         self.spark, self.config = spark, config or Config()
         self.store, self.chat = Store(spark, self.config.root), chat
         self.embedder = providers.remembering(embedder) if embedder else None
@@ -73,7 +79,15 @@ class Engine:
         hits = R.cascade(*tiers)
         return hits.join(q.select("q", "agent_id", "reader", "ns_ord"), ["q", "agent_id"])
 
-    def recall(self, queries: DataFrame, now: Column, after: Column | None = None, before: Column | None = None, days: int = 0, include_wiki: bool = False) -> DataFrame:
+    def recall(
+        self,
+        queries: DataFrame,
+        now: Column,
+        after: Column | None = None,
+        before: Column | None = None,
+        days: int = 0,
+        include_wiki: bool = False,
+    ) -> DataFrame:
         """One text per query: q, text. A client that only writes (mode input) is told nothing."""
         c = self.config.recall
         if self.config.mode == "input":
@@ -150,7 +164,9 @@ class Engine:
         """Points with the pages that they have, as text."""
         found = L.search_points(self.store.read("interest_points").filter(F.col("agent_id") == agent), text, min(max(top_k, 1), 10))
         pages = L.points_pages(self.store.read("edges"), self.store.read("wiki_pages"))
-        refs = pages.groupBy("agent_id", F.col("point_id").alias("id")).agg(F.sort_array(F.collect_list(F.concat("page_id", F.lit(" ("), F.coalesce("title", F.lit("")), F.lit(")")))).alias("pages"))
+        refs = pages.groupBy("agent_id", F.col("point_id").alias("id")).agg(
+            F.sort_array(F.collect_list(F.concat("page_id", F.lit(" ("), F.coalesce("title", F.lit("")), F.lit(")")))).alias("pages"),
+        )
         return found.join(refs, ["agent_id", "id"], "left")
 
     def interest_points(self, agent: str) -> DataFrame:
@@ -178,7 +194,9 @@ class Engine:
         return self.store.read("usage").filter(F.col("date") >= since).orderBy("date")
 
     def next_unprocessed(self, agent: str) -> DataFrame:
-        return self.store.read("session_transcripts").filter((F.col("agent_id") == agent) & F.col("processed_at").isNull()).orderBy("received_at", "session_id").limit(1)
+        return self.store.read("session_transcripts").filter(
+            (F.col("agent_id") == agent) & F.col("processed_at").isNull(),
+        ).orderBy("received_at", "session_id").limit(1)
 
     def contradictions(self, agent: str) -> DataFrame:
         return self.store.read("contradictions").filter(F.col("agent_id") == agent).orderBy("created_at", "id")
@@ -196,23 +214,51 @@ class Engine:
         read = F.from_json(strip_fence("answer"), VERDICTS["audit"])
         told = evidence.groupBy("text").agg(F.array_join(F.sort_array(F.collect_list("snippet")), "\n").alias("found"))
         asked = claims.select("text").distinct().join(told, "text")
-        prompt = F.concat(F.lit("Does the evidence bear this out? Answer as JSON with status (supported, contested, unknown), confidence and reason.\nClaim: "), "text", F.lit("\nEvidence:\n"), "found")
-        answers = self.ask(asked.select("text", prompt.alias("prompt"))).select("text", read.alias("a")) if self.chat else asked.select("text", F.lit(None).cast(VERDICTS["audit"]).alias("a"))
+        prompt = F.concat(
+            F.lit(
+                "Does the evidence bear this out? Answer as JSON with status (supported, contested, unknown), confidence and reason.\nClaim: ",
+            ),
+            "text",
+            F.lit("\nEvidence:\n"),
+            "found",
+        )
+        answers = self.ask(asked.select("text", prompt.alias("prompt"))).select("text", read.alias("a")) if self.chat else asked.select(
+            "text",
+            F.lit(None).cast(VERDICTS["audit"]).alias("a"),
+        )
         status = C.enum(F.col("a.status"), C.RELIABILITY, C.RELIABILITY_ELSE)
         out = claims.join(answers, "text", "left")
-        return out.select(*claims.columns, status.alias("status"), C.given_confidence(F.coalesce("a.confidence", F.lit(0.0))).alias("confidence"), F.coalesce("a.reason", F.lit("")).alias("reason"))
+        return out.select(
+            *claims.columns,
+            status.alias("status"),
+            C.given_confidence(F.coalesce("a.confidence", F.lit(0.0))).alias("confidence"),
+            F.coalesce("a.reason", F.lit("")).alias("reason"),
+        )
 
     def review(self, drafts: DataFrame, limit: int = 5) -> DataFrame:
         """drafts (q, agent_id, id, draft) with summary and suggestions (type, page_id, message) of a model that sees the draft beside the page it
         names and the pages its words find. Empty where the answer fails."""
         pages = self.store.read("wiki_pages")
-        hits = R.full_text_fallback(drafts.select(F.col("q"), "agent_id", F.col("draft").alias("text")), self.store.read("interest_points").limit(0), pages, limit)
+        hits = R.full_text_fallback(
+            drafts.select(F.col("q"), "agent_id", F.col("draft").alias("text")),
+            self.store.read("interest_points").limit(0),
+            pages,
+            limit,
+        )
         near = related_pages(drafts.select("q", "agent_id", "id"), hits.withColumnRenamed("place", "rank"), pages, limit)
         shown = near.join(drafts.select("q", "agent_id"), "q").join(pages.select("agent_id", "id", "title", "body_md"), ["agent_id", "id"])
         told = shown.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("place", F.concat_ws("\n", "id", "title", "body_md").alias("t")))).alias("x"))
         seen = F.coalesce(F.array_join(F.transform("x", lambda p: p.t), "\n---\n"), F.lit(""))
-        prompt = F.concat(F.lit("Review this draft beside these pages; answer as JSON with summary and suggestions (type, page_id, message).\n"), "draft", F.lit("\n---\n"), seen)
-        answers = self.ask(drafts.join(told, "q", "left").select("q", prompt.alias("prompt"))).select("q", F.from_json(strip_fence("answer"), VERDICTS["review"]).alias("a"))
+        prompt = F.concat(
+            F.lit("Review this draft beside these pages; answer as JSON with summary and suggestions (type, page_id, message).\n"),
+            "draft",
+            F.lit("\n---\n"),
+            seen,
+        )
+        answers = self.ask(drafts.join(told, "q", "left").select("q", prompt.alias("prompt"))).select(
+            "q",
+            F.from_json(strip_fence("answer"), VERDICTS["review"]).alias("a"),
+        )
         out = drafts.join(answers, "q", "left")
         none = F.array().cast("array<struct<type:string,page_id:string,message:string>>")
         return out.select(*drafts.columns, F.coalesce("a.summary", F.lit("")).alias("summary"), F.coalesce("a.suggestions", none).alias("suggestions"))
@@ -241,7 +287,14 @@ class Engine:
         kind = F.coalesce(F.nullif("kind", F.lit("")), F.lit("wiki_page"))
         self.store.upsert("vectors", some.select("id", "agent_id", kind.alias("kind"), unit(F.col("v")).cast("array<float>").alias("embedding")))
 
-    def persist(self, changes: DataFrame, now: Column, details: DataFrame | None = None, contradictions: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
+    def persist(
+        self,
+        changes: DataFrame,
+        now: Column,
+        details: DataFrame | None = None,
+        contradictions: DataFrame | None = None,
+        vectors: DataFrame | None = None,
+    ) -> DataFrame:
         """Applies P.adjudicate's changes, and returns what each point became: agent_id, id, action, and the columns of interest_points.
 
         An update starts from the stored point and replaces only what the change names; an archived point only changes its status, and
@@ -259,7 +312,17 @@ class Engine:
         if contradictions is not None:
             found = write(contradictions, "contradictions")
             self.store.upsert("contradictions", found)
-            edges.append(found.select("agent_id", F.col("left_id").alias("source_id"), F.col("right_id").alias("target_id"), F.lit("contradicts").alias("kind"), F.lit(1.0).alias("weight"), now.alias("created_at"), F.lit(0).alias("seq")))
+            edges.append(
+                found.select(
+                    "agent_id",
+                    F.col("left_id").alias("source_id"),
+                    F.col("right_id").alias("target_id"),
+                    F.lit("contradicts").alias("kind"),
+                    F.lit(1.0).alias("weight"),
+                    now.alias("created_at"),
+                    F.lit(0).alias("seq"),
+                ),
+            )
         if vectors is not None:
             alive = rows.filter("action != 'archive'").select("agent_id", "id")
             kept = write(vectors.join(alive, ["agent_id", "id"], "left_semi").filter("v is not null"), "kept_vectors")
@@ -268,7 +331,15 @@ class Engine:
             edges.append(near.withColumn("seq", F.lit(1)))
         if edges:
             self.save_edges(reduce(DataFrame.unionByName, edges))
-        log = rows.select(hash_id("agent_id", "id", now.cast("string")).alias("id"), "agent_id", now.alias("created_at"), F.lit("interest_point").alias("entity_kind"), F.col("id").alias("entity_id"), F.col("name").alias("title"), "action")
+        log = rows.select(
+            hash_id("agent_id", "id", now.cast("string")).alias("id"),
+            "agent_id",
+            now.alias("created_at"),
+            F.lit("interest_point").alias("entity_kind"),
+            F.col("id").alias("entity_id"),
+            F.col("name").alias("title"),
+            "action",
+        )
         self.store.append_log(log, self.config.log_retain)
         self.recalled.rows.clear()
         return rows

@@ -58,7 +58,14 @@ def claim_list(c: Column | str) -> Column:
     kind = "array<struct<text:string,status:string,confidence:double>>"
     read = F.coalesce(F.from_json(strip_fence(c), kind), F.array().cast(kind))
     some = F.filter(read, lambda x: F.coalesce(trim_space(x.text), F.lit("")) != "")
-    return F.transform(some, lambda x: F.struct(x.text.alias("text"), enum(x.status, CLAIM_STATUS, CLAIM_STATUS_ELSE).alias("status"), clamp_confidence(x.confidence).alias("confidence")))
+    return F.transform(
+        some,
+        lambda x: F.struct(
+            x.text.alias("text"),
+            enum(x.status, CLAIM_STATUS, CLAIM_STATUS_ELSE).alias("status"),
+            clamp_confidence(x.confidence).alias("confidence"),
+        ),
+    )
 
 
 def cap_list(c: Column | str, n: int = 10) -> Column:

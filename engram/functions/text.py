@@ -75,7 +75,17 @@ def keyword_match(text: Column | str, query: Column | str) -> Column:
     return (q != "") & F.like(F.lower(_col(text)), F.concat(F.lit("%"), F.lower(q), F.lit("%")))
 
 
-def render_line(hit_id: Column, title: Column, kind: Column, event_time: Column, confidence: Column, status: Column, freshness: Column, note: Column, source: Column) -> Column:
+def render_line(
+    hit_id: Column,
+    title: Column,
+    kind: Column,
+    event_time: Column,
+    confidence: Column,
+    status: Column,
+    freshness: Column,
+    note: Column,
+    source: Column,
+) -> Column:
     """One line of injected memory. Null confidence, freshness, note or source leave their part out."""
     blank = F.lit("")
     name = F.when(F.coalesce(title, blank) == "", hit_id).otherwise(title)
@@ -104,4 +114,14 @@ def dialog_segment(turns: Column, start: Column, end: Column, user_bytes: int =
     first, last = F.greatest(start, F.lit(0)), F.least(end, F.size(turns) - 1)
     part = F.when((last >= first) & ~((start == 0) & (end == 0)), F.slice(turns, first + 1, last - first + 1)).otherwise(F.slice(turns, 1, 0))
     said = F.filter(part, lambda t: t.role.isin("user", "assistant"))
-    return F.array_join(F.transform(said, lambda t: F.concat(t.role, F.lit(": "), F.when(t.role == "user", truncate_utf8(t.content, user_bytes)).otherwise(truncate_utf8(t.content, assistant_bytes)))), "\n")
+    return F.array_join(
+        F.transform(
+            said,
+            lambda t: F.concat(
+                t.role,
+                F.lit(": "),
+                F.when(t.role == "user", truncate_utf8(t.content, user_bytes)).otherwise(truncate_utf8(t.content, assistant_bytes)),
+            ),
+        ),
+        "\n",
+    )

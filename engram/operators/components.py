@@ -46,4 +46,6 @@ def connected_components(edges: DataFrame, write: Callable[[DataFrame, str], Dat
         before, links = tuple(state), state[0]
     else:
         raise RuntimeError(f"connected components: no end after {ROUNDS} rounds")
-    return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+        current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct(),
+    )

@@ -48,7 +48,9 @@ def bfs_hops(seeds: DataFrame, edges: DataFrame, is_page: DataFrame, max_hops: i
     out = edges.select("agent_id", F.col("source_id").alias("f"), F.col("target_id").alias("t"), F.lit(True).alias("forward"), "kind")
     ways = out.unionByName(edges.select("agent_id", F.col("target_id").alias("f"), F.col("source_id").alias("t"), F.lit(False).alias("forward"), "kind"))
     pages = is_page.select("agent_id", F.col("id").alias("f")).distinct().withColumn("_page", F.lit(True))
-    ways = ways.join(pages, ["agent_id", "f"], "left").filter(F.col("_page").isNotNull() | (F.col("forward") & (F.col("kind") == "has_page"))).select("agent_id", "f", "t").distinct()
+    ways = ways.join(pages, ["agent_id", "f"], "left").filter(
+        F.col("_page").isNotNull() | (F.col("forward") & (F.col("kind") == "has_page")),
+    ).select("agent_id", "f", "t").distinct()
     ways = write(ways, "ways")
     seen = write(seeds.select("agent_id", "id").distinct().withColumn("hops", F.lit(0)), "hop0")
     frontier = seen
@@ -67,18 +69,36 @@ def page_links(pages: DataFrame) -> DataFrame:
     return links.select("agent_id", "source_id", normalize_id("t").alias("target")).filter("target != source_id").distinct()
 
 
-def rebuild_links(touched: DataFrame, pages: DataFrame, edges: DataFrame, pending: DataFrame, now: Column, strict_parity: bool = False) -> tuple[DataFrame, DataFrame]:
+def rebuild_links(
+    touched: DataFrame,
+    pages: DataFrame,
+    edges: DataFrame,
+    pending: DataFrame,
+    now: Column,
+    strict_parity: bool = False,
+) -> tuple[DataFrame, DataFrame]:
     """Edges and pending links after the links of touched pages (agent_id, id) are read anew: their reference edges are replaced
     by links to pages that exist, dead links are recorded. strict_parity: their outgoing edges of all other kinds go, too."""
     keys = touched.select("agent_id", F.col("id").alias("source_id")).distinct()
     links = page_links(pages.join(touched.select("agent_id", "id").distinct(), ["agent_id", "id"], "left_semi"))
     known = pages.select("agent_id", F.col("id").alias("target")).distinct()
-    live = links.join(known, ["agent_id", "target"], "left_semi").select("agent_id", "source_id", F.col("target").alias("target_id"), F.lit("references").alias("kind"), F.lit(1.0).alias("weight"), now.alias("created_at"))
+    live = links.join(known, ["agent_id", "target"], "left_semi").select(
+        "agent_id",
+        "source_id",
+        F.col("target").alias("target_id"),
+        F.lit("references").alias("kind"),
+        F.lit(1.0).alias("weight"),
+        now.alias("created_at"),
+    )
     dead = links.join(known, ["agent_id", "target"], "left_anti").select("agent_id", "source_id", "target", now.alias("created_at"))
     mine = edges if strict_parity else edges.filter("kind = 'references'")
     others = edges.limit(0) if strict_parity else edges.filter("kind != 'references'")
     kept = mine.join(keys, ["agent_id", "source_id"], "left_anti").select(*edges.columns).unionByName(others)
-    return kept.unionByName(live.select(*edges.columns)), pending.join(keys, ["agent_id", "source_id"], "left_anti").select(*pending.columns).unionByName(dead.select(*pending.columns))
+    return kept.unionByName(live.select(*edges.columns)), pending.join(
+        keys,
+        ["agent_id", "source_id"],
+        "left_anti",
+    ).select(*pending.columns).unionByName(dead.select(*pending.columns))
 
 
 def graph_nodes(points: DataFrame, pages: DataFrame) -> DataFrame:
@@ -109,7 +129,10 @@ def parallel_groups(links: DataFrame) -> DataFrame:
     size = F.count("*").over(w)
     place = F.row_number().over(w.orderBy("kind", "source_id", "target_id")) - 1
     curve = F.when(size < 2, 0.0).when(size == 2, 0.25).otherwise(0.35)
-    return links.withColumn("group_size", size).withColumn("place", place).withColumn("curvature", curve).withColumn("rotation", F.when(size < 2, 0.0).otherwise(F.col("place") * F.pi() / F.col("group_size")))
+    return links.withColumn("group_size", size).withColumn("place", place).withColumn("curvature", curve).withColumn(
+        "rotation",
+        F.when(size < 2, 0.0).otherwise(F.col("place") * F.pi() / F.col("group_size")),
+    )
 
 
 #: The golden angle (fixed value).
@@ -129,7 +152,12 @@ def label_communities(nodes: DataFrame, links: DataFrame, sweeps: int = 10, ligh
     other edges 1, parallel ones add up. The order makes it sequential, so an agent's graph is one task's work.
     """
     marked = nodes.select("agent_id", "id", F.lit(None).cast("string").alias("to"), F.lit(0.0).alias("w"))
-    weighed = links.select("agent_id", F.col("source_id").alias("id"), F.col("target_id").alias("to"), F.when(F.col("kind") == "references", light).otherwise(1.0).alias("w"))
+    weighed = links.select(
+        "agent_id",
+        F.col("source_id").alias("id"),
+        F.col("target_id").alias("to"),
+        F.when(F.col("kind") == "references", light).otherwise(1.0).alias("w"),
+    )
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         ids = sorted(frame.loc[frame["to"].isna(), "id"].unique())
@@ -172,7 +200,10 @@ def conflict_queues(members: DataFrame, history: DataFrame, write: Callable[[Dat
     shared = links.withColumn("n", F.count("*").over(Window.partitionBy("hist"))).filter("n > 1")
     shared = write(shared.select("hist", "component", "sim"), "shared")
     edges = shared.select(F.concat(F.lit("h:"), "hist").alias("src"), F.concat(F.lit("c:"), "component").alias("dst"))
-    found = connected_components(edges, write, "queues").filter(F.col("node").startswith("c:")).select(F.substring("node", 3, 2**31 - 1).alias("component"), "component")
+    found = connected_components(edges, write, "queues").filter(F.col("node").startswith("c:")).select(
+        F.substring("node", 3, 2**31 - 1).alias("component"),
+        "component",
+    )
     queues = found.toDF("comp", "queue")
     best = shared.groupBy("component").agg(F.max("sim").alias("affinity"))
     out = best.join(queues, F.col("component") == F.col("comp"))

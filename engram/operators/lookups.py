@@ -37,7 +37,9 @@ def points_pages(edges: DataFrame, pages: DataFrame) -> DataFrame:
 
 def attach_claims(pages: DataFrame, claims: DataFrame) -> DataFrame:
     """pages with claims: array of struct, by id; empty if there is none."""
-    lists = claims.groupBy("agent_id", F.col("page_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct(F.col("id"), "text", "status", "confidence"))).alias("claims"))
+    lists = claims.groupBy("agent_id", F.col("page_id").alias("id")).agg(
+        F.sort_array(F.collect_list(F.struct(F.col("id"), "text", "status", "confidence"))).alias("claims"),
+    )
     kind = "array<struct<id:string,text:string,status:string,confidence:double>>"
     return pages.join(lists, ["agent_id", "id"], "left").withColumn("claims", F.coalesce("claims", F.array().cast(kind)))
 
@@ -52,8 +54,22 @@ def resolve_titles(refs: DataFrame, points: DataFrame, pages: DataFrame, ref: st
 def edges_of(ids: DataFrame, edges: DataFrame, points: DataFrame, pages: DataFrame) -> DataFrame:
     """Out- and backlinks of ids, heaviest first: agent_id, id, direction, far, kind, weight, title, place."""
     keys = ids.select("agent_id", "id").distinct()
-    out = edges.withColumnRenamed("source_id", "id").join(keys, ["agent_id", "id"], "left_semi").select("agent_id", "id", F.lit("out").alias("direction"), F.col("target_id").alias("far"), "kind", "weight")
-    back = edges.withColumnRenamed("target_id", "id").join(keys, ["agent_id", "id"], "left_semi").select("agent_id", "id", F.lit("back").alias("direction"), F.col("source_id").alias("far"), "kind", "weight")
+    out = edges.withColumnRenamed("source_id", "id").join(keys, ["agent_id", "id"], "left_semi").select(
+        "agent_id",
+        "id",
+        F.lit("out").alias("direction"),
+        F.col("target_id").alias("far"),
+        "kind",
+        "weight",
+    )
+    back = edges.withColumnRenamed("target_id", "id").join(keys, ["agent_id", "id"], "left_semi").select(
+        "agent_id",
+        "id",
+        F.lit("back").alias("direction"),
+        F.col("source_id").alias("far"),
+        "kind",
+        "weight",
+    )
     w = Window.partitionBy("agent_id", "id", "direction").orderBy(F.col("weight").desc(), "far", "kind")
     return resolve_titles(out.unionByName(back), points, pages, ref="far").withColumn("place", F.row_number().over(w))
 
@@ -99,7 +115,10 @@ def check_edges(writes: DataFrame, pages: DataFrame, kinds: list[str], most: int
     """Violations of edges (agent_id, source_id, pos, target_id, kind) to be written: the same columns and problem."""
     w = Window.partitionBy("agent_id", "source_id")
     known = pages.select("agent_id", F.col("id").alias("target_id")).distinct().withColumn("_there", F.lit(True))
-    rows = writes.withColumn("_n", F.count("*").over(w)).withColumn("_dup", F.row_number().over(Window.partitionBy("agent_id", "source_id", "kind", "target_id").orderBy("pos"))).join(known, ["agent_id", "target_id"], "left")
+    rows = writes.withColumn("_n", F.count("*").over(w)).withColumn(
+        "_dup",
+        F.row_number().over(Window.partitionBy("agent_id", "source_id", "kind", "target_id").orderBy("pos")),
+    ).join(known, ["agent_id", "target_id"], "left")
     problems = F.array_compact(F.array(
         F.when(F.col("_n") > most, F.lit("too many edges")),
         F.when(~F.col("kind").isin(kinds), F.lit("unknown kind")),
@@ -113,7 +132,11 @@ def check_edges(writes: DataFrame, pages: DataFrame, kinds: list[str], most: int
 def skipped_points(units: DataFrame, edges: DataFrame, touched: DataFrame) -> DataFrame:
     """Worthy points (agent_id, unit, id, wiki_worthy) none of whose pages was touched; nothing for agents without touched pages."""
     pages = edges.filter("kind = 'has_page'").select("agent_id", F.col("source_id").alias("id"), F.col("target_id").alias("page_id"))
-    covered = pages.join(touched.select("agent_id", F.col("id").alias("page_id")).distinct(), ["agent_id", "page_id"], "left_semi").select("agent_id", "id").distinct()
+    covered = pages.join(
+        touched.select("agent_id", F.col("id").alias("page_id")).distinct(),
+        ["agent_id", "page_id"],
+        "left_semi",
+    ).select("agent_id", "id").distinct()
     active = touched.select("agent_id").distinct()
     return units.filter(F.coalesce("wiki_worthy", F.lit(True))).join(active, "agent_id", "left_semi").join(covered, ["agent_id", "id"], "left_anti")
 
@@ -122,7 +145,12 @@ def identity_mismatches(points: DataFrame, edges: DataFrame, touched: DataFrame)
     """Subjective points with a touched page (agent_id, id, page_type) that is an entity or source: agent_id, id, page_id, page_type."""
     pages = edges.filter("kind = 'has_page'").select("agent_id", F.col("source_id").alias("id"), F.col("target_id").alias("page_id"))
     t = touched.filter(F.col("page_type").isin("entity", "source")).select("agent_id", F.col("id").alias("page_id"), "page_type")
-    return points.filter("subjective").select("agent_id", "id").join(pages, ["agent_id", "id"]).join(t, ["agent_id", "page_id"]).select("agent_id", "id", "page_id", "page_type")
+    return points.filter("subjective").select("agent_id", "id").join(pages, ["agent_id", "id"]).join(t, ["agent_id", "page_id"]).select(
+        "agent_id",
+        "id",
+        "page_id",
+        "page_type",
+    )
 
 
 def evict_jobs(jobs: DataFrame, most: int = 1000) -> DataFrame:

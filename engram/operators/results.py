@@ -22,7 +22,15 @@ def entry_results(points: DataFrame, pages: DataFrame, claims: DataFrame, max_bo
     )
     item = F.struct("id", "text", "status", "confidence")
     by_page = claims.groupBy("agent_id", F.col("page_id").alias("id")).agg(F.sort_array(F.collect_list(item)).alias("claims"))
-    w = pages.select("agent_id", "id", F.lit("wiki_page").alias("kind"), "title", truncate_utf8("body_md", max_body).alias("body"), "status", F.lit("unknown").alias("freshness"))
+    w = pages.select(
+        "agent_id",
+        "id",
+        F.lit("wiki_page").alias("kind"),
+        "title",
+        truncate_utf8("body_md", max_body).alias("body"),
+        "status",
+        F.lit("unknown").alias("freshness"),
+    )
     w = w.join(by_page, ["agent_id", "id"], "left")
     none = F.array().cast("array<struct<id:string,text:string,status:string,confidence:double>>")
     return p.unionByName(w, allowMissingColumns=True).withColumn("claims", F.coalesce("claims", none))
@@ -33,8 +41,16 @@ def replacement_refs(starts: DataFrame, edges: DataFrame, points: DataFrame, pag
     status)."""
     found = resolve_replacements(starts, edges, points).select("agent_id", "id", "replacement")
     of = first_edge(edges, "has_page").select("agent_id", F.col("source_id").alias("replacement"), F.col("target_id").alias("_page"))
-    live = pages.filter(F.col("status").isin("", "active")).select("agent_id", F.col("id").alias("_page"), F.struct(F.lit("wiki_page").alias("kind"), "id", "title", "status").alias("_w"))
-    own = points.select("agent_id", F.col("id").alias("replacement"), F.struct(F.lit("interest_point").alias("kind"), "id", F.col("name").alias("title"), "status").alias("_p"))
+    live = pages.filter(F.col("status").isin("", "active")).select(
+        "agent_id",
+        F.col("id").alias("_page"),
+        F.struct(F.lit("wiki_page").alias("kind"), "id", "title", "status").alias("_w"),
+    )
+    own = points.select(
+        "agent_id",
+        F.col("id").alias("replacement"),
+        F.struct(F.lit("interest_point").alias("kind"), "id", F.col("name").alias("title"), "status").alias("_p"),
+    )
     rows = found.join(own, ["agent_id", "replacement"], "left").join(of, ["agent_id", "replacement"], "left").join(live, ["agent_id", "_page"], "left")
     return rows.select("agent_id", "id", F.coalesce("_w", "_p").alias("replacement"))
 
@@ -71,7 +87,15 @@ def own_jobs(requests: DataFrame, jobs: DataFrame) -> DataFrame:
 def recall_key(agent: Column, query: Column, top_k: Column, wiki: Column, min_score: Column, after: Column, before: Column, days: Column) -> Column:
     """One text for each different recall request; times in UTC, missing ones left out."""
     at = lambda name, c: F.coalesce(F.concat(F.lit(f"{name}="), F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(";")), F.lit(""))
-    settings = F.concat(F.lit("topk="), top_k.cast("string"), F.lit(";wiki="), wiki.cast("string"), F.lit(";minscore="), F.format_string("%.4f", min_score.cast("double")), F.lit(";"))
+    settings = F.concat(
+        F.lit("topk="),
+        top_k.cast("string"),
+        F.lit(";wiki="),
+        wiki.cast("string"),
+        F.lit(";minscore="),
+        F.format_string("%.4f", min_score.cast("double")),
+        F.lit(";"),
+    )
     return F.concat_ws("\0", agent, query, F.concat(settings, at("after", after), at("before", before), F.lit("days="), days.cast("string")))
 
 

@@ -95,7 +95,10 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, scope: list[str] | Non
     on = F.col("dim") == F.col("_dim")
     for c in scope:
         on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    pairs = q_sizes.join(named, on).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    pairs = q_sizes.join(named, on).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn(
+        "y",
+        F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)),
+    )
     both = _meet(pairs.select(*scope, "dim", "x", "y"), q, v, scope)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +130,11 @@ def history_links(current: DataFrame, history: DataFrame, least: float, k: int =
     """Each current vector with the similar ones of history: its k nearest over both kinds, of these the interest points whose cosine
     exceeds `least`: point, hist, sim. The cut to k comes before the choice of kind."""
     near = top_k(current, history, k)
-    return near.filter((F.col("kind") == "interest_point") & (F.col("score") > least)).select(F.col("q").alias("point"), F.col("id").alias("hist"), F.col("score").alias("sim"))
+    return near.filter((F.col("kind") == "interest_point") & (F.col("score") > least)).select(
+        F.col("q").alias("point"),
+        F.col("id").alias("hist"),
+        F.col("score").alias("sim"),
+    )
 
 
 def affinity(members: Column, vector: Column) -> Column:

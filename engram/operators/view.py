@@ -11,7 +11,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def filter_graph(nodes: DataFrame, links: DataFrame, degree: DataFrame, statuses: list[str] | None = None, least_degree: int = 0, kinds: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def filter_graph(
+    nodes: DataFrame,
+    links: DataFrame,
+    degree: DataFrame,
+    statuses: list[str] | None = None,
+    least_degree: int = 0,
+    kinds: list[str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Nodes by status ('' counts as active) and degree, and the links of some kinds between them."""
     n = nodes.join(degree, ["agent_id", "id"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     if statuses is not None:
@@ -19,7 +26,11 @@ def filter_graph(nodes: DataFrame, links: DataFrame, degree: DataFrame, statuses
     n = n.filter(F.col("degree") >= least_degree)
     keep = n.select("agent_id", "id")
     seen = links if kinds is None else links.filter(F.col("kind").isin(kinds))
-    seen = seen.join(keep.withColumnRenamed("id", "source_id"), ["agent_id", "source_id"], "left_semi").join(keep.withColumnRenamed("id", "target_id"), ["agent_id", "target_id"], "left_semi")
+    seen = seen.join(
+        keep.withColumnRenamed("id", "source_id"),
+        ["agent_id", "source_id"],
+        "left_semi",
+    ).join(keep.withColumnRenamed("id", "target_id"), ["agent_id", "target_id"], "left_semi")
     return n, seen
 
 
@@ -43,7 +54,10 @@ def pack_communities(members: DataFrame) -> DataFrame:
     """Circles of communities (agent_id, community, kind) without overlap: the largest in the middle, each next one at the first free place of a
     spiral around it: agent_id, community, x, y, radius. Placing is sequential, on one row per community."""
     n = lambda kind: F.sum(F.when(F.col("kind") == kind, 1).otherwise(0))
-    sizes = members.groupBy("agent_id", "community").agg(F.count("*").alias("n"), F.greatest(7 * F.sqrt(n("interest_point")), 9 * F.sqrt(n("wiki_page"))).alias("radius"))
+    sizes = members.groupBy("agent_id", "community").agg(
+        F.count("*").alias("n"),
+        F.greatest(7 * F.sqrt(n("interest_point")), 9 * F.sqrt(n("wiki_page"))).alias("radius"),
+    )
 
     def place(frame: pd.DataFrame) -> pd.DataFrame:
         import math
@@ -72,7 +86,14 @@ def job_states(changes: DataFrame) -> DataFrame:
     allowed = F.create_map(*[x for s, after in NEXT_STATE.items() for x in (F.lit(s), F.array(*[F.lit(a) for a in sorted(after)]).cast("array<string>"))])
     lists = changes.groupBy("agent_id", "id").agg(F.sort_array(F.collect_list(F.struct("seq", "status", "at"))).alias("x"))
     begin = F.struct(F.lit("").alias("status"), F.lit(None).cast("timestamp").alias("at"))
-    last = F.aggregate("x", begin, lambda s, c: F.when(F.array_contains(F.element_at(allowed, s.status), c.status), F.struct(c.status.alias("status"), c.at.cast("timestamp").alias("at"))).otherwise(s))
+    last = F.aggregate(
+        "x",
+        begin,
+        lambda s, c: F.when(
+            F.array_contains(F.element_at(allowed, s.status), c.status),
+            F.struct(c.status.alias("status"), c.at.cast("timestamp").alias("at")),
+        ).otherwise(s),
+    )
     out = lists.select("agent_id", "id", last.alias("s")).select("agent_id", "id", "s.status", "s.at")
     return out.select("agent_id", "id", "status", F.when(F.col("status").isin("done", "failed"), F.col("at")).alias("done_at"))
 
@@ -88,7 +109,9 @@ def hit_titles(hits: DataFrame) -> DataFrame:
 
 def related_pages(explicit: DataFrame, hits: DataFrame, pages: DataFrame, most: int = 5) -> DataFrame:
     """Pages to review a draft against: the one named first, then the best hits, pages only, each once: q, id, place."""
-    every = explicit.select("q", "agent_id", "id", F.lit(0).alias("o")).unionByName(hits.filter(F.col("rank") <= most).select("q", "agent_id", "id", F.col("rank").alias("o")))
+    every = explicit.select("q", "agent_id", "id", F.lit(0).alias("o")).unionByName(
+        hits.filter(F.col("rank") <= most).select("q", "agent_id", "id", F.col("rank").alias("o")),
+    )
     real = every.join(pages.select("agent_id", "id"), ["agent_id", "id"], "left_semi").groupBy("q", "agent_id", "id").agg(F.min("o").alias("o"))
     return real.select("q", "id", F.row_number().over(Window.partitionBy("q").orderBy("o", "id")).alias("place"))
 

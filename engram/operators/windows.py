@@ -22,7 +22,10 @@ def prefix_windows(turns: DataFrame, session: list[str], step: int = 5, max_wind
     user turns, just the whole. Of these the last max_windows: session, win_no (from 0), end_idx, n_turns."""
     is_user, cu = _users(session)
     whole = Window.partitionBy(*session)
-    marked = turns.withColumn("_u", is_user).withColumn("_cu", cu).withColumn("_last", F.max("idx").over(whole)).withColumn("n_turns", F.row_number().over(whole.orderBy("idx")))
+    marked = turns.withColumn("_u", is_user).withColumn("_cu", cu).withColumn("_last", F.max("idx").over(whole)).withColumn(
+        "n_turns",
+        F.row_number().over(whole.orderBy("idx")),
+    )
     ends = marked.filter(((F.col("_u") == 1) & (F.col("_cu") % step == 0)) | (F.col("idx") == F.col("_last")))
     rank = F.row_number().over(whole.orderBy(F.col("idx").desc()))
     kept = ends.withColumn("_r", rank).filter(F.col("_r") <= max_windows)

@@ -30,11 +30,21 @@ def _similar(fx: Fixtures, least: float) -> DataFrame:
 
 # Transcripts and windows
 
-@query(with_tables("turns") + " select session_id, agent_id, row_number() over (partition by session_id order by idx) - 1 as idx, role, trim(content, chr(9) || chr(10) || chr(13) || ' ') as content from turns where role in ('user', 'assistant', 'tool') and trim(content, chr(9) || chr(10) || chr(13) || ' ') != ''")
+@query(
+    with_tables("turns") + " select session_id, agent_id, row_number() over (partition by session_id order by idx) - 1 as idx, role, trim(content, chr(9) || chr(10) || chr(13) || ' ') as content from turns where role in ('user', 'assistant', 'tool') and trim(content, chr(9) || chr(10) || chr(13) || ' ') != ''",
+)
 def transcript_turns(fx: Fixtures) -> DataFrame:
-    return T.explode_transcripts(fx.transcripts(), ["session_id", "agent_id"]).select("session_id", "agent_id", F.col("idx").cast("long").alias("idx"), "role", "content")
-
-@query(with_tables("turns") + " select session_id, idx, cast(floor((row_number() over (partition by session_id order by idx) - 1) / 3) as integer) as win_no from turns")
+    return T.explode_transcripts(fx.transcripts(), ["session_id", "agent_id"]).select(
+        "session_id",
+        "agent_id",
+        F.col("idx").cast("long").alias("idx"),
+        "role",
+        "content",
+    )
+
+@query(
+    with_tables("turns") + " select session_id, idx, cast(floor((row_number() over (partition by session_id order by idx) - 1) / 3) as integer) as win_no from turns",
+)
 def windows_fixed(fx: Fixtures) -> DataFrame:
     return W.fixed_windows(fx.turns(), ["session_id"], 3).select("session_id", "idx", "win_no")
 
@@ -44,13 +54,22 @@ _MARKS = with_tables("turns") + """, m as (select *, case when role = 'user' the
 @query(_MARKS + """, e as (select session_id, idx, n, row_number() over (partition by session_id order by idx desc) as r from m where (u = 1 and cu % 2 = 0) or idx = last)
     select session_id, row_number() over (partition by session_id order by idx) - 1 as win_no, idx as end_idx, n as n_turns from e where r <= 2""")
 def windows_prefix(fx: Fixtures) -> DataFrame:
-    return W.prefix_windows(fx.turns(), ["session_id"], 2, 2).select("session_id", F.col("win_no").cast("long").alias("win_no"), "end_idx", F.col("n_turns").cast("long").alias("n_turns"))
-
-@query(_MARKS + ", w as (select session_id, idx, cast(floor((cu - u) / 2) as integer) as win_no from m), t as (select *, max(win_no) over (partition by session_id) as top from w) select session_id, idx, win_no from t where win_no > top - 1")
+    return W.prefix_windows(fx.turns(), ["session_id"], 2, 2).select(
+        "session_id",
+        F.col("win_no").cast("long").alias("win_no"),
+        "end_idx",
+        F.col("n_turns").cast("long").alias("n_turns"),
+    )
+
+@query(
+    _MARKS + ", w as (select session_id, idx, cast(floor((cu - u) / 2) as integer) as win_no from m), t as (select *, max(win_no) over (partition by session_id) as top from w) select session_id, idx, win_no from t where win_no > top - 1",
+)
 def windows_nonprefix(fx: Fixtures) -> DataFrame:
     return W.disjoint_windows(fx.turns(), ["session_id"], 2, 1).select("session_id", "idx", "win_no")
 
-@query(with_tables("turns") + " select session_id, idx, role, row_number() over (partition by session_id order by idx) as number from turns where role in ('user', 'assistant') and trim(content) != ''")
+@query(
+    with_tables("turns") + " select session_id, idx, role, row_number() over (partition by session_id order by idx) as number from turns where role in ('user', 'assistant') and trim(content) != ''",
+)
 def rendered_turns(fx: Fixtures) -> DataFrame:
     return W.rendered_turns(fx.turns(), ["session_id"]).select("session_id", "idx", "role", F.col("number").cast("long").alias("number"))
 
@@ -58,11 +77,18 @@ def rendered_turns(fx: Fixtures) -> DataFrame:
     b as (select *, len(ix) as n, greatest(s, 1) as s1 from x), c as (select *, least(greatest(e, s1), n) as e1 from b)
     select session_id, cast(case when (s = 0 and e = 0) or s1 > n then s else ix[s1] end as integer) as start, cast(case when (s = 0 and e = 0) or s1 > n then e else ix[greatest(e1, s1)] end as integer) as "end" from c""")
 def turn_range_map(fx: Fixtures) -> DataFrame:
-    shown = W.rendered_turns(fx.turns(), ["session_id"]).groupBy("session_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("number", "idx"))), lambda t: t.idx).alias("ix"))
+    shown = W.rendered_turns(fx.turns(), ["session_id"]).groupBy("session_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("number", "idx"))), lambda t: t.idx).alias("ix"),
+    )
     i = F.col("session_id")
-    return shown.select("session_id", W.map_turn_range((i % 4).cast("int"), (i % 4 + i % 3).cast("int"), F.col("ix")).alias("r")).select("session_id", "r.start", "r.end")
-
-@query(with_tables("turns") + " select session_id, cast(count(*) as varchar) || ':' || right(max_by(content, idx), 200) as fingerprint from turns group by session_id")
+    return shown.select(
+        "session_id",
+        W.map_turn_range((i % 4).cast("int"), (i % 4 + i % 3).cast("int"), F.col("ix")).alias("r"),
+    ).select("session_id", "r.start", "r.end")
+
+@query(
+    with_tables("turns") + " select session_id, cast(count(*) as varchar) || ':' || right(max_by(content, idx), 200) as fingerprint from turns group by session_id",
+)
 def session_fingerprint(fx: Fixtures) -> DataFrame:
     return T.push_fingerprint(fx.turns(), ["session_id"])
 
@@ -73,7 +99,12 @@ def last_user_query(fx: Fixtures) -> DataFrame:
 @query(with_tables("turns") + """, s as (select session_id, list(role || ': ' || case when strlen(content) <= 60 then content else content[1:list_max([k for k in range(0, 61) if strlen(content[1:k]) <= 60])] || '...' end order by idx) as l from turns
     where role in ('user', 'assistant') and idx between 1 and 3 group by session_id) select distinct t.session_id, coalesce(array_to_string(l, chr(10)), '') as segment from turns t left join s using (session_id)""")
 def dialog_segments(fx: Fixtures) -> DataFrame:
-    ts = fx.turns().groupBy("session_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "role", "content"))), lambda t: F.struct(t.role.alias("role"), t.content.alias("content"))).alias("ts"))
+    ts = fx.turns().groupBy("session_id").agg(
+        F.transform(
+            F.sort_array(F.collect_list(F.struct("idx", "role", "content"))),
+            lambda t: F.struct(t.role.alias("role"), t.content.alias("content")),
+        ).alias("ts"),
+    )
     return ts.select("session_id", X.dialog_segment(F.col("ts"), F.lit(1), F.lit(3), 60, 60).alias("segment"))
 
 # Candidates
@@ -87,9 +118,22 @@ def dialog_segments(fx: Fixtures) -> DataFrame:
     select ord, sha256(b.t) as topic, b.r as reason, b.s as subjective, round(b.c, 6) as confidence, start, "end", worthy, n_merged, array_to_string(list_concat(first, coalesce(more, cast([] as varchar[]))), ',') as tags from f left join l using (key)""")
 def candidate_dedupe(fx: Fixtures) -> DataFrame:
     f = D.fold_candidates(fx.candidates())
-    return f.select("ord", F.sha2("topic", 256).alias("topic"), "reason", "subjective", F.round("confidence", 6).alias("confidence"), "start", "end", "worthy", "n_merged", F.array_join("tags", ",").alias("tags"))
-
-@query(with_tables("candidates") + ", r as (select *, row_number() over (partition by win order by ord) as rn from candidates where confidence >= 0.3) select ord, win from r where rn <= 5")
+    return f.select(
+        "ord",
+        F.sha2("topic", 256).alias("topic"),
+        "reason",
+        "subjective",
+        F.round("confidence", 6).alias("confidence"),
+        "start",
+        "end",
+        "worthy",
+        "n_merged",
+        F.array_join("tags", ",").alias("tags"),
+    )
+
+@query(
+    with_tables("candidates") + ", r as (select *, row_number() over (partition by win order by ord) as rn from candidates where confidence >= 0.3) select ord, win from r where rn <= 5",
+)
 def candidate_filter_cap(fx: Fixtures) -> DataFrame:
     return D.filter_candidates(fx.candidates(), ["win"], 0.3, 5).select("ord", "win")
 
@@ -162,7 +206,13 @@ def _rebuilt(fx: Fixtures, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 _EDGES = with_tables("sims") + ", es as (select 'a' as agent_id, a as source_id, b as target_id, 'related' as kind, sim as weight from sims where sim >= 0.40)"
 
 def _edges(fx: Fixtures, least: float = 0.40) -> DataFrame:
-    return _similar(fx, least).select(F.lit("a").alias("agent_id"), F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.lit("related").alias("kind"), F.col("sim").alias("weight"))
+    return _similar(fx, least).select(
+        F.lit("a").alias("agent_id"),
+        F.col("a").alias("source_id"),
+        F.col("b").alias("target_id"),
+        F.lit("related").alias("kind"),
+        F.col("sim").alias("weight"),
+    )
 
 @query(_EDGES + """, u as (select source_id as id, 'out' as direction, target_id as far, weight from es union all select target_id, 'back', source_id, weight from es),
     t as (select u.*, coalesce(case when cast(far as integer) % 3 = 0 then 'point ' || far end, case when cast(far as integer) % 3 < 2 then 'page ' || far end, '') as title from u)
@@ -179,20 +229,43 @@ def contradiction_symmetry(fx: Fixtures) -> DataFrame:
     e = _edges(fx).withColumn("kind", F.lit("contradicts")).withColumn("seq", F.lit(0))
     return S.add_edge_pairs(e).select("source_id", "target_id", F.round("weight", 6).alias("weight"))
 
-@query("select cast(doc_id as varchar) as point_id, 'page-' || doc_id as page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from documents left join pages on doc_id = page_id")
+@query(
+    "select cast(doc_id as varchar) as point_id, 'page-' || doc_id as page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from documents left join pages on doc_id = page_id",
+)
 def has_page_left_join(fx: Fixtures) -> DataFrame:
-    e = fx.table("documents").select(F.lit("a").alias("agent_id"), F.col("doc_id").cast("string").alias("source_id"), F.concat(F.lit("page-"), F.col("doc_id").cast("string")).alias("target_id"), F.lit("has_page").alias("kind"))
+    e = fx.table("documents").select(
+        F.lit("a").alias("agent_id"),
+        F.col("doc_id").cast("string").alias("source_id"),
+        F.concat(F.lit("page-"), F.col("doc_id").cast("string")).alias("target_id"),
+        F.lit("has_page").alias("kind"),
+    )
     return L.points_pages(e, fx.pages().withColumn("agent_id", F.lit("a"))).select("point_id", "page_id", "title")
 
 def _claims(fx: Fixtures) -> DataFrame:
-    return fx.table("lineitem").select(F.lit("a").alias("agent_id"), F.col("l_orderkey").cast("string").alias("page_id"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.col("l_shipdate").cast("string").alias("text"), F.col("l_linestatus").alias("status"), (F.col("l_discount") * 10).alias("confidence"), F.col("l_returnflag").alias("freshness_level"))
-
-@query("select cast(o_orderkey as varchar) as id, count(l_orderkey) as n_claims, coalesce(array_to_string(list(l_linenumber || '-' || l_partkey || '-' || l_suppkey order by l_linenumber || '-' || l_partkey || '-' || l_suppkey) filter (where l_linenumber is not null), ','), '') as claims from orders left join lineitem on o_orderkey = l_orderkey group by o_orderkey")
+    return fx.table("lineitem").select(
+        F.lit("a").alias("agent_id"),
+        F.col("l_orderkey").cast("string").alias("page_id"),
+        F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("id"),
+        F.col("l_shipdate").cast("string").alias("text"),
+        F.col("l_linestatus").alias("status"),
+        (F.col("l_discount") * 10).alias("confidence"),
+        F.col("l_returnflag").alias("freshness_level"),
+    )
+
+@query(
+    "select cast(o_orderkey as varchar) as id, count(l_orderkey) as n_claims, coalesce(array_to_string(list(l_linenumber || '-' || l_partkey || '-' || l_suppkey order by l_linenumber || '-' || l_partkey || '-' || l_suppkey) filter (where l_linenumber is not null), ','), '') as claims from orders left join lineitem on o_orderkey = l_orderkey group by o_orderkey",
+)
 def pages_with_claims(fx: Fixtures) -> DataFrame:
     p = fx.table("orders").select(F.lit("a").alias("agent_id"), F.col("o_orderkey").cast("string").alias("id"))
-    return L.attach_claims(p, _claims(fx)).select("id", F.size("claims").cast("long").alias("n_claims"), F.array_join(F.transform("claims", lambda c: c.id), ",").alias("claims"))
-
-@query("with r as (select *, row_number() over (partition by l_orderkey order by l_discount * 10 desc, l_linenumber || '-' || l_partkey || '-' || l_suppkey) as rn from lineitem) select cast(l_orderkey as varchar) as page_id, l_discount * 10 as confidence, l_linestatus as status, l_returnflag as freshness_level from r where rn = 1")
+    return L.attach_claims(p, _claims(fx)).select(
+        "id",
+        F.size("claims").cast("long").alias("n_claims"),
+        F.array_join(F.transform("claims", lambda c: c.id), ",").alias("claims"),
+    )
+
+@query(
+    "with r as (select *, row_number() over (partition by l_orderkey order by l_discount * 10 desc, l_linenumber || '-' || l_partkey || '-' || l_suppkey) as rn from lineitem) select cast(l_orderkey as varchar) as page_id, l_discount * 10 as confidence, l_linestatus as status, l_returnflag as freshness_level from r where rn = 1",
+)
 def best_claim(fx: Fixtures) -> DataFrame:
     return D.best_claim(_claims(fx)).drop("agent_id")
 
@@ -204,7 +277,13 @@ _WRITES_SQL = with_tables("sims") + """, w as (select a as source_id, ao * 1000
 @query(_WRITES_SQL)
 def edge_validation(fx: Fixtures) -> DataFrame:
     a, b = F.col("a").cast("long"), F.col("b").cast("long")
-    w = _similar(fx, 0.35).select(F.lit("a").alias("agent_id"), F.col("a").alias("source_id"), (a * 1000 + b).alias("pos"), F.when((a + b) % 7 == 0, F.col("a")).otherwise(F.col("b")).alias("target_id"), F.when((a + b) % 5 == 0, "likes").otherwise("related").alias("kind"))
+    w = _similar(fx, 0.35).select(
+        F.lit("a").alias("agent_id"),
+        F.col("a").alias("source_id"),
+        (a * 1000 + b).alias("pos"),
+        F.when((a + b) % 7 == 0, F.col("a")).otherwise(F.col("b")).alias("target_id"),
+        F.when((a + b) % 5 == 0, "likes").otherwise("related").alias("kind"),
+    )
     pages = fx.vectors().filter("ord % 4 != 0").select(F.lit("a").alias("agent_id"), "id")
     return L.check_edges(w, pages, C.EDGE_KINDS, most=2).drop("agent_id")
 
@@ -216,7 +295,13 @@ def edge_validation(fx: Fixtures) -> DataFrame:
 def sequel_replacement(fx: Fixtures) -> DataFrame:
     d = fx.table("documents").select("doc_id")
     i = F.col("doc_id")
-    e = d.filter("doc_id % 7 != 6").select(F.lit("a").alias("agent_id"), i.cast("string").alias("source_id"), (i + 1).cast("string").alias("target_id"), F.lit("sequel").alias("kind"), F.lit(1.0).alias("weight"))
+    e = d.filter("doc_id % 7 != 6").select(
+        F.lit("a").alias("agent_id"),
+        i.cast("string").alias("source_id"),
+        (i + 1).cast("string").alias("target_id"),
+        F.lit("sequel").alias("kind"),
+        F.lit(1.0).alias("weight"),
+    )
     p = d.select(F.lit("a").alias("agent_id"), i.cast("string").alias("id"), F.when(i % 7 < 4, "archived").otherwise("active").alias("status"))
     return G.resolve_replacements(p, e, p).select("id", "replacement", "hops")
 
@@ -226,7 +311,13 @@ def sequel_replacement(fx: Fixtures) -> DataFrame:
 def substituted_hits(fx: Fixtures) -> DataFrame:
     d = fx.table("documents").select("doc_id")
     i = F.col("doc_id")
-    e = d.filter("doc_id % 7 != 6").select(F.lit("a").alias("agent_id"), i.cast("string").alias("source_id"), (i + 1).cast("string").alias("target_id"), F.lit("sequel").alias("kind"), F.lit(1.0).alias("weight"))
+    e = d.filter("doc_id % 7 != 6").select(
+        F.lit("a").alias("agent_id"),
+        i.cast("string").alias("source_id"),
+        (i + 1).cast("string").alias("target_id"),
+        F.lit("sequel").alias("kind"),
+        F.lit(1.0).alias("weight"),
+    )
     p = d.select(F.lit("a").alias("agent_id"), i.cast("string").alias("id"), F.when(i % 7 < 4, "archived").otherwise("active").alias("status"))
     pages = fx.pages().limit(0)
     hits = p.select(F.lit("q").alias("q"), "agent_id", "id", F.lit("interest_point").alias("kind"), F.lit(0.9).alias("score"))
@@ -239,7 +330,10 @@ def substituted_hits(fx: Fixtures) -> DataFrame:
 def bfs_hops(fx: Fixtures) -> DataFrame:
     pairs = _similar(fx, 0.33)
     kind = F.when((F.col("a").cast("long") + F.col("b").cast("long")) % 3 == 0, "has_page").otherwise("related")
-    e = scratch(fx.spark)(pairs.select(F.lit("a").alias("agent_id"), F.col("a").alias("source_id"), F.col("b").alias("target_id"), kind.alias("kind")), "bfs_edges")
+    e = scratch(fx.spark)(
+        pairs.select(F.lit("a").alias("agent_id"), F.col("a").alias("source_id"), F.col("b").alias("target_id"), kind.alias("kind")),
+        "bfs_edges",
+    )
     n = fx.vectors().select(F.lit("a").alias("agent_id"), "id", "ord")
     return G.bfs_hops(n.filter("ord % 100 = 0"), e, n.filter("ord % 4 != 0"), 3).select("id", "hops")
 
@@ -259,7 +353,11 @@ _GRAPH_EDGES = _GRAPH + ", e as (select cast(doc_id as varchar) as s, case when
 
 def _graph_links(fx: Fixtures) -> DataFrame:
     i = F.col("doc_id")
-    e = fx.table("documents").select(F.lit("a").alias("agent_id"), i.cast("string").alias("source_id"), F.when(i % 2 == 0, (i + 3).cast("string")).otherwise(F.concat(F.lit("page-"), i.cast("string"))).alias("target_id"))
+    e = fx.table("documents").select(
+        F.lit("a").alias("agent_id"),
+        i.cast("string").alias("source_id"),
+        F.when(i % 2 == 0, (i + 3).cast("string")).otherwise(F.concat(F.lit("page-"), i.cast("string"))).alias("target_id"),
+    )
     return G.graph_links(e, _nodes(fx))
 
 @query(_GRAPH_EDGES + " select s as source_id, t as target_id from g")
@@ -274,16 +372,31 @@ _MULTI_SQL = with_tables("sims") + ", e as (select a as s, b as t, 'related' as
 
 def _multi(fx: Fixtures) -> DataFrame:
     e = _edges(fx).select("agent_id", "source_id", "target_id", "kind")
-    back = e.filter((F.col("source_id").cast("long") + F.col("target_id").cast("long")) % 2 == 0).select("agent_id", F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), F.lit("references").alias("kind"))
+    back = e.filter((F.col("source_id").cast("long") + F.col("target_id").cast("long")) % 2 == 0).select(
+        "agent_id",
+        F.col("target_id").alias("source_id"),
+        F.col("source_id").alias("target_id"),
+        F.lit("references").alias("kind"),
+    )
     return e.unionByName(back)
 
 @query(_MULTI_SQL + """, g as (select *, count(*) over (partition by least(s, t), greatest(s, t)) as n, row_number() over (partition by least(s, t), greatest(s, t) order by kind, s, t) - 1 as place from e)
     select s as source_id, t as target_id, kind, n as group_size, place, case when n < 2 then 0.0 when n = 2 then 0.25 else 0.35 end::double as curvature, round(case when n < 2 then 0.0 else place * pi() / n end, 6) as rotation from g""")
 def parallel_edge_groups(fx: Fixtures) -> DataFrame:
     p = G.parallel_groups(_multi(fx))
-    return p.select("source_id", "target_id", "kind", "group_size", F.col("place").cast("long").alias("place"), "curvature", F.round("rotation", 6).alias("rotation"))
-
-@query(with_tables("points") + ", r as (select *, row_number() over (partition by agent_id order by importance desc, name, id) - 1 as rank from points) select id, rank, round(7.0 * sqrt(rank + 1) * cos(rank * 2.399963229728653::double), 6) as x, round(7.0 * sqrt(rank + 1) * sin(rank * 2.399963229728653::double), 6) as y from r")
+    return p.select(
+        "source_id",
+        "target_id",
+        "kind",
+        "group_size",
+        F.col("place").cast("long").alias("place"),
+        "curvature",
+        F.round("rotation", 6).alias("rotation"),
+    )
+
+@query(
+    with_tables("points") + ", r as (select *, row_number() over (partition by agent_id order by importance desc, name, id) - 1 as rank from points) select id, rank, round(7.0 * sqrt(rank + 1) * cos(rank * 2.399963229728653::double), 6) as x, round(7.0 * sqrt(rank + 1) * sin(rank * 2.399963229728653::double), 6) as y from r",
+)
 def spiral_layout(fx: Fixtures) -> DataFrame:
     s = G.spiral_layout(fx.points(), ["agent_id"], [F.col("importance").desc(), F.col("name"), F.col("id")], 7.0)
     return s.select("id", F.col("rank").cast("long").alias("rank"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
@@ -314,7 +427,14 @@ def upsert_additive(fx: Fixtures) -> DataFrame:
 def writeback(fx: Fixtures) -> DataFrame:
     p = fx.points().withColumn("evidence", F.array(F.lit("first"))).withColumn("updated_at", now())
     i = F.col("ord")
-    audits = p.filter("ord % 4 = 0").select("agent_id", "id", F.when(i % 3 != 0, "contested").otherwise("").alias("reliability_status"), F.when(i % 5 < 3, 0.75).otherwise(1.5).alias("confidence"), F.lit("stale").alias("freshness_level"), F.array(F.lit("web")).alias("evidence"))
+    audits = p.filter("ord % 4 = 0").select(
+        "agent_id",
+        "id",
+        F.when(i % 3 != 0, "contested").otherwise("").alias("reliability_status"),
+        F.when(i % 5 < 3, 0.75).otherwise(1.5).alias("confidence"),
+        F.lit("stale").alias("freshness_level"),
+        F.array(F.lit("web")).alias("evidence"),
+    )
     out = S.write_back_reliability(p, audits, now())
     return out.select("id", "reliability_status", F.round("confidence", 6).alias("confidence"), "freshness_level", F.size("evidence").alias("n_evidence"))
 
@@ -324,7 +444,9 @@ _VERDICTS = """with m as (select doc_id, doc_id // 10 as component, 't' || doc_i
     d as (select *, case when doc_id % 4 = 1 then 'merge' when doc_id % 4 = 2 then 'archive' else 'keep' end as action, 'h' || (doc_id % 50) as target from m where not (component % 6 = 0 and doc_id % 10 = 3)),
     v as (select m.component, count(d.doc_id) < count(*) as void from m left join d using (doc_id) group by 1)"""
 
-@query(_VERDICTS + ", u as (select m.* from m join v using (component) where void) select substr(sha256(topic), 1, 16) as id, topic as name, round(confidence, 6) as importance, tag as keywords from u")
+@query(
+    _VERDICTS + ", u as (select m.* from m join v using (component) where void) select substr(sha256(topic), 1, 16) as id, topic as name, round(confidence, 6) as importance, tag as keywords from u",
+)
 def void_components(fx: Fixtures) -> DataFrame:
     return _adjudicated(fx).filter("void").select("id", "name", F.round("importance", 6).alias("importance"), F.array_join("keywords", ",").alias("keywords"))
 
@@ -340,7 +462,16 @@ def adjudicate_apply(fx: Fixtures) -> DataFrame:
 def _adjudicated(fx: Fixtures) -> DataFrame:
     i = F.col("doc_id")
     d = fx.table("documents")
-    m = d.select("doc_id", F.lit("a").alias("agent_id"), F.expr("doc_id div 10").alias("component"), F.concat(F.lit("t"), i.cast("string")).alias("topic"), F.lit("").alias("reason"), (i * 13 % 97 / 97.0).alias("confidence"), F.array("source").alias("tags"), F.lit(None).cast("timestamp").alias("event_time"))
+    m = d.select(
+        "doc_id",
+        F.lit("a").alias("agent_id"),
+        F.expr("doc_id div 10").alias("component"),
+        F.concat(F.lit("t"), i.cast("string")).alias("topic"),
+        F.lit("").alias("reason"),
+        (i * 13 % 97 / 97.0).alias("confidence"),
+        F.array("source").alias("tags"),
+        F.lit(None).cast("timestamp").alias("event_time"),
+    )
     target = F.concat(F.lit("h"), (i % 50).cast("string"))
     action = F.when(i % 4 == 1, "merge").when(i % 4 == 2, "archive").otherwise("keep")
     update = F.struct(target.alias("target_id"), F.concat(F.lit("also "), "topic").alias("topic"), F.lit("").alias("reason"), F.lit(0.5).alias("confidence"))
@@ -350,7 +481,16 @@ def _adjudicated(fx: Fixtures) -> DataFrame:
         F.array().cast("array<string>").alias("tags"), F.when(i % 8 == 3, F.array(update)).otherwise(none).alias("updates"),
     )
     k = d.select((i % 50).alias("k")).distinct().filter("k % 5 != 0")
-    h = k.select(F.lit("a").alias("agent_id"), F.concat(F.lit("h"), F.col("k").cast("string")).alias("id"), F.concat(F.lit("point h"), F.col("k").cast("string")).alias("name"), F.lit("").alias("summary"), F.lit(0.5).alias("importance"), F.array(F.lit("old")).alias("keywords"), F.col("k").cast("int").alias("seen_count"), F.lit(None).cast("timestamp").alias("event_time"))
+    h = k.select(
+        F.lit("a").alias("agent_id"),
+        F.concat(F.lit("h"), F.col("k").cast("string")).alias("id"),
+        F.concat(F.lit("point h"), F.col("k").cast("string")).alias("name"),
+        F.lit("").alias("summary"),
+        F.lit(0.5).alias("importance"),
+        F.array(F.lit("old")).alias("keywords"),
+        F.col("k").cast("int").alias("seen_count"),
+        F.lit(None).cast("timestamp").alias("event_time"),
+    )
     return P.adjudicate(m, v, h, now())
 
 @query("""with c as (select doc_id // 5 as cluster, 't' || doc_id as topic, doc_id, lang from documents), a as (select distinct cluster, ['merge', 'keep', 'compose', 'drop'][cluster % 4 + 1] as action from c)
@@ -358,20 +498,44 @@ def _adjudicated(fx: Fixtures) -> DataFrame:
     union all select cluster, topic, 'unnamed' from c where doc_id % 5 >= 3""")
 def merge_verdicts(fx: Fixtures) -> DataFrame:
     i = F.col("doc_id")
-    c = fx.table("documents").select(F.expr("doc_id div 5").alias("cluster"), F.concat(F.lit("t"), i.cast("string")).alias("topic"), F.lit("").alias("reason"), F.lit(0.5).alias("confidence"), F.array("lang").alias("tags"), (i % 5).alias("k"))
+    c = fx.table("documents").select(
+        F.expr("doc_id div 5").alias("cluster"),
+        F.concat(F.lit("t"), i.cast("string")).alias("topic"),
+        F.lit("").alias("reason"),
+        F.lit(0.5).alias("confidence"),
+        F.array("lang").alias("tags"),
+        (i % 5).alias("k"),
+    )
     v = c.filter("k < 3").groupBy("cluster").agg(F.collect_list("topic").alias("source_topics"))
     full = c.select("cluster").distinct().join(v, "cluster", "left")
-    v = full.select("cluster", F.element_at(F.array(F.lit("merge"), F.lit("keep"), F.lit("compose"), F.lit("drop")), (F.col("cluster") % 4 + 1).cast("int")).alias("action"), F.coalesce("source_topics", F.array().cast("array<string>")).alias("source_topics"), F.struct(F.concat(F.lit("new "), F.col("cluster").cast("string")).alias("topic"), F.lit("").alias("reason"), F.lit(0.5).alias("confidence"), F.array().cast("array<string>").alias("tags")).alias("merged"))
+    v = full.select(
+        "cluster",
+        F.element_at(
+            F.array(F.lit("merge"), F.lit("keep"), F.lit("compose"), F.lit("drop")),
+            (F.col("cluster") % 4 + 1).cast("int"),
+        ).alias("action"),
+        F.coalesce("source_topics", F.array().cast("array<string>")).alias("source_topics"),
+        F.struct(
+            F.concat(F.lit("new "), F.col("cluster").cast("string")).alias("topic"),
+            F.lit("").alias("reason"),
+            F.lit(0.5).alias("confidence"),
+            F.array().cast("array<string>").alias("tags"),
+        ).alias("merged"),
+    )
     return P.apply_merges(c.drop("k"), v).select("cluster", "topic", "origin")
 
-@query("""with p as (select doc_id, quality, coalesce(quality = 1, true) as worthy from documents left join labels using (doc_id)) select cast(doc_id as varchar) as id from p where worthy and not exists (select 1 from pages where page_id = doc_id and page_id % 2 = 0)""")
+@query(
+    """with p as (select doc_id, quality, coalesce(quality = 1, true) as worthy from documents left join labels using (doc_id)) select cast(doc_id as varchar) as id from p where worthy and not exists (select 1 from pages where page_id = doc_id and page_id % 2 = 0)""",
+)
 def skipped_points(fx: Fixtures) -> DataFrame:
     p = fx.points().withColumn("agent_id", F.lit("a"))
     e = p.select("agent_id", F.col("id").alias("source_id"), F.concat(F.lit("page-"), "id").alias("target_id"), F.lit("has_page").alias("kind"))
     touched = fx.pages().filter("ord % 2 = 0").select(F.lit("a").alias("agent_id"), "id")
     return L.skipped_points(p.select("agent_id", "id", "wiki_worthy"), e, touched).select("id")
 
-@query("select cast(doc_id as varchar) as id, 'page-' || page_id as page_id, ['entity', 'concept', 'synthesis', 'source'][page_id % 4 + 1] as page_type from documents join pages on page_id = doc_id where doc_id % 5 = 0 and page_id % 4 in (0, 3)")
+@query(
+    "select cast(doc_id as varchar) as id, 'page-' || page_id as page_id, ['entity', 'concept', 'synthesis', 'source'][page_id % 4 + 1] as page_type from documents join pages on page_id = doc_id where doc_id % 5 = 0 and page_id % 4 in (0, 3)",
+)
 def identity_mismatch(fx: Fixtures) -> DataFrame:
     p = fx.points().withColumn("agent_id", F.lit("a"))
     e = p.select("agent_id", F.col("id").alias("source_id"), F.concat(F.lit("page-"), "id").alias("target_id"), F.lit("has_page").alias("kind"))
@@ -384,20 +548,49 @@ def contradiction_ids(fx: Fixtures) -> DataFrame:
     i = F.col("doc_id")
     d = fx.table("documents")
     hist = d.select(F.lit("a").alias("agent_id"), F.lit(0).alias("component"), i.cast("string").alias("hist"))
-    sides = d.filter("doc_id % 6 < 2").select(F.lit("a").alias("agent_id"), F.lit(0).alias("component"), i.cast("string").alias("left"), F.when(i % 3 == 1, i.cast("string")).otherwise((i + 1).cast("string")).alias("right"), F.lit("").alias("description"))
+    sides = d.filter("doc_id % 6 < 2").select(
+        F.lit("a").alias("agent_id"),
+        F.lit(0).alias("component"),
+        i.cast("string").alias("left"),
+        F.when(i % 3 == 1, i.cast("string")).otherwise((i + 1).cast("string")).alias("right"),
+        F.lit("").alias("description"),
+    )
     none = fx.spark.createDataFrame([], "agent_id string, component int, topic string")
     return P.resolve_contradictions(sides, none, hist, now()).select("left_id", "right_id", "id")
 
-@query("select 'page-' || page_id as id, case when page_id % 10 = 0 then 'superseded' else 'active' end as status, case when page_id % 10 = 1 then 'see [[page-' || page_id || '-new]]' else 'see [[page-' || (page_id - 1) || ']]' end as body_md from pages where page_id > 0")
+@query(
+    "select 'page-' || page_id as id, case when page_id % 10 = 0 then 'superseded' else 'active' end as status, case when page_id % 10 = 1 then 'see [[page-' || page_id || '-new]]' else 'see [[page-' || (page_id - 1) || ']]' end as body_md from pages where page_id > 0",
+)
 def superseded_pages(fx: Fixtures) -> DataFrame:
     i = F.col("page_id")
     name = lambda c: F.concat(F.lit("page-"), c.cast("string"))
-    p = fx.table("pages").filter("page_id > 0").select(F.lit("a").alias("agent_id"), name(i).alias("id"), F.concat(F.lit("see [["), name(i - 1), F.lit("]]")).alias("body_md"), F.lit("active").alias("status"), now().alias("updated_at"), "page_id")
-    r = fx.table("pages").filter("page_id % 10 = 0").select(F.lit("a").alias("agent_id"), name(i).alias("old"), F.concat(name(i + 1), F.lit("-new")).alias("new"))
-    e = fx.table("pages").filter("page_id % 10 = 1").select(F.lit("a").alias("agent_id"), name(i).alias("source_id"), name(i - 1).alias("target_id"), F.lit("references").alias("kind"))
+    p = fx.table("pages").filter("page_id > 0").select(
+        F.lit("a").alias("agent_id"),
+        name(i).alias("id"),
+        F.concat(F.lit("see [["), name(i - 1), F.lit("]]")).alias("body_md"),
+        F.lit("active").alias("status"),
+        now().alias("updated_at"),
+        "page_id",
+    )
+    r = fx.table("pages").filter("page_id % 10 = 0").select(
+        F.lit("a").alias("agent_id"),
+        name(i).alias("old"),
+        F.concat(name(i + 1), F.lit("-new")).alias("new"),
+    )
+    e = fx.table("pages").filter("page_id % 10 = 1").select(
+        F.lit("a").alias("agent_id"),
+        name(i).alias("source_id"),
+        name(i - 1).alias("target_id"),
+        F.lit("references").alias("kind"),
+    )
     return P.supersede_pages(p, r, e, now()).select("id", "status", "body_md")
 
-@query("select 'page-' || page_id as id, (page_id // 10) as batch_no from (select page_id, row_number() over (order by page_id) - 1 as rn from pages)".replace("(page_id // 10)", "cast(rn // 10 as integer)"))
+@query(
+    "select 'page-' || page_id as id, (page_id // 10) as batch_no from (select page_id, row_number() over (order by page_id) - 1 as rn from pages)".replace(
+        "(page_id // 10)",
+        "cast(rn // 10 as integer)",
+    ),
+)
 def reconcile_batches(fx: Fixtures) -> DataFrame:
     p = fx.pages().withColumn("agent_id", F.lit("a"))
     return W.batches(p, ["agent_id"], [F.col("ord")], 10).select("id", "batch_no")

@@ -58,20 +58,31 @@ def similar_pairs_ge(fx: Fixtures) -> DataFrame:
     return K.similar_pairs(fx.vectors(), 0.30).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
-@query(with_tables("vecs") + " select id, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) as norm, round(list_cosine_similarity(v, (select v from vecs where ord = 0)), 6) as to_first, greatest(0.0, 1 - 0.5 * 0.5 / 2) as score from vecs")
+@query(
+    with_tables("vecs") + " select id, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) as norm, round(list_cosine_similarity(v, (select v from vecs where ord = 0)), 6) as to_first, greatest(0.0, 1 - 0.5 * 0.5 / 2) as score from vecs",
+)
 def unit_vectors(fx: Fixtures) -> DataFrame:
     v = fx.vectors()
     first = v.filter("ord = 0").select(F.col("v").alias("w"))
     u = v.join(F.broadcast(first), F.lit(True)).select("id", "v", "w")
-    return u.select("id", F.round(V.norm(F.col("v")), 6).alias("norm"), F.round(V.cosine(V.unit(F.col("v")), F.col("w")), 6).alias("to_first"), V.distance_score(F.lit(0.5)).alias("score"))
+    return u.select(
+        "id",
+        F.round(V.norm(F.col("v")), 6).alias("norm"),
+        F.round(V.cosine(V.unit(F.col("v")), F.col("w")), 6).alias("to_first"),
+        V.distance_score(F.lit(0.5)).alias("score"),
+    )
 
 
-@query(with_tables("points") + " select id, agent_id, round(importance, 4) as importance from points where lower(name || ' ' || summary || ' ' || '[\"' || lang || '\",\"' || source || '\"]') like '%src1%' order by importance desc, id limit 50")
+@query(
+    with_tables("points") + " select id, agent_id, round(importance, 4) as importance from points where lower(name || ' ' || summary || ' ' || '[\"' || lang || '\",\"' || source || '\"]') like '%src1%' order by importance desc, id limit 50",
+)
 def keyword_points(fx: Fixtures) -> DataFrame:
     return L.search_points(fx.points(), "SRC1", 50).select("id", "agent_id", F.round("importance", 4).alias("importance"))
 
 
-@query(with_tables("wpages") + " select id, agent_id, title from wpages where lower(title || ' ' || body_md) like '%the%' order by updated_at desc, id limit 50")
+@query(
+    with_tables("wpages") + " select id, agent_id, title from wpages where lower(title || ' ' || body_md) like '%the%' order by updated_at desc, id limit 50",
+)
 def keyword_pages(fx: Fixtures) -> DataFrame:
     return L.search_pages(fx.pages(), "The", 50).select("id", "agent_id", "title")
 
@@ -103,12 +114,21 @@ def retrieval_cascade(fx: Fixtures) -> DataFrame:
 def _cascade(fx: Fixtures) -> DataFrame:
     v = fx.vectors()
     near = K.top_k(v.filter(ASKED).select(F.concat(F.lit("q"), "id").alias("id"), "ord", "v"), v, 8)
-    near = near.select("q", F.when(F.col("q") == "q2", "src7").otherwise("src3").alias("agent_id"), "id", "kind", F.round("score", 6).alias("score"), F.col("rank").alias("place"))
+    near = near.select(
+        "q",
+        F.when(F.col("q") == "q2", "src7").otherwise("src3").alias("agent_id"),
+        "id",
+        "kind",
+        F.round("score", 6).alias("score"),
+        F.col("rank").alias("place"),
+    )
     hits = R.cascade(near, R.full_text_fallback(_queries(fx), fx.points(), fx.pages(), 8))
     return hits.select("q", "id", "kind", "score", F.col("place").cast("long").alias("place"), "tier")
 
 
-@query(with_tables("points") + " select id, agent_id, name, status from points where (agent_id = 'src1' and ord % 3 = 0) or (agent_id = 'src2' and ord % 7 = 0)")
+@query(
+    with_tables("points") + " select id, agent_id, name, status from points where (agent_id = 'src1' and ord % 3 = 0) or (agent_id = 'src2' and ord % 7 = 0)",
+)
 def point_lookup_batch(fx: Fixtures) -> DataFrame:
     p = fx.points()
     ids = p.filter("(agent_id = 'src1' and ord % 3 = 0) or (agent_id = 'src2' and ord % 7 = 0)").select("agent_id", "id")
@@ -116,9 +136,13 @@ def point_lookup_batch(fx: Fixtures) -> DataFrame:
     return L.by_ids(p, ids).select("id", "agent_id", "name", "status")
 
 
-@query("with t as (select source as agent_id, unnest([lang, source, '']) as tag from documents), c as (select agent_id, tag, count(*) as n from t where tag != '' group by all) select agent_id, tag, n, row_number() over (partition by agent_id order by n desc, tag) as place from c")
+@query(
+    "with t as (select source as agent_id, unnest([lang, source, '']) as tag from documents), c as (select agent_id, tag, count(*) as n from t where tag != '' group by all) select agent_id, tag, n, row_number() over (partition by agent_id order by n desc, tag) as place from c",
+)
 def list_tags(fx: Fixtures) -> DataFrame:
-    return L.list_tags(fx.points().select("agent_id", F.array_append("keywords", F.lit("")).alias("tags"))).select("agent_id", "tag", "n", F.col("place").cast("long").alias("place"))
+    return L.list_tags(
+        fx.points().select("agent_id", F.array_append("keywords", F.lit("")).alias("tags")),
+    ).select("agent_id", "tag", "n", F.col("place").cast("long").alias("place"))
 
 
 _COUNTS_SQL = with_tables("points", "wpages") + """, every as (select agent_id, 1 as p, 0 as w, 0 as l from points union all select agent_id, 0, 1, 0 from wpages union all select agent_id, 0, 0, 1 from points where wiki_worthy is not null)
@@ -148,7 +172,11 @@ _VISIBLE_SQL = """with own as (select n_name as reader, n_name as ns, 0 as ord f
 
 def _visible(fx: Fixtures) -> DataFrame:
     n = fx.table("nation")
-    other = n.alias("a").join(n.alias("b"), F.col("a.n_regionkey") == F.col("b.n_regionkey")).select(F.col("a.n_name").alias("reader"), F.col("b.n_name").alias("ns"), (F.col("b.n_nationkey") + 1).alias("ord"))
+    other = n.alias("a").join(n.alias("b"), F.col("a.n_regionkey") == F.col("b.n_regionkey")).select(
+        F.col("a.n_name").alias("reader"),
+        F.col("b.n_name").alias("ns"),
+        (F.col("b.n_nationkey") + 1).alias("ord"),
+    )
     return R.visible_namespaces(n.select(F.col("n_name").alias("reader")), other)
 
 
@@ -167,11 +195,20 @@ def cross_ns_dedupe(fx: Fixtures) -> DataFrame:
 def _best_of_namespaces(fx: Fixtures) -> DataFrame:
     n = fx.table("nation").select(F.col("n_nationkey").alias("ns_ord"), F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("source"))
     i = F.col("doc_id")
-    h = fx.table("documents").join(F.broadcast(n), "source").select("ns_ord", F.col("source").alias("agent_id"), (i % 40).cast("string").alias("id"), F.concat(F.lit("q"), (i % 3).cast("string")).alias("q"), (i * 31 % 1009 / 1009.0).alias("score"), i.alias("place"))
+    h = fx.table("documents").join(F.broadcast(n), "source").select(
+        "ns_ord",
+        F.col("source").alias("agent_id"),
+        (i % 40).cast("string").alias("id"),
+        F.concat(F.lit("q"), (i % 3).cast("string")).alias("q"),
+        (i * 31 % 1009 / 1009.0).alias("score"),
+        i.alias("place"),
+    )
     return R.rerank(h, 10).select("q", "agent_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(with_tables("points") + " select id, strftime(event_time, '%Y-%m-%d %H:%M:%S') as at from points where event_time between timestamp '2024-01-05' and timestamp '2024-01-20 12:00:00'")
+@query(
+    with_tables("points") + " select id, strftime(event_time, '%Y-%m-%d %H:%M:%S') as at from points where event_time between timestamp '2024-01-05' and timestamp '2024-01-20 12:00:00'",
+)
 def event_time_window(fx: Fixtures) -> DataFrame:
     p = fx.points()
     hits = R.event_times(p.select("agent_id", "id", F.lit("interest_point").alias("kind"), F.lit(0.9).alias("score")), p, fx.pages().limit(0))
@@ -179,7 +216,9 @@ def event_time_window(fx: Fixtures) -> DataFrame:
     return kept.select("id", F.date_format("event_time", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
-@query(with_tables("logs") + " select id, strftime(created_at, '%Y-%m-%d') as day from logs where created_at >= greatest(timestamp '2024-01-10', timestamp '2024-01-25' - interval 7 days)")
+@query(
+    with_tables("logs") + " select id, strftime(created_at, '%Y-%m-%d') as day from logs where created_at >= greatest(timestamp '2024-01-10', timestamp '2024-01-25' - interval 7 days)",
+)
 def recent_days(fx: Fixtures) -> DataFrame:
     hits = fx.logs().select("id", F.col("created_at").cast("timestamp").alias("event_time"), F.lit("interest_point").alias("kind"), F.lit(1.0).alias("score"))
     kept = R.filter_hits(hits, min_score=0, after=F.lit("2024-01-10").cast("timestamp"), now=F.lit("2024-01-25").cast("timestamp"), days=7)
@@ -199,9 +238,15 @@ def log_retention(fx: Fixtures) -> DataFrame:
     return retain_newest(logs, 10, caps).select("id", "agent_id")
 
 
-@query("select strftime(ts, '%Y-%m-%d') as date, cast(sum(cast(json_extract(props, '$.k') as bigint)) as bigint) as input_tokens, count(*) as output_tokens, cast(sum(case when event_type = 'click' then 1 else 0 end) as bigint) as cache_hit_tokens from events group by 1")
+@query(
+    "select strftime(ts, '%Y-%m-%d') as date, cast(sum(cast(json_extract(props, '$.k') as bigint)) as bigint) as input_tokens, count(*) as output_tokens, cast(sum(case when event_type = 'click' then 1 else 0 end) as bigint) as cache_hit_tokens from events group by 1",
+)
 def usage_daily(fx: Fixtures) -> DataFrame:
-    sums = {"input_tokens": F.get_json_object("props", "$.k").cast("long"), "output_tokens": F.lit(1), "cache_hit_tokens": F.when(F.col("event_type") == "click", 1).otherwise(0)}
+    sums = {
+        "input_tokens": F.get_json_object("props", "$.k").cast("long"),
+        "output_tokens": F.lit(1),
+        "cache_hit_tokens": F.when(F.col("event_type") == "click", 1).otherwise(0),
+    }
     return L.usage_by_day(fx.table("events"), "ts", sums)
 
 
@@ -220,12 +265,16 @@ def kanban_exclusion(fx: Fixtures) -> DataFrame:
     return L.exclude_boards(fx.table("customer"), "c_mktsegment", "c_mktsegment", ["building ", " MACHINERY", ""]).select("c_custkey", "c_mktsegment")
 
 
-@query("select doc_id, substr(sha256(source || '|' || text), 1, 16) as id, substr(sha256(source || '|' || cast(doc_id as varchar) || '|' || text), 1, 16) as claim_id from documents")
+@query(
+    "select doc_id, substr(sha256(source || '|' || text), 1, 16) as id, substr(sha256(source || '|' || cast(doc_id as varchar) || '|' || text), 1, 16) as claim_id from documents",
+)
 def hash_ids(fx: Fixtures) -> DataFrame:
     return fx.table("documents").select("doc_id", X.hash_id("source", "text").alias("id"), X.hash_id("source", "doc_id", "text").alias("claim_id"))
 
 
-@query("select doc_id, sha256(lower(trim(regexp_replace(text, '[\\s\\x0B\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g')))) as topic from documents")
+@query(
+    "select doc_id, sha256(lower(trim(regexp_replace(text, '[\\s\\x0B\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g')))) as topic from documents",
+)
 def normalize_topic(fx: Fixtures) -> DataFrame:
     return fx.table("documents").select("doc_id", F.sha2(X.normalize_topic("text"), 256).alias("topic"))
 
@@ -241,14 +290,27 @@ def truncate_utf8(fx: Fixtures) -> DataFrame:
     return fx.table("documents").select("doc_id", X.truncate_utf8("text", 61).alias("cut"))
 
 
-@query("""select o_orderkey, case when lower(o_orderpriority) in ('1-urgent', '2-high') then lower(o_orderpriority) else '2-high' end as priority, case when o_orderstatus in ('O', 'F') then o_orderstatus else 'O' end as status from orders""")
+@query(
+    """select o_orderkey, case when lower(o_orderpriority) in ('1-urgent', '2-high') then lower(o_orderpriority) else '2-high' end as priority, case when o_orderstatus in ('O', 'F') then o_orderstatus else 'O' end as status from orders""",
+)
 def enum_coercion(fx: Fixtures) -> DataFrame:
-    return fx.table("orders").select("o_orderkey", C.enum(F.lower("o_orderpriority"), ["1-urgent", "2-high"], "2-high").alias("priority"), C.enum("o_orderstatus", ["O", "F"], "O").alias("status"))
+    return fx.table("orders").select(
+        "o_orderkey",
+        C.enum(F.lower("o_orderpriority"), ["1-urgent", "2-high"], "2-high").alias("priority"),
+        C.enum("o_orderstatus", ["O", "F"], "O").alias("status"),
+    )
 
 
-@query("select l_orderkey, l_linenumber, case when l_discount * 20 > 0 and l_discount * 20 <= 1 then l_discount * 20 else 0.5 end as clamped, case when l_tax * 20 > 0 and l_tax * 20 <= 1 then l_tax * 20 else 0 end as given from lineitem")
+@query(
+    "select l_orderkey, l_linenumber, case when l_discount * 20 > 0 and l_discount * 20 <= 1 then l_discount * 20 else 0.5 end as clamped, case when l_tax * 20 > 0 and l_tax * 20 <= 1 then l_tax * 20 else 0 end as given from lineitem",
+)
 def confidence_clamp(fx: Fixtures) -> DataFrame:
-    return fx.table("lineitem").select("l_orderkey", "l_linenumber", C.clamp_confidence(F.col("l_discount") * 20).alias("clamped"), C.given_confidence(F.col("l_tax") * 20).alias("given"))
+    return fx.table("lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        C.clamp_confidence(F.col("l_discount") * 20).alias("clamped"),
+        C.given_confidence(F.col("l_tax") * 20).alias("given"),
+    )
 
 
 @query(with_tables("jobs") + """, r as (select *, row_number() over (order by done_at, id) as rn from jobs where status in ('done', 'failed')), t as (select count(*) - 5000 as excess from jobs)
@@ -257,21 +319,37 @@ def job_eviction(fx: Fixtures) -> DataFrame:
     return L.evict_jobs(fx.jobs(), 5000).select("id", "status")
 
 
-@query(with_tables("jobs") + ", r as (select *, row_number() over (partition by agent_id order by done_at, id) as rn from jobs where status = 'queued') select agent_id, id from r where rn = 1")
+@query(
+    with_tables("jobs") + ", r as (select *, row_number() over (partition by agent_id order by done_at, id) as rn from jobs where status = 'queued') select agent_id, id from r where rn = 1",
+)
 def unprocessed_oldest(fx: Fixtures) -> DataFrame:
     return fx.jobs().filter("status = 'queued'").groupBy("agent_id").agg(F.min_by("id", F.struct("done_at", "id")).alias("id"))
 
 
-@query(with_tables("logs") + """, r as (select agent_id, id, row_number() over (partition by agent_id order by created_at desc, id desc) as place from logs) select agent_id, cast(id as varchar) as session_id, place from r where place <= 10""")
+@query(
+    with_tables("logs") + """, r as (select agent_id, id, row_number() over (partition by agent_id order by created_at desc, id desc) as place from logs) select agent_id, cast(id as varchar) as session_id, place from r where place <= 10""",
+)
 def session_state_top10(fx: Fixtures) -> DataFrame:
     states = fx.logs().select("agent_id", F.col("id").alias("session_id"), F.col("created_at").alias("pushed_at"))
     return L.newest_sessions(states, 10).select("agent_id", F.col("session_id").cast("string").alias("session_id"), F.col("place").cast("long").alias("place"))
 
 
-@query(with_tables("points") + " select id, '- [' || id || '] ' || case when name = '' then id else name end || ' [interest_point]' || coalesce(' (at ' || strftime(event_time, '%Y-%m-%d') || ')', '') || case when confidence > 0 then ' (confidence ' || printf('%.2f', confidence) || ', ' || reliability_status || ')' else '' end || case when freshness_level not in ('', 'unknown') then ' freshness=' || freshness_level else '' end || chr(10) as line from points")
+@query(
+    with_tables("points") + " select id, '- [' || id || '] ' || case when name = '' then id else name end || ' [interest_point]' || coalesce(' (at ' || strftime(event_time, '%Y-%m-%d') || ')', '') || case when confidence > 0 then ' (confidence ' || printf('%.2f', confidence) || ', ' || reliability_status || ')' else '' end || case when freshness_level not in ('', 'unknown') then ' freshness=' || freshness_level else '' end || chr(10) as line from points",
+)
 def recall_lines(fx: Fixtures) -> DataFrame:
     blank = F.lit("")
-    line = X.render_line(F.col("id"), F.col("name"), F.lit("interest_point"), F.col("event_time"), F.col("confidence"), F.col("reliability_status"), F.col("freshness_level"), blank, blank)
+    line = X.render_line(
+        F.col("id"),
+        F.col("name"),
+        F.lit("interest_point"),
+        F.col("event_time"),
+        F.col("confidence"),
+        F.col("reliability_status"),
+        F.col("freshness_level"),
+        blank,
+        blank,
+    )
     return fx.points().select("id", line.alias("line"))
 
 
@@ -287,8 +365,22 @@ def _graded(fx: Fixtures, top: DataFrame) -> DataFrame:
     v = fx.vectors()
     hits = top.withColumn("agent_id", F.concat(F.lit("a"), (F.col("id").cast("int") % 2).cast("string")))
     n = v.select("agent_id", "id", "kind")
-    points = n.filter("kind = 'interest_point'").select("agent_id", "id", F.lit("").alias("name"), (F.col("id").cast("int") % 7 / 10.0).alias("confidence"), F.lit("unknown").alias("reliability_status"), F.lit("unknown").alias("freshness_level"))
+    points = n.filter("kind = 'interest_point'").select(
+        "agent_id",
+        "id",
+        F.lit("").alias("name"),
+        (F.col("id").cast("int") % 7 / 10.0).alias("confidence"),
+        F.lit("unknown").alias("reliability_status"),
+        F.lit("unknown").alias("freshness_level"),
+    )
     pages = n.filter("kind = 'wiki_page'").select("agent_id", "id", F.lit("").alias("title"))
-    claims = fx.table("lineitem").select(F.concat(F.lit("a"), (F.col("l_orderkey") % 2).cast("string")).alias("agent_id"), F.col("l_orderkey").cast("string").alias("page_id"), F.col("l_linenumber").alias("id"), (F.col("l_tax") * 10).alias("confidence"), F.lit("supported").alias("status"), F.lit("fresh").alias("freshness_level"))
+    claims = fx.table("lineitem").select(
+        F.concat(F.lit("a"), (F.col("l_orderkey") % 2).cast("string")).alias("agent_id"),
+        F.col("l_orderkey").cast("string").alias("page_id"),
+        F.col("l_linenumber").alias("id"),
+        (F.col("l_tax") * 10).alias("confidence"),
+        F.lit("supported").alias("status"),
+        F.lit("fresh").alias("freshness_level"),
+    )
     graded = R.regroup_by_agent(R.grade(hits, points, pages, claims))
     return graded.select("q", "id", "kind", "agent_id", F.round("confidence", 6).alias("confidence"), F.col("place").cast("long").alias("place"))

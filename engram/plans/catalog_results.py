@@ -39,7 +39,18 @@ def persist_update(fx: Fixtures) -> DataFrame:
         F.when(k == 2, 1).otherwise(7).alias("seen_count"), "event_time",
     )
     out = P.changed_points(change, conform(p, "interest_points"), _now())
-    return out.select("id", "action", "status", "name", F.round("importance", 6).alias("importance"), F.round("confidence", 6).alias("confidence"), "reliability_status", "freshness_level", "subjective", "seen_count")
+    return out.select(
+        "id",
+        "action",
+        "status",
+        "name",
+        F.round("importance", 6).alias("importance"),
+        F.round("confidence", 6).alias("confidence"),
+        "reliability_status",
+        "freshness_level",
+        "subjective",
+        "seen_count",
+    )
 
 
 @query(with_tables("sims") + """, r as (select a as s, b as t, 'related' as kind, sim as w from sims where aa = ba and sim >= 0.4), c as (select cast(doc_id as varchar) as l, cast(doc_id + 1 as varchar) as r from documents where doc_id % 6 = 0 and doc_id + 1 <= (select max(doc_id) from documents))
@@ -48,10 +59,23 @@ def persist_edges(fx: Fixtures) -> DataFrame:
     """The edges that persisting makes: contradictions in both directions, and related ones among an agent's survivors."""
     i = F.col("doc_id")
     d = fx.table("documents")
-    side = d.filter("doc_id % 6 = 0").select(F.lit("a").alias("agent_id"), F.lit(0).alias("component"), i.cast("string").alias("left"), (i + 1).cast("string").alias("right"), F.lit("").alias("description"))
+    side = d.filter("doc_id % 6 = 0").select(
+        F.lit("a").alias("agent_id"),
+        F.lit(0).alias("component"),
+        i.cast("string").alias("left"),
+        (i + 1).cast("string").alias("right"),
+        F.lit("").alias("description"),
+    )
     none = fx.spark.createDataFrame([], "agent_id string, component int, topic string")
     found = P.resolve_contradictions(side, none, d.select(F.lit("a").alias("agent_id"), F.lit(0).alias("component"), i.cast("string").alias("hist")), _now())
-    against = found.select("agent_id", F.col("left_id").alias("source_id"), F.col("right_id").alias("target_id"), F.lit("contradicts").alias("kind"), F.lit(1.0).alias("weight"), F.lit(0).alias("seq"))
+    against = found.select(
+        "agent_id",
+        F.col("left_id").alias("source_id"),
+        F.col("right_id").alias("target_id"),
+        F.lit("contradicts").alias("kind"),
+        F.lit(1.0).alias("weight"),
+        F.lit(0).alias("seq"),
+    )
     near = P.related_edges(fx.vectors().select("agent_id", "id", "ord", "v"), 0.4, _now()).drop("created_at").withColumn("seq", F.lit(1))
     return add_edge_pairs(against.unionByName(near)).select("source_id", "target_id", "kind", F.round("weight", 6).alias("weight"))
 
@@ -75,7 +99,9 @@ def knn_mixed(fx: Fixtures) -> DataFrame:
     return near.select("q", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(with_tables("vecs") + " select id, round(3 * v[1] / sqrt(list_sum(list_transform(v, lambda x: 9 * x * x))), 6) as first, len(v) as n, 1.0::double as norm from vecs")
+@query(
+    with_tables("vecs") + " select id, round(3 * v[1] / sqrt(list_sum(list_transform(v, lambda x: 9 * x * x))), 6) as first, len(v) as n, 1.0::double as norm from vecs",
+)
 def stored_vectors(fx: Fixtures) -> DataFrame:
     """Vectors are stored with length one."""
     u = fx.vectors().withColumn("v", V.unit(F.transform("v", lambda x: x * 3)))
@@ -89,10 +115,33 @@ def result_projection(fx: Fixtures) -> DataFrame:
     """Points and pages as clients see them."""
     points = conform(fx.points(), "interest_points")
     key = lambda c: F.concat(F.lit("o"), F.col(c).cast("string"))
-    pages = fx.table("orders").select(F.lit("a").alias("agent_id"), key("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("body_md"), F.lit("active").alias("status"))
-    claims = fx.table("lineitem").select(F.lit("a").alias("agent_id"), key("l_orderkey").alias("page_id"), F.concat_ws("-", "l_linenumber", "l_partkey").alias("id"), F.lit("t").alias("text"), F.lit("s").alias("status"), F.lit(0.5).alias("confidence"))
+    pages = fx.table("orders").select(
+        F.lit("a").alias("agent_id"),
+        key("o_orderkey").alias("id"),
+        F.col("o_orderpriority").alias("title"),
+        F.col("o_orderstatus").alias("body_md"),
+        F.lit("active").alias("status"),
+    )
+    claims = fx.table("lineitem").select(
+        F.lit("a").alias("agent_id"),
+        key("l_orderkey").alias("page_id"),
+        F.concat_ws("-", "l_linenumber", "l_partkey").alias("id"),
+        F.lit("t").alias("text"),
+        F.lit("s").alias("status"),
+        F.lit(0.5).alias("confidence"),
+    )
     out = R.entry_results(points, pages, claims)
-    return out.select("id", "kind", "title", F.md5("body").alias("body"), "status", F.round("confidence", 6).alias("confidence"), "freshness", F.size("claims").cast("long").alias("n_claims"), F.get("claims", F.lit(0)).id.alias("first_claim"))
+    return out.select(
+        "id",
+        "kind",
+        "title",
+        F.md5("body").alias("body"),
+        "status",
+        F.round("confidence", 6).alias("confidence"),
+        "freshness",
+        F.size("claims").cast("long").alias("n_claims"),
+        F.get("claims", F.lit(0)).id.alias("first_claim"),
+    )
 
 
 @query("""with recursive st as (select doc_id as k, doc_id % 7 < 4 as archived, doc_id % 7 != 6 and doc_id + 1 <= (select max(doc_id) from documents) as nxt from documents),
@@ -102,14 +151,28 @@ def replacement_refs(fx: Fixtures) -> DataFrame:
     """What replaces archived points: the successor's page where it has an active one."""
     d, i = fx.table("documents").select("doc_id"), F.col("doc_id")
     a = F.lit("a").alias("agent_id")
-    sequel = d.filter("doc_id % 7 != 6").select(a, i.cast("string").alias("source_id"), (i + 1).cast("string").alias("target_id"), F.lit("sequel").alias("kind"), F.lit(1.0).alias("weight"))
-    page = d.select(a, i.cast("string").alias("source_id"), F.concat(F.lit("page-"), i.cast("string")).alias("target_id"), F.lit("has_page").alias("kind"), F.lit(1.0).alias("weight"))
+    sequel = d.filter("doc_id % 7 != 6").select(
+        a,
+        i.cast("string").alias("source_id"),
+        (i + 1).cast("string").alias("target_id"),
+        F.lit("sequel").alias("kind"),
+        F.lit(1.0).alias("weight"),
+    )
+    page = d.select(
+        a,
+        i.cast("string").alias("source_id"),
+        F.concat(F.lit("page-"), i.cast("string")).alias("target_id"),
+        F.lit("has_page").alias("kind"),
+        F.lit(1.0).alias("weight"),
+    )
     p = d.select(a, i.cast("string").alias("id"), F.lit("n").alias("name"), F.when(i % 7 < 4, "archived").otherwise("active").alias("status"))
     out = R.replacement_refs(p, sequel.unionByName(page), p, fx.pages().withColumn("agent_id", F.lit("a")))
     return out.select("id", "replacement.kind", F.col("replacement.id").alias("to_id"))
 
 
-@query(with_tables("wpages") + ", p as (select id, agent_id, title, status, md5(body_md) as body, tags from wpages) select id, agent_id, title, status, body, array_to_string(tags, ',') as tags from p")
+@query(
+    with_tables("wpages") + ", p as (select id, agent_id, title, status, md5(body_md) as body, tags from wpages) select id, agent_id, title, status, body, array_to_string(tags, ',') as tags from p",
+)
 def review_page_projection(fx: Fixtures) -> DataFrame:
     out = R.review_pages(fx.pages().withColumn("sources", F.array().cast("array<string>")))
     return out.select("id", "agent_id", "title", "status", F.md5("body").alias("body"), F.array_join("tags", ",").alias("tags"))
@@ -134,7 +197,16 @@ def keyword_index_vectors(fx: Fixtures) -> DataFrame:
 def cache_keys(fx: Fixtures) -> DataFrame:
     e, i = fx.table("events"), F.col("event_id")
     after = F.when(i % 3 == 0, F.col("ts")).cast("timestamp")
-    key = R.recall_key(F.concat(F.lit("u"), F.col("user_id").cast("string")), F.col("event_type"), F.lit(8), i % 2 == 0, F.lit(0.3), after, F.lit(None).cast("timestamp"), i % 5)
+    key = R.recall_key(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")),
+        F.col("event_type"),
+        F.lit(8),
+        i % 2 == 0,
+        F.lit(0.3),
+        after,
+        F.lit(None).cast("timestamp"),
+        i % 5,
+    )
     return e.select("event_id", key.alias("recall_key"), R.embed_key(F.lit("m"), F.lit(64), F.col("props")).alias("embed_key"))
 
 
@@ -142,7 +214,12 @@ def cache_keys(fx: Fixtures) -> DataFrame:
     select cast(user_id as varchar) as agent_id, '{' || string_agg('"' || event_type || '":"' || cast(cast(floor(f) as bigint) as varchar) || '"', ',' order by event_type) || '}' as state from l group by 1""")
 def push_state(fx: Fixtures) -> DataFrame:
     """The newest fingerprint of each session, as one JSON object per agent, and read back from it."""
-    e = fx.table("events").select(F.col("user_id").cast("string").alias("agent_id"), F.col("event_type").alias("session_id"), F.floor("value").cast("string").alias("fingerprint"), F.col("ts").alias("received_at"))
+    e = fx.table("events").select(
+        F.col("user_id").cast("string").alias("agent_id"),
+        F.col("event_type").alias("session_id"),
+        F.floor("value").cast("string").alias("fingerprint"),
+        F.col("ts").alias("received_at"),
+    )
     states = R.push_state(e)
     return R.push_state(R.read_state(states).withColumn("received_at", F.lit(0)))
 
@@ -155,7 +232,10 @@ def text_forms(fx: Fixtures) -> DataFrame:
     n = i.cast("string")
     fenced = F.when(i % 3 == 0, F.concat(F.lit(" ```json\n"), n, F.lit("\n```\n"))).when(i % 3 == 1, F.concat(F.lit("```\n"), n, F.lit("```"))).otherwise(n)
     return d.select(
-        "doc_id", X.strip_fence(fenced).alias("fenced"), X.candidate_text("lang", F.when(i % 3 == 0, "").otherwise(F.col("source"))).alias("candidate"), X.entry_body("lang", F.array("source", "lang")).alias("entry"),
+        "doc_id", X.strip_fence(fenced).alias("fenced"), X.candidate_text(
+            "lang",
+            F.when(i % 3 == 0, "").otherwise(F.col("source")),
+        ).alias("candidate"), X.entry_body("lang", F.array("source", "lang")).alias("entry"),
         X.wrap_memory("lang").alias("wrapped"), X.describe_archived(F.col("source"), F.when(i % 2 == 0, F.col("lang")).otherwise("")).alias("archived"),
     )
 
@@ -168,18 +248,29 @@ def decoded_arguments(fx: Fixtures) -> DataFrame:
     kind = F.col("event_type")
     strings = F.when(i % 2 == 0, F.concat(F.lit('[" '), kind, F.lit(' ", "", "x"]'))).otherwise("no list")
     edges = F.when(i % 3 == 0, '[{"target_id": " A_B ", "kind": "Related"}, {"target_id": "", "kind": "x"}, {"target_id": "y"}]').otherwise("{")
-    claims = F.when(i % 4 == 0, '```json\n[{"text": "t", "status": "contested", "confidence": 7}, {"text": " "}]\n```').when(i % 4 == 1, '[{"text": "t", "status": "odd", "confidence": 0.25}]').otherwise("7")
+    claims = F.when(
+        i % 4 == 0,
+        '```json\n[{"text": "t", "status": "contested", "confidence": 7}, {"text": " "}]\n```',
+    ).when(i % 4 == 1, '[{"text": "t", "status": "odd", "confidence": 0.25}]').otherwise("7")
     date = F.when(i % 5 == 0, F.date_format("ts", "yyyy-MM-dd")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     pair = lambda a, b: F.concat(a, F.lit(":"), b.cast("string"))
     at = C.rfc3339(date)
     return e.select(
-        "event_id", F.array_join(C.json_list(strings), "|").alias("strings"), F.array_join(F.transform(C.edge_list(edges), lambda x: pair(x.target_id, x.kind)), "|").alias("edges"),
-        F.array_join(F.transform(C.claim_list(claims), lambda x: pair(x.status, x.confidence)), "|").alias("claims"), F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("at"),
+        "event_id", F.array_join(C.json_list(strings), "|").alias("strings"), F.array_join(
+            F.transform(C.edge_list(edges), lambda x: pair(x.target_id, x.kind)),
+            "|",
+        ).alias("edges"),
+        F.array_join(
+            F.transform(C.claim_list(claims), lambda x: pair(x.status, x.confidence)),
+            "|",
+        ).alias("claims"), F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("at"),
         F.date_format(C.event_time(at, F.lit("2024-01-01").cast("timestamp")), "yyyy-MM-dd HH:mm:ss").alias("event_at"),
     )
 
 
-@query(with_tables("vecs") + ", q as (select id, v from vecs where ord % 100 = 0) select q.id as q, vecs.label as label, round(max(list_cosine_similarity(q.v, vecs.v)), 6) as affinity from q, vecs group by 1, 2")
+@query(
+    with_tables("vecs") + ", q as (select id, v from vecs where ord % 100 = 0) select q.id as q, vecs.label as label, round(max(list_cosine_similarity(q.v, vecs.v)), 6) as affinity from q, vecs group by 1, 2",
+)
 def member_affinity(fx: Fixtures) -> DataFrame:
     """The largest cosine between a vector and the members of each group."""
     v = fx.vectors()
@@ -188,7 +279,9 @@ def member_affinity(fx: Fixtures) -> DataFrame:
     return near.select("q", "label", F.round(K.affinity(F.col("m"), F.col("w")), 6).alias("affinity"))
 
 
-@query(with_tables("wpages") + " select id, case when title = '' or ord % 4 = 0 then id else title end as title, '{\"agent_id\":\"' || agent_id || '\",\"ord\":' || ord || '}' as body from wpages")
+@query(
+    with_tables("wpages") + " select id, case when title = '' or ord % 4 = 0 then id else title end as title, '{\"agent_id\":\"' || agent_id || '\",\"ord\":' || ord || '}' as body from wpages",
+)
 def hit_bodies(fx: Fixtures) -> DataFrame:
     """Titles of hits (an id stands in for a missing one), and rows as JSON."""
     p = fx.pages().withColumn("title", F.when(F.col("ord") % 4 == 0, "").otherwise(F.col("title")))
@@ -201,7 +294,16 @@ def _stored(fx: Fixtures) -> Engine:
     e.store.write("interest_points", fx.points())
     e.store.write("wiki_pages", fx.pages())
     i = F.col("event_id")
-    e.store.write("edges", fx.table("events").select(F.concat(F.lit("a"), (F.col("user_id") % 3).cast("string")).alias("agent_id"), i.cast("string").alias("source_id"), (i + 1).cast("string").alias("target_id"), F.lit("related").alias("kind"), F.col("value").alias("weight")))
+    e.store.write(
+        "edges",
+        fx.table("events").select(
+            F.concat(F.lit("a"), (F.col("user_id") % 3).cast("string")).alias("agent_id"),
+            i.cast("string").alias("source_id"),
+            (i + 1).cast("string").alias("target_id"),
+            F.lit("related").alias("kind"),
+            F.col("value").alias("weight"),
+        ),
+    )
     return e
 
 
@@ -226,20 +328,33 @@ def store_writes(fx: Fixtures) -> DataFrame:
     at = lambda t: F.lit(t).cast("timestamp")
     p = fx.points()
     e.store.write("interest_points", p.withColumns({"first_seen_at": at("2023-01-01"), "last_seen_at": at("2023-01-01")}))
-    new = p.filter("ord % 4 in (1, 3)").withColumns({"id": F.when(k == 3, F.concat(F.lit("x"), i)).otherwise(i), "name": F.when(k == 3, "added").otherwise("changed"), "first_seen_at": at("2024-01-01"), "last_seen_at": at("2024-01-01")})
+    new = p.filter("ord % 4 in (1, 3)").withColumns(
+        {
+            "id": F.when(k == 3, F.concat(F.lit("x"), i)).otherwise(i),
+            "name": F.when(k == 3, "added").otherwise("changed"),
+            "first_seen_at": at("2024-01-01"),
+            "last_seen_at": at("2024-01-01"),
+        },
+    )
     e.store.upsert("interest_points", new)
     e.store.delete("interest_points", p.filter("ord % 4 = 2").select("agent_id", "id"))
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     return e.store.read("interest_points").select("id", "agent_id", "name", day("last_seen_at").alias("last_seen"), day("first_seen_at").alias("first_seen"))
 
 
-@query(with_tables("logs") + """, t as (select 't' || cast(id as varchar) as s, 'a' || (agent_id % 5) as a, created_at as got, id from logs), p as (select *, row_number() over (partition by a order by got, s) as n from t) select s as session_id, a as agent_id, n <= 3 as processed from p""")
+@query(
+    with_tables("logs") + """, t as (select 't' || cast(id as varchar) as s, 'a' || (agent_id % 5) as a, created_at as got, id from logs), p as (select *, row_number() over (partition by a order by got, s) as n from t) select s as session_id, a as agent_id, n <= 3 as processed from p""",
+)
 def processed_in_order(fx: Fixtures) -> DataFrame:
     """Three rounds of processing: each takes the session of every agent that was received first."""
     from engram.plans.process import oldest_unprocessed
 
     e = _stored(fx)
-    t = fx.logs().select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("session_id"), F.concat(F.lit("a"), (F.col("agent_id") % 5).cast("string")).alias("agent_id"), F.col("created_at").cast("timestamp").alias("received_at"))
+    t = fx.logs().select(
+        F.concat(F.lit("t"), F.col("id").cast("string")).alias("session_id"),
+        F.concat(F.lit("a"), (F.col("agent_id") % 5).cast("string")).alias("agent_id"),
+        F.col("created_at").cast("timestamp").alias("received_at"),
+    )
     e.store.write("session_transcripts", t)
     for _ in range(3):
         e.store.mark_processed(scratch(fx.spark)(oldest_unprocessed(e.store.read("session_transcripts")), "oldest"), _now())

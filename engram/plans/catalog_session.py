@@ -36,13 +36,21 @@ def _clustered(fx: Fixtures) -> dict[str, DataFrame]:
     return S.cluster_with_history(v.filter("ord % 10 < 3").select("id", "ord", "v"), v.filter("ord % 10 >= 3"), 0.33, 0.3, scratch(fx.spark))
 
 
-@query(_COMP + """ select component, array_to_string(list(distinct id order by id), ',') as members, coalesce(array_to_string(list(distinct hist order by hist) filter (where hist is not null), ','), '') as history from comp left join hist on point = id group by component""")
+@query(
+    _COMP + """ select component, array_to_string(list(distinct id order by id), ',') as members, coalesce(array_to_string(list(distinct hist order by hist) filter (where hist is not null), ','), '') as history from comp left join hist on point = id group by component""",
+)
 def component_assembly(fx: Fixtures) -> DataFrame:
     c = _clustered(fx)
-    return S.assemble_components(c["members"], c["links"]).select("component", F.array_join("members", ",").alias("members"), F.array_join("history", ",").alias("history"))
+    return S.assemble_components(c["members"], c["links"]).select(
+        "component",
+        F.array_join("members", ",").alias("members"),
+        F.array_join("history", ",").alias("history"),
+    )
 
 
-@query(_COMP + ", z as (select component, count(*) as n from comp group by 1) select id from comp join z using (component) where n = 1 and id not in (select point from hist)")
+@query(
+    _COMP + ", z as (select component, count(*) as n from comp group by 1) select id from comp join z using (component) where n = 1 and id not in (select point from hist)",
+)
 def isolated_without_history(fx: Fixtures) -> DataFrame:
     return _clustered(fx)["isolated"]
 
@@ -52,7 +60,15 @@ def isolated_without_history(fx: Fixtures) -> DataFrame:
     select unit, array_to_string(list(c.id order by c.id), ',') as ids, min(cast(ord % 5 as integer)) as start, max(cast(ord % 11 as integer)) as "end" from comp c join good using (id) group by unit""")
 def compile_units(fx: Fixtures) -> DataFrame:
     v = fx.vectors()
-    p = v.select("id", "ord", "v", F.when(F.col("ord") % 7 == 0, False).when(F.col("ord") % 3 == 0, True).alias("wiki_worthy"), (F.col("ord") % 5).cast("int").alias("start"), (F.col("ord") % 11).cast("int").alias("end"), F.lit(None).cast("timestamp").alias("event_time"))
+    p = v.select(
+        "id",
+        "ord",
+        "v",
+        F.when(F.col("ord") % 7 == 0, False).when(F.col("ord") % 3 == 0, True).alias("wiki_worthy"),
+        (F.col("ord") % 5).cast("int").alias("start"),
+        (F.col("ord") % 11).cast("int").alias("end"),
+        F.lit(None).cast("timestamp").alias("event_time"),
+    )
     u = S.compile_units(p, 0.36, scratch(fx.spark))
     return u.select("unit", F.array_join("ids", ",").alias("ids"), "start", "end")
 
@@ -61,7 +77,15 @@ def compile_units(fx: Fixtures) -> DataFrame:
     d as (select id, min(hops) as hops from r group by id) select id, hops, cast((row_number() over (order by hops, id) - 1) // 10 as integer) as batch_no from d""")
 def reconcile_plan(fx: Fixtures) -> DataFrame:
     v = fx.vectors()
-    e = scratch(fx.spark)(K.similar_pairs(v, 0.33).select(F.lit("a").alias("agent_id"), F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.lit("related").alias("kind")), "plan_edges")
+    e = scratch(fx.spark)(
+        K.similar_pairs(v, 0.33).select(
+            F.lit("a").alias("agent_id"),
+            F.col("a").alias("source_id"),
+            F.col("b").alias("target_id"),
+            F.lit("related").alias("kind"),
+        ),
+        "plan_edges",
+    )
     pages = v.select(F.lit("a").alias("agent_id"), "id", F.lit("active").alias("status"), "ord")
     return S.reconcile_batches(pages.filter("ord % 100 = 0"), e, pages, Config()).select("id", "hops", "batch_no")
 
@@ -86,7 +110,12 @@ def keyword_index(fx: Fixtures) -> DataFrame:
     n as (select a, count(*) as k, min(d) filter (where seq = 4) as done_at from s group by a) select cast(a as varchar) as id, case when k >= 4 then 'done' when k >= 2 then 'running' else 'queued' end as status, strftime(case when k >= 4 then done_at end, '%Y-%m-%d') as done_on from n""")
 def job_states(fx: Fixtures) -> DataFrame:
     seq = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    o = fx.table("orders").select(F.lit("a").alias("agent_id"), F.col("o_custkey").cast("string").alias("id"), seq.alias("seq"), F.col("o_orderdate").alias("at"))
+    o = fx.table("orders").select(
+        F.lit("a").alias("agent_id"),
+        F.col("o_custkey").cast("string").alias("id"),
+        seq.alias("seq"),
+        F.col("o_orderdate").alias("at"),
+    )
     status = F.element_at(F.array(F.lit("queued"), F.lit("running"), F.lit("running"), F.lit("done")), ((F.col("seq") - 1) % 4 + 1).cast("int"))
     out = V.job_states(o.withColumn("status", status))
     return out.select("id", "status", F.date_format("done_at", "yyyy-MM-dd").alias("done_on"))
@@ -96,8 +125,17 @@ def job_states(fx: Fixtures) -> DataFrame:
     n as (select v.id, coalesce(degree, 0) as degree from vecs v left join d using (id) where ord % 3 != 2 and coalesce(degree, 0) >= 2) select s as source_id, t as target_id from e where s in (select id from n) and t in (select id from n)""")
 def graph_filter(fx: Fixtures) -> DataFrame:
     v = fx.vectors()
-    nodes = v.select(F.lit("a").alias("agent_id"), "id", F.element_at(F.array(F.lit(""), F.lit("active"), F.lit("archived")), (F.col("ord") % 3 + 1).cast("int")).alias("status"))
-    links = K.similar_pairs(v, 0.35).select(F.lit("a").alias("agent_id"), F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.lit("related").alias("kind"))
+    nodes = v.select(
+        F.lit("a").alias("agent_id"),
+        "id",
+        F.element_at(F.array(F.lit(""), F.lit("active"), F.lit("archived")), (F.col("ord") % 3 + 1).cast("int")).alias("status"),
+    )
+    links = K.similar_pairs(v, 0.35).select(
+        F.lit("a").alias("agent_id"),
+        F.col("a").alias("source_id"),
+        F.col("b").alias("target_id"),
+        F.lit("related").alias("kind"),
+    )
     return V.filter_graph(nodes, links, G.node_degree(links), ["active"], 2, ["related"])[1].select("source_id", "target_id")
 
 
@@ -112,12 +150,16 @@ def delete_by_source(fx: Fixtures) -> DataFrame:
     return delete_keys(e, e.filter("event_id % 97 = 0"), ["user_id"]).select("event_id")
 
 
-@query("""select substr(sha256('a|page-' || page_id || '|' || regexp_extract(html, '<title>([^<]*)</title>', 1)), 1, 16) as id, 'page-' || page_id as page_id, case when page_id % 4 = 0 then 'contested' else 'supported' end as status, case when page_id % 5 = 0 then 0.5 else (page_id % 5) / 5.0::double end as confidence from pages""")
+@query(
+    """select substr(sha256('a|page-' || page_id || '|' || regexp_extract(html, '<title>([^<]*)</title>', 1)), 1, 16) as id, 'page-' || page_id as page_id, case when page_id % 4 = 0 then 'contested' else 'supported' end as status, case when page_id % 5 = 0 then 0.5 else (page_id % 5) / 5.0::double end as confidence from pages""",
+)
 def page_write_claims(fx: Fixtures) -> DataFrame:
     return _written(fx)["claims"].select("id", "page_id", "status", "confidence")
 
 
-@query("""select 'page-' || page_id as id, case page_id % 3 when 0 then 'source' when 1 then 'entity' else 'concept' end as page_type, case when page_id % 3 = 0 then '> Source sessions: s' || page_id || chr(10) || chr(10) || 'body' else 'body' end as body_md, case when page_id % 2 = 0 then 'update' else 'create' end as action from pages""")
+@query(
+    """select 'page-' || page_id as id, case page_id % 3 when 0 then 'source' when 1 then 'entity' else 'concept' end as page_type, case when page_id % 3 = 0 then '> Source sessions: s' || page_id || chr(10) || chr(10) || 'body' else 'body' end as body_md, case when page_id % 2 = 0 then 'update' else 'create' end as action from pages""",
+)
 def page_writes(fx: Fixtures) -> DataFrame:
     out = _written(fx)
     return out["wiki_pages"].join(out["change_log"].select(F.col("entity_id").alias("id"), "action"), "id").select("id", "page_type", "body_md", "action")
@@ -125,9 +167,29 @@ def page_writes(fx: Fixtures) -> DataFrame:
 
 def _written(fx: Fixtures) -> dict[str, DataFrame]:
     i = F.col("page_id")
-    claim = F.struct(F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("text"), F.when(i % 4 == 0, "contested").otherwise("odd").alias("status"), (i % 5 / 5.0).alias("confidence"))
-    w = fx.table("pages").select(F.lit("a").alias("agent_id"), F.concat(F.lit(" Page_"), i.cast("string")).alias("id"), F.element_at(F.array(F.lit("source"), F.lit("entity"), F.lit("odd")), (i % 3 + 1).cast("int")).alias("page_type"), F.lit("t").alias("title"), F.lit("body").alias("content"), F.lit("active").alias("status"), F.array(F.lit("x")).alias("tags"), F.array(F.concat(F.lit("s"), i.cast("string"))).alias("sources"), F.array(F.lit("p")).alias("points"), F.array(claim).alias("claims"))
-    old = fx.table("pages").filter("page_id % 2 = 0").select(F.lit("a").alias("agent_id"), F.concat(F.lit("page-"), i.cast("string")).alias("id"), now().alias("created_at"), F.lit(None).cast("timestamp").alias("event_time"))
+    claim = F.struct(
+        F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("text"),
+        F.when(i % 4 == 0, "contested").otherwise("odd").alias("status"),
+        (i % 5 / 5.0).alias("confidence"),
+    )
+    w = fx.table("pages").select(
+        F.lit("a").alias("agent_id"),
+        F.concat(F.lit(" Page_"), i.cast("string")).alias("id"),
+        F.element_at(F.array(F.lit("source"), F.lit("entity"), F.lit("odd")), (i % 3 + 1).cast("int")).alias("page_type"),
+        F.lit("t").alias("title"),
+        F.lit("body").alias("content"),
+        F.lit("active").alias("status"),
+        F.array(F.lit("x")).alias("tags"),
+        F.array(F.concat(F.lit("s"), i.cast("string"))).alias("sources"),
+        F.array(F.lit("p")).alias("points"),
+        F.array(claim).alias("claims"),
+    )
+    old = fx.table("pages").filter("page_id % 2 = 0").select(
+        F.lit("a").alias("agent_id"),
+        F.concat(F.lit("page-"), i.cast("string")).alias("id"),
+        now().alias("created_at"),
+        F.lit(None).cast("timestamp").alias("event_time"),
+    )
     return P.write_pages(w, old, now())
 
 
@@ -151,10 +213,19 @@ def search_results(fx: Fixtures) -> DataFrame:
     return parse_search_output(p, ["page_id"], 5).select("page_id", "pos", "title", "url")
 
 
-@query("select cast(doc_id as varchar) as id, coalesce(array_to_string(list(page_id || ' (' || title || ')' order by page_id || ' (' || title || ')'), ', '), '') as pages from (select doc_id, 'page-' || page_id as page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from documents join pages on page_id in (doc_id, doc_id + 1)) group by doc_id")
+@query(
+    "select cast(doc_id as varchar) as id, coalesce(array_to_string(list(page_id || ' (' || title || ')' order by page_id || ' (' || title || ')'), ', '), '') as pages from (select doc_id, 'page-' || page_id as page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from documents join pages on page_id in (doc_id, doc_id + 1)) group by doc_id",
+)
 def points_with_pages(fx: Fixtures) -> DataFrame:
     i = F.col("doc_id")
     d = fx.table("documents")
-    e = d.select(F.lit("a").alias("agent_id"), i.cast("string").alias("source_id"), F.explode(F.array(i, i + 1)).alias("p")).select("agent_id", "source_id", F.concat(F.lit("page-"), F.col("p").cast("string")).alias("target_id"), F.lit("has_page").alias("kind"))
+    e = d.select(F.lit("a").alias("agent_id"), i.cast("string").alias("source_id"), F.explode(F.array(i, i + 1)).alias("p")).select(
+        "agent_id",
+        "source_id",
+        F.concat(F.lit("page-"), F.col("p").cast("string")).alias("target_id"),
+        F.lit("has_page").alias("kind"),
+    )
     p = L.points_pages(e, fx.pages().withColumn("agent_id", F.lit("a"))).filter("title is not null")
-    return p.groupBy(F.col("point_id").alias("id")).agg(F.array_join(F.sort_array(F.collect_list(F.concat("page_id", F.lit(" ("), "title", F.lit(")")))), ", ").alias("pages"))
+    return p.groupBy(F.col("point_id").alias("id")).agg(
+        F.array_join(F.sort_array(F.collect_list(F.concat("page_id", F.lit(" ("), "title", F.lit(")")))), ", ").alias("pages"),
+    )

@@ -14,7 +14,14 @@ def apply_merges(candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
     """candidates (cluster, topic, reason, confidence, tags) after merge verdicts (cluster, action, source_topics, merged): merge and compose
     give the merged one, keep its sources as they are; other actions just use up their sources; candidates that no verdict names stay."""
     named = verdicts.select("cluster", "action", F.explode("source_topics").alias("topic"))
-    new = verdicts.filter(F.col("action").isin("merge", "compose")).select("cluster", F.col("merged.topic").alias("topic"), F.col("merged.reason").alias("reason"), F.col("merged.confidence").alias("confidence"), F.col("merged.tags").alias("tags"), F.lit("merged").alias("origin"))
+    new = verdicts.filter(F.col("action").isin("merge", "compose")).select(
+        "cluster",
+        F.col("merged.topic").alias("topic"),
+        F.col("merged.reason").alias("reason"),
+        F.col("merged.confidence").alias("confidence"),
+        F.col("merged.tags").alias("tags"),
+        F.lit("merged").alias("origin"),
+    )
     kept = candidates.join(named.filter("action = 'keep'").select("cluster", "topic").distinct(), ["cluster", "topic"], "left_semi")
     rest = candidates.join(named.select("cluster", "topic").distinct(), ["cluster", "topic"], "left_anti")
     columns = ["cluster", "topic", "reason", "confidence", "tags"]
@@ -33,28 +40,86 @@ def adjudicate(members: DataFrame, decisions: DataFrame, points: DataFrame, now:
     """
     named = decisions.select("agent_id", "component", F.col("source_topic").alias("topic")).distinct().withColumn("_d", F.lit(1))
     state = members.join(named, ["agent_id", "component", "topic"], "left").groupBy("agent_id", "component").agg((F.count("_d") < F.count("*")).alias("void"))
-    m = members.select("agent_id", "component", F.col("topic").alias("source_topic"), F.col("tags").alias("_mt"), F.col("event_time").alias("_me")).dropDuplicates(["agent_id", "component", "source_topic"])
-    valid = decisions.join(state.filter("not void").select("agent_id", "component"), ["agent_id", "component"], "left_semi").join(m, ["agent_id", "component", "source_topic"], "left")
+    m = members.select(
+        "agent_id",
+        "component",
+        F.col("topic").alias("source_topic"),
+        F.col("tags").alias("_mt"),
+        F.col("event_time").alias("_me"),
+    ).dropDuplicates(["agent_id", "component", "source_topic"])
+    valid = decisions.join(
+        state.filter("not void").select("agent_id", "component"),
+        ["agent_id", "component"],
+        "left_semi",
+    ).join(m, ["agent_id", "component", "source_topic"], "left")
     none = F.array().cast("array<string>")
     some = lambda a, b: F.when(F.size(F.coalesce(a, none)) > 0, a).otherwise(F.coalesce(b, none))
 
     def created(df: DataFrame, topic: Column, reason: Column, confidence: Column, tags: Column, at: Column, void: bool) -> DataFrame:
-        return df.select("agent_id", hash_id(topic).alias("id"), F.lit("create").alias("action"), topic.alias("name"), reason.alias("summary"), confidence.alias("importance"), tags.alias("keywords"), F.lit(1).alias("seen_count"), at.alias("event_time"), F.lit(void).alias("void"))
+        return df.select(
+            "agent_id",
+            hash_id(topic).alias("id"),
+            F.lit("create").alias("action"),
+            topic.alias("name"),
+            reason.alias("summary"),
+            confidence.alias("importance"),
+            tags.alias("keywords"),
+            F.lit(1).alias("seen_count"),
+            at.alias("event_time"),
+            F.lit(void).alias("void"),
+        )
 
-    made = created(valid.filter(F.col("action").isin("keep", "archive")), F.col("topic"), F.col("reason"), F.col("confidence"), some(F.col("tags"), F.col("_mt")), F.col("_me"), False)
+    made = created(
+        valid.filter(F.col("action").isin("keep", "archive")),
+        F.col("topic"),
+        F.col("reason"),
+        F.col("confidence"),
+        some(F.col("tags"), F.col("_mt")),
+        F.col("_me"),
+        False,
+    )
     lost = members.join(state.filter("void").select("agent_id", "component"), ["agent_id", "component"], "left_semi")
     back = created(lost, F.col("topic"), F.col("reason"), F.col("confidence"), F.coalesce("tags", none), F.col("event_time"), True)
 
     merged = valid.filter("action = 'merge'").select("agent_id", "target_id", "topic", "reason", "confidence", "tags", "_mt", "_me")
-    also = valid.filter("action = 'keep'").select("agent_id", F.explode("updates").alias("u"), "_mt", "_me").select("agent_id", F.col("u.target_id").alias("target_id"), F.col("u.topic").alias("topic"), F.col("u.reason").alias("reason"), F.col("u.confidence").alias("confidence"), F.lit(None).cast("array<string>").alias("tags"), "_mt", "_me")
-    old = points.select("agent_id", F.col("id").alias("target_id"), F.col("keywords").alias("_k"), F.col("seen_count").alias("_s"), F.col("event_time").alias("_pe"))
+    also = valid.filter("action = 'keep'").select("agent_id", F.explode("updates").alias("u"), "_mt", "_me").select(
+        "agent_id",
+        F.col("u.target_id").alias("target_id"),
+        F.col("u.topic").alias("topic"),
+        F.col("u.reason").alias("reason"),
+        F.col("u.confidence").alias("confidence"),
+        F.lit(None).cast("array<string>").alias("tags"),
+        "_mt",
+        "_me",
+    )
+    old = points.select(
+        "agent_id",
+        F.col("id").alias("target_id"),
+        F.col("keywords").alias("_k"),
+        F.col("seen_count").alias("_s"),
+        F.col("event_time").alias("_pe"),
+    )
     updates = merged.unionByName(also).join(old, ["agent_id", "target_id"], "left")
     updated = updates.select(
         "agent_id", F.col("target_id").alias("id"), F.lit("update").alias("action"), F.col("topic").alias("name"), F.col("reason").alias("summary"), F.col("confidence").alias("importance"),
-        some(F.col("tags"), some(F.col("_k"), F.col("_mt"))).alias("keywords"), (F.coalesce("_s", F.lit(0)) + 1).cast("int").alias("seen_count"), F.coalesce("_pe", "_me").alias("event_time"), F.lit(False).alias("void"),
+        some(
+            F.col("tags"),
+            some(F.col("_k"), F.col("_mt")),
+        ).alias("keywords"), (F.coalesce("_s", F.lit(0)) + 1).cast("int").alias("seen_count"), F.coalesce("_pe", "_me").alias("event_time"), F.lit(False).alias("void"),
     )
     ends = valid.filter("action = 'archive'").select("agent_id", F.col("target_id").alias("id")).join(points, ["agent_id", "id"])
-    archived = ends.select("agent_id", "id", F.lit("archive").alias("action"), "name", "summary", "importance", "keywords", "seen_count", "event_time", F.lit(False).alias("void"))
+    archived = ends.select(
+        "agent_id",
+        "id",
+        F.lit("archive").alias("action"),
+        "name",
+        "summary",
+        "importance",
+        "keywords",
+        "seen_count",
+        "event_time",
+        F.lit(False).alias("void"),
+    )
     return made.unionByName(back).unionByName(updated).unionByName(archived)
 
 
@@ -106,19 +171,34 @@ def resolve_contradictions(sides: DataFrame, members: DataFrame, component_histo
 def related_edges(points: DataFrame, least: float, now: Column) -> DataFrame:
     """related edges between an agent's points (agent_id, id, ord, v) of at least that cosine, which is their weight; from the earlier to the later."""
     pairs = similar_pairs(points, least, strict=False, scope=["agent_id"])
-    return pairs.select("agent_id", F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.lit("related").alias("kind"), F.col("sim").alias("weight"), now.alias("created_at"))
+    return pairs.select(
+        "agent_id",
+        F.col("a").alias("source_id"),
+        F.col("b").alias("target_id"),
+        F.lit("related").alias("kind"),
+        F.col("sim").alias("weight"),
+        now.alias("created_at"),
+    )
 
 
 def supersede_pages(pages: DataFrame, replacements: DataFrame, edges: DataFrame, now: Column) -> DataFrame:
     """pages after replacements (agent_id, old, new): old ones become superseded; pages that link to one by references, related or contradicts get
     [[old]] rewritten as [[new]]."""
     gone = replacements.select("agent_id", F.col("old").alias("id")).distinct().withColumn("_gone", F.lit(True))
-    links = edges.filter(F.col("kind").isin("references", "related", "contradicts")).select("agent_id", F.col("source_id").alias("id"), F.col("target_id").alias("old")).distinct()
+    links = edges.filter(F.col("kind").isin("references", "related", "contradicts")).select(
+        "agent_id",
+        F.col("source_id").alias("id"),
+        F.col("target_id").alias("old"),
+    ).distinct()
     swaps = links.join(replacements, ["agent_id", "old"]).groupBy("agent_id", "id").agg(F.sort_array(F.collect_list(F.struct("old", "new"))).alias("_swaps"))
     body = F.aggregate("_swaps", F.col("body_md"), lambda b, s: relink(b, s.old, s.new))
     out = pages.join(gone, ["agent_id", "id"], "left").join(swaps, ["agent_id", "id"], "left")
     changed = F.col("_gone").isNotNull() | F.col("_swaps").isNotNull()
-    new = {"status": F.when(F.col("_gone"), "superseded").otherwise(F.col("status")), "body_md": F.coalesce(body, "body_md"), "updated_at": F.when(changed, now).otherwise(F.col("updated_at"))}
+    new = {
+        "status": F.when(F.col("_gone"), "superseded").otherwise(F.col("status")),
+        "body_md": F.coalesce(body, "body_md"),
+        "updated_at": F.when(changed, now).otherwise(F.col("updated_at")),
+    }
     return out.select(*[(new[c].alias(c) if c in new else F.col(c)) for c in pages.columns])
 
 
@@ -128,15 +208,56 @@ def write_pages(writes: DataFrame, old: DataFrame, now: Column) -> dict[str, Dat
     from engram.functions import coerce as C
     from engram.functions.text import normalize_id
 
-    w = writes.withColumn("id", normalize_id("id")).withColumn("page_type", C.enum("page_type", C.PAGE_TYPES, C.PAGE_TYPE_ELSE)).withColumn("status", C.enum("status", C.PAGE_STATUS, C.PAGE_STATUS_ELSE))
-    body = F.when((F.col("page_type") == "source") & (F.size("sources") > 0), F.concat(F.lit("> Source sessions: "), F.array_join("sources", ", "), F.lit("\n\n"), F.col("content"))).otherwise(F.col("content"))
+    w = writes.withColumn("id", normalize_id("id")).withColumn(
+        "page_type",
+        C.enum("page_type", C.PAGE_TYPES, C.PAGE_TYPE_ELSE),
+    ).withColumn("status", C.enum("status", C.PAGE_STATUS, C.PAGE_STATUS_ELSE))
+    body = F.when(
+        (F.col("page_type") == "source") & (F.size("sources") > 0),
+        F.concat(F.lit("> Source sessions: "), F.array_join("sources", ", "), F.lit("\n\n"), F.col("content")),
+    ).otherwise(F.col("content"))
     before = old.select("agent_id", "id", F.col("created_at").alias("_c"), F.col("event_time").alias("_e"))
     rows = w.join(before, ["agent_id", "id"], "left")
-    pages = rows.select("id", "agent_id", "page_type", "title", body.alias("body_md"), "status", C.cap_list("tags").alias("tags"), C.cap_list("sources").alias("sources"), F.col("_e").alias("event_time"), F.coalesce("_c", now).alias("created_at"), now.alias("updated_at"))
-    edges = w.select("agent_id", F.explode("points").alias("source_id"), F.col("id").alias("target_id"), F.lit("has_page").alias("kind"), F.lit(1.0).alias("weight"), now.alias("created_at"))
-    claims = w.select("agent_id", F.col("id").alias("page_id"), F.explode("claims").alias("c")).select(hash_id("agent_id", "page_id", F.col("c.text")).alias("id"), "page_id", "agent_id", F.col("c.text").alias("text"), C.enum(F.col("c.status"), C.CLAIM_STATUS, C.CLAIM_STATUS_ELSE).alias("status"), C.clamp_confidence(F.col("c.confidence")).alias("confidence"), now.alias("updated_at"))
+    pages = rows.select(
+        "id",
+        "agent_id",
+        "page_type",
+        "title",
+        body.alias("body_md"),
+        "status",
+        C.cap_list("tags").alias("tags"),
+        C.cap_list("sources").alias("sources"),
+        F.col("_e").alias("event_time"),
+        F.coalesce("_c", now).alias("created_at"),
+        now.alias("updated_at"),
+    )
+    edges = w.select(
+        "agent_id",
+        F.explode("points").alias("source_id"),
+        F.col("id").alias("target_id"),
+        F.lit("has_page").alias("kind"),
+        F.lit(1.0).alias("weight"),
+        now.alias("created_at"),
+    )
+    claims = w.select("agent_id", F.col("id").alias("page_id"), F.explode("claims").alias("c")).select(
+        hash_id("agent_id", "page_id", F.col("c.text")).alias("id"),
+        "page_id",
+        "agent_id",
+        F.col("c.text").alias("text"),
+        C.enum(F.col("c.status"), C.CLAIM_STATUS, C.CLAIM_STATUS_ELSE).alias("status"),
+        C.clamp_confidence(F.col("c.confidence")).alias("confidence"),
+        now.alias("updated_at"),
+    )
     action = F.when(F.col("status") != "active", F.col("status")).when(F.col("_c").isNull(), "create").otherwise("update")
-    log = rows.select(hash_id("agent_id", "id", now.cast("string")).alias("id"), "agent_id", now.alias("created_at"), F.lit("wiki_page").alias("entity_kind"), F.col("id").alias("entity_id"), "title", action.alias("action"))
+    log = rows.select(
+        hash_id("agent_id", "id", now.cast("string")).alias("id"),
+        "agent_id",
+        now.alias("created_at"),
+        F.lit("wiki_page").alias("entity_kind"),
+        F.col("id").alias("entity_id"),
+        "title",
+        action.alias("action"),
+    )
     texts = w.select("agent_id", "id", truncate_utf8(F.concat_ws("\n", "title", "content"), 8000, "").alias("text"))
     return {"wiki_pages": pages, "edges": edges, "claims": claims, "change_log": log, "texts": texts}
 

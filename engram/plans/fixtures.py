@@ -16,11 +16,22 @@ class Fixtures:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def turns(self) -> DataFrame:
-        return self.table("conversations").select(F.col("conv_id").alias("session_id"), F.concat(F.lit("agent-"), (F.col("conv_id") % 4).cast("string")).alias("agent_id"), F.col("turn").alias("idx"), "role", F.col("text").alias("content"))
+        return self.table("conversations").select(
+            F.col("conv_id").alias("session_id"),
+            F.concat(F.lit("agent-"), (F.col("conv_id") % 4).cast("string")).alias("agent_id"),
+            F.col("turn").alias("idx"),
+            "role",
+            F.col("text").alias("content"),
+        )
 
     def transcripts(self) -> DataFrame:
         t = self.turns().groupBy("session_id", "agent_id").agg(F.sort_array(F.collect_list(F.struct("idx", "role", "content"))).alias("ts"))
-        return t.select("session_id", "agent_id", F.size("ts").alias("turn_count"), F.to_json(F.transform("ts", lambda t: F.struct(t.role.alias("role"), t.content.alias("content")))).alias("raw_turns"))
+        return t.select(
+            "session_id",
+            "agent_id",
+            F.size("ts").alias("turn_count"),
+            F.to_json(F.transform("ts", lambda t: F.struct(t.role.alias("role"), t.content.alias("content")))).alias("raw_turns"),
+        )
 
     def points(self) -> DataFrame:
         d, lab = self.table("documents"), self.table("labels").select("doc_id", "quality")
@@ -37,7 +48,11 @@ class Fixtures:
     def candidates(self) -> DataFrame:
         i = F.col("doc_id")
         return self.table("documents").select(
-            i.alias("ord"), F.col("text").alias("topic"), F.col("source").alias("reason"), (i * 13 % 97 / 97.0).alias("confidence"), (i % 5 == 0).alias("subjective"), F.array(F.col("lang"), F.col("source"), F.concat(F.lit("k"), (i % 3).cast("string"))).alias("tags"),
+            i.alias("ord"), F.col("text").alias("topic"), F.col("source").alias("reason"), (i * 13 % 97 / 97.0).alias("confidence"), (i % 5 == 0).alias("subjective"), F.array(
+                F.col("lang"),
+                F.col("source"),
+                F.concat(F.lit("k"), (i % 3).cast("string")),
+            ).alias("tags"),
             (i % 7).cast("int").alias("start"), (i % 7 + i % 3).cast("int").alias("end"), F.when(i % 4 != 0, i % 2 == 0).alias("worthy"), (i % 50).alias("win"),
         )
 
@@ -46,9 +61,15 @@ class Fixtures:
         lang, host = F.regexp_extract("url", "://[^/]*/([a-z]+)/", 1), F.regexp_extract("url", r"://[^/]*\.([a-z]+)/", 1)
         return self.table("pages").select(
             F.concat(F.lit("page-"), i.cast("string")).alias("id"), F.concat(F.lit("src"), (i % 20).cast("string")).alias("agent_id"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.col("html").alias("body_md"),
-            F.element_at(F.array(F.lit("active"), F.lit(""), F.lit("superseded"), F.lit("archived")), F.when(i % 10 < 7, 1).when(i % 10 == 7, 2).when(i % 10 == 8, 3).otherwise(4)).alias("status"),
+            F.element_at(
+                F.array(F.lit("active"), F.lit(""), F.lit("superseded"), F.lit("archived")),
+                F.when(i % 10 < 7, 1).when(i % 10 == 7, 2).when(i % 10 == 8, 3).otherwise(4),
+            ).alias("status"),
             F.element_at(F.array(F.lit("entity"), F.lit("concept"), F.lit("synthesis"), F.lit("source")), (i % 4 + 1).cast("int")).alias("page_type"),
-            F.array(lang, host).alias("tags"), F.timestamp_seconds(F.lit(1704067200) + i * 60).alias("updated_at"), F.when(i % 3 != 0, F.timestamp_seconds(F.lit(1704067200) + i * 7200)).alias("event_time"), i.alias("ord"),
+            F.array(lang, host).alias("tags"), F.timestamp_seconds(F.lit(1704067200) + i * 60).alias("updated_at"), F.when(
+                i % 3 != 0,
+                F.timestamp_seconds(F.lit(1704067200) + i * 7200),
+            ).alias("event_time"), i.alias("ord"),
         )
 
     def linked_pages(self) -> DataFrame:
@@ -57,18 +78,41 @@ class Fixtures:
         body = F.array_join(F.transform(targets, lambda t: F.concat(F.lit("see [["), t, F.lit("]]"))), "\n")
         i = F.col("page_id")
         known = F.element_at(F.array(F.lit("the"), F.lit("and"), F.lit("ing")), (i % 3 + 1).cast("int"))
-        return self.table("pages").select(F.when(i < 3, known).otherwise(F.concat(F.lit("page-"), i.cast("string"))).alias("id"), F.lit("a").alias("agent_id"), body.alias("body_md"))
+        return self.table("pages").select(
+            F.when(i < 3, known).otherwise(F.concat(F.lit("page-"), i.cast("string"))).alias("id"),
+            F.lit("a").alias("agent_id"),
+            body.alias("body_md"),
+        )
 
     def vectors(self) -> DataFrame:
         i = F.col("vec_id")
-        return self.table("embeddings").select(i.cast("string").alias("id"), i.alias("ord"), F.concat(F.lit("a"), (i % 2).cast("string")).alias("agent_id"), F.when(F.col("label") % 2 == 0, "interest_point").otherwise("wiki_page").alias("kind"), F.col("embedding").alias("v"), "label")
+        return self.table("embeddings").select(
+            i.cast("string").alias("id"),
+            i.alias("ord"),
+            F.concat(F.lit("a"), (i % 2).cast("string")).alias("agent_id"),
+            F.when(F.col("label") % 2 == 0, "interest_point").otherwise("wiki_page").alias("kind"),
+            F.col("embedding").alias("v"),
+            "label",
+        )
 
     def logs(self) -> DataFrame:
-        return self.table("events").select(F.col("event_id").alias("id"), F.col("user_id").alias("agent_id"), F.col("ts").alias("created_at"), F.col("event_type").alias("action"), F.col("props").alias("title"))
+        return self.table("events").select(
+            F.col("event_id").alias("id"),
+            F.col("user_id").alias("agent_id"),
+            F.col("ts").alias("created_at"),
+            F.col("event_type").alias("action"),
+            F.col("props").alias("title"),
+        )
 
     def jobs(self) -> DataFrame:
         status = F.when(F.col("o_orderstatus") == "O", "queued").when(F.col("o_orderstatus") == "F", "done").otherwise("failed")
-        return self.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("agent_id"), status.alias("status"), F.col("o_orderdate").alias("done_at"), F.col("o_totalprice").alias("price"))
+        return self.table("orders").select(
+            F.col("o_orderkey").alias("id"),
+            F.col("o_custkey").alias("agent_id"),
+            status.alias("status"),
+            F.col("o_orderdate").alias("done_at"),
+            F.col("o_totalprice").alias("price"),
+        )
 
 
 #: The same tables as SQL, by name; a query names those it needs.

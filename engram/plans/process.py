@@ -53,7 +53,9 @@ def merge_candidates(candidates: DataFrame, ask: Ask, embed: Ask, config: Config
     of_session = candidates.groupBy("agent_id").agg(F.min("event_time").alias("event_time"), F.min("session_id").alias("session_id"))
     points = merged.join(own, ["agent_id", "topic"], "left").join(of_session, "agent_id").withColumn("id", hash_id("topic"))
     points = points.withColumn("pid", F.concat_ws("/", "agent_id", "id")).withColumn("ord", F.coalesce("ord", F.xxhash64("topic")))
-    points = points.withColumns({"subjective": F.coalesce("subjective", F.lit(False)), "start": F.coalesce("start", F.lit(0)), "end": F.coalesce("end", F.lit(0))})
+    points = points.withColumns(
+        {"subjective": F.coalesce("subjective", F.lit(False)), "start": F.coalesce("start", F.lit(0)), "end": F.coalesce("end", F.lit(0))},
+    )
     once = points.dropDuplicates(["agent_id", "id"])
     return write(embed(once.withColumn("text", text)).drop("text"), "points")
 
@@ -140,9 +142,16 @@ def draft_pages(survivors: DataFrame, sessions: DataFrame, related: DataFrame, a
     near = rows.select("pid", "agent_id", "component").join(related.withColumnRenamed("q", "pid"), ["agent_id", "pid"])
     near = near.groupBy("agent_id", "component").agg(F.array_sort(F.collect_set(F.col("id"))).alias("near"))
     unit = unit.join(near, ["agent_id", "component"], "left").withColumn("near", F.coalesce("near", F.array().cast(NONE)))
-    turns = explode_transcripts(sessions, ["agent_id"], strict=False).groupBy("agent_id").agg(F.sort_array(F.collect_list(F.struct("idx", "role", "content"))).alias("t"))
+    turns = explode_transcripts(sessions, ["agent_id"], strict=False).groupBy("agent_id").agg(
+        F.sort_array(F.collect_list(F.struct("idx", "role", "content"))).alias("t"),
+    )
     said = dialog_segment(F.transform("t", lambda t: F.struct(t.role.alias("role"), t.content.alias("content"))), F.col("start"), F.col("end"))
-    prompts = unit.join(turns, "agent_id", "left").select("agent_id", "component", "points", page_prompt(F.col("lines"), F.col("near"), F.coalesce(said, F.lit(""))).alias("prompt"))
+    prompts = unit.join(turns, "agent_id", "left").select(
+        "agent_id",
+        "component",
+        "points",
+        page_prompt(F.col("lines"), F.col("near"), F.coalesce(said, F.lit(""))).alias("prompt"),
+    )
     answers = write(ask(prompts).select("agent_id", "points", "answer"), "page_answers")
     draft = answers.select("agent_id", "points", F.from_json(strip_fence("answer"), DRAFT).alias("p")).select("agent_id", "p.*", "points")
     return _whole(draft)
@@ -152,16 +161,35 @@ def _whole(draft: DataFrame) -> DataFrame:
     """Drafts with an id and a title, lists never null."""
     lists = {c: F.coalesce(c, F.array().cast(kind)) for c, kind in draft.dtypes if kind.startswith("array")}
     some = draft.filter(F.coalesce(F.trim("id"), F.lit("")) != "").withColumns(lists)
-    return some.withColumns({"title": F.coalesce("title", "id"), "content": F.coalesce("content", F.lit("")), "page_type": F.coalesce("page_type", F.lit("")), "status": F.coalesce("status", F.lit(""))})
+    return some.withColumns(
+        {
+            "title": F.coalesce("title", "id"),
+            "content": F.coalesce("content", F.lit("")),
+            "page_type": F.coalesce("page_type", F.lit("")),
+            "status": F.coalesce("status", F.lit("")),
+        },
+    )
 
 
 def reconcile(seeds: DataFrame, edges: DataFrame, pages: DataFrame, ask: Ask, config: Config) -> DataFrame:
     """Page writes that a model answers with when it is shown the pages around seeds (agent_id, id), batch by batch."""
     batches = S.reconcile_batches(seeds, edges, pages, config).join(pages.select("agent_id", "id", "title", "body_md"), ["agent_id", "id"])
-    shown = batches.groupBy("agent_id", "batch_no").agg(F.sort_array(F.collect_list(F.struct("hops", "id", F.concat_ws("\n", F.concat(F.lit("# "), "id"), "title", "body_md").alias("text")))).alias("x"))
-    prompt = F.concat(F.lit("Pages near these have changed. Answer with the ones to rewrite, as a JSON array of id, page_type, title, content, status, tags, sources and claims.\n"), F.array_join(F.transform("x", lambda t: t.text), "\n---\n"))
+    shown = batches.groupBy("agent_id", "batch_no").agg(
+        F.sort_array(
+            F.collect_list(F.struct("hops", "id", F.concat_ws("\n", F.concat(F.lit("# "), "id"), "title", "body_md").alias("text"))),
+        ).alias("x"),
+    )
+    prompt = F.concat(
+        F.lit(
+            "Pages near these have changed. Answer with the ones to rewrite, as a JSON array of id, page_type, title, content, status, tags, sources and claims.\n",
+        ),
+        F.array_join(F.transform("x", lambda t: t.text), "\n---\n"),
+    )
     answers = ask(shown.select("agent_id", "batch_no", prompt.alias("prompt")))
-    rows = answers.select("agent_id", F.explode(F.from_json(strip_fence("answer"), f"array<{DRAFT}>")).alias("p")).select("agent_id", "p.*", F.array().cast(NONE).alias("points"))
+    rows = answers.select(
+        "agent_id",
+        F.explode(F.from_json(strip_fence("answer"), f"array<{DRAFT}>")).alias("p"),
+    ).select("agent_id", "p.*", F.array().cast(NONE).alias("points"))
     # Only pages that were shown may be written.
     from engram.functions.text import normalize_id
 

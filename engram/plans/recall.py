@@ -26,7 +26,14 @@ def keyword_hits(queries: DataFrame, entries: DataFrame, k: int, order: list[Col
 
 def full_text_fallback(queries: DataFrame, points: DataFrame, pages: DataFrame, k: int) -> DataFrame:
     """Points by importance (not archived), then pages by update (active), together at most k: q, agent_id, id, kind, score, place."""
-    p = points.select("agent_id", "id", F.lit("interest_point").alias("kind"), F.concat_ws(" ", "name", "summary", F.to_json("keywords")).alias("body"), "importance", "status")
+    p = points.select(
+        "agent_id",
+        "id",
+        F.lit("interest_point").alias("kind"),
+        F.concat_ws(" ", "name", "summary", F.to_json("keywords")).alias("body"),
+        "importance",
+        "status",
+    )
     w = pages.select("agent_id", "id", F.lit("wiki_page").alias("kind"), F.concat_ws(" ", "title", "body_md").alias("body"), "updated_at", "status")
     a = keyword_hits(queries, p, k, [F.col("importance").desc(), F.col("id")], F.col("status") != "archived").withColumn("part", F.lit(1))
     b = keyword_hits(queries, w, k, [F.col("updated_at").desc(), F.col("id")], F.col("status").isin("", "active")).withColumn("part", F.lit(2))
@@ -51,7 +58,15 @@ def event_times(hits: DataFrame, points: DataFrame, pages: DataFrame) -> DataFra
     return hits.join(a, ["agent_id", "id"], "left").join(b, ["agent_id", "id"], "left").withColumn("event_time", F.coalesce("_a", "_b")).drop("_a", "_b")
 
 
-def filter_hits(hits: DataFrame, min_score: float = 0.3, include_wiki: bool = True, after: Column | None = None, before: Column | None = None, now: Column | None = None, days: int = 0) -> DataFrame:
+def filter_hits(
+    hits: DataFrame,
+    min_score: float = 0.3,
+    include_wiki: bool = True,
+    after: Column | None = None,
+    before: Column | None = None,
+    now: Column | None = None,
+    days: int = 0,
+) -> DataFrame:
     """What recall drops after its top k: low scores (compared in single precision; a min_score of 0 or less drops none), pages if they aren't
     wanted, and, only if a bound is set, hits outside [after, before] or without event time. days moves after to now - days if that is later."""
     keep = F.lit(True)
@@ -95,7 +110,9 @@ def substitute(hits: DataFrame, edges: DataFrame, points: DataFrame, pages: Data
     direct = known.filter(live).select(*hits.columns, F.col("id").alias("new_id"), F.col("kind").alias("new_kind"), F.lit(0).alias("hops"))
     gone = known.filter(~live & (F.col("_ps").isNotNull() | F.col("_ws").isNotNull())).select(*hits.columns)
     # A page stands for the point that has it.
-    backing = edges.filter("kind = 'has_page'").groupBy("agent_id", F.col("target_id").alias("id")).agg(F.min_by("source_id", F.struct(-F.col("weight"), F.col("source_id"))).alias("_point"))
+    backing = edges.filter("kind = 'has_page'").groupBy("agent_id", F.col("target_id").alias("id")).agg(
+        F.min_by("source_id", F.struct(-F.col("weight"), F.col("source_id"))).alias("_point"),
+    )
     gone = gone.join(backing, ["agent_id", "id"], "left").withColumn("_start", F.when(F.col("kind") == "wiki_page", F.col("_point")).otherwise(F.col("id")))
     starts = gone.filter("_start is not null").select("agent_id", F.col("_start").alias("id")).distinct()
     found = resolve_replacements(starts, edges, points).withColumnRenamed("id", "_start")
@@ -114,10 +131,30 @@ def substitute(hits: DataFrame, edges: DataFrame, points: DataFrame, pages: Data
 def grade(hits: DataFrame, points: DataFrame, pages: DataFrame, claims: DataFrame) -> DataFrame:
     """hits with title, confidence, reliability, freshness: a point's own, a page's by its best claim (none: 0, unknown, unknown).
     Hits whose entry is gone are dropped."""
-    p = points.select("agent_id", "id", F.lit("interest_point").alias("kind"), F.col("name").alias("title"), "confidence", F.col("reliability_status").alias("reliability"), F.col("freshness_level").alias("freshness"))
-    best = best_claim(claims).select("agent_id", F.col("page_id").alias("id"), "confidence", F.col("status").alias("reliability"), F.col("freshness_level").alias("freshness"))
+    p = points.select(
+        "agent_id",
+        "id",
+        F.lit("interest_point").alias("kind"),
+        F.col("name").alias("title"),
+        "confidence",
+        F.col("reliability_status").alias("reliability"),
+        F.col("freshness_level").alias("freshness"),
+    )
+    best = best_claim(claims).select(
+        "agent_id",
+        F.col("page_id").alias("id"),
+        "confidence",
+        F.col("status").alias("reliability"),
+        F.col("freshness_level").alias("freshness"),
+    )
     w = pages.select("agent_id", "id", F.lit("wiki_page").alias("kind"), "title").join(best, ["agent_id", "id"], "left")
-    w = w.withColumns({"confidence": F.coalesce("confidence", F.lit(0.0)), "reliability": F.coalesce("reliability", F.lit("unknown")), "freshness": F.coalesce("freshness", F.lit("unknown"))})
+    w = w.withColumns(
+        {
+            "confidence": F.coalesce("confidence", F.lit(0.0)),
+            "reliability": F.coalesce("reliability", F.lit("unknown")),
+            "freshness": F.coalesce("freshness", F.lit("unknown")),
+        },
+    )
     return hits.join(p.unionByName(w), ["agent_id", "id", "kind"])
 
 
@@ -133,5 +170,17 @@ def recall_text(graded: DataFrame, own: Column | None = None) -> DataFrame:
     of place; hits of other namespaces than `own` name theirs."""
     blank = F.lit("")
     source = blank if own is None else F.when(F.col("agent_id") != own, F.col("agent_id")).otherwise(blank)
-    line = render_line(F.col("id"), F.col("title"), F.col("kind"), F.col("event_time"), F.col("confidence"), F.col("reliability"), F.col("freshness"), blank, source)
-    return graded.withColumn("line", line).groupBy("q").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "line"))), lambda x: x.line), "").alias("text"))
+    line = render_line(
+        F.col("id"),
+        F.col("title"),
+        F.col("kind"),
+        F.col("event_time"),
+        F.col("confidence"),
+        F.col("reliability"),
+        F.col("freshness"),
+        blank,
+        source,
+    )
+    return graded.withColumn("line", line).groupBy("q").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "line"))), lambda x: x.line), "").alias("text"),
+    )

@@ -35,7 +35,9 @@ def render_windows(turns: DataFrame, window: list[str], with_tools: bool = False
 
 def extraction_prompt(text: Column, known: Column | None = None) -> Column:
     """Asks for candidates; `known` are topics that are there already (second pass)."""
-    start = F.lit("List what is worth remembering in this dialogue as a JSON array of objects with topic, reason, confidence, tags, turn_range, subjective and wiki_worthy.\n")
+    start = F.lit(
+        "List what is worth remembering in this dialogue as a JSON array of objects with topic, reason, confidence, tags, turn_range, subjective and wiki_worthy.\n",
+    )
     again = F.lit("") if known is None else F.when(F.size(known) > 0, F.concat(F.lit("Leave out: "), F.array_join(known, "; "), F.lit("\n"))).otherwise("")
     return F.concat(start, again, F.lit("\n"), text)
 
@@ -48,7 +50,18 @@ def read_candidates(answers: DataFrame, window: list[str], pass_no: int = 0) ->
     span = W.map_turn_range(F.coalesce(F.get("c.turn_range", F.lit(0)), F.lit(0)), F.coalesce(F.get("c.turn_range", F.lit(1)), F.lit(0)), F.col("indices"))
     tags = F.filter(F.transform(F.coalesce("c.tags", F.array().cast("array<string>")), trim_space), lambda t: t != "")
     order = F.lit(pass_no * 10**9).cast("long") + F.col("win_no") * 10**6 + F.col("pos")
-    out = rows.select(*window, "win_no", order.alias("ord"), F.col("c.topic").alias("topic"), F.coalesce("c.reason", F.lit("")).alias("reason"), F.coalesce("c.confidence", F.lit(0.0)).alias("confidence"), F.coalesce("c.subjective", F.lit(False)).alias("subjective"), tags.alias("tags"), span.alias("r"), F.col("c.wiki_worthy").alias("worthy"))
+    out = rows.select(
+        *window,
+        "win_no",
+        order.alias("ord"),
+        F.col("c.topic").alias("topic"),
+        F.coalesce("c.reason", F.lit("")).alias("reason"),
+        F.coalesce("c.confidence", F.lit(0.0)).alias("confidence"),
+        F.coalesce("c.subjective", F.lit(False)).alias("subjective"),
+        tags.alias("tags"),
+        span.alias("r"),
+        F.col("c.wiki_worthy").alias("worthy"),
+    )
     return out.select(*[c for c in out.columns if c != "r"], "r.start", "r.end")
 
 
@@ -69,7 +82,11 @@ def analyze(turns: DataFrame, ask: Callable[[DataFrame], DataFrame], config: Con
     if f.route == "full2":
         topics = found.groupBy(*session).agg(F.sort_array(F.collect_set(normalize_topic("topic"))).alias("known"))
         again = shown.join(topics, session, "left")
-        second = read_candidates(ask(again.withColumn("prompt", extraction_prompt(F.col("text"), F.coalesce("known", F.array().cast("array<string>"))))), session, pass_no=1)
+        second = read_candidates(
+            ask(again.withColumn("prompt", extraction_prompt(F.col("text"), F.coalesce("known", F.array().cast("array<string>"))))),
+            session,
+            pass_no=1,
+        )
         found = found.unionByName(D.filter_candidates(second, [*session, "win_no"], f.min_confidence, f.max_candidates_per_window))
     return D.fold_candidates(found, session)
 
@@ -81,10 +98,30 @@ def merge_similar(candidates: DataFrame, vectors: DataFrame, ask: Callable[[Data
     pairs = K.similar_pairs(named, least, strict=True, scope=["agent_id"])
     groups = write(G.group_points(named, pairs, write), "merge_groups")
     keyed = candidates.withColumn("id", F.concat_ws("/", "agent_id", F.col("ord").cast("string"))).join(groups, "id").withColumnRenamed("component", "cluster")
-    many = keyed.filter("size > 1").groupBy("agent_id", "cluster").agg(F.sort_array(F.collect_list(F.struct("ord", candidate_text("topic", "reason").alias("t")))).alias("x"))
-    asked = ask(many.select("cluster", F.concat(F.lit("Merge, compose or keep these; answer as a JSON array of action, source_topics and merged.\n"), F.array_join(F.transform("x", lambda t: t.t), "\n---\n")).alias("prompt")))
+    many = keyed.filter("size > 1").groupBy("agent_id", "cluster").agg(
+        F.sort_array(F.collect_list(F.struct("ord", candidate_text("topic", "reason").alias("t")))).alias("x"),
+    )
+    asked = ask(
+        many.select(
+            "cluster",
+            F.concat(
+                F.lit("Merge, compose or keep these; answer as a JSON array of action, source_topics and merged.\n"),
+                F.array_join(F.transform("x", lambda t: t.t), "\n---\n"),
+            ).alias("prompt"),
+        ),
+    )
     verdict = asked.select("cluster", F.explode(F.from_json(strip_fence("answer"), f"array<{VERDICTS['merge']}>")).alias("v"))
-    v = verdict.select("cluster", "v.action", "v.source_topics", F.struct(F.coalesce("v.merged.topic", "v.merged.name").alias("topic"), F.coalesce("v.merged.reason", "v.merged.summary").alias("reason"), clamp_confidence("v.merged.confidence").alias("confidence"), F.coalesce("v.merged.tags", F.array().cast("array<string>")).alias("tags")).alias("merged"))
+    v = verdict.select(
+        "cluster",
+        "v.action",
+        "v.source_topics",
+        F.struct(
+            F.coalesce("v.merged.topic", "v.merged.name").alias("topic"),
+            F.coalesce("v.merged.reason", "v.merged.summary").alias("reason"),
+            clamp_confidence("v.merged.confidence").alias("confidence"),
+            F.coalesce("v.merged.tags", F.array().cast("array<string>")).alias("tags"),
+        ).alias("merged"),
+    )
     out = apply_merges(keyed.select("cluster", "topic", "reason", "confidence", "tags"), v)
     return out.join(keyed.select("cluster", "agent_id").distinct(), "cluster")
 
@@ -104,7 +141,11 @@ def assemble_components(members: DataFrame, links: DataFrame) -> DataFrame:
     """One row per component: members, its history (each once) and the history of each member."""
     hist = links.groupBy(F.col("point").alias("id")).agg(F.sort_array(F.collect_set("hist")).alias("hist"))
     rows = members.join(hist, "id", "left").withColumn("hist", F.coalesce("hist", F.array().cast("array<string>")))
-    return rows.groupBy("component").agg(F.sort_array(F.collect_list("id")).alias("members"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("hist")))).alias("history"), F.map_from_entries(F.collect_list(F.struct("id", "hist"))).alias("member_history"))
+    return rows.groupBy("component").agg(
+        F.sort_array(F.collect_list("id")).alias("members"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("hist")))).alias("history"),
+        F.map_from_entries(F.collect_list(F.struct("id", "hist"))).alias("member_history"),
+    )
 
 
 def compile_units(points: DataFrame, least: float, write: Write) -> DataFrame:
@@ -113,7 +154,10 @@ def compile_units(points: DataFrame, least: float, write: Write) -> DataFrame:
     good = points.filter(worthy("wiki_worthy"))
     groups = G.group_points(good, K.similar_pairs(good.filter("v is not null").select("id", "ord", "v"), least), write)
     rows = good.join(groups, "id")
-    return D.dialog_span(rows, ["component"]).join(rows.groupBy("component").agg(F.sort_array(F.collect_list("id")).alias("ids")), "component").withColumnRenamed("component", "unit")
+    return D.dialog_span(rows, ["component"]).join(
+        rows.groupBy("component").agg(F.sort_array(F.collect_list("id")).alias("ids")),
+        "component",
+    ).withColumnRenamed("component", "unit")
 
 
 def reconcile_batches(seeds: DataFrame, edges: DataFrame, pages: DataFrame, config: Config) -> DataFrame:
@@ -128,7 +172,12 @@ def related_entries(points: DataFrame, vectors: DataFrame, stored: DataFrame, pa
     """For each point (agent_id, id, name, v) the k entries to look at before a page is written: the nearest by vectors, itself left out; where there are none, those
     that hold its name: agent_id, q, id, kind, place."""
     own = points.select("agent_id", F.concat_ws("/", "agent_id", "id").alias("q"), "id", "name", "v")
-    near = K.top_k(own.filter("v is not null").select("agent_id", F.col("q").alias("id"), F.xxhash64("q").alias("ord"), "v"), vectors, k + 1, scope=["agent_id"])
+    near = K.top_k(
+        own.filter("v is not null").select("agent_id", F.col("q").alias("id"), F.xxhash64("q").alias("ord"), "v"),
+        vectors,
+        k + 1,
+        scope=["agent_id"],
+    )
     near = near.select("q", "agent_id", "id", "kind", "score", F.col("rank").alias("place"))
     words = R.full_text_fallback(own.select("q", "agent_id", F.col("name").alias("text")), stored, pages, k + 1)
     hits = R.cascade(near.filter("q != concat_ws('/', agent_id, id)"), words.filter("q != concat_ws('/', agent_id, id)"))

@@ -18,13 +18,31 @@ TABLES: dict[str, tuple[str, list[str]]] = {
         "last_seen_at timestamp, seen_count int, source_session_ids array<string>, wiki_worthy boolean",
         ["agent_id", "id"],
     ),
-    "wiki_pages": ("id string, agent_id string, page_type string, title string, body_md string, status string, tags array<string>, sources array<string>, event_time timestamp, created_at timestamp, updated_at timestamp", ["agent_id", "id"]),
-    "edges": ("agent_id string, source_id string, target_id string, kind string, weight double, created_at timestamp", ["agent_id", "source_id", "target_id", "kind"]),
+    "wiki_pages": (
+        "id string, agent_id string, page_type string, title string, body_md string, status string, tags array<string>, sources array<string>, event_time timestamp, created_at timestamp, updated_at timestamp",
+        ["agent_id", "id"],
+    ),
+    "edges": (
+        "agent_id string, source_id string, target_id string, kind string, weight double, created_at timestamp",
+        ["agent_id", "source_id", "target_id", "kind"],
+    ),
     "pending_links": ("agent_id string, source_id string, target string, created_at timestamp", ["agent_id", "source_id", "target"]),
-    "claims": (f"id string, page_id string, agent_id string, text string, status string, confidence double, evidence array<{EVIDENCE}>, freshness_level string, updated_at timestamp, ttl_days int", ["agent_id", "id"]),
-    "contradictions": ("id string, agent_id string, left_id string, right_id string, description string, status string, created_at timestamp", ["agent_id", "id"]),
-    "session_transcripts": ("session_id string, agent_id string, turn_count int, raw_turns string, received_at timestamp, session_date timestamp, processed_at timestamp", ["agent_id", "session_id"]),
-    "change_log": (f"id string, agent_id string, created_at timestamp, entity_kind string, entity_id string, title string, action string, edges array<{LOG_EDGE}>", ["agent_id", "id"]),
+    "claims": (
+        f"id string, page_id string, agent_id string, text string, status string, confidence double, evidence array<{EVIDENCE}>, freshness_level string, updated_at timestamp, ttl_days int",
+        ["agent_id", "id"],
+    ),
+    "contradictions": (
+        "id string, agent_id string, left_id string, right_id string, description string, status string, created_at timestamp",
+        ["agent_id", "id"],
+    ),
+    "session_transcripts": (
+        "session_id string, agent_id string, turn_count int, raw_turns string, received_at timestamp, session_date timestamp, processed_at timestamp",
+        ["agent_id", "session_id"],
+    ),
+    "change_log": (
+        f"id string, agent_id string, created_at timestamp, entity_kind string, entity_id string, title string, action string, edges array<{LOG_EDGE}>",
+        ["agent_id", "id"],
+    ),
     "usage": ("date string, input_tokens long, output_tokens long, cache_hit_tokens long, updated_at timestamp", ["date"]),
     "vectors": ("id string, agent_id string, kind string, embedding array<float>", ["agent_id", "kind", "id"]),
 }

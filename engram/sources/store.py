@@ -25,7 +25,11 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], policy: dict[str, str
     keep (the old value stays) or add (old + new)."""
     policy = policy or {}
     in_old, in_new = F.col("o._there").isNotNull(), F.col("n._there").isNotNull()
-    joined = old.withColumn("_there", F.lit(1)).alias("o").join(new.withColumn("_there", F.lit(1)).alias("n"), [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in key], "full_outer")
+    joined = old.withColumn("_there", F.lit(1)).alias("o").join(
+        new.withColumn("_there", F.lit(1)).alias("n"),
+        [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in key],
+        "full_outer",
+    )
     out = []
     for c in old.columns:
         o, n = F.col(f"o.{c}"), F.col(f"n.{c}")

@@ -54,7 +54,9 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def newest_file(spark: SparkSession, path: str) -> DataFrame:
     """The *.jsonl file changed last, without *.events.jsonl."""
     files = spark.read.format("binaryFile").load(path).select("path", "modificationTime")
-    return files.filter(F.col("path").endswith(".jsonl") & ~F.col("path").endswith(".events.jsonl")).agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path"))
+    return files.filter(
+        F.col("path").endswith(".jsonl") & ~F.col("path").endswith(".events.jsonl"),
+    ).agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path"))
 
 
 def _numbered(df: DataFrame, session: list[str]) -> DataFrame:
@@ -67,7 +69,16 @@ def parse_message_lines(lines: DataFrame, session: list[str]) -> DataFrame:
     """Lines {"type": "user"|"assistant", "message": {role, content}}; bad lines are skipped."""
     read = lines.select(*session, "line_no", F.from_json("value", "struct<type:string,message:struct<role:string,content:string>>").alias("o"))
     ok = F.col("o.type").isin("user", "assistant") & F.col("o.message.role").isin("user", "assistant")
-    return _numbered(read.filter(ok).select(*session, "line_no", F.lit(0).alias("part"), F.col("o.message.role").alias("role"), _text_of(F.col("o.message.content")).alias("content")), session)
+    return _numbered(
+        read.filter(ok).select(
+            *session,
+            "line_no",
+            F.lit(0).alias("part"),
+            F.col("o.message.role").alias("role"),
+            _text_of(F.col("o.message.content")).alias("content"),
+        ),
+        session,
+    )
 
 
 def parse_rollout_lines(lines: DataFrame, session: list[str]) -> DataFrame:
@@ -76,25 +87,59 @@ def parse_rollout_lines(lines: DataFrame, session: list[str]) -> DataFrame:
     p = F.col("o.payload")
     ok = (F.col("o.type") == "response_item") & (p.type == "message") & p.role.isin("user", "assistant") & p.content.startswith("[")
     kind = F.when(p.role == "assistant", "output_text").otherwise("input_text")
-    return _numbered(read.filter(ok).select(*session, "line_no", F.lit(0).alias("part"), p.role.alias("role"), _text_of(p.content, kind).alias("content")), session)
+    return _numbered(
+        read.filter(ok).select(
+            *session,
+            "line_no",
+            F.lit(0).alias("part"),
+            p.role.alias("role"),
+            _text_of(p.content, kind).alias("content"),
+        ),
+        session,
+    )
 
 
 def parse_plain_lines(lines: DataFrame, session: list[str]) -> DataFrame:
     """Lines {role, content}; users and assistants only."""
-    read = lines.select(*session, "line_no", F.from_json("value", "struct<role:string,content:string>").alias("o")).filter(F.col("o.role").isin("user", "assistant"))
-    return _numbered(read.select(*session, "line_no", F.lit(0).alias("part"), F.col("o.role").alias("role"), _text_of(F.col("o.content")).alias("content")), session)
+    read = lines.select(
+        *session,
+        "line_no",
+        F.from_json("value", "struct<role:string,content:string>").alias("o"),
+    ).filter(F.col("o.role").isin("user", "assistant"))
+    return _numbered(
+        read.select(
+            *session,
+            "line_no",
+            F.lit(0).alias("part"),
+            F.col("o.role").alias("role"),
+            _text_of(F.col("o.content")).alias("content"),
+        ),
+        session,
+    )
 
 
 def parse_part_messages(messages: DataFrame, session: list[str]) -> DataFrame:
     """Messages {info: {role}, parts: [...]}, as column value: text parts joined; tool parts become tool_result turns."""
     kind = "struct<info:struct<role:string>,parts:array<struct<type:string,text:string,tool:string,state:struct<status:string,output:string,error:string>>>>"
     read = messages.select(*session, "line_no", F.from_json("value", kind).alias("o")).filter(F.col("o.info.role").isin("user", "assistant"))
-    parts = F.coalesce(F.col("o.parts"), F.array().cast("array<struct<type:string,text:string,tool:string,state:struct<status:string,output:string,error:string>>>"))
+    parts = F.coalesce(
+        F.col("o.parts"),
+        F.array().cast("array<struct<type:string,text:string,tool:string,state:struct<status:string,output:string,error:string>>>"),
+    )
     said = F.array_join(F.transform(F.filter(parts, lambda p: (p.type == "text") & p.text.isNotNull()), lambda p: p.text), "\n")
     result = lambda p: trim_space(F.when(p.state.status == "completed", p.state.output).when(p.state.status == "error", p.state.error))
-    tools = F.transform(F.filter(parts, lambda p: (p.type == "tool") & (F.coalesce(result(p), F.lit("")) != "")), lambda p: F.struct(F.lit("tool_result").alias("role"), F.concat(F.coalesce(p.tool, F.lit("tool")), F.lit(": "), result(p)).alias("content")))
+    tools = F.transform(
+        F.filter(parts, lambda p: (p.type == "tool") & (F.coalesce(result(p), F.lit("")) != "")),
+        lambda p: F.struct(
+            F.lit("tool_result").alias("role"),
+            F.concat(F.coalesce(p.tool, F.lit("tool")), F.lit(": "), result(p)).alias("content"),
+        ),
+    )
     turns = F.concat(F.array(F.struct(F.col("o.info.role").alias("role"), trim_space(said).alias("content"))), tools)
-    return _numbered(read.select(*session, "line_no", F.posexplode(turns).alias("part", "t")).select(*session, "line_no", "part", "t.role", "t.content"), session)
+    return _numbered(
+        read.select(*session, "line_no", F.posexplode(turns).alias("part", "t")).select(*session, "line_no", "part", "t.role", "t.content"),
+        session,
+    )
 
 
 def parse_agent_messages(messages: DataFrame, session: list[str]) -> DataFrame:
@@ -104,14 +149,30 @@ def parse_agent_messages(messages: DataFrame, session: list[str]) -> DataFrame:
     field = lambda name: F.when(F.col("o.type") == "message", F.col(f"o.message.{name}")).otherwise(F.col(f"o.{name}"))
     text = _text_of(field("content"))
     role = F.when(field("role").isin("user", "assistant"), field("role")).when(field("role") == "toolResult", F.lit("tool_result"))
-    named = F.when((role == "tool_result") & (text != "") & (F.coalesce(field("toolName"), F.lit("")) != ""), F.concat(field("toolName"), F.lit(": "), text)).otherwise(text)
+    named = F.when(
+        (role == "tool_result") & (text != "") & (F.coalesce(field("toolName"), F.lit("")) != ""),
+        F.concat(field("toolName"), F.lit(": "), text),
+    ).otherwise(text)
     return _numbered(read.select(*session, "line_no", F.lit(0).alias("part"), role.alias("role"), named.alias("content")), session)
 
 
 def parse_api_messages(messages: DataFrame, session: list[str]) -> DataFrame:
     """Messages {role, content} with any JSON as content, kept as its JSON text; user, assistant, tool and tool_result."""
-    read = messages.select(*session, "line_no", F.from_json("value", "struct<role:string,content:string>").alias("o")).filter(F.col("o.role").isin("user", "assistant", "tool", "tool_result"))
-    return _numbered(read.select(*session, "line_no", F.lit(0).alias("part"), F.col("o.role").alias("role"), trim_space(F.col("o.content")).alias("content")), session)
+    read = messages.select(
+        *session,
+        "line_no",
+        F.from_json("value", "struct<role:string,content:string>").alias("o"),
+    ).filter(F.col("o.role").isin("user", "assistant", "tool", "tool_result"))
+    return _numbered(
+        read.select(
+            *session,
+            "line_no",
+            F.lit(0).alias("part"),
+            F.col("o.role").alias("role"),
+            trim_space(F.col("o.content")).alias("content"),
+        ),
+        session,
+    )
 
 
 def parse_block_messages(messages: DataFrame, session: list[str], owner: str) -> DataFrame:
@@ -149,7 +210,14 @@ def parse_search_output(results: DataFrame, keys: list[str], limit: int = 5, sni
     is_json = F.try_parse_json("output").isNotNull() & trim_space("output").startswith("{")
     lines = F.split("output", "\n")
     link = r"\[([^\]]+)\]\(([^)]+)\)"
-    found = F.transform(lines, lambda line, i: F.struct(F.regexp_extract(line, link, 1).alias("title"), F.regexp_extract(line, link, 2).alias("url"), truncate_utf8(trim_space(F.coalesce(F.get(lines, i + 1), F.lit(""))), snippet_bytes).alias("snippet")))
+    found = F.transform(
+        lines,
+        lambda line, i: F.struct(
+            F.regexp_extract(line, link, 1).alias("title"),
+            F.regexp_extract(line, link, 2).alias("url"),
+            truncate_utf8(trim_space(F.coalesce(F.get(lines, i + 1), F.lit(""))), snippet_bytes).alias("snippet"),
+        ),
+    )
     items = F.when(is_json, F.coalesce(read, F.array().cast(f"array<{item}>"))).otherwise(F.filter(found, lambda x: x.url != ""))
     items = F.slice(items, 1, limit)
     return results.select(*keys, F.posexplode(items).alias("pos", "i")).select(*keys, "pos", "i.title", "i.url", "i.snippet")

@@ -26,10 +26,25 @@ def accept_pushes(pushes: DataFrame, excluded_boards: list[str]) -> DataFrame:
     """Pushes with a session id and turns whose board isn't excluded, as rows of session_transcripts; an invalid date is null."""
     ok = exclude_boards(pushes, "kanban_board", "kanban_board_name", excluded_boards)
     ok = ok.filter((F.coalesce("session_id", F.lit("")) != "") & (F.coalesce("raw_turns", F.lit("")) != ""))
-    return ok.select("session_id", "agent_id", "turn_count", "raw_turns", "received_at", rfc3339("session_date").alias("session_date"), F.lit(None).cast("timestamp").alias("processed_at"))
-
-
-def ingest(pushes: DataFrame, store: Store, checkpoint: str, excluded_boards: list[str] | None = None, process: Callable[[DataFrame], None] | None = None, mode: str = "both") -> StreamingQuery:
+    return ok.select(
+        "session_id",
+        "agent_id",
+        "turn_count",
+        "raw_turns",
+        "received_at",
+        rfc3339("session_date").alias("session_date"),
+        F.lit(None).cast("timestamp").alias("processed_at"),
+    )
+
+
+def ingest(
+    pushes: DataFrame,
+    store: Store,
+    checkpoint: str,
+    excluded_boards: list[str] | None = None,
+    process: Callable[[DataFrame], None] | None = None,
+    mode: str = "both",
+) -> StreamingQuery:
     """Upserts accepted pushes into session_transcripts, batch by batch, then hands the new ones to `process`, in order of receipt per agent. A batch that
     is run again writes the same rows; a session that fails to process stays unprocessed. A client that only reads (mode output) pushes nothing."""
     if mode == "output":
