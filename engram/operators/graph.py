@@ -186,10 +186,13 @@ def label_communities(nodes: DataFrame, links: DataFrame, sweeps: int = 10, ligh
 
 
 def group_points(points: DataFrame, pairs: DataFrame, write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """Components of points (id) under similar pairs (a, b), singletons with themselves: id, component, size."""
+    """Components of points (id) under similar pairs (a, b), singletons with themselves: id, component, size. Sizes are counted and written before they
+    are joined, so that a component of very many points isn't brought together."""
     found = connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")), write)
     every = points.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    return every.withColumn("size", F.count("*").over(Window.partitionBy("component")))
+    every = write(every, "grouped")
+    sizes = write(every.groupBy("component").agg(F.count("*").alias("size")), "group_sizes")
+    return every.join(sizes, "component").select("id", "component", "size")
 
 
 def conflict_queues(members: DataFrame, history: DataFrame, write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
@@ -197,8 +200,9 @@ def conflict_queues(members: DataFrame, history: DataFrame, write: Callable[[Dat
     history: point, hist, sim. Components connected through shared points, directly or not, share a queue; in it, the one with
     the larger similarity to any shared point comes first, ties by component."""
     links = history.join(members, F.col("point") == F.col("id")).groupBy("hist", "component").agg(F.max("sim").alias("sim"))
-    shared = links.withColumn("n", F.count("*").over(Window.partitionBy("hist"))).filter("n > 1")
-    shared = write(shared.select("hist", "component", "sim"), "shared")
+    links = write(links, "history_of_components")
+    several = write(links.groupBy("hist").agg(F.count("*").alias("n")).filter("n > 1").select("hist"), "shared_points")
+    shared = write(links.join(several, "hist").select("hist", "component", "sim"), "shared")
     edges = shared.select(F.concat(F.lit("h:"), "hist").alias("src"), F.concat(F.lit("c:"), "component").alias("dst"))
     found = connected_components(edges, write, "queues").filter(F.col("node").startswith("c:")).select(
         F.substring("node", 3, 2**31 - 1).alias("component"),
@@ -207,5 +211,6 @@ def conflict_queues(members: DataFrame, history: DataFrame, write: Callable[[Dat
     queues = found.toDF("comp", "queue")
     best = shared.groupBy("component").agg(F.max("sim").alias("affinity"))
     out = best.join(queues, F.col("component") == F.col("comp"))
+    named = out.groupBy("queue").agg(F.min("component").alias("first"))
     place = F.row_number().over(Window.partitionBy("queue").orderBy(F.col("affinity").desc(), F.col("component")))
-    return out.select(F.min("component").over(Window.partitionBy("queue")).alias("queue"), "component", "affinity", place.alias("place"))
+    return out.withColumn("place", place).join(named, "queue").select(F.col("first").alias("queue"), "component", "affinity", "place")
