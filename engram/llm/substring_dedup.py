@@ -45,6 +45,15 @@ def gram_keys(data: np.ndarray) -> np.ndarray:
     return key
 
 
+def gram_keys_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """gram_keys of some places."""
+    code = data[at[:, None] + np.arange(GRAM)].view("<u8")
+    key = np.zeros(len(at), dtype=np.uint64)
+    for j in range(GRAM // 8):
+        key = T.mix((key ^ code[:, j]) + T.MULTIPLIERS[20 + 8 * j])
+    return key
+
+
 class Parse:
     """Phrases of a chunk's documents, in order. Phrase i has windows first[i]..last[i] (starts) and trigger at[i]."""
 
@@ -87,7 +96,7 @@ class Parse:
         self.at = trigger[begins]
         self.doc = np.searchsorted(chunk.bounds, self.first, side="right") - 1
         self.bounds = np.searchsorted(self.first, chunk.bounds)
-        self.key = gram_keys(data[(self.at[:, None] + np.arange(GRAM)).ravel()])[::GRAM] if len(self.at) else np.zeros(0, np.uint64)
+        self.key = gram_keys_at(data, self.at)
         self.phrase = T.mix(self.names(self.first, self.last - self.first + length) + (self.at - self.first).astype(np.uint64) * T.MULTIPLIERS[50])
 
     def names(self, starts: np.ndarray, sizes: np.ndarray | int) -> np.ndarray:
@@ -302,7 +311,7 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, group: int = 4096) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, group: int = 16384) -> DataFrame:
     """Removes each byte covered by a string of `length` bytes that also starts earlier: in a text of smaller doc_id, or
     earlier in the same one. Strings never cross texts and are judged on the input.
 
