@@ -107,7 +107,11 @@ def rank_in_groups(
     keyed = keyed.withColumn(o, F.col(o).bitwiseXOR(F.lit(-(2**63))))
     totals = keyed.groupBy(*group, b).agg(F.sum(w).alias(t))
     before = Window.partitionBy(*group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*[F.col(g).alias(f"_rank_g{i}") for i, g in enumerate(group)], F.col(b).alias("_rank_at"), F.coalesce(F.sum(t).over(before), F.lit(0)).alias(off))
+    offsets = totals.select(
+        *[F.col(g).alias(f"_rank_g{i}") for i, g in enumerate(group)],
+        F.col(b).alias("_rank_at"),
+        F.coalesce(F.sum(t).over(before), F.lit(0)).alias(off),
+    )
     inside = Window.partitionBy(*group, b).orderBy(o, *ties).rowsBetween(Window.unboundedPreceding, -1)
     ranked = keyed.withColumn(r, F.coalesce(F.sum(w).over(inside), F.lit(0)))
     on = F.col(b) == F.col("_rank_at")

@@ -26,16 +26,29 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     text of `loss_role`. Null role or text: empty. Turns are ordered by turn, ties by role, then text; repeated
     rows stay repeated; null turns come first, and rows of null conv_id form one conversation. An empty table gives no rows.
     """
-    rows = turns.select("conv_id", F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
+    rows = turns.select(
+        "conv_id",
+        F.struct(
+            F.col("turn").alias("turn"),
+            F.coalesce("role", F.lit("")).alias("role"),
+            F.coalesce("text", F.lit("")).alias("text"),
+        ).alias("t"),
+    )
     sorted_turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    with_starts = sorted_turns.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("ts") - 1), lambda i: (i == 0) | (F.get("ts", i).role != F.get("ts", i - 1).role)))
+    with_starts = sorted_turns.withColumn(
+        "starts",
+        F.filter(F.sequence(F.lit(0), F.size("ts") - 1), lambda i: (i == 0) | (F.get("ts", i).role != F.get("ts", i - 1).role)),
+    )
     piece = lambda s, loss: F.struct(s.alias("s"), loss.alias("loss"))
     no = F.lit(False)
 
     def block(start: Column, k: Column) -> Column:
         stop = F.coalesce(F.get("starts", k + 1), F.size("ts"))
         role = F.get("ts", start).role
-        texts = F.transform(F.slice("ts", start + 1, stop - start), lambda t, j: F.array(piece(F.when(j > 0, F.lit(TURN)).otherwise(F.lit("")), no), piece(escape(t.text), role == loss_role)))
+        texts = F.transform(
+            F.slice("ts", start + 1, stop - start),
+            lambda t, j: F.array(piece(F.when(j > 0, F.lit(TURN)).otherwise(F.lit("")), no), piece(escape(t.text), role == loss_role)),
+        )
         return F.concat(F.array(piece(F.concat(F.lit(OPEN), escape(role), F.lit(CLOSE)), no)), F.flatten(texts), F.array(piece(F.lit(END), no)))
 
     # Each piece's place: a running sum over a conversation's pieces. All of this keeps to the partitioning by conv_id.
@@ -52,7 +65,15 @@ def read_turns(formatted: Column) -> Column:
     blocks = F.filter(F.split(formatted, r"<\|end\|>", -1), lambda b: b != "")
     role = lambda b: F.substring_index(F.substring(b, len(OPEN) + 1, 2**31 - 1), CLOSE, 1)
     body = lambda b: F.substring(b, F.length(role(b)) + len(OPEN) + len(CLOSE) + 1, F.lit(2**31 - 1))
-    return F.flatten(F.transform(blocks, lambda b: F.transform(F.split(body(b), r"<\|turn\|>", -1), lambda t: F.struct(unescape(role(b)).alias("role"), unescape(t).alias("text")))))
+    return F.flatten(
+        F.transform(
+            blocks,
+            lambda b: F.transform(
+                F.split(body(b), r"<\|turn\|>", -1),
+                lambda t: F.struct(unescape(role(b)).alias("role"), unescape(t).alias("text")),
+            ),
+        ),
+    )
 
 
 def read_loss(formatted: Column, spans: Column) -> Column:

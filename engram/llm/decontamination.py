@@ -151,7 +151,12 @@ class Scan:
 Block = list[tuple[str, str | None]]
 
 
-def scan_batches(batches: Iterator[pa.RecordBatch], text_at: int, blocks: list[Broadcast], window: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[set[str]]]]:
+def scan_batches(
+    batches: Iterator[pa.RecordBatch],
+    text_at: int,
+    blocks: list[Broadcast],
+    window: int,
+) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[set[str]]]]:
     """Each batch with n_words, n_hit and the items found of its rows. With several blocks of the benchmark, batches of HELD_BYTES are
     searched for one block after the other, so that a task never holds the searchers of more than one."""
     engines = searchers(pickle.loads(blocks[0].value), window) if len(blocks) == 1 else None
@@ -196,7 +201,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
         for batch, n, k, found in scan_batches(batches, 1, blocks, window):
             items = [",".join(sorted(x)) for x in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), pa.array(k), pa.array([len(x) for x in found], pa.int64()), pa.array(items, pa.string()), pa.array((k > 0) & (min_share * k >= n))],
+                [
+                    batch.column("doc_id"),
+                    pa.array(n),
+                    pa.array(k),
+                    pa.array([len(x) for x in found], pa.int64()),
+                    pa.array(items, pa.string()),
+                    pa.array((k > 0) & (min_share * k >= n)),
+                ],
                 ["doc_id", "n_words", "n_hit", "n_items", "item_ids", "contaminated"],
             )
 

@@ -30,7 +30,10 @@ def split_budget(nodes: DataFrame, parent: list[str], ties: list[str], budget: s
     all_ = Window.partitionBy(*parent)
     up = all_.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = all_.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    step = nodes.withColumn("_left", F.col(budget) - F.coalesce(F.sum(cap).over(before), F.lit(0))).withColumn("_weights", F.sum(weight).over(all_) - F.coalesce(F.sum(weight).over(before), F.lit(0)))
+    step = nodes.withColumn("_left", F.col(budget) - F.coalesce(F.sum(cap).over(before), F.lit(0))).withColumn(
+        "_weights",
+        F.sum(weight).over(all_) - F.coalesce(F.sum(weight).over(before), F.lit(0)),
+    )
     step = step.withColumn("_short", F.when(F.col(cap) * F.col("_weights") > F.col("_left") * F.col(weight), 1).otherwise(0))
     step = step.withColumn("_n", F.sum("_short").over(up))
     first = (F.col("_n") == 1) & (F.col("_short") == 1)
@@ -57,7 +60,10 @@ def leaf_targets(leaves: DataFrame, levels: list[str], budget_percent: int, max_
         nodes = tree.groupBy(*own).agg(F.sum("_cap").alias("_node_cap"), F.sum("weight").alias("_node_weight"), F.max("_budget").alias("_parent"))
         shares = split_budget(nodes, parent, own, "_parent", "_node_weight", "_node_cap", "_given")
         on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in own]
-        tree = tree.alias("l").join(shares.alias("r"), on).select(*[F.col(f"l.{c}").alias(c) for c in tree.columns if c != "_budget"], F.col("r._given").alias("_budget"))
+        tree = tree.alias("l").join(shares.alias("r"), on).select(
+            *[F.col(f"l.{c}").alias(c) for c in tree.columns if c != "_budget"],
+            F.col("r._given").alias("_budget"),
+        )
     return tree.select(*levels, "supply", F.col("_budget").alias("target"))
 
 
@@ -76,7 +82,15 @@ def _mix(docs: DataFrame, levels: dict[str, Column], weight: Column, budget_perc
     work = Workspace(docs.sparkSession, "mixing")
     leaves = rows.groupBy(*inner).agg(F.sum("tokens").alias("supply"), F.count("*").alias("size"))
     weighted = leaves.select(*named, F.col("supply").alias("_supply"), F.col("size").alias("_size")).withColumn("_weight", weight.cast("long"))
-    leaves = work.write(weighted.select(*[F.col(b).alias(a) for a, b in zip(inner, names, strict=True)], F.col("_supply").alias("supply"), F.col("_weight").alias("weight"), F.col("_size").alias("size")), "leaves")
+    leaves = work.write(
+        weighted.select(
+            *[F.col(b).alias(a) for a, b in zip(inner, names, strict=True)],
+            F.col("_supply").alias("supply"),
+            F.col("_weight").alias("weight"),
+            F.col("_size").alias("size"),
+        ),
+        "leaves",
+    )
     n_leaves, largest = leaves.agg(F.count("*"), F.coalesce(F.max("size"), F.lit(0))).first()
     targets = leaf_targets(leaves.drop("size"), inner, budget_percent, max_epochs)
     targets = targets.select(*[F.col(c).alias(f"t_{c}") for c in inner], "supply", "target", F.monotonically_increasing_id().alias("leaf"))
@@ -84,7 +98,16 @@ def _mix(docs: DataFrame, levels: dict[str, Column], weight: Column, budget_perc
     on = [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in inner]
     placed = rows.join(maybe_broadcast(targets), on, "left").drop(*[f"t_{c}" for c in inner])
     placed = placed.withColumn("epochs", F.coalesce(F.expr("target div supply"), F.lit(0)))
-    placed = rank_in_groups(placed, ["leaf"], epoch_order(seed, F.col("epochs"), F.col("id")), [F.col("id"), F.col("tie")], "before", F.col("tokens"), ranges_for(largest), n_leaves + 1)
+    placed = rank_in_groups(
+        placed,
+        ["leaf"],
+        epoch_order(seed, F.col("epochs"), F.col("id")),
+        [F.col("id"), F.col("tie")],
+        "before",
+        F.col("tokens"),
+        ranges_for(largest),
+        n_leaves + 1,
+    )
     target = F.coalesce("target", F.lit(0)).cast("long")
     rest = target - F.col("epochs") * F.coalesce("supply", F.lit(0))
     copies = F.when(target <= 0, 0).when(F.col("tokens") == 0, 1).otherwise(F.col("epochs") + F.when(F.col("before") < rest, 1).otherwise(0))

@@ -121,7 +121,10 @@ def shingle_sketches(docs: DataFrame, n: int, lower: bool) -> DataFrame:
                 rows[3:, i] = np.bitwise_xor.reduce(sketches[-1].reshape(-1, LEAST_LONGS), axis=0)
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in sketches]))).astype(np.int32))
             sketch = pa.ListArray.from_arrays(offsets, pa.array(_signed(np.concatenate(sketches)) if sketches else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(_signed(r)) for r in rows), sketch], ["doc_id", "n_shingles", "h1", "h2", *SHORT, "sketch"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *(pa.array(_signed(r)) for r in rows), sketch],
+                ["doc_id", "n_shingles", "h1", "h2", *SHORT, "sketch"],
+            )
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, " + ", ".join(f"{p} long" for p in SHORT) + ", sketch array<long>")
 
@@ -133,7 +136,10 @@ def shingle_signatures(docs: DataFrame, n: int, lower: bool, scheme: PartEnum) -
         for batch in batches:
             found = [scheme.signatures(s) if len(s) else s for (s,) in _sets(batch, n, lower)]
             ids = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), [len(f) for f in found])
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(found))), pa.array(ids)] if found else [pa.array([], pa.int64())] * 2, ["sig", "doc_id"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_signed(np.concatenate(found))), pa.array(ids)] if found else [pa.array([], pa.int64())] * 2,
+                ["sig", "doc_id"],
+            )
 
     return docs.mapInArrow(run, "sig long, doc_id long")
 
@@ -167,7 +173,10 @@ def rarest_features(docs: DataFrame, n: int, lower: bool, num: int, den: int, co
         for batch in batches:
             found = [s[np.argsort(counts[_cells(s)], kind="stable")[: len(s) + (-len(s) * num // den) + 1]] for (s,) in _sets(batch, n, lower)]
             ids = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), [len(f) for f in found])
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(found))), pa.array(ids)] if found else [pa.array([], pa.int64())] * 2, ["sig", "doc_id"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_signed(np.concatenate(found))), pa.array(ids)] if found else [pa.array([], pa.int64())] * 2,
+                ["sig", "doc_id"],
+            )
 
     return docs.mapInArrow(run, "sig long, doc_id long")
 
@@ -215,7 +224,11 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 3, num: int = 9, den: int = 1
     member = work.write(filled.select("doc_id", "h1", "h2").join(reps, ["h1", "h2"]).select("doc_id", "rep"), "member", n_docs)
     copies = member.filter("doc_id != rep").select("doc_id").distinct()
     first = member.filter("doc_id = rep").select("doc_id").distinct()
-    nodes = work.write(filled.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", *SHORT, "sketch"), "nodes", 4 * n_docs)
+    nodes = work.write(
+        filled.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", *SHORT, "sketch"),
+        "nodes",
+        4 * n_docs,
+    )
     work.drop("reps")
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
@@ -235,7 +248,11 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 3, num: int = 9, den: int = 1
         return found
 
     def components(links: DataFrame, name: str) -> DataFrame:
-        return connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), work.write, name=name).select(F.col("node").alias("doc_id"), "component")
+        return connected_components(
+            links.select(F.col("a").alias("src"), F.col("b").alias("dst")),
+            work.write,
+            name=name,
+        ).select(F.col("node").alias("doc_id"), "component")
 
     def several(rows: DataFrame, label: DataFrame) -> DataFrame:
         """sig, doc_id, component: the rows (sig, doc_id) of buckets that hold several components."""
@@ -258,14 +275,24 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 3, num: int = 9, den: int = 1
     known = nodes.select("doc_id", "n_shingles", *SHORT).join(open_, "doc_id", "left_semi")
     rare = work.write(several(rare, label).join(maybe_broadcast(known), "doc_id"), "rare")
     a, b = (rare.select("sig", *[F.col(c).alias(f"{side}_{c}") for c in ("doc_id", "component", "n_shingles", *SHORT)]) for side in "ab")
-    cross = a.join(b, "sig").filter((F.col("a_doc_id") < F.col("b_doc_id")) & (F.col("a_component") != F.col("b_component")) & _near_in_short("a_", "b_", num, den))
+    cross = a.join(b, "sig").filter(
+        (F.col("a_doc_id") < F.col("b_doc_id")) & (F.col("a_component") != F.col("b_component")) & _near_in_short("a_", "b_", num, den),
+    )
     more = linked(cross.select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")).distinct(), "cross_links")
     joined = more.unionByName(label.filter("doc_id != component").select(F.col("component").alias("a"), F.col("doc_id").alias("b")))
     label = work.write(components(joined, "all_groups"), "groups", n_docs)
     work.keep_only("sketch", "member", "groups")
 
-    by_rep = member.distinct().join(label.select(F.col("doc_id").alias("node"), "component"), member.rep == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
-    return sketch.select("doc_id", "n_shingles").join(by_rep, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    by_rep = member.distinct().join(
+        label.select(F.col("doc_id").alias("node"), "component"),
+        member.rep == F.col("node"),
+        "left",
+    ).select("doc_id", F.coalesce("component", "rep").alias("component_id"))
+    return sketch.select("doc_id", "n_shingles").join(by_rep, "doc_id", "left").select(
+        "doc_id",
+        "n_shingles",
+        F.coalesce("component_id", "doc_id").alias("component_id"),
+    )
 
 
 def _near_in_short(a: str, b: str, num: int, den: int) -> Column:
@@ -285,7 +312,11 @@ def _may_link(a: str, b: str, num: int, den: int) -> Column:
         return F.when(F.size(p) == words, p).otherwise(
             F.transform(
                 F.sequence(F.lit(0), words - 1),
-                lambda i: F.aggregate(F.sequence(F.lit(0), (F.size(p) / words).cast("int") - 1), F.lit(0).cast("long"), lambda x, j: x.bitwiseXOR(F.get(p, i + j * words))),
+                lambda i: F.aggregate(
+                    F.sequence(F.lit(0), (F.size(p) / words).cast("int") - 1),
+                    F.lit(0).cast("long"),
+                    lambda x, j: x.bitwiseXOR(F.get(p, i + j * words)),
+                ),
             )
         )
 

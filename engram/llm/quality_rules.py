@@ -168,7 +168,14 @@ def quality_stats(docs: DataFrame, least: int = MIN_REPEAT) -> DataFrame:
     return narrow.mapInArrow(run, "doc_id long, " + ", ".join(f"{s} long" for s in STATS))
 
 
-def judge_quality(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, least: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_repeat: int = MAX_REPEAT) -> DataFrame:
+def judge_quality(
+    docs: DataFrame,
+    min_words: int = 50,
+    max_repeat_percent: int = 50,
+    least: int = MIN_REPEAT,
+    max_covered: float = MAX_COVERED,
+    max_repeat: int = MAX_REPEAT,
+) -> DataFrame:
     """STATS of each row, base_failed, and kept.
 
     base_failed: fewer than min_words words, or over max_repeat_percent % of words in repeated 3-word windows.

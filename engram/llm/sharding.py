@@ -77,5 +77,13 @@ def shuffle_into_shards(df: DataFrame, key: list[Column], shards: int = 8, seed:
     local = local.select("row", F.shiftright("at", PLACE_BITS).cast("int").alias("p"), F.col("at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("place"))
     # One row per partition: its size is known before it is broadcast.
     sent = local.join(F.broadcast(cuts), "p").withColumn("shard", F.size(F.filter("cuts", lambda c: c <= F.col("place"))).cast("int")).drop("cuts")
-    again = rank_in_groups(sent, ["shard"], F.xxhash64(F.lit(seed + 2), "p", "place"), [F.col("p"), F.col("place")], "slot", buckets=ranges_for(-(-sum(sizes.values()) // shards)), groups=shards)
+    again = rank_in_groups(
+        sent,
+        ["shard"],
+        F.xxhash64(F.lit(seed + 2), "p", "place"),
+        [F.col("p"), F.col("place")],
+        "slot",
+        buckets=ranges_for(-(-sum(sizes.values()) // shards)),
+        groups=shards,
+    )
     return again.select(*[F.col("row").getField(c).alias(c) for c in kept], "shard", "slot")

@@ -137,7 +137,12 @@ def _parse_rows(docs: DataFrame, length: int) -> DataFrame:
                 p = Parse(chunk, length)
                 use = np.flatnonzero(p.first_in_doc())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(p.key[use].view(np.int64)), pa.array(p.phrase[use].view(np.int64)), pa.array(ids[chunk.first + p.doc[use]].astype(np.int64)), pa.array((use - p.bounds[p.doc[use]]).astype(np.int32))],
+                    [
+                        pa.array(p.key[use].view(np.int64)),
+                        pa.array(p.phrase[use].view(np.int64)),
+                        pa.array(ids[chunk.first + p.doc[use]].astype(np.int64)),
+                        pa.array((use - p.bounds[p.doc[use]]).astype(np.int32)),
+                    ],
                     ["k", "h", "doc_id", "idx"],
                 )
 
@@ -181,7 +186,15 @@ def _dictionary_rows(docs: DataFrame, length: int) -> DataFrame:
                 raw = p.chunk.data.tobytes()
                 letters = pa.array([raw[a:b] for a, b in zip(first.tolist(), stop.tolist(), strict=True)], pa.binary())
                 place = first - p.chunk.bounds[p.doc[which]]
-                yield pa.RecordBatch.from_arrays([pa.array(p.key[which].view(np.int64)), pa.array(ids[p.chunk.first + p.doc[which]].astype(np.int64)), pa.array(place.astype(np.int32)), letters], ["k", "doc_id", "place", "letters"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(p.key[which].view(np.int64)),
+                        pa.array(ids[p.chunk.first + p.doc[which]].astype(np.int64)),
+                        pa.array(place.astype(np.int32)),
+                        letters,
+                    ],
+                    ["k", "doc_id", "place", "letters"],
+                )
 
     return docs.mapInArrow(run, "k long, doc_id long, place int, letters binary")
 
@@ -225,7 +238,14 @@ def _repeats_in_order(rows: DataFrame, length: int) -> DataFrame:
         opens = np.flatnonzero(again & ~np.concatenate(([False], joined)))
         closes = np.flatnonzero(again & ~np.concatenate((joined, [False])))
         place = table.column("place").to_numpy()[phrase[opens]]
-        return pa.RecordBatch.from_arrays([pa.array(doc[phrase[opens]]), pa.array((place + offset[opens]).astype(np.int32)), pa.array((place + offset[closes]).astype(np.int32))], ["doc_id", "first", "last"])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(doc[phrase[opens]]),
+                pa.array((place + offset[opens]).astype(np.int32)),
+                pa.array((place + offset[closes]).astype(np.int32)),
+            ],
+            ["doc_id", "first", "last"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -257,7 +277,12 @@ def _window_rows(docs: DataFrame, length: int) -> DataFrame:
             for p, which in _part_phrases(batch, length):
                 start, phrase = p.windows(which)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(p.key[phrase].view(np.int64)), pa.array(p.names(start, length).view(np.int64)), pa.array(ids[p.chunk.first + p.doc[phrase]].astype(np.int64)), pa.array((start - p.chunk.bounds[p.doc[phrase]]).astype(np.int32))],
+                    [
+                        pa.array(p.key[phrase].view(np.int64)),
+                        pa.array(p.names(start, length).view(np.int64)),
+                        pa.array(ids[p.chunk.first + p.doc[phrase]].astype(np.int64)),
+                        pa.array((start - p.chunk.bounds[p.doc[phrase]]).astype(np.int32)),
+                    ],
                     ["k", "w", "doc_id", "place"],
                 )
 
@@ -303,7 +328,11 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
                         batch.column("doc_id").slice(chunk.first, len(chunk)),
                         pa.array(np.diff(chunk.bounds).astype(np.int64)),
                         pa.ListArray.from_arrays(pa.array(by.astype(np.int32)), spans),
-                        pa.Array.from_buffers(pa.large_binary(), len(chunk), [None, pa.py_buffer(kept_before.astype(np.int64).tobytes()), pa.py_buffer(chunk.data[~gone].tobytes())]).cast(pa.binary()),
+                        pa.Array.from_buffers(
+                            pa.large_binary(),
+                            len(chunk),
+                            [None, pa.py_buffer(kept_before.astype(np.int64).tobytes()), pa.py_buffer(chunk.data[~gone].tobytes())],
+                        ).cast(pa.binary()),
                     ],
                     ["doc_id", "n_bytes", "spans", "kept"],
                 )

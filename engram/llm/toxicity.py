@@ -63,7 +63,15 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.array(out, dtype=np.float64), -40, 40)))
 
 
-def fit_weights(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, base_rate: float, steps: int = 300, rate: float = 0.5, decay: float = 1e-5) -> Model:
+def fit_weights(
+    rows: list[np.ndarray],
+    labels: np.ndarray,
+    ratios: np.ndarray,
+    base_rate: float,
+    steps: int = 300,
+    rate: float = 0.5,
+    decay: float = 1e-5,
+) -> Model:
     """Logistic regression on ratio-scaled presence features; rows of a class weigh as that class does at base_rate."""
     used = np.flatnonzero(ratios)
     place = np.full(len(ratios), -1, dtype=np.int64)
@@ -145,7 +153,13 @@ def train_toxicity(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         for batch in batches:
             found = [f[ratios[f] != 0].astype(np.int32) for c in T.chunks(batch.column("text")) for f in _features(c.data, c.bounds, seen)]
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))], ["label", "features"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("label"),
+                    pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found) if found else np.zeros(0, np.int32))),
+                ],
+                ["label", "features"],
+            )
 
     ids = rows.select("doc_id", "label")
     chosen = [ids.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select("doc_id") for k in (0, 1)]
@@ -182,7 +196,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Da
     Learns from labelled documents outside the held-out fold. Several labels of one doc_id: the largest counts; null
     labels and ids are ignored. Rows are scored one by one; an empty table gives no rows.
     """
-    seen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
+    seen = labels.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("toxic").cast("int").alias("label"),
+    ).filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     seen = seen.groupBy("doc_id").agg(F.max("label").alias("label"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seen = maybe_broadcast(Workspace(docs.sparkSession, "toxicity_labels").write(seen, "seen"))

@@ -99,7 +99,10 @@ def token_stream(docs: DataFrame, path: str, layout: Layout) -> DataFrame:
                 ids.append(layout.end_id)
                 sizes.append(len(ids))
                 packed.append(pack(np.array(ids, dtype=layout.dtype).tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tie"), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], ["id", "tie", "n", "ids"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("tie"), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())],
+                ["id", "tie", "n", "ids"],
+            )
 
     return docs.mapInArrow(run, "id long, tie long, n long, ids binary")
 
@@ -202,7 +205,13 @@ def write_shards(pieces: DataFrame, out: str, layout: Layout, first: int, last:
                     ahead = next(source, None)
 
             write(shard_name(shard), own())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()), strict=True)], ["slot", "shard", "place_in_shard", "n_tokens", "tokens_sha256"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(c, t) for c,
+                    t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()), strict=True)
+                ],
+                ["slot", "shard", "place_in_shard", "n_tokens", "tokens_sha256"]
+            )
             rows.clear()
 
     return placed.mapInArrow(run, WRITTEN)
@@ -225,7 +234,11 @@ def materialise_training_order(docs: DataFrame, tokenizer_path: str, out: str |
     small_batches(spark)
     work = Workspace(spark, "training_order")
     out = out or f"{work.root}/shards"
-    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("tie"), F.col("text").cast("string").alias("text"))
+    keyed = docs.select(
+        F.col("doc_id").cast("long").alias("id"),
+        F.xxhash64(F.col("text").cast("string")).alias("tie"),
+        F.col("text").cast("string").alias("text"),
+    )
     tokens = work.write(token_stream(keyed, tokenizer_path, layout), "tokens")
     total, rows = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     order = F.xxhash64(F.lit(layout.key), "id")

@@ -106,7 +106,13 @@ def grow_tree(shapes: DataFrame, growth: Growth, write: Callable[[DataFrame, str
     for depth in range(deepest):
         open_ = open_.filter(F.size("_s") > depth).withColumn("_c", F.get("_s", F.lit(depth)))
         named = F.coalesce(F.first(F.get("_gt", F.lit(depth))) != "*", F.lit(False)).alias("named")
-        children = open_.groupBy("host", "_t", "_c").agg(F.sum("good").alias("cg"), F.sum("bad").alias("cb"), F.first("_g").alias("_g"), F.first("_b").alias("_b"), named)
+        children = open_.groupBy("host", "_t", "_c").agg(
+            F.sum("good").alias("cg"),
+            F.sum("bad").alias("cb"),
+            F.first("_g").alias("_g"),
+            F.first("_b").alias("_b"),
+            named,
+        )
         apart = F.col("named") | growth.differs(F.col("cg"), F.col("cb"), F.col("_g"), F.col("_b"))
         moves = children.select("host", "_t", "_c", F.when(apart, F.col("_c")).otherwise("*").alias("_next"))
         moved = write(open_.join(moves, ["host", "_t", "_c"]).drop("_c", "_g", "_b"), f"{name}_moved{depth + 1}")
