@@ -21,11 +21,14 @@ def _blocks(df: DataFrame, scope: list[str], block_rows: int) -> tuple[DataFrame
     unit vectors of one dimension, spread by a hash of the id. Numbers: scope, dim, blocks. Null and zero vectors are in no block."""
     rows = df.withColumn("v", unit(F.col("v"))).withColumn("dim", F.size("v")).filter("dim > 0 and exists(v, x -> x != 0)")
     sizes = rows.groupBy(*scope, "dim").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    if not scope:
+        # One row per dimension: as a literal table it costs the plans below no further pass.
+        sizes = df.sparkSession.createDataFrame([(r["dim"], r["blocks"]) for r in sizes.collect()], "dim int, blocks int")
     by = sizes.select(*[F.col(c).alias(f"_{c}") for c in scope], F.col("dim").alias("_dim"), "blocks")
     on = F.col("dim") == F.col("_dim")
     for c in scope:
         on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    dealt = rows.join(by, on).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = rows.join(by if scope else F.broadcast(by), on).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     return dealt.groupBy(*scope, "dim", "block").agg(F.collect_list(F.struct("ord", "id", "kind", "v")).alias("rows")), sizes
 
 
