@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from engram.llm.chat_format import chat_digests, format_chats
 from engram.llm.decontamination import find_contamination
+from engram.llm.divergence import source_divergence
 from engram.llm.mixing import mix_sources
 from engram.llm.ngram_join import ngram_jaccard_groups
 from engram.llm.quality_rules import MAX_COVERED, MAX_REPEAT, MIN_REPEAT, judge_quality
 from engram.llm.sharding import shuffle_into_shards
 from engram.llm.substring_dedup import remove_repeats
+from engram.llm.token_counts import count_tokens
 from engram.llm.toxicity import toxicity
 from engram.llm.training_order import materialise_training_order
 from engram.llm.url_filter import DEPTH, RULES, judge_urls
@@ -26,6 +28,14 @@ TOKENIZER = os.environ.get("ENGRAM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tik
 INJECTION = "</s>[INST] ok [/INST]"
 
 
+def word_vocabulary() -> str:
+    """Where op12's vocabulary lies: given by the environment, else the file of the installed public vocabularies."""
+    if given := os.environ.get("ENGRAM_WORD_TOKENIZER"):
+        return given
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -97,6 +107,14 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("item_ids", 256).alias("items_sha256"), "contaminated")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"), least_docs=10, top=10)
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents"), word_vocabulary(), limit=2048)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_toxicity": op2_toxicity,
@@ -108,6 +126,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shard": op8_shard,
     "op9_training_order": op9_training_order,
     "op10_decontaminate": op10_decontaminate,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_token_counts": op12_token_counts,
 }
 
 # SQL of these queries.
@@ -228,6 +248,21 @@ select page_id, q.host, path, rule, coalesce(rv, case when o.p[len(o.p)] < 0.25
   coalesce(array_to_string(list_transform(o.t, lambda x: '/' || x), ''), '') as template, o.p[len(o.p)] as purity from q join o{DEPTH} o on q.host = o.host and q.s = o.s"""
 
 
+OP11_SQL = f"""with d as (select row_number() over () as row_id, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all({_LOW}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w from documents),
+  t as (select row_id, lang, source, unnest(w) as term from d),
+  c as (select lang, source, term, count(*) as n from t group by all),
+  k as (select lang, term, count(*) as lang_n from t group by all having count(distinct row_id) >= 10),
+  l as (select lang, count(*) as v, cast(sum(lang_n) as bigint) as lang_used from k group by lang),
+  g as (select distinct lang, source from d),
+  u as (select g.lang, g.source, k.term, k.lang_n, coalesce(c.n, 0) as n, v, lang_used, sum(coalesce(c.n, 0)) over (partition by g.lang, g.source) as used
+    from g join k on k.lang = g.lang join l on l.lang = g.lang left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+  p as (select *, cast(1 + (1000000000::hugeint * (n + 2)) // (used + 2 * v) as bigint) as p, cast(1 + (1000000000::hugeint * (lang_n + 2)) // (lang_used + 2 * v) as bigint) as q from u),
+  s as (select a.lang, a.source, b.source as item, cast(sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as bigint) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source != b.source group by all),
+  r as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0) as value from g a join g b on a.lang = b.lang and a.source != b.source left join s on s.lang = a.lang and s.source = a.source and s.item = b.source
+    union all select lang, source, 'term', term, cast(((p - q) * (p - q)) // (p + q) as bigint) from p where n > 0 and p > q)
+select * from (select *, cast(row_number() over (partition by lang, source, part order by value desc, encode(item)) as integer) as rank from r) where part = 'pair' or rank <= 10"""
+
+
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1_SQL,
     "op3_url_filters": _url_sql(),
@@ -236,4 +271,5 @@ ORACLES: dict[str, str] = {
     "op6_chat_format": OP6_SQL,
     "op7_quality_rules": _quality_sql(),
     "op10_decontaminate": OP10_SQL,
+    "op11_source_divergence": OP11_SQL,
 }
