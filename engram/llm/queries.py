@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.llm.chat_format import chat_digests, format_chats
+from engram.llm.conversation_trie import conversation_trie
 from engram.llm.decontamination import find_contamination
 from engram.llm.divergence import source_divergence
 from engram.llm.mixing import mix_sources
@@ -115,6 +116,10 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), word_vocabulary(), limit=2048)
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(_table(spark, sf_dir, "conversations"), every=100, most=6).drop("turn_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_toxicity": op2_toxicity,
@@ -128,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
     "op11_source_divergence": op11_source_divergence,
     "op12_token_counts": op12_token_counts,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 # SQL of these queries.
@@ -263,6 +269,23 @@ OP11_SQL = f"""with d as (select row_number() over () as row_id, coalesce(lang,
 select * from (select *, cast(row_number() over (partition by lang, source, part order by value desc, encode(item)) as integer) as rank from r) where part = 'pair' or rank <= 10"""
 
 
+OP13_SQL = """with t as (select *, row_number() over (partition by conv_id order by turn nulls first, name) as k from
+    (select conv_id, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as name, length(coalesce(text, '')) as chars from conversations where conv_id is not null)),
+  c as (select distinct conv_id, conv_id - conv_id % 100 as base,
+    xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint)),
+      lambda a, x: list_reduce(list_prepend(xor(a, x), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda b, y: xor(b >> 1, 3988292384 * (b & 1)) + y)), 4294967295) % 6 as h from t),
+  r as (select c.conv_id, 0 as own, k, name, chars from c join t on t.conv_id = c.base and k <= h union all select conv_id, 1, k, name, chars from c join t using (conv_id) where k > h),
+  o as (select conv_id, row_number() over w as d, chars, string_agg(name, '') over w as path from r window w as (partition by conv_id order by own, k rows unbounded preceding)),
+  p as (select conv_id, d, chars, path from o union all select conv_id, 0, 0, '' from c),
+  n as (select path, d, min(conv_id) as conv_id, count(*) as n_convs, (count(*) - 1) * max(chars) as own from p group by path, d),
+  e as (select path, string_agg(conv_id::varchar, ',' order by conv_id) as ends from (select conv_id, arg_max(path, d) as path from p group by conv_id) group by path),
+  k as (select substr(path, 1, 64 * (d - 1)) as path, count(*) as n_children from n where d > 0 group by 1),
+  u as (select substr(path, 1, 64 * a) as path, sum(own) as saved, sum(case when n_children is null then 1 else 0 end) as n_leaves
+    from (select n.path, own, n_children, unnest(range(0, d + 1)) as a from n left join k on k.path = n.path) group by 1)
+select n.conv_id, n.d as depth, q.conv_id as parent_conv_id, n.n_convs, coalesce(n_children, 0) as n_children, cast(n_leaves as bigint) as n_leaves, cast(saved as bigint) as saved_tokens, sha256(coalesce(ends, '')) as ends_sha256
+from n join u on u.path = n.path left join k on k.path = n.path left join e on e.path = n.path left join n q on n.d > 0 and q.path = substr(n.path, 1, 64 * (n.d - 1))"""
+
+
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1_SQL,
     "op3_url_filters": _url_sql(),
@@ -272,4 +295,5 @@ ORACLES: dict[str, str] = {
     "op7_quality_rules": _quality_sql(),
     "op10_decontaminate": OP10_SQL,
     "op11_source_divergence": OP11_SQL,
+    "op13_conversation_trie": OP13_SQL,
 }
