@@ -63,8 +63,9 @@ class Config:
     search: Search = Search()
     namespaces: Namespaces = Namespaces()
     log_retain: int = 0
+    embedding_model: str = ""
     embedding_dimensions: int = 1024
-    job_timeout_minutes: int = 45
+    job_timeout_minutes: float = 45
     excluded_boards: tuple[str, ...] = ()
     wiki_enabled: bool = True
     mode: str = "both"  # what a client does: input (it pushes sessions), output (it reads), or both

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 from functools import reduce
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +14,10 @@ from pyspark.sql import functions as F
 from engram.config import Config
 from engram.functions import coerce as C
 from engram.functions.text import candidate_text, hash_id, normalize_id, strip_fence, wrap_memory
-from engram.functions.vectors import unit
 from engram.operators import graph as G
+from engram.operators import keyword_index as Y
 from engram.operators import lookups as L
+from engram.operators import vector_index as I
 from engram.operators import vectors as K
 from engram.operators import results as V
 from engram.operators import windows as W
@@ -23,12 +26,15 @@ from engram.plans import consolidate as P
 from engram.plans import process as Z
 from engram.plans import recall as R
 from engram.plans import session as S
+from engram.plans.worker import Failures, run_isolated
 from engram.schemas import VERDICTS
 from engram.sources import providers
 from engram.sources.scratch import scratch
-from engram.sources.store import Store, add_edge_pairs, retain_newest
+from engram.sources.store import Snapshot, Store, Transaction, add_edge_pairs, retain_newest
 from engram.sources.transcripts import explode_transcripts
 
+T = TypeVar("T")
+
 
 class Engine:
     """All reads take many queries and agents at once; `now` is passed in, so that plans stay deterministic."""
@@ -42,17 +48,17 @@ class Engine:
     ):
         self.spark, self.config = spark, config or Config()
         self.store, self.chat = Store(spark, self.config.root), chat
-        self.embedder = providers.remembering(embedder) if embedder else None
+        self.embedder = embedder
         self.recalled = Remembered(512, 30.0, time.monotonic)
 
     # Reads
 
-    def _namespaces(self, readers: DataFrame) -> DataFrame:
+    def _namespaces(self, readers: DataFrame, at: Snapshot) -> DataFrame:
         """What readers (reader) see: reader, ns, ord, their own first. In mode all these are all agents that have written anything, which is a list
         per reader by definition."""
         mode = self.config.namespaces.mode
         if mode == "all":
-            every = L.list_agents(self.store.read("interest_points"), self.store.read("wiki_pages")).select(F.col("agent_id").alias("ns"))
+            every = L.list_agents(at.read("interest_points"), at.read("wiki_pages")).select(F.col("agent_id").alias("ns"))
             listed = every.agg(F.sort_array(F.collect_set("ns")).alias("all"))
             shared = readers.join(listed, F.lit(True)).select("reader", F.explode("all").alias("ns"), F.lit(1).alias("ord"))
         else:
@@ -60,21 +66,22 @@ class Engine:
             shared = self.spark.createDataFrame(rows, "reader string, ns string, ord int")
         return R.visible_namespaces(readers, shared)
 
-    def _visible(self, queries: DataFrame) -> DataFrame:
+    def _visible(self, queries: DataFrame, at: Snapshot) -> DataFrame:
         """queries by the namespaces their agent sees: q, reader, agent_id (namespace), ns_ord, text."""
-        seen = self._namespaces(queries.select(F.col("agent_id").alias("reader")).distinct())
+        seen = self._namespaces(queries.select(F.col("agent_id").alias("reader")).distinct(), at)
         seen = seen.select("reader", F.col("ns").alias("agent_id"), F.col("ord").alias("ns_ord"))
         return queries.withColumnRenamed("agent_id", "reader").join(seen, "reader")
 
-    def retrieve(self, queries: DataFrame, k: int) -> DataFrame:
-        """queries: q, agent_id, text and, with an embedder, their vectors v. The first tier that finds anything: vectors, then keywords."""
-        q = self._visible(queries)
-        points, pages, vectors = (self.store.read(t) for t in ("interest_points", "wiki_pages", "vectors"))
-        words = R.full_text_fallback(q.select("q", "agent_id", "text"), points, pages, k)
+    def retrieve(self, queries: DataFrame, k: int, at: Snapshot | None = None) -> DataFrame:
+        """queries: q, agent_id, text and, with an embedder, their vectors v. The first tier that finds anything: vectors, then keywords. The vector tier is there if the store is found to hold
+        vectors; queries of another dimension go to the keywords."""
+        at = at or self.store.snapshot()
+        q = self._visible(queries, at)
+        words = Y.search(at, q.select("q", "agent_id", "text"), k)
         tiers = [words]
-        if "v" in queries.columns:
-            v = vectors.select("agent_id", "id", F.xxhash64("id").alias("ord"), "kind", F.col("embedding").alias("v"))
-            near = K.top_k(q.select(F.col("q").cast("string").alias("id"), "agent_id", F.xxhash64("q").alias("ord"), "v"), v, k, scope=["agent_id"])
+        if "v" in queries.columns and (dimension := I.probe(at)):
+            asked = q.filter(F.size("v") == dimension).select(F.col("q").cast("string").alias("id"), "agent_id", F.xxhash64("q").alias("ord"), "v")
+            near = I.nearest(at, asked, k)
             tiers = [near.select("q", "agent_id", "id", "kind", "score", F.col("rank").alias("place")), words]
         hits = R.cascade(*tiers)
         return hits.join(q.select("q", "agent_id", "reader", "ns_ord"), ["q", "agent_id"])
@@ -92,9 +99,10 @@ class Engine:
         c = self.config.recall
         if self.config.mode == "input":
             return self.spark.createDataFrame([], "q string, text string")
-        points, pages, edges, claims = (self.store.read(t) for t in ("interest_points", "wiki_pages", "edges", "claims"))
+        at = self.store.snapshot()
+        points, pages, edges, claims = (at.read(t) for t in ("interest_points", "wiki_pages", "edges", "claims"))
         wiki = self.config.wiki_enabled and (include_wiki or c.include_wiki)
-        hits = R.event_times(R.rerank(self.retrieve(queries, c.top_k), c.top_k), points, pages)
+        hits = R.event_times(R.rerank(self.retrieve(queries, c.top_k, at), c.top_k), points, pages)
         kept = R.filter_hits(hits, c.min_score, wiki, after, before, now, days)
         moved = R.substitute(kept, edges, points, pages).drop("id", "kind").withColumnsRenamed({"new_id": "id", "new_kind": "kind"})
         graded = R.regroup_by_agent(R.grade(moved, points, pages, claims))
@@ -116,25 +124,26 @@ class Engine:
 
     def search(self, queries: DataFrame) -> DataFrame:
         """Whole documents per query: q, rank, score, the columns of entry_results, and links; archived ones are replaced by what follows them."""
-        k = self.config.search.top_k
-        points, pages = self.store.read("interest_points"), self.store.read("wiki_pages")
-        hits = R.rerank(self.retrieve(queries, k), k)
-        moved = R.substitute(hits, self.store.read("edges"), points, pages).drop("id", "kind").withColumnsRenamed({"new_id": "id", "new_kind": "kind"})
-        found = self._results(self.config.search.max_body_len)
+        k, at = self.config.search.top_k, self.store.snapshot()
+        points, pages, edges = (at.read(t) for t in ("interest_points", "wiki_pages", "edges"))
+        hits = R.rerank(self.retrieve(queries, k, at), k)
+        moved = R.substitute(hits, edges, points, pages).drop("id", "kind").withColumnsRenamed({"new_id": "id", "new_kind": "kind"})
+        found = self._results(self.config.search.max_body_len, at)
         rows = moved.drop("status").join(found, ["agent_id", "id", "kind"])
-        rows = V.with_edges(rows, self.store.read("edges"), points, pages)
+        rows = V.with_edges(rows, edges, points, pages)
         return rows if self.config.wiki_enabled else rows.filter("kind != 'wiki_page'")
 
-    def _results(self, max_body: int) -> DataFrame:
-        return V.entry_results(self.store.read("interest_points"), self.store.read("wiki_pages"), self.store.read("claims"), max_body)
+    def _results(self, max_body: int, at: Snapshot) -> DataFrame:
+        return V.entry_results(at.read("interest_points"), at.read("wiki_pages"), at.read("claims"), max_body)
 
     def get(self, ids: DataFrame) -> DataFrame:
         """Entries by id (agent_id, id), each from the first namespace that its agent sees it in: agent_id, id, namespace, the columns of entry_results, links,
         and for archived ones, which are returned as they are, the replacement (struct)."""
-        points, pages, edges = (self.store.read(t) for t in ("interest_points", "wiki_pages", "edges"))
+        at = self.store.snapshot()
+        points, pages, edges = (at.read(t) for t in ("interest_points", "wiki_pages", "edges"))
         asked = ids.select(F.col("agent_id").alias("reader"), "id").distinct()
-        seen = self._namespaces(asked.select("reader").distinct())
-        found = scratch(self.spark)(V.first_visible(self._results(self.config.search.max_body_len), seen, asked), "found")
+        seen = self._namespaces(asked.select("reader").distinct(), at)
+        found = scratch(self.spark)(V.first_visible(self._results(self.config.search.max_body_len, at), seen, asked), "found")
         linked = V.with_edges(found, edges, points, pages)
         gone = found.filter("status not in ('', 'active')").select("agent_id", "id")
         after = V.replacement_refs(gone, edges, points, pages)
@@ -149,12 +158,11 @@ class Engine:
 
     def wiki_query(self, agent: str, text: str, top_k: int = 3) -> DataFrame:
         """Pages near the text by vectors; by keywords if there is no embedder, or nothing is near."""
-        pages, k = self.store.read("wiki_pages").filter(F.col("agent_id") == agent), min(max(top_k, 1), 10)
-        if self.embedder:
+        at, k = self.store.snapshot(), min(max(top_k, 1), 10)
+        pages = at.read("wiki_pages").filter(F.col("agent_id") == agent)
+        if self.embedder and I.probe(at):
             asked = self.embed(self.spark.createDataFrame([("q", agent, text)], "id string, agent_id string, text string"))
-            v = self.store.read("vectors").filter((F.col("agent_id") == agent) & (F.col("kind") == "wiki_page"))
-            v = v.select("agent_id", "id", F.xxhash64("id").alias("ord"), "kind", F.col("embedding").alias("v"))
-            near = K.top_k(asked.select("id", "agent_id", F.lit(0).cast("long").alias("ord"), "v"), v, k, scope=["agent_id"])
+            near = I.nearest(at, asked.select("id", "agent_id", F.lit(0).cast("long").alias("ord"), "v"), k, kind="wiki_page")
             found = scratch(self.spark)(pages.join(near.select("agent_id", "id", "rank"), ["agent_id", "id"]), "near_pages")
             if found.limit(1).count():
                 return found.orderBy("rank").drop("rank")
@@ -271,21 +279,24 @@ class Engine:
         """The session that processing would take next for an agent, with its windows: session_id, win_no, role, content, idx."""
         return self.windows(self.next_unprocessed(agent)).drop("agent_id")
 
-    # Writes
+    # Writes. What belongs together is committed together: a reader sees all of it or nothing.
 
-    def save_edges(self, edges: DataFrame) -> None:
+    def _commit(self, change: Callable[[Transaction], T], still: Callable[[], bool] = lambda: True) -> T:
+        out = self.store.commit(change, still=still)
+        self.recalled.rows.clear()
+        return out
+
+    def save_edges(self, edges: DataFrame, tx: Transaction | None = None) -> None:
         """edges with seq: contradicts in both directions, the last of equal keys."""
-        self.store.upsert("edges", add_edge_pairs(edges).drop("seq"))
+        (tx or self.store).upsert("edges", add_edge_pairs(edges).drop("seq"))
 
     def save_vectors(self, vectors: DataFrame) -> None:
-        """vectors: id, agent_id, kind ('': wiki_page), v. Stored with length one; a vector whose dimension isn't the store's is refused."""
-        some = vectors.filter("v is not null and exists(v, x -> x != 0)")
-        known = {r[0] for r in self.store.read("vectors").select(F.size("embedding")).distinct().limit(2).collect()}
-        new = {r[0] for r in some.select(F.size("v")).distinct().limit(2).collect()}
-        if len(known | new) > 1:
-            raise ValueError(f"vectors of different dimensions: {sorted(known | new)}")
-        kind = F.coalesce(F.nullif("kind", F.lit("")), F.lit("wiki_page"))
-        self.store.upsert("vectors", some.select("id", "agent_id", kind.alias("kind"), unit(F.col("v")).cast("array<float>").alias("embedding")))
+        """vectors: id, agent_id, kind ('': wiki_page), v. Stored with length one; vectors whose dimension isn't the store's are refused, also if another writer was first to say which."""
+        self._commit(lambda tx: I.save_vectors(tx, vectors))
+
+    def reindex_vectors(self, agents: DataFrame) -> None:
+        """New cells for the vectors of agents (agent_id); worth it when these have doubled since."""
+        self._commit(lambda tx: I.rebuild_cells(tx, agents))
 
     def persist(
         self,
@@ -295,25 +306,31 @@ class Engine:
         contradictions: DataFrame | None = None,
         vectors: DataFrame | None = None,
     ) -> DataFrame:
-        """Applies P.adjudicate's changes, and returns what each point became: agent_id, id, action, and the columns of interest_points.
+        """Applies P.adjudicate's changes in one commit, and returns what each point became: agent_id, id, action, and the columns of interest_points.
 
         An update starts from the stored point and replaces only what the change names; an archived point only changes its status, and
         loses its vector; a created one takes its confidence from its importance and is unknown in reliability and freshness. details: agent_id, id and any
         further columns of created points (subjective, wiki_worthy, turn ranges, sessions). contradictions: rows of P.resolve_contradictions,
         stored with an edge in both directions. vectors (agent_id, id, v): those of created and updated points, stored, and related to one another
-        where they are similar enough. Edges and vectors come after the points, and the log comes last.
+        where they are similar enough.
         """
-        write, c = scratch(self.spark), self.config.fork
-        rows = write(P.changed_points(changes, self.store.read("interest_points"), now, details), "changes")
-        self.store.upsert("interest_points", rows.drop("action"))
-        self.store.delete("vectors", rows.filter("action = 'archive'").select("agent_id", F.lit("interest_point").alias("kind"), "id"))
+        write = scratch(self.spark)
+        given = [None if df is None else write(df, f"given{i}") for i, df in enumerate((changes, details, contradictions, vectors))]
+        return self._commit(lambda tx: self._persist(tx, given[0], now, *given[1:]))
 
+    def _persist(
+        self, tx: Transaction, changes: DataFrame, now: Column, details: DataFrame | None = None, contradictions: DataFrame | None = None, vectors: DataFrame | None = None
+    ) -> DataFrame:
+        write, c = scratch(self.spark), self.config.fork
+        rows = write(P.changed_points(changes, tx.read_for("interest_points", changes), now, details), "changes")
+        tx.upsert("interest_points", rows.drop("action"))
+        gone = rows.filter("action = 'archive'").select("agent_id", F.lit("interest_point").alias("kind"), "id")
+        tx.delete("vectors", gone)
         edges = []
         if contradictions is not None:
-            found = write(contradictions, "contradictions")
-            self.store.upsert("contradictions", found)
+            tx.upsert("contradictions", contradictions)
             edges.append(
-                found.select(
+                contradictions.select(
                     "agent_id",
                     F.col("left_id").alias("source_id"),
                     F.col("right_id").alias("target_id"),
@@ -326,11 +343,11 @@ class Engine:
         if vectors is not None:
             alive = rows.filter("action != 'archive'").select("agent_id", "id")
             kept = write(vectors.join(alive, ["agent_id", "id"], "left_semi").filter("v is not null"), "kept_vectors")
-            self.save_vectors(kept.select("id", "agent_id", F.lit("interest_point").alias("kind"), "v"))
+            I.save_vectors(tx, kept.select("id", "agent_id", F.lit("interest_point").alias("kind"), "v"))
             near = P.related_edges(kept.select("agent_id", "id", F.xxhash64("id").alias("ord"), "v"), c.similarity_relate, now)
             edges.append(near.withColumn("seq", F.lit(1)))
         if edges:
-            self.save_edges(reduce(DataFrame.unionByName, edges))
+            self.save_edges(write(reduce(DataFrame.unionByName, edges), "edges"), tx)
         log = rows.select(
             hash_id("agent_id", "id", now.cast("string")).alias("id"),
             "agent_id",
@@ -340,38 +357,77 @@ class Engine:
             F.col("name").alias("title"),
             "action",
         )
-        self.store.append_log(log, self.config.log_retain)
-        self.recalled.rows.clear()
+        tx.append_log(log, self.config.log_retain)
         return rows
 
     def ask(self, prompts: DataFrame) -> DataFrame:
         return providers.ask(prompts, self.chat)
 
-    def embed(self, texts: DataFrame) -> DataFrame:
-        return providers.embed(texts, self.embedder)
+    def embed(self, texts: DataFrame, strict: bool = True) -> DataFrame:
+        """texts (any keys, text) with v. Vectors are kept in the store by model, dimension and content: only texts that no run has embedded are sent to the provider, each once. strict=False: a
+        text that the provider fails on gets a null vector, and a column error says why."""
+        write, c = scratch(self.spark), self.config
+        texts = write(texts, "texts")
+        key = V.embed_key(F.lit(c.embedding_model), F.lit(c.embedding_dimensions), F.col("text"))
+        asked = write(texts.select("text").filter("text is not null").distinct().withColumn("key", key), "asked")
+        kept = self.store.snapshot().read("embedded", self.store.parts_of(asked))
+        known = write(asked.join(kept, "key").dropDuplicates(["key"]), "known")
+        missing = asked.join(known.select("key"), "key", "left_anti")
+        new = write(missing.join(providers.embed_distinct(missing.select("text"), self.embedder, strict=strict), "text"), "embedded")
+        if new.filter("v is not null").limit(1).count():
+            self.store.append("embedded", new.filter("v is not null").select("key", "v"))
+        no_error = F.lit(None).cast("string").alias("error")
+        found = known.select("text", "v", no_error).unionByName(new.select("text", "v", "error"))
+        out = texts.join(found, "text", "left")
+        return out.drop("error") if strict else out
 
     def process_next(self, now: Column) -> int:
-        """Processes the oldest unprocessed session of each agent, and says how many these were: candidates, merging, clustering,
-        adjudication, points, edges, and, where the wiki is on, pages, their links and the pages around them.
-        A session is marked as processed at the very end, so that one that fails is taken again. Without providers, and for sessions without turns or
-        candidates, only the mark is set.
+        """Processes the oldest unprocessed session of each agent, and says how many these were (see process_round)."""
+        return self.process_round(now).count()
+
+    def process_round(self, now: Column, skip: DataFrame | None = None) -> DataFrame:
+        """Processes the oldest unprocessed session of each agent (without those of skip: agent_id, session_id): candidates, merging, clustering, adjudication, points, edges, and, where the wiki
+        is on, pages, their links and the pages around them. Returns the jobs: agent_id, session_id, status (done or failed), error; they are also stored.
+
+        Each agent's session is committed as a whole, with its mark. One that fails, or for which the time of a job isn't enough, leaves nothing behind and stays unprocessed, and the other agents'
+        sessions are processed all the same. Without providers, and for sessions without turns or candidates, only the mark is set.
         """
         write = scratch(self.spark)
-        sessions = write(Z.oldest_unprocessed(self.store.read("session_transcripts")), "sessions")
-        n = sessions.count()
-        if n and self.chat and self.embedder:
+        waiting = self.store.read("session_transcripts")
+        if skip is not None:
+            waiting = waiting.join(skip, ["agent_id", "session_id"], "left_anti")
+        sessions = write(Z.oldest_unprocessed(waiting), "sessions")
+
+        def process(rows: DataFrame, still: Callable[[], bool]) -> None:
+            self._commit(lambda tx: self._process(tx, rows, now), still)
+
+        jobs = run_isolated(sessions, process, self.config.job_timeout_minutes * 60, write)
+        if jobs.limit(1).count():
+            done = jobs.withColumns({"id": hash_id("agent_id", "session_id", now.cast("string")), "created_at": now, "done_at": now})
+            self.store.upsert("jobs", done)
+        return jobs
+
+    def _process(self, tx: Transaction, sessions: DataFrame, now: Column) -> None:
+        write = scratch(self.spark)
+        if self.chat and self.embedder:
             found = write(Z.extract(sessions, self.ask, self.config), "candidates")
             if found.limit(1).count():
-                self._consolidate(sessions, found, now, write)
-        if n:
-            self.store.mark_processed(sessions, now)
-        return n
-
-    def _consolidate(self, sessions: DataFrame, found: DataFrame, now: Column, write: Callable[[DataFrame, str], DataFrame]) -> None:
+                self._consolidate(tx, sessions, found, now, write)
+        tx.mark_processed(sessions, now)
+
+    def _embed_or_fail(self, texts: DataFrame) -> DataFrame:
+        """Vectors of texts of many agents; Failures names the agents that the provider fails for."""
+        out = scratch(self.spark)(self.embed(texts, strict=False), "vectors")
+        failed = out.filter("error is not null").select("agent_id", "error")
+        if failed.limit(1).count():
+            raise Failures(failed)
+        return out.drop("error")
+
+    def _consolidate(self, tx: Transaction, sessions: DataFrame, found: DataFrame, now: Column, write: Callable[[DataFrame, str], DataFrame]) -> None:
         c = self.config
-        points = Z.merge_candidates(found, self.ask, self.embed, c, write)
-        stored = self.store.read("interest_points")
-        related = Z.relate(points, self.store.read("vectors"), c, write)
+        points = Z.merge_candidates(found, self.ask, self._embed_or_fail, c, write)
+        stored = tx.read_for("interest_points", sessions)
+        related = Z.relate(points, tx.read_for("vectors", sessions), c, write)
         verdicts = Z.ask_adjudication(points, related, stored, self.ask, write)
         changes = write(Z.changes_of(verdicts, stored, now), "all_changes")
         sides = P.resolve_contradictions(verdicts["contradictions"], verdicts["members"].select("agent_id", "component", "topic"), verdicts["history"], now)
@@ -379,51 +435,73 @@ class Engine:
             "agent_id", "id", "subjective", F.col("start").alias("turn_range_start"), F.col("end").alias("turn_range_end"), F.col("worthy").alias("wiki_worthy"), F.array("session_id").alias("source_session_ids")
         )
         texts = changes.filter("action != 'archive'").select("agent_id", "id", candidate_text("name", "summary").alias("text"))
-        vectors = write(self.embed(texts).select("agent_id", "id", "v").dropDuplicates(["agent_id", "id"]), "new_vectors")
-        rows = self.persist(changes, now, details, sides, vectors)
+        vectors = write(self._embed_or_fail(texts).select("agent_id", "id", "v").dropDuplicates(["agent_id", "id"]), "new_vectors")
+        rows = self._persist(tx, changes, now, write(details, "details"), write(sides, "sides"), vectors)
         if not c.wiki_enabled:
             return
         alive = rows.filter("action != 'archive'").join(vectors, ["agent_id", "id"], "left")
         alive = alive.withColumnsRenamed({"turn_range_start": "start", "turn_range_end": "end"})
         alive = write(alive, "survivors")
-        known = self.store.read("vectors").select("agent_id", "id", F.xxhash64("id").alias("ord"), "kind", F.col("embedding").alias("v"))
-        near = write(S.related_entries(alive, known, self.store.read("interest_points"), self.store.read("wiki_pages")), "related")
+        known = tx.read_for("vectors", sessions).select("agent_id", "id", F.xxhash64("id").alias("ord"), "kind", F.col("embedding").alias("v"))
+        near = write(S.related_entries(alive, known, tx.read_for("interest_points", sessions), tx.read_for("wiki_pages", sessions)), "related")
         drafts = write(Z.draft_pages(alive, sessions, near, self.ask, c, write), "drafts")
-        self.wiki_write(drafts, now)
+        self._wiki_write(tx, drafts, now)
         touched = write(drafts.select("agent_id", normalize_id("id").alias("id")).distinct(), "touched")
-        self.rebuild_links(touched, now)
+        self._rebuild_links(tx, touched, now)
         seeds = touched.unionByName(rows.filter("action = 'archive'").select("agent_id", "id"))
-        again = write(Z.reconcile(seeds, self.store.read("edges"), self.store.read("wiki_pages"), self.ask, c), "rewrites")
+        again = write(Z.reconcile(seeds, tx.read_for("edges", sessions), tx.read_for("wiki_pages", sessions), self.ask, c), "rewrites")
         if again.limit(1).count():
-            self.wiki_write(again, now)
-            self.rebuild_links(again.select("agent_id", "id").distinct(), now)
-
-    def process_all(self, now: Column, most: int = 1000) -> int:
-        """process_next until no session is left (an agent's sessions in order of receipt), or `most` rounds."""
-        done = 0
-        for _ in range(most):
-            n = self.process_next(now)
-            if not n:
-                break
-            done += n
-        return done
+            self._wiki_write(tx, again, now)
+            self._rebuild_links(tx, again.select("agent_id", "id").distinct(), now)
+
+    def process_all(self, now: Column) -> int:
+        """process_round until no session is left (an agent's sessions in order of receipt), and how many were done. Sessions that fail stay unprocessed and are in self.jobs(); the
+        sessions of their agent that came after them are processed."""
+        done, failed, write = 0, None, scratch(self.spark)
+        while True:
+            jobs = self.process_round(now, failed)
+            counts = {r["status"]: r["count"] for r in jobs.groupBy("status").count().collect()}
+            if not counts:
+                return done
+            done += counts.get("done", 0)
+            if counts.get("failed"):
+                lost = jobs.filter("status = 'failed'").select("agent_id", "session_id")
+                failed = write(lost if failed is None else failed.unionByName(lost), f"failed{done}-{uuid.uuid4().hex[:6]}")
+
+    def jobs(self, agent: str | None = None) -> DataFrame:
+        """What became of sessions: id, agent_id, session_id, status, error, created_at, done_at."""
+        rows = self.store.read("jobs")
+        return rows if agent is None else rows.filter(F.col("agent_id") == agent)
 
     def wiki_write(self, writes: DataFrame, now: Column) -> None:
-        """Page writes, each page once: pages, the edges of their points, claims, vectors (with an embedder) and the log."""
-        out = P.write_pages(writes, self.store.read("wiki_pages"), now)
+        """Page writes, each page once, in one commit: pages, the edges of their points, claims, vectors (with an embedder) and the log."""
+        writes = scratch(self.spark)(writes, "page_writes")
+        self._commit(lambda tx: self._wiki_write(tx, writes, now))
+
+    def _wiki_write(self, tx: Transaction, writes: DataFrame, now: Column) -> None:
+        out = P.write_pages(writes, tx.read_for("wiki_pages", writes), now)
+        write = scratch(self.spark)
+        out = {name: write(df, f"page_{name}") for name, df in out.items()}
         for table in ("wiki_pages", "edges", "claims"):
-            self.store.upsert(table, out[table])
+            tx.upsert(table, out[table])
         if self.embedder:
-            v = scratch(self.spark)(self.embed(out["texts"]), "page_vectors")
-            self.save_vectors(v.select("id", "agent_id", F.lit("wiki_page").alias("kind"), "v"))
-        self.store.append_log(out["change_log"], self.config.log_retain)
+            v = self._embed_or_fail(out["texts"])
+            I.save_vectors(tx, v.select("id", "agent_id", F.lit("wiki_page").alias("kind"), "v"))
+        tx.append_log(out["change_log"], self.config.log_retain)
 
     def rebuild_links(self, touched: DataFrame, now: Column, strict_parity: bool = False) -> None:
-        base = {t: self.store.version(t) for t in ("edges", "pending_links")}
-        edges, pending = G.rebuild_links(touched, self.store.read("wiki_pages"), self.store.read("edges"), self.store.read("pending_links"), now, strict_parity)
+        """The reference edges and pending links of touched pages (agent_id, id), and pending links to them, from the pages' texts; in one commit, which only writes the parts of their agents."""
+        touched = scratch(self.spark)(touched, "touched")
+        self._commit(lambda tx: self._rebuild_links(tx, touched, now, strict_parity))
+
+    def _rebuild_links(self, tx: Transaction, touched: DataFrame, now: Column, strict_parity: bool = False) -> None:
+        if not (parts := self.store.parts_of(touched)):
+            return
+        pages, old_edges, old_pending = (tx.read(t, parts) for t in ("wiki_pages", "edges", "pending_links"))
+        edges, pending = G.rebuild_links(touched, pages, old_edges, old_pending, now, strict_parity)
         write = scratch(self.spark)
         for table, rows in [(t, write(df, t)) for t, df in (("edges", edges), ("pending_links", pending))]:
-            self.store.write(table, rows, base[table])
+            tx.write(table, rows, parts)
 
     def prune_logs(self, default_cap: int, caps: DataFrame | None = None) -> None:
         self.store.update("change_log", lambda old: retain_newest(old, default_cap, caps))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +11,97 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.functions.vectors import unit
+from engram.sources.scratch import scratch
 
 #: Vectors in a block.
 BLOCK_ROWS = 1024
+#: Measured bytes of vectors that may be sent to every executor.
+SENT_BYTES = 16 << 20
+
+
+def _bytes(rows: DataFrame) -> int:
+    width = 8 * F.coalesce(F.size("v"), F.lit(0)) + F.coalesce(F.octet_length("id"), F.lit(0)) + 64
+    return rows.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+
+
+def _groups(table: pa.Table | pa.RecordBatch, scope: list[str]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
+    """Scope and dimension, places and unit vectors of the rows of a table, by scope and dimension. Null, empty and zero vectors are left out."""
+    v = table.column("v")
+    v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+    sizes = pc.fill_null(pc.list_value_length(v), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pc.list_flatten(v).to_numpy(zero_copy_only=False).astype(np.float64)
+    starts = np.cumsum(sizes) - sizes
+    places: dict[tuple, list[int]] = {}
+    for i, key in enumerate(zip(*(table.column(c).to_pylist() for c in scope), sizes.tolist(), strict=True)):
+        if key[-1]:
+            places.setdefault(key, []).append(i)
+    for key, at in places.items():
+        at = np.array(at)
+        m = flat[starts[at][:, None] + np.arange(key[-1])]
+        length = np.sqrt((m * m).sum(axis=1))
+        at, m, length = at[length > 0], m[length > 0], length[length > 0]
+        if len(at):
+            yield key, at, m / length[:, None]
+
+
+def _scan(sent: DataFrame, rows: DataFrame, scope: list[str], meet: Callable, schema: str, block_rows: int) -> DataFrame:
+    """Every block of rows beside all sent vectors of its scope and dimension: the sent ones go to each task, whose batches are read as they lie, so that no vector is exchanged. meet yields columns
+    of found rows, after those of the scope."""
+    spark = rows.sparkSession
+    table = spark.sparkContext.broadcast(sent.toArrow())
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {key: (table.value.take(pa.array(at)).combine_chunks(), m) for key, at, m in _groups(table.value, scope)}
+        for batch in batches:
+            for key, at, m in _groups(batch, scope):
+                if key in known:
+                    step = max(1, min(block_rows, (1 << 22) // len(known[key][1])))
+                    for i in range(0, len(at), step):
+                        columns = meet(*known[key], batch.take(pa.array(at[i : i + step])), m[i : i + step])
+                        keys = [pa.array([x] * len(columns[0]), batch.schema.field(c).type) for c, x in zip(scope, key, strict=False)]
+                        yield pa.RecordBatch.from_arrays([*keys, *columns], names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _column(table: pa.Table | pa.RecordBatch, name: str) -> pa.Array:
+    c = table.column(name)
+    return c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+
+
+def _pairs_found(table: pa.Table, mb: np.ndarray, batch: pa.RecordBatch, ma: np.ndarray, threshold: float, strict: bool) -> list:
+    sim = ma @ mb.T
+    ok = sim > threshold if strict else sim >= threshold
+    oa, ob = (_column(t, "ord").to_numpy(zero_copy_only=False) for t in (batch, table))
+    x, y = np.nonzero(ok & (oa[:, None] < ob[None, :]))
+    return [_column(batch, "id").take(pa.array(x)), _column(table, "id").take(pa.array(y)), pa.array(sim[x, y], pa.float64())]
+
+
+def _nearest_found(table: pa.Table, mq: np.ndarray, batch: pa.RecordBatch, mv: np.ndarray, k: int) -> list:
+    sim = np.maximum(mq @ mv.T, 0.0)
+    ov, kinds = _column(batch, "ord").to_numpy(zero_copy_only=False), np.array(_column(batch, "kind").to_pylist(), dtype=object)
+    rows, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for kind in sorted(set(kinds)):
+        mine = np.flatnonzero(kinds == kind)
+        mine = mine[np.argsort(ov[mine], kind="stable")]
+        best = mine[np.argsort(-sim[:, mine], axis=1, kind="stable")[:, :k]]  # stable: of equal scores the smaller ord comes first
+        rows.append(np.repeat(np.arange(len(mq)), best.shape[1]))
+        places.append(best.ravel())
+    row, at = np.concatenate(rows), np.concatenate(places)
+    return [_column(table, "id").take(pa.array(row)), _column(batch, "id").take(pa.array(at)), _column(batch, "kind").take(pa.array(at)), pa.array(sim[row, at]), pa.array(ov[at])]
+
+
+def cosines(queries: DataFrame, vectors: DataFrame, scope: list[str]) -> DataFrame:
+    """The cosine of each query (id, v) with each vector (id, v) of its scope and dimension: scope, q, id, cos. For few queries beside few vectors, such as the centres of cells."""
+    kinds = dict(vectors.dtypes)
+
+    def meet(table: pa.Table, mq: np.ndarray, batch: pa.RecordBatch, mv: np.ndarray) -> list:
+        x, y = (a.ravel() for a in np.indices((len(mq), len(mv))))
+        return [_column(table, "id").take(pa.array(x)), _column(batch, "id").take(pa.array(y)), pa.array((mq @ mv.T)[x, y])]
+
+    schema = ", ".join([f"{c} {kinds[c]}" for c in scope] + ["q string, id string, cos double"])
+    return _scan(queries.select(*scope, "id", "v"), vectors.select(*scope, "id", "v"), scope, meet, schema, BLOCK_ROWS)
 
 
 def _blocks(df: DataFrame, scope: list[str], block_rows: int) -> tuple[DataFrame, DataFrame]:
@@ -56,11 +144,17 @@ def similar_pairs(vectors: DataFrame, threshold: float, strict: bool = False, sc
     """All pairs of vectors (id string, ord long, v array) within a scope whose cosine reaches the threshold (strict: exceeds it):
     scope, a, b, sim with a before b in ord. Vectors of different dimension aren't compared; null and zero vectors are like none.
 
-    Each pair of blocks is one matrix product, so the work spreads evenly however large a scope is, and only the pairs found leave it.
+    Vectors of SENT_BYTES at most, which is measured, go to every task whole and are met by the rows as they lie. Beyond that blocks meet: each pair of blocks is one matrix product, so
+    the work spreads evenly however large a scope is, and only the pairs found leave it.
     """
     scope = scope or []
-    rows = vectors.withColumn("kind", F.lit("")) if "kind" not in vectors.columns else vectors
-    blocks, sizes = _blocks(rows.select(*scope, "id", "ord", "kind", "v"), scope, block_rows)
+    kinds = dict(vectors.dtypes)
+    schema = ", ".join([f"{c} {kinds[c]}" for c in scope] + ["a string, b string, sim double"])
+    rows = scratch(vectors.sparkSession)(vectors.select(*scope, "id", F.col("ord").cast("long").alias("ord"), F.lit("").alias("kind"), "v"), "vectors")
+    if _bytes(rows) <= SENT_BYTES:
+        meet = lambda *found: _pairs_found(*found, threshold, strict)
+        return _scan(rows.select(*scope, "id", "ord", "v"), rows.select(*scope, "id", "ord", "v"), scope, meet, schema, block_rows)
+    blocks, sizes = _blocks(rows, scope, block_rows)
     pairs = sizes.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("y"))))
     both = _meet(pairs.select(*scope, "dim", "x", "y"), blocks, blocks, scope)
 
@@ -80,8 +174,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, strict: bool = False, sc
                 keys = [pa.array([batch.column(c)[i].as_py()] * len(x), batch.schema.field(c).type) for c in scope]
                 yield pa.RecordBatch.from_arrays([*keys, a, b, pa.array(sim[x, y], pa.float64())], [*scope, "a", "b", "sim"])
 
-    kinds = dict(vectors.dtypes)
-    return both.mapInArrow(run, ", ".join([f"{c} {kinds[c]}" for c in scope] + ["a string, b string, sim double"]))
+    return both.mapInArrow(run, schema)
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, scope: list[str] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -89,11 +182,27 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, scope: list[str] | Non
     all: scope, q, id, kind, score (not below 0), rank (from 1). Ties: interest points first, then by ord. Vectors of another dimension than
     the query's, null and zero ones aren't found, and null and zero queries find nothing.
 
-    Each block of vectors gives at most k rows per query and kind, before anything is shuffled.
+    Queries of SENT_BYTES at most, which is measured, go to every task that reads vectors; beyond that blocks of both meet by their numbers. Either way each block of vectors
+    gives at most k rows per query and kind, before anything is shuffled.
     """
     scope = scope or []
-    q, q_sizes = _blocks(queries.withColumn("kind", F.lit("")).select(*scope, "id", "ord", "kind", "v"), scope, block_rows)
-    v, v_sizes = _blocks(vectors.select(*scope, "id", "ord", "kind", "v"), scope, block_rows)
+    kinds = dict(vectors.dtypes)
+    schema = ", ".join([f"{c} {kinds[c]}" for c in scope] + ["q string, id string, kind string, score double, ord long"])
+    asked = scratch(queries.sparkSession)(queries.select(*scope, "id", F.col("ord").cast("long").alias("ord"), F.lit("").alias("kind"), "v"), "queries")
+    vectors = vectors.select(*scope, "id", F.col("ord").cast("long").alias("ord"), "kind", "v")
+    if _bytes(asked) <= SENT_BYTES:
+        found = _scan(asked.select(*scope, "id", "v"), vectors, scope, lambda *x: _nearest_found(*x, k), schema, block_rows)
+    else:
+        found = _meet_nearest(asked, vectors, k, scope, block_rows, schema)
+    order = [F.col("score").desc(), F.col("ord")]
+    per_kind = found.withColumn("_rk", F.row_number().over(Window.partitionBy(*scope, "q", "kind").orderBy(*order))).filter(F.col("_rk") <= k)
+    total = F.row_number().over(Window.partitionBy(*scope, "q").orderBy(F.col("score").desc(), F.col("kind"), F.col("ord")))
+    return per_kind.withColumn("rank", total).filter(F.col("rank") <= k).select(*scope, "q", "id", "kind", "score", "rank")
+
+
+def _meet_nearest(queries: DataFrame, vectors: DataFrame, k: int, scope: list[str], block_rows: int, schema: str) -> DataFrame:
+    q, q_sizes = _blocks(queries, scope, block_rows)
+    v, v_sizes = _blocks(vectors, scope, block_rows)
     named = v_sizes.select(*[F.col(c).alias(f"_{c}") for c in scope], F.col("dim").alias("_dim"), F.col("blocks").alias("_blocks"))
     on = F.col("dim") == F.col("_dim")
     for c in scope:
@@ -121,12 +230,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, scope: list[str] | Non
                     found = [iq.take(pa.array(row)), iv.take(pa.array(at)), pa.array([kind] * len(at), pa.string()), pa.array(sim[row, at]), pa.array(ov[at])]
                     yield pa.RecordBatch.from_arrays([*keys, *found], [*scope, "q", "id", "kind", "score", "ord"])
 
-    kinds = dict(vectors.dtypes)
-    found = both.mapInArrow(run, ", ".join([f"{c} {kinds[c]}" for c in scope] + ["q string, id string, kind string, score double, ord long"]))
-    order = [F.col("score").desc(), F.col("ord")]
-    per_kind = found.withColumn("_rk", F.row_number().over(Window.partitionBy(*scope, "q", "kind").orderBy(*order))).filter(F.col("_rk") <= k)
-    total = F.row_number().over(Window.partitionBy(*scope, "q").orderBy(F.col("score").desc(), F.col("kind"), F.col("ord")))
-    return per_kind.withColumn("rank", total).filter(F.col("rank") <= k).select(*scope, "q", "id", "kind", "score", "rank")
+    return both.mapInArrow(run, schema)
 
 
 def history_links(current: DataFrame, history: DataFrame, least: float, k: int = 20) -> DataFrame:

@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from engram.functions.text import keyword_match, render_line
 from engram.operators.folds import best_claim
 from engram.operators.graph import first_edge, resolve_replacements
+from engram.sources.postings import page_bodies, point_bodies
 
 #: Score of hits found by keywords.
 KEYWORD_SCORE = 0.5
 
 
-def keyword_hits(queries: DataFrame, entries: DataFrame, k: int, order: list[Column], status: Column | None = None) -> DataFrame:
+def keyword_hits(queries: DataFrame, entries: DataFrame, k: int, order: list[Column], status: Column | None = None, among: DataFrame | None = None) -> DataFrame:
     """queries: q, agent_id, text; entries: agent_id, id, kind, body, ...: the first k entries by `order` that a query matches, of these
-    the ones that pass `status` (the cut comes first): q, agent_id, id, kind, score, place."""
-    joined = entries.join(queries, "agent_id").filter(keyword_match("body", "text"))
+    the ones that pass `status` (the cut comes first): q, agent_id, id, kind, score, place. among (q, agent_id, kind, id): entries that a query can match at all."""
+    asked = queries if among is None else among.join(queries, ["q", "agent_id"])
+    joined = entries.join(asked, "agent_id" if among is None else ["agent_id", "kind", "id"]).filter(keyword_match("body", "text"))
     rank = F.row_number().over(Window.partitionBy("q", "agent_id").orderBy(*order))
     cut = joined.withColumn("place", rank).filter(F.col("place") <= k)
     if status is not None:
@@ -24,19 +26,10 @@ def keyword_hits(queries: DataFrame, entries: DataFrame, k: int, order: list[Col
     return cut.select("q", "agent_id", "id", "kind", F.lit(KEYWORD_SCORE).alias("score"), "place")
 
 
-def full_text_fallback(queries: DataFrame, points: DataFrame, pages: DataFrame, k: int) -> DataFrame:
+def full_text_fallback(queries: DataFrame, points: DataFrame, pages: DataFrame, k: int, among: DataFrame | None = None) -> DataFrame:
     """Points by importance (not archived), then pages by update (active), together at most k: q, agent_id, id, kind, score, place."""
-    p = points.select(
-        "agent_id",
-        "id",
-        F.lit("interest_point").alias("kind"),
-        F.concat_ws(" ", "name", "summary", F.to_json("keywords")).alias("body"),
-        "importance",
-        "status",
-    )
-    w = pages.select("agent_id", "id", F.lit("wiki_page").alias("kind"), F.concat_ws(" ", "title", "body_md").alias("body"), "updated_at", "status")
-    a = keyword_hits(queries, p, k, [F.col("importance").desc(), F.col("id")], F.col("status") != "archived").withColumn("part", F.lit(1))
-    b = keyword_hits(queries, w, k, [F.col("updated_at").desc(), F.col("id")], F.col("status").isin("", "active")).withColumn("part", F.lit(2))
+    a = keyword_hits(queries, point_bodies(points), k, [F.col("importance").desc(), F.col("id")], F.col("status") != "archived", among).withColumn("part", F.lit(1))
+    b = keyword_hits(queries, page_bodies(pages), k, [F.col("updated_at").desc(), F.col("id")], F.col("status").isin("", "active"), among).withColumn("part", F.lit(2))
     rank = F.row_number().over(Window.partitionBy("q", "agent_id").orderBy("part", "place"))
     return a.unionByName(b).withColumn("place", rank).filter(F.col("place") <= k).drop("part")
 

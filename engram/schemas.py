@@ -44,9 +44,20 @@ TABLES: dict[str, tuple[str, list[str]]] = {
         ["agent_id", "id"],
     ),
     "usage": ("date string, input_tokens long, output_tokens long, cache_hit_tokens long, updated_at timestamp", ["date"]),
-    "vectors": ("id string, agent_id string, kind string, embedding array<float>", ["agent_id", "kind", "id"]),
+    "vectors": ("id string, agent_id string, kind string, embedding array<float>, cell string", ["agent_id", "kind", "id"]),
+    "vector_cells": ("agent_id string, cell string, centre array<double>, radius double, n long", ["agent_id", "cell"]),
+    "embedded": ("key string, v array<float>", ["key"]),
+    "point_postings": ("agent_id string, gram string, kind string, id string", ["agent_id", "gram", "kind", "id"]),
+    "page_postings": ("agent_id string, gram string, kind string, id string", ["agent_id", "gram", "kind", "id"]),
+    "jobs": (
+        "id string, agent_id string, session_id string, status string, error string, created_at timestamp, done_at timestamp",
+        ["agent_id", "id"],
+    ),
 }
 
+#: By what rows are sorted inside their files, so that scans for some values skip the rest.
+SORTED = {"point_postings": ["agent_id", "gram"], "page_postings": ["agent_id", "gram"], "vectors": ["agent_id", "cell"]}
+
 #: What a conflicting upsert does with a column, where it doesn't simply replace it.
 KEPT: dict[str, dict[str, str]] = {
     "interest_points": {"first_seen_at": "keep"},

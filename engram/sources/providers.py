@@ -63,15 +63,33 @@ def ask(prompts: DataFrame, make: Callable[[], ChatProvider]) -> DataFrame:
 
 def embed(texts: DataFrame, make: Callable[[], EmbedProvider], batch: int = 64) -> DataFrame:
     """texts (any keys, text) with v (array<float>). Each different text is embedded once."""
+    return texts.join(embed_distinct(texts.select("text").distinct(), make, batch).drop("error"), "text", "left")
+
+
+def embed_distinct(texts: DataFrame, make: Callable[[], EmbedProvider], batch: int = 64, strict: bool = True) -> DataFrame:
+    """texts (text) with v and error (null). strict=False: where a batch fails, its texts are tried one by one, and those that fail get a null vector and the reason."""
+
+    def one(provider: EmbedProvider, text: str) -> tuple[list[float] | None, str | None]:
+        try:
+            return provider.embed([text])[0], None
+        except Exception as e:  # noqa: BLE001  a failed text voids its agent, not the job
+            return None, f"{type(e).__name__}: {e}"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         provider = make()
         for frame in frames:
             for i in range(0, len(frame), batch):
                 part = frame.iloc[i : i + batch]
-                yield part.assign(v=provider.embed(part["text"].tolist()))
-
-    return texts.join(texts.select("text").distinct().mapInPandas(run, "text string, v array<float>"), "text", "left")
+                asked = part["text"].tolist()
+                try:
+                    yield part.assign(v=provider.embed(asked), error=None)
+                except Exception:
+                    if strict:
+                        raise
+                    v, errors = zip(*(one(provider, t) for t in asked), strict=True)
+                    yield part.assign(v=list(v), error=list(errors))
+
+    return texts.select("text").mapInPandas(run, "text string, v array<float>, error string")
 
 
 #: Vectors that a worker keeps.
