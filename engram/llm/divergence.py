@@ -20,6 +20,8 @@ TERM[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 #: What probabilities are counted in, and what is added to each count.
 SCALE, ADDED = 1_000_000_000, 2
+#: Runs that a task holds to add up those of its batches before they are exchanged.
+HELD_RUNS = 1 << 20
 
 
 def _changes(*columns: pa.Array) -> np.ndarray:
@@ -33,12 +35,32 @@ def _changes(*columns: pa.Array) -> np.ndarray:
     return differs
 
 
+def _added_up(held: list[pa.RecordBatch]) -> pa.Table:
+    """The runs of several batches, those of equal lang, term and source as one."""
+    sums = pa.Table.from_batches(held).group_by(["lang", "term", "source"]).aggregate([("document", "min"), ("df", "sum"), ("n", "sum")])
+    return sums.rename_columns(["lang", "term", "source", "document", "df", "n"])
+
+
 def document_runs(docs: DataFrame) -> DataFrame:
     """docs (document, lang, source, text): lang, term, source, document, df and n. A task sorts the terms of a batch of documents by
-    (lang, term, source, document) and scans the runs: a row says in how many of the batch's documents of that source a term stands (df), how often
-    (n), and names the first of these documents. A document lies in one batch, so documents of different rows are different."""
+    (lang, term, source, document) and scans the runs: a row says in how many of the documents of that source that the task has seen a term stands (df), how often
+    (n), and names the first of these documents. Runs of up to HELD_RUNS are held and added up. A document lies in one batch, so documents of different rows are different."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for part in runs_of(batches):
+            held.append(part)
+            size += part.num_rows
+            if size > HELD_RUNS:
+                table = _added_up(held)
+                held, size = table.to_batches(), table.num_rows
+                if size > HELD_RUNS // 2:
+                    yield from table.to_batches(max_chunksize=50_000)
+                    held, size = [], 0
+        if held:
+            yield from _added_up(held).to_batches(max_chunksize=50_000)
+
+    def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, sources = (batch.column(c).dictionary_encode() for c in ("lang", "source"))
             numbers = batch.column("document").to_numpy(zero_copy_only=False)
