@@ -21,7 +21,7 @@ TERM[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 #: What probabilities are counted in, and what is added to each count.
 SCALE, ADDED = 1_000_000_000, 2
 #: Runs that a task holds to add up those of its batches before they are exchanged.
-HELD_RUNS = 1 << 20
+HELD_RUNS = 1 << 18
 
 
 def _changes(*columns: pa.Array) -> np.ndarray:
