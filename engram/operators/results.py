@@ -9,8 +9,6 @@ from engram.functions.text import truncate_utf8
 from engram.operators.graph import first_edge, resolve_replacements
 from engram.operators.lookups import edges_of
 
-#: A vector index without vectors: what a store of keywords alone finds.
-NO_HITS = "agent_id string, q string, id string, kind string, score double, rank int"
 
 
 def entry_results(points: DataFrame, pages: DataFrame, claims: DataFrame, max_body: int = 0) -> DataFrame:
@@ -114,3 +112,13 @@ def push_state(pushes: DataFrame) -> DataFrame:
 def read_state(states: DataFrame) -> DataFrame:
     """The rows of push_state's objects: agent_id, session_id, fingerprint; anything that is no such object gives none."""
     return states.select("agent_id", F.explode(F.from_json("state", "map<string,string>")).alias("session_id", "fingerprint"))
+
+
+#: Status of an answer by what went wrong; anything else is the server's fault.
+STATUS = {"bad": 400, "forbidden": 403, "missing": 404, "busy": 429}
+
+
+def error_body(what: Column, reason: Column) -> list[Column]:
+    """status and body ({"error": reason}) of an answer that is an error."""
+    status = F.coalesce(*[F.when(what == k, F.lit(v)) for k, v in STATUS.items()], F.lit(500))
+    return [status.alias("status"), F.to_json(F.struct(F.coalesce(reason, F.lit("")).alias("error"))).alias("body")]

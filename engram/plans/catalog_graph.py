@@ -305,7 +305,7 @@ def sequel_replacement(fx: Fixtures) -> DataFrame:
     p = d.select(F.lit("a").alias("agent_id"), i.cast("string").alias("id"), F.when(i % 7 < 4, "archived").otherwise("active").alias("status"))
     return G.resolve_replacements(p, e, p).select("id", "replacement", "hops")
 
-@query("""with recursive st as (select doc_id as k, doc_id % 7 < 4 as archived, doc_id % 7 != 6 and doc_id + 1 <= (select max(doc_id) from documents) as nxt from documents where doc_id < 1000000000),
+@query("""with recursive st as (select doc_id as k, doc_id % 7 < 4 as archived, doc_id % 7 != 6 and doc_id + 1 <= (select max(doc_id) from documents) as nxt from documents),
     r(k, pos, hops) as (select k, k + 1, 1 from st where nxt union all select r.k, r.pos + 1, hops + 1 from r join st on st.k = r.pos where st.archived and st.nxt)
     select cast(k as varchar) as id, cast(k as varchar) as new_id, 0 as hops from st where not archived union all select cast(r.k as varchar), cast(pos as varchar), hops from r join st s on s.k = r.pos join st o on o.k = r.k where not s.archived and o.archived""")
 def substituted_hits(fx: Fixtures) -> DataFrame:
@@ -542,13 +542,13 @@ def identity_mismatch(fx: Fixtures) -> DataFrame:
     touched = fx.pages().select(F.lit("a").alias("agent_id"), "id", "page_type")
     return L.identity_mismatches(p, e, touched).select("id", "page_id", "page_type")
 
-@query("""with l as (select cast(doc_id as varchar) as l, cast(doc_id + 1 as varchar) as r, doc_id % 3 as k from documents where doc_id % 6 < 2)
+@query("""with l as (select cast(doc_id as varchar) as l, cast(doc_id + 1 as varchar) as r, doc_id % 3 as k from documents)
     select l as left_id, r as right_id, substr(sha256('a|' || least(l, r) || '|' || greatest(l, r)), 1, 16) as id from l where k != 1 and cast(r as bigint) <= (select max(doc_id) from documents)""")
 def contradiction_ids(fx: Fixtures) -> DataFrame:
     i = F.col("doc_id")
     d = fx.table("documents")
     hist = d.select(F.lit("a").alias("agent_id"), F.lit(0).alias("component"), i.cast("string").alias("hist"))
-    sides = d.filter("doc_id % 6 < 2").select(
+    sides = d.select(
         F.lit("a").alias("agent_id"),
         F.lit(0).alias("component"),
         i.cast("string").alias("left"),
@@ -559,12 +559,12 @@ def contradiction_ids(fx: Fixtures) -> DataFrame:
     return P.resolve_contradictions(sides, none, hist, now()).select("left_id", "right_id", "id")
 
 @query(
-    "select 'page-' || page_id as id, case when page_id % 10 = 0 then 'superseded' else 'active' end as status, case when page_id % 10 = 1 then 'see [[page-' || page_id || '-new]]' else 'see [[page-' || (page_id - 1) || ']]' end as body_md from pages where page_id > 0",
+    "select 'page-' || page_id as id, case when page_id % 10 = 0 then 'superseded' else 'active' end as status, case when page_id % 10 = 1 then 'see [[page-' || page_id || '-new]]' else 'see [[page-' || (page_id - 1) || ']]' end as body_md from pages",
 )
 def superseded_pages(fx: Fixtures) -> DataFrame:
     i = F.col("page_id")
     name = lambda c: F.concat(F.lit("page-"), c.cast("string"))
-    p = fx.table("pages").filter("page_id > 0").select(
+    p = fx.table("pages").select(
         F.lit("a").alias("agent_id"),
         name(i).alias("id"),
         F.concat(F.lit("see [["), name(i - 1), F.lit("]]")).alias("body_md"),

@@ -59,16 +59,15 @@ def similar_pairs_ge(fx: Fixtures) -> DataFrame:
 
 
 @query(
-    with_tables("vecs") + " select id, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) as norm, round(list_cosine_similarity(v, (select v from vecs where ord = 0)), 6) as to_first, greatest(0.0, 1 - 0.5 * 0.5 / 2) as score from vecs",
+    with_tables("vecs") + " select a.id, round(sqrt(list_sum(list_transform(a.v, lambda x: x * x))), 6) as norm, round(list_cosine_similarity(a.v, b.v), 6) as to_next, greatest(0.0, 1 - 0.5 * 0.5 / 2) as score from vecs a left join vecs b on b.ord = a.ord + 1",
 )
 def unit_vectors(fx: Fixtures) -> DataFrame:
     v = fx.vectors()
-    first = v.filter("ord = 0").select(F.col("v").alias("w"))
-    u = v.join(F.broadcast(first), F.lit(True)).select("id", "v", "w")
-    return u.select(
+    following = v.select((F.col("ord") - 1).alias("ord"), F.col("v").alias("w"))
+    return v.join(following, "ord", "left").select(
         "id",
         F.round(V.norm(F.col("v")), 6).alias("norm"),
-        F.round(V.cosine(V.unit(F.col("v")), F.col("w")), 6).alias("to_first"),
+        F.when(F.col("w").isNotNull(), F.round(V.cosine(V.unit(F.col("v")), F.col("w")), 6)).alias("to_next"),
         V.distance_score(F.lit(0.5)).alias("score"),
     )
 

@@ -13,12 +13,10 @@ from engram.functions import vectors as V
 from engram.operators import results as R
 from engram.operators import vectors as K
 from engram.operators import view as W
-from engram.plans import consolidate as P
 from engram.plans.fixtures import Fixtures, with_tables
 from engram.plans.registry import query
 from engram.schemas import conform
 from engram.sources.scratch import scratch, scratch_path
-from engram.sources.store import add_edge_pairs
 
 
 def _now():
@@ -30,7 +28,7 @@ def _now():
       round(case when k = 0 then 0.9::double else i0 end, 6) as importance, round(c0, 6) as confidence, r0 as reliability_status, f0 as freshness_level, s0 as subjective, case when k = 0 then 7 else 1 end as seen_count from c where k < 2
     union all select 'new-' || id, 'create', 'active', 'n' || id, 0.4, 0.4, 'unknown', 'unknown', false, 1 from c where k = 2""")
 def persist_update(fx: Fixtures) -> DataFrame:
-    """Updates and archivings start from the stored points; created ones are unknown in reliability and freshness."""
+    """What Engine.persist stores: updates and archivings start from the stored points; created ones are unknown in reliability and freshness."""
     p = fx.points()
     k, i = F.col("ord") % 3, F.col("id")
     change = p.select(
@@ -38,8 +36,9 @@ def persist_update(fx: Fixtures) -> DataFrame:
         F.concat(F.when(k == 2, "n").otherwise("u"), i).alias("name"), F.lit("s").alias("summary"), F.when(k == 2, 0.4).otherwise(0.9).alias("importance"), F.array(F.lit("k")).alias("keywords"),
         F.when(k == 2, 1).otherwise(7).alias("seen_count"), "event_time",
     )
-    out = P.changed_points(change, conform(p, "interest_points"), _now())
-    return out.select(
+    e = _stored(fx)
+    out = e.persist(change, _now())
+    return e.store.read("interest_points").join(out.select("agent_id", "id", "action"), ["agent_id", "id"]).select(
         "id",
         "action",
         "status",
@@ -53,33 +52,6 @@ def persist_update(fx: Fixtures) -> DataFrame:
     )
 
 
-@query(with_tables("sims") + """, r as (select a as s, b as t, 'related' as kind, sim as w from sims where aa = ba and sim >= 0.4), c as (select cast(doc_id as varchar) as l, cast(doc_id + 1 as varchar) as r from documents where doc_id % 6 = 0 and doc_id + 1 <= (select max(doc_id) from documents))
-    select s as source_id, t as target_id, kind, round(w, 6) as weight from r union all select l, r, 'contradicts', 1 from c union all select r, l, 'contradicts', 1 from c""")
-def persist_edges(fx: Fixtures) -> DataFrame:
-    """The edges that persisting makes: contradictions in both directions, and related ones among an agent's survivors."""
-    i = F.col("doc_id")
-    d = fx.table("documents")
-    side = d.filter("doc_id % 6 = 0").select(
-        F.lit("a").alias("agent_id"),
-        F.lit(0).alias("component"),
-        i.cast("string").alias("left"),
-        (i + 1).cast("string").alias("right"),
-        F.lit("").alias("description"),
-    )
-    none = fx.spark.createDataFrame([], "agent_id string, component int, topic string")
-    found = P.resolve_contradictions(side, none, d.select(F.lit("a").alias("agent_id"), F.lit(0).alias("component"), i.cast("string").alias("hist")), _now())
-    against = found.select(
-        "agent_id",
-        F.col("left_id").alias("source_id"),
-        F.col("right_id").alias("target_id"),
-        F.lit("contradicts").alias("kind"),
-        F.lit(1.0).alias("weight"),
-        F.lit(0).alias("seq"),
-    )
-    near = P.related_edges(fx.vectors().select("agent_id", "id", "ord", "v"), 0.4, _now()).drop("created_at").withColumn("seq", F.lit(1))
-    return add_edge_pairs(against.unionByName(near)).select("source_id", "target_id", "kind", F.round("weight", 6).alias("weight"))
-
-
 @query(with_tables("vecs") + """, m as (select id, ord, case when ord % 3 = 0 then v[1:32] else v end as v from vecs)
     select a.id as a, b.id as b, round(case when len(a.v) = len(b.v) then list_cosine_similarity(a.v, b.v) end, 6) as sim from m a, m b where a.ord < b.ord and case when len(a.v) = len(b.v) then list_cosine_similarity(a.v, b.v) >= 0.45 else false end""")
 def similar_pairs_mixed(fx: Fixtures) -> DataFrame:
@@ -186,12 +158,6 @@ def job_namespace(fx: Fixtures) -> DataFrame:
     return R.own_jobs(asked, jobs).select("id", "agent_id")
 
 
-@query(with_tables("vecs") + " select 'a' as agent_id, id as q, id, kind, 0.0::double as score, 0 as rank from vecs where false")
-def keyword_index_vectors(fx: Fixtures) -> DataFrame:
-    """An index of keywords alone holds no vectors: it gets and finds none."""
-    return fx.spark.createDataFrame([], R.NO_HITS)
-
-
 @query("""select event_id, 'u' || user_id || chr(0) || event_type || chr(0) || 'topk=8;wiki=' || case when event_id % 2 = 0 then 'true' else 'false' end || ';minscore=0.3000;' || case when event_id % 3 = 0 then 'after=' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || ';' else '' end || 'days=' || (event_id % 5) as recall_key,
     'm' || chr(0) || '64' || chr(0) || sha256(props) as embed_key from events""")
 def cache_keys(fx: Fixtures) -> DataFrame:

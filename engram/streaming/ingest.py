@@ -7,8 +7,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from engram.functions.coerce import rfc3339
 from engram.operators.lookups import exclude_boards
@@ -59,23 +59,49 @@ def ingest(
     return pushes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def changed_pushes(pushes: DataFrame) -> DataFrame:
-    """Pushes (agent_id, session_id, fingerprint, received_at) whose fingerprint differs from the session's last one. The state moves on with the
-    batch, so a push that was lost is taken when it comes again."""
-
-    def one(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values("received_at")
-        kept = []
-        for r in rows.itertuples():
-            if r.fingerprint != last:
-                kept.append((key[0], key[1], r.fingerprint, r.received_at))
-                last = r.fingerprint
-        state.update((last,))
+#: Sessions that a client remembers of an agent, and how long it remembers one that nothing more is pushed of.
+KEPT_SESSIONS, KEPT_MS = 10, 30 * 24 * 3600 * 1000
+CHANGED = "agent_id string, session_id string, fingerprint string, received_at timestamp"
+
+
+class PushMemory(StatefulProcessor):
+    """Per agent the fingerprints of its KEPT_SESSIONS newest sessions, each for KEPT_MS at most: so the state of an agent is bounded, and that of one that is gone ends."""
+
+    def __init__(self, sessions: int, ttl_ms: int):
+        self.sessions, self.ttl_ms = sessions, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getMapState("last", "session_id string", "fingerprint string, received_at timestamp", ttlDurationMs=self.ttl_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        known = {k[0]: (v[0], pd.Timestamp(v[1])) for k, v in self.last.iterator()}
+        kept, changed = [], set()
+        for r in pd.concat(list(rows)).sort_values(["received_at", "session_id"]).itertuples():
+            before = known.get(r.session_id)
+            if before is None or before[0] != r.fingerprint:
+                kept.append((key[0], r.session_id, r.fingerprint, r.received_at))
+            known[r.session_id] = (r.fingerprint, pd.Timestamp(r.received_at))
+            changed.add(r.session_id)
+        newest = sorted(known, key=lambda x: (known[x][1], x), reverse=True)
+        for x in newest[self.sessions :]:
+            if self.last.containsKey((x,)):
+                self.last.removeKey((x,))
+        for x in newest[: self.sessions]:
+            if x in changed:
+                self.last.updateValue((x,), (known[x][0], known[x][1].to_pydatetime()))
         yield pd.DataFrame(kept, columns=["agent_id", "session_id", "fingerprint", "received_at"])
 
-    schema = "agent_id string, session_id string, fingerprint string, received_at timestamp"
-    return pushes.groupBy("agent_id", "session_id").applyInPandasWithState(one, schema, "last string", "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def changed_pushes(pushes: DataFrame, sessions: int = KEPT_SESSIONS, ttl_ms: int = KEPT_MS) -> DataFrame:
+    """Pushes (agent_id, session_id, fingerprint, received_at) whose fingerprint differs from the session's last one that is remembered (see PushMemory). The state moves on with the
+    batch, so a push that was lost is taken when it comes again. The state lies in RocksDB, which the session's conf is set to."""
+    spark = pushes.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = pushes.select("agent_id", "session_id", "fingerprint", "received_at")
+    return rows.groupBy("agent_id").transformWithStateInPandas(PushMemory(sessions, ttl_ms), CHANGED, "Append", "ProcessingTime")
 
 
 def usage_windows(events: DataFrame, ts: str, sums: dict[str, Column], late: str = "1 day") -> DataFrame:
