@@ -27,16 +27,18 @@ class Failures(RuntimeError):
 def attempt(spark: SparkSession, work: Callable[[Callable[[], bool]], None], seconds: float, grace: float = GRACE) -> Exception | None:
     """Runs work(still) in a thread of its own, and returns what it raised. After `seconds` the Spark jobs it has started are interrupted, still() says no from then on, and a TimeoutError is
     returned as soon as the work has ended, or after `grace`."""
-    tag, raised, late = f"engram-{uuid.uuid4().hex}", [], threading.Event()
+    tag, raised, late, context = f"engram-{uuid.uuid4().hex}", [], threading.Event(), spark.sparkContext
 
     def run() -> None:
-        spark.addTag(tag)
+        context.addJobTag(tag)
+        context.setInterruptOnCancel(True)
         try:
             work(lambda: not late.is_set())
         except Exception as e:  # noqa: BLE001  whatever it is, it is this work's own
             raised.append(e)
         finally:
-            spark.removeTag(tag)
+            context.removeJobTag(tag)
+            context.setInterruptOnCancel(False)
 
     thread = InheritableThread(target=run, daemon=True)
     thread.start()
@@ -46,7 +48,7 @@ def attempt(spark: SparkSession, work: Callable[[Callable[[], bool]], None], sec
     late.set()
     until = time.monotonic() + grace
     while thread.is_alive() and time.monotonic() < until:
-        spark.interruptTag(tag)
+        context.cancelJobsWithTag(tag)
         thread.join(0.2)
     return TimeoutError(f"took over {seconds:g} s")
 
