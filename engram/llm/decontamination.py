@@ -155,16 +155,15 @@ def scan_batches(
     batches: Iterator[pa.RecordBatch],
     text_at: int,
     blocks: list[Broadcast],
-    window: int,
 ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[set[str]]]]:
     """Each batch with n_words, n_hit and the items found of its rows. With several blocks of the benchmark, batches of HELD_BYTES are
-    searched for one block after the other, so that a task never holds the searchers of more than one."""
-    engines = searchers(pickle.loads(blocks[0].value), window) if len(blocks) == 1 else None
+    searched for one block after the other, so that a task never holds the searchers of more than one; these come built, as tables."""
+    engines = pickle.loads(blocks[0].value) if len(blocks) == 1 else None
 
     def searched(held: list[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[set[str]]]]:
         scans = [[Scan(chunk) for chunk in T.chunks(batch.column(text_at))] for batch in held]
         for block in blocks:
-            own = searchers(pickle.loads(block.value), window) if engines is None else engines
+            own = pickle.loads(block.value) if engines is None else engines
             for scan in (s for part in scans for s in part):
                 scan.search(own)
         for batch, part in zip(held, scans, strict=True):
@@ -194,11 +193,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     searches for one at a time.
     """
     small_batches(docs.sparkSession)
-    blocks = _blocks(benchmark)
+    blocks = _blocks(benchmark, window)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, n, k, found in scan_batches(batches, 1, blocks, window):
+        for batch, n, k, found in scan_batches(batches, 1, blocks):
             items = [",".join(sorted(x)) for x in found]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -215,28 +214,28 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     return narrow.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, item_ids string, contaminated boolean")
 
 
-def _blocks(benchmark: DataFrame) -> list[Broadcast]:
-    """The rows, as broadcast blocks. The driver holds one block at a time."""
+def _blocks(benchmark: DataFrame, window: int) -> list[Broadcast]:
+    """The searchers of the rows, block by block, built once and broadcast. The driver holds one block at a time."""
     context, blocks = benchmark.sparkSession.sparkContext, []
     block: Block = []
     size = 0
     for r in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.col("text").cast("string").alias("t")).toLocalIterator():
         if size > BLOCK_BYTES:
-            blocks.append(context.broadcast(pickle.dumps(block)))
+            blocks.append(context.broadcast(pickle.dumps(searchers(block, window))))
             block, size = [], 0
         block.append((r.i, r.t))
         size += len(r.t or "")
-    return [*blocks, context.broadcast(pickle.dumps(block))]
+    return [*blocks, context.broadcast(pickle.dumps(searchers(block, window)))]
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, min_share: int = 20) -> DataFrame:
     """The rows of docs that find_contamination doesn't call contaminated, with all their columns. Rows with null or empty
     texts stay, repeated rows share their fate, and an empty table or benchmark drops nothing."""
     small_batches(docs.sparkSession)
-    blocks, text_at = _blocks(benchmark), docs.columns.index("text")
+    blocks, text_at = _blocks(benchmark, window), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, n, k, _ in scan_batches(batches, text_at, blocks, window):
+        for batch, n, k, _ in scan_batches(batches, text_at, blocks):
             yield batch.filter(pa.array(~((k > 0) & (min_share * k >= n))))
 
     return docs.mapInArrow(run, docs.schema)
