@@ -19,25 +19,49 @@ def first_edge(edges: DataFrame, kind: str) -> DataFrame:
     return edges.filter(F.col("kind") == kind).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+#: Steps that walks take one by one; longer ones go on by doubled jumps.
+SINGLE_STEPS = 8
+
+
 def resolve_replacements(starts: DataFrame, edges: DataFrame, points: DataFrame) -> DataFrame:
     """Follows sequel edges from each start (agent_id, id) to the first point that isn't archived: agent_id, id, replacement,
-    hops. Starts without one are left out. A walk that comes back to a point it has seen ends without a replacement.
-    All starts move one step in each round, until none is walking; a round is written, and only carries those still walking.
+    hops. Starts without one are left out, and so are walks that run in a circle.
+    All starts move one step in each round, until none is walking; a round is written, and only carries those still walking. Those that walk after SINGLE_STEPS rounds look their end up
+    in a table of jumps, which double in length each round: a chain of n costs log2(n) rounds.
     """
     write = scratch(starts.sparkSession)
     step = write(first_edge(edges, "sequel").select(F.col("agent_id").alias("ea"), F.col("source_id").alias("es"), F.col("target_id").alias("next")), "steps")
     alive = points.select(F.col("agent_id").alias("pa"), F.col("id").alias("pid"), F.col("status").alias("pstatus"))
-    walking = starts.select("agent_id", "id", F.col("id").alias("at"), F.array("id").alias("seen")).distinct()
-    done, hop = None, 0
-    while done is None or not walking.isEmpty():
-        hop += 1
-        moved = walking.join(step, (F.col("agent_id") == F.col("ea")) & (F.col("at") == F.col("es"))).filter(~F.array_contains("seen", F.col("next")))
+    walking = starts.select("agent_id", "id", F.col("id").alias("at")).distinct()
+    done = None
+    for hop in range(1, SINGLE_STEPS + 1):
+        moved = walking.join(step, (F.col("agent_id") == F.col("ea")) & (F.col("at") == F.col("es"))).filter("next != id and next != at")
         moved = moved.join(alive, (F.col("agent_id") == F.col("pa")) & (F.col("next") == F.col("pid")))
-        moved = write(moved.select("agent_id", "id", "next", "seen", "pstatus"), f"hop{hop}")
+        moved = write(moved.select("agent_id", "id", "next", "pstatus"), f"hop{hop}")
         found = moved.filter("pstatus != 'archived'").select("agent_id", "id", F.col("next").alias("replacement"), F.lit(hop).alias("hops"))
         done = found if done is None else done.unionByName(found)
-        walking = moved.filter("pstatus = 'archived'").select("agent_id", "id", F.col("next").alias("at"), F.concat("seen", F.array("next")).alias("seen"))
-    return done
+        walking = moved.filter("pstatus = 'archived'").select("agent_id", "id", F.col("next").alias("at"))
+        if walking.isEmpty():
+            return done
+    ends = _chain_ends(step.join(alive, (F.col("ea") == F.col("pa")) & (F.col("next") == F.col("pid"))), write)
+    far = walking.join(ends, (F.col("agent_id") == F.col("ea")) & (F.col("at") == F.col("es"))).filter("replacement != id")
+    return done.unionByName(far.select("agent_id", "id", "replacement", (F.lit(SINGLE_STEPS) + F.col("hops")).cast("int").alias("hops")))
+
+
+def _chain_ends(steps: DataFrame, write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """steps (ea, es, next, pstatus of next): ea, es, replacement (the first one that isn't archived on the way), hops. A jump over jumps doubles their length, and an end stays where it is; what
+    has no end after as many rounds as the number of steps has bits is a circle."""
+    jumps = write(steps.select("ea", "es", F.col("next").alias("to"), F.lit(1).cast("long").alias("hops"), (F.col("pstatus") != "archived").alias("ended")), "jumps0")
+    n = jumps.count()
+    for turn in range(1, n.bit_length() + 2):
+        open_ = jumps.filter("not ended")
+        if open_.isEmpty():
+            break
+        second = jumps.select(F.col("ea").alias("_a"), F.col("es").alias("_s"), F.col("to").alias("_to"), F.col("hops").alias("_hops"), F.col("ended").alias("_ended"))
+        longer = open_.join(second, (F.col("ea") == F.col("_a")) & (F.col("to") == F.col("_s")))
+        longer = longer.select("ea", "es", F.col("_to").alias("to"), (F.col("hops") + F.col("_hops")).alias("hops"), F.col("_ended").alias("ended"))
+        jumps = write(jumps.filter("ended").unionByName(longer), f"jumps{turn}")
+    return jumps.filter("ended").select("ea", "es", F.col("to").alias("replacement"), "hops")
 
 
 def bfs_hops(seeds: DataFrame, edges: DataFrame, is_page: DataFrame, max_hops: int) -> DataFrame:
