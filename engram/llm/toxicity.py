@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from engram.llm import _text as T
 from engram.llm._spark import Workspace, maybe_broadcast, small_batches
 
-#: n-gram lengths in bytes (A-Z lower-cased), and bits of the feature index.
-LENGTHS, BITS = (4, 5, 6), 20
+#: n-gram lengths in bytes (A-Z lower-cased), and bits of the feature index. These lengths and LEAST_RATIO are the best of a cross-validation over the four folds that labels are learned from.
+LENGTHS, BITS = (4, 6), 20
 #: Labelled rows of each class that the weights are fitted on, at most; the ratios count all labelled rows.
 FIT_ROWS = 3000
 #: Documents that a feature has to be in, and the least absolute log-count ratio, for it to get a weight.
-LEAST_DOCS, LEAST_RATIO = 5, 2.0
+LEAST_DOCS, LEAST_RATIO = 5, 1.75
 
 
 def again(index: np.ndarray) -> np.ndarray:
