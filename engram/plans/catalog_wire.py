@@ -36,60 +36,59 @@ def _sql(roles: str, role: str = "role") -> str:
     from turns where role in ({roles}) and trim(content, ' ' || chr(9) || chr(10) || chr(13)) != ''"""
 
 
-ROLE, SAID = F.col("role"), F.col("content")
 TALK = "'user', 'assistant'"
 
 
 def _text_part(kind: str = "text") -> Column:
-    return F.array(F.struct(F.lit(kind).alias("type"), SAID.alias("text")))
+    return F.array(F.struct(F.lit(kind).alias("type"), F.col("content").alias("text")))
 
 
 @query(_sql(TALK))
 def message_files(fx: Fixtures) -> DataFrame:
     """Lines with a message, whose content is a string or a list of parts."""
-    plain = F.to_json(F.struct(ROLE.alias("type"), F.struct(ROLE.alias("role"), SAID.alias("content")).alias("message")))
-    parts = F.to_json(F.struct(ROLE.alias("type"), F.struct(ROLE.alias("role"), _text_part().alias("content")).alias("message")))
+    plain = F.to_json(F.struct(F.col("role").alias("type"), F.struct(F.col("role").alias("role"), F.col("content").alias("content")).alias("message")))
+    parts = F.to_json(F.struct(F.col("role").alias("type"), F.struct(F.col("role").alias("role"), _text_part().alias("content")).alias("message")))
     return _turns(fx, F.when(F.col("idx") % 2 == 0, plain).otherwise(parts), T.parse_message_lines)
 
 
 @query(_sql(TALK))
 def rollout_files(fx: Fixtures) -> DataFrame:
-    line = lambda kind: F.to_json(F.struct(F.lit("response_item").alias("type"), F.struct(F.lit("message").alias("type"), ROLE.alias("role"), _text_part(kind).alias("content")).alias("payload")))
-    return _turns(fx, F.when(ROLE == "assistant", line("output_text")).otherwise(line("input_text")), T.parse_rollout_lines)
+    line = lambda kind: F.to_json(F.struct(F.lit("response_item").alias("type"), F.struct(F.lit("message").alias("type"), F.col("role").alias("role"), _text_part(kind).alias("content")).alias("payload")))
+    return _turns(fx, F.when(F.col("role") == "assistant", line("output_text")).otherwise(line("input_text")), T.parse_rollout_lines)
 
 
 @query(_sql(TALK))
 def plain_files(fx: Fixtures) -> DataFrame:
-    return _turns(fx, F.to_json(F.struct(ROLE.alias("role"), SAID.alias("content"))), T.parse_plain_lines)
+    return _turns(fx, F.to_json(F.struct(F.col("role").alias("role"), F.col("content").alias("content"))), T.parse_plain_lines)
 
 
 @query(_sql(TALK))
 def part_files(fx: Fixtures) -> DataFrame:
-    return _turns(fx, F.to_json(F.struct(F.struct(ROLE.alias("role")).alias("info"), _text_part().alias("parts"))), T.parse_part_messages)
+    return _turns(fx, F.to_json(F.struct(F.struct(F.col("role").alias("role")).alias("info"), _text_part().alias("parts"))), T.parse_part_messages)
 
 
 @query(_sql("'user', 'assistant', 'system'", "case role when 'system' then 'tool_result' else role end").replace("trim(content,", "trim(case role when 'system' then 'sys: ' || content else content end,", 1))
 def agent_files(fx: Fixtures) -> DataFrame:
     """Messages in a wrapper or without; what the system says stands for the result of a tool."""
-    role = F.when(ROLE == "system", "toolResult").otherwise(ROLE)
-    body = F.struct(role.alias("role"), SAID.alias("content"), F.when(ROLE == "system", "sys").alias("toolName"))
+    role = F.when(F.col("role") == "system", "toolResult").otherwise(F.col("role"))
+    body = F.struct(role.alias("role"), F.col("content").alias("content"), F.when(F.col("role") == "system", "sys").alias("toolName"))
     wrapped = F.to_json(F.struct(F.lit("message").alias("type"), body.alias("message")))
     return _turns(fx, F.when(F.col("idx") % 2 == 0, wrapped).otherwise(F.to_json(body)), T.parse_agent_messages)
 
 
 @query(_sql("'user', 'assistant', 'system'", "case role when 'system' then 'tool' else role end"))
 def api_files(fx: Fixtures) -> DataFrame:
-    role = F.when(ROLE == "system", "tool").otherwise(ROLE)
-    return _turns(fx, F.to_json(F.struct(role.alias("role"), SAID.alias("content"))), T.parse_api_messages)
+    role = F.when(F.col("role") == "system", "tool").otherwise(F.col("role"))
+    return _turns(fx, F.to_json(F.struct(role.alias("role"), F.col("content").alias("content"))), T.parse_api_messages)
 
 
 @query(_sql("'user', 'assistant', 'system'", "case role when 'system' then 'tool_result' else role end"))
 def block_files(fx: Fixtures) -> DataFrame:
     """Blocks, and blocks inside a tool's result; snapshots of the plugin itself are left out."""
     inner = F.array(F.struct(F.lit("tool-result").alias("type"), _text_part().alias("content")))
-    own = F.to_json(F.struct(ROLE.alias("role"), _text_part().alias("content")))
+    own = F.to_json(F.struct(F.col("role").alias("role"), _text_part().alias("content")))
     tool = F.to_json(F.struct(F.lit("user").alias("role"), inner.alias("content")))
-    return _turns(fx, F.when(ROLE == "system", tool).otherwise(own), lambda m, s: T.parse_block_messages(m, s, "own"))
+    return _turns(fx, F.when(F.col("role") == "system", tool).otherwise(own), lambda m, s: T.parse_block_messages(m, s, "own"))
 
 
 @query(with_tables("turns") + " select session_id, count(*) as n, max(idx) as last from turns group by 1")
