@@ -64,7 +64,7 @@ def retain_newest(logs: DataFrame, default_cap: int, caps: DataFrame | None = No
     time, the counts say in which second of an agent the cap falls, newer rows stay and older ones go, and only the rows of one second are ever ranked together."""
     if caps is None and default_cap <= 0:
         return logs
-    time = F.coalesce(F.unix_micros("created_at"), F.lit(-(2**62)))
+    time = F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(-(2**62)))
     keyed = logs.withColumns({"_wide": F.shiftright(time, WIDE), "_narrow": F.shiftright(time, NARROW), "_time": time})
 
     def cut(rows: DataFrame, limits: DataFrame | None, by: str) -> DataFrame:
