@@ -432,8 +432,9 @@ class Engine:
         changes = write(Z.changes_of(verdicts, stored, now), "all_changes")
         sides = P.resolve_contradictions(verdicts["contradictions"], verdicts["members"].select("agent_id", "component", "topic"), verdicts["history"], now)
         details = points.select(
-            "agent_id", "id", "subjective", F.col("start").alias("turn_range_start"), F.col("end").alias("turn_range_end"), F.col("worthy").alias("wiki_worthy"), F.array("session_id").alias("source_session_ids")
-        )
+            "agent_id", "id", "subjective", F.col("start").alias("turn_range_start"), F.col("end").alias("turn_range_end"), F.col("worthy").alias("wiki_worthy"),
+            F.array("session_id").alias("source_session_ids"),
+        )
         texts = changes.filter("action != 'archive'").select("agent_id", "id", candidate_text("name", "summary").alias("text"))
         vectors = write(self._embed_or_fail(texts).select("agent_id", "id", "v").dropDuplicates(["agent_id", "id"]), "new_vectors")
         rows = self._persist(tx, changes, now, write(details, "details"), write(sides, "sides"), vectors)

@@ -21,7 +21,8 @@ def connected_components(edges: DataFrame, write: Callable[[DataFrame, str], Dat
 
     Alternates two star rewritings: every node hands its larger neighbours, then its smaller ones, to its
     smallest neighbour, until each component is a star around its smallest node. The number of rounds grows
-    with the logarithm of a component's diameter; ROUNDS without an end raise. As soon as at most LOCAL_LINKS links are left, which are counted, one task ends it, with the same result. Minima are pre-aggregated before they are
+    with the logarithm of a component's diameter; ROUNDS without an end raise. As soon as at most LOCAL_LINKS links are left, which are counted, one task ends it, with the same result.
+    Minima are pre-aggregated before they are
     shuffled, and written before they are joined back, so that Spark can split a node of very many links in that join.
     `write(df, name)` writes a table and reads it again; it cuts the lineage of each round. Self-links and repeated links don't matter; nodes without
     a link to another node are not returned; null ends are ignored.

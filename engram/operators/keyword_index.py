@@ -43,7 +43,8 @@ def candidates(queries: DataFrame, index: DataFrame) -> DataFrame:
 
 def search(at: Snapshot, queries: DataFrame, k: int) -> DataFrame:
     """What R.full_text_fallback finds for queries (q, agent_id, text) in the stored points and pages, of which only the candidates of the index are read through LIKE; queries of less than
-    three characters between wildcards have no trigrams and go through all entries of their agents, as all queries do in a store without postings. Only the parts of the store that the agents lie in are read."""
+    three characters between wildcards have no trigrams and go through all entries of their agents, as all queries do in a store without postings. Only
+    the parts of the store that the agents lie in are read."""
     write = scratch(queries.sparkSession)
     asked = write(queries.select("q", "agent_id", "text"), "asked")
     parts = at.store.parts_of(asked)
