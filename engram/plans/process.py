@@ -63,7 +63,7 @@ def merge_candidates(candidates: DataFrame, ask: Ask, embed: Ask, config: Config
 def relate(points: DataFrame, vectors: DataFrame, config: Config, write: Write, k: int = 20) -> dict[str, DataFrame]:
     """points as components within their agent, and what of the agent's history they are like: members (pid, component, size), links (agent_id, pid, hist, sim)."""
     mine = points.select("agent_id", F.col("pid").alias("id"), "ord", "v")
-    pairs = K.similar_pairs(mine, config.fork.similarity_merge, strict=True, scope=["agent_id"])
+    pairs = K.similar_links(mine, config.fork.similarity_merge, strict=True, scope=["agent_id"])
     members = write(G.group_points(mine, pairs, write).withColumnRenamed("id", "pid"), "members")
     history = vectors.select("agent_id", "id", F.xxhash64("id").alias("ord"), "kind", F.col("embedding").alias("v"))
     near = K.top_k(mine, history, k, scope=["agent_id"]).filter((F.col("kind") == "interest_point") & (F.col("score") > config.fork.hist_sim))
@@ -133,7 +133,7 @@ def draft_pages(survivors: DataFrame, sessions: DataFrame, related: DataFrame, a
     points. related: what S.related_entries finds. A unit whose answer fails gives no page."""
     good = survivors.filter(F.coalesce("wiki_worthy", F.lit(True))).withColumn("pid", F.concat_ws("/", "agent_id", "id"))
     vectors = good.filter("v is not null").select("agent_id", F.col("pid").alias("id"), F.xxhash64("pid").alias("ord"), "v")
-    units = G.group_points(good.select(F.col("pid").alias("id")), K.similar_pairs(vectors, config.wiki.group_sim, scope=["agent_id"]), write)
+    units = G.group_points(good.select(F.col("pid").alias("id")), K.similar_links(vectors, config.wiki.group_sim, scope=["agent_id"]), write)
     rows = good.join(units.select(F.col("id").alias("pid"), "component"), "pid")
     unit = rows.groupBy("agent_id", "component").agg(
         F.sort_array(F.collect_list("id")).alias("points"), F.sort_array(F.collect_list(F.concat_ws(": ", "name", "summary"))).alias("lines"),

@@ -95,7 +95,7 @@ def merge_similar(candidates: DataFrame, vectors: DataFrame, ask: Callable[[Data
     """candidates (agent_id, ord, topic, reason, confidence, tags) with vectors (agent_id, ord, v): components of similar ones (over `least`) with more
     than one member get a merge verdict; all others stay. Returns agent_id, cluster, topic, reason, confidence, tags, origin."""
     named = vectors.select("agent_id", F.concat_ws("/", "agent_id", F.col("ord").cast("string")).alias("id"), "ord", "v")
-    pairs = K.similar_pairs(named, least, strict=True, scope=["agent_id"])
+    pairs = K.similar_links(named, least, strict=True, scope=["agent_id"])
     groups = write(G.group_points(named, pairs, write), "merge_groups")
     keyed = candidates.withColumn("id", F.concat_ws("/", "agent_id", F.col("ord").cast("string"))).join(groups, "id").withColumnRenamed("component", "cluster")
     many = keyed.filter("size > 1").groupBy("agent_id", "cluster").agg(
@@ -129,7 +129,7 @@ def merge_similar(candidates: DataFrame, vectors: DataFrame, ask: Callable[[Data
 def cluster_with_history(current: DataFrame, history: DataFrame, merge: float, least: float, write: Write) -> dict[str, DataFrame]:
     """current (id, ord, v) and history (id, ord, kind, v) as components: members (id, component), links to history (point, hist, sim), queues of components
     that share history, and isolated points (alone, without history)."""
-    groups = write(G.group_points(current, K.similar_pairs(current, merge, strict=True), write), "session_groups")
+    groups = write(G.group_points(current, K.similar_links(current, merge, strict=True), write), "session_groups")
     links = write(K.history_links(current, history, least), "history_links")
     members = groups.select("id", "component")
     queues = G.conflict_queues(members, links, write)
@@ -152,7 +152,7 @@ def compile_units(points: DataFrame, least: float, write: Write) -> DataFrame:
     """Worthy points (id, ord, v, wiki_worthy, start, end, event_time) as units that become one page each: components at `least` or more, and each
     isolated point: unit, ids, start, end, event_time."""
     good = points.filter(worthy("wiki_worthy"))
-    groups = G.group_points(good, K.similar_pairs(good.filter("v is not null").select("id", "ord", "v"), least), write)
+    groups = G.group_points(good, K.similar_links(good.filter("v is not null").select("id", "ord", "v"), least), write)
     rows = good.join(groups, "id")
     return D.dialog_span(rows, ["component"]).join(
         rows.groupBy("component").agg(F.sort_array(F.collect_list("id")).alias("ids")),
