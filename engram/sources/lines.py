@@ -15,8 +15,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.types import StructType
 
 LINES = "path string, line_no long, value string"
-#: Bytes of a file that one task reads, and rows of a batch.
-RANGE_BYTES, BATCH_ROWS = 32 << 20, 2000
+#: Bytes of a range, rows of a batch, bytes that one task reads in one or many ranges, and bytes that opening a file counts as.
+RANGE_BYTES, BATCH_ROWS, TASK_BYTES, OPEN_BYTES = 32 << 20, 2000, 32 << 20, 64 << 10
 
 
 def _files(path: str):
@@ -28,12 +28,19 @@ def _files(path: str):
 
 
 @dataclass
-class FileRange(InputPartition):
+class FileRange:
     path: str
     start: int
     end: int
 
 
+@dataclass
+class Stretches(InputPartition):
+    """Stretches of files that one task reads, range by range."""
+
+    parts: list[FileRange]
+
+
 class LineReader(DataSourceReader):
     def __init__(self, path: str, suffix: str, size: int):
         self.path, self.suffix, self.size = path, suffix, size
@@ -45,33 +52,49 @@ class LineReader(DataSourceReader):
         info = fs.get_file_info(root)
         found = [info] if info.type == FileType.File else fs.get_file_info(FileSelector(root, recursive=True))
         files = [f for f in found if f.type == FileType.File and f.path.endswith(self.suffix) and not re.match(r"[_.]", f.base_name)]
-        ranges = [FileRange(f.path, a, min(a + self.size, f.size)) for f in sorted(files, key=lambda f: f.path) for a in range(0, f.size, self.size)]
-        return ranges or [FileRange("", 0, 0)]
-
-    def read(self, partition: FileRange) -> Iterator[pa.RecordBatch]:
-        """The lines that begin in the range: a range that doesn't begin a file starts after the line it falls into."""
-        if not partition.path:
-            return
+        long = max(1, TASK_BYTES // self.size) * self.size
+        tasks: list[Stretches] = []
+        room = 0
+        for f in sorted(files, key=lambda f: f.path):
+            for a in range(0, f.size, long):
+                part = FileRange(f.path, a, min(a + long, f.size))
+                cost = part.end - a + OPEN_BYTES
+                if not tasks or cost > room:
+                    tasks.append(Stretches([]))
+                    room = TASK_BYTES + OPEN_BYTES
+                tasks[-1].parts.append(part)
+                room -= cost
+        return tasks or [Stretches([])]
+
+    def read(self, partition: Stretches) -> Iterator[pa.RecordBatch]:
+        """The lines of the ranges that the task's stretches are made of."""
         fs, _ = _files(self.path)
         rows: list[tuple[str, int, str]] = []
-        with fs.open_input_file(partition.path) as f:
-            at = partition.start
-            if at:
-                f.seek(at - 1)
-                at += len(_line(f)) - 1
-            else:
-                f.seek(0)
-            while at < partition.end and (line := _line(f)):
-                rows.append((partition.path, at, line.rstrip(b"\n").removesuffix(b"\r").decode("utf-8", "replace")))
-                at += len(line)
-                if len(rows) == BATCH_ROWS:
-                    yield _batch(rows)
-                    rows = []
+        for part in partition.parts:
+            with fs.open_input_file(part.path) as f:
+                for start in range(part.start, part.end, self.size):
+                    for at, line in _lines(f, start, min(start + self.size, part.end)):
+                        rows.append((part.path, at, line.rstrip(b"\n").removesuffix(b"\r").decode("utf-8", "replace")))
+                        if len(rows) == BATCH_ROWS:
+                            yield _batch(rows)
+                            rows = []
         if rows:
             yield _batch(rows)
 
 
-def _line(f: pa.NativeFile, step: int = 1 << 16) -> bytes:
+def _lines(f: pa.NativeFile, at: int, end: int) -> Iterator[tuple[int, bytes]]:
+    """The lines that begin in a range, with their places: a range that doesn't begin a file starts after the line it falls into."""
+    if at:
+        f.seek(at - 1)
+        at += len(_line(f)) - 1
+    else:
+        f.seek(0)
+    while at < end and (line := _line(f)):
+        yield at, line
+        at += len(line)
+
+
+def _line(f: pa.NativeFile, step: int = 1 << 12) -> bytes:
     """The rest of the line at the file's place, which moves behind it."""
     start, parts = f.tell(), []
     while part := f.read(step):
