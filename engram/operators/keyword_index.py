@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.plans import recall as R
-from engram.sources.postings import COMPLETE, trigrams
+from engram.sources.postings import COMPLETE, lists, trigrams
 from engram.sources.scratch import scratch
 from engram.sources.store import Snapshot
 
@@ -28,16 +28,17 @@ def candidates(queries: DataFrame, index: DataFrame) -> DataFrame:
     grams = write(query_grams(queries), "grams")
     named = [r[0] for r in grams.select("gram").distinct().limit(NAMED + 1).collect()]
     if not named:
-        return queries.sparkSession.createDataFrame([], index.select("agent_id", "kind", "id").schema).join(queries.select("q", "agent_id"), "agent_id").select("q", "agent_id", "kind", "id")
+        return queries.sparkSession.createDataFrame([], "agent_id string, kind string, id string").join(queries.select("q", "agent_id"), "agent_id").select("q", "agent_id", "kind", "id")
     if len(named) <= NAMED:
         index = index.filter(F.col("gram").isin(named))
+    index = lists(index)
     asked = grams.select("agent_id", "gram").distinct()
-    counts = index.join(asked, ["agent_id", "gram"], "left_semi").groupBy("agent_id", "gram").agg(F.count("*").alias("n"))
+    counts = index.join(asked, ["agent_id", "gram"], "left_semi").groupBy("agent_id", "gram").agg(F.sum(F.size("ids")).alias("n"))
     ranked = grams.join(counts, ["agent_id", "gram"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rarest = F.row_number().over(Window.partitionBy("q", "agent_id").orderBy("n", "gram"))
     chosen = write(ranked.withColumn("_r", rarest).filter(F.col("_r") <= RAREST).select("q", "agent_id", "gram"), "chosen")
     needed = chosen.groupBy("q", "agent_id").agg(F.count("*").alias("needed"))
-    met = index.join(chosen, ["agent_id", "gram"]).groupBy("q", "agent_id", "kind", "id").agg(F.count("*").alias("met"))
+    met = index.join(chosen, ["agent_id", "gram"]).select("q", "agent_id", "kind", F.explode("ids").alias("id")).groupBy("q", "agent_id", "kind", "id").agg(F.count("*").alias("met"))
     return met.join(needed, ["q", "agent_id"]).filter("met = needed").select("q", "agent_id", "kind", "id")
 
 

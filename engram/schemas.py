@@ -47,8 +47,8 @@ TABLES: dict[str, tuple[str, list[str]]] = {
     "vectors": ("id string, agent_id string, kind string, embedding array<float>, cell string", ["agent_id", "kind", "id"]),
     "vector_cells": ("agent_id string, cell string, centre array<double>, radius double, n long", ["agent_id", "cell"]),
     "embedded": ("key string, v array<float>", ["key"]),
-    "point_postings": ("agent_id string, gram string, kind string, id string", ["agent_id", "gram", "kind", "id"]),
-    "page_postings": ("agent_id string, gram string, kind string, id string", ["agent_id", "gram", "kind", "id"]),
+    "point_postings": ("agent_id string, gram string, kind string, id string, ids array<string>", ["agent_id", "gram", "kind", "id"]),
+    "page_postings": ("agent_id string, gram string, kind string, id string, ids array<string>", ["agent_id", "gram", "kind", "id"]),
     "jobs": (
         "id string, agent_id string, session_id string, status string, error string, created_at timestamp, done_at timestamp",
         ["agent_id", "id"],

@@ -186,10 +186,10 @@ class Transaction(Snapshot):
         """The parts of a table that may hold something of the agents of rows."""
         return self.read(table, self.store.parts_of(rows))
 
-    def _save(self, table: str, df: DataFrame) -> dict[str, list[str]]:
+    def _save(self, table: str, df: DataFrame, dealt: bool = False) -> dict[str, list[str]]:
         folder = f"v-{uuid.uuid4().hex[:12]}"
         self.folders.append(f"{table}/{folder}")
-        return self.store._save(table, folder, df)
+        return self.store._save(table, folder, df, dealt)
 
     def append(self, table: str, rows: DataFrame) -> None:
         """Adds rows whose keys aren't in the table, or are there with the same content, without reading or writing the rest of their parts: writers that only add never begin again. A part
@@ -202,15 +202,15 @@ class Transaction(Snapshot):
             if table not in self.seen or (self.seen[table] is not None and part not in self.seen[table]):
                 self.added.setdefault(table, {}).setdefault(part, []).extend(folders)
 
-    def write(self, table: str, df: DataFrame, parts: set[str] | None = None) -> None:
-        """Replaces the whole table, or the parts that are named. What is derived from them is replaced, too."""
+    def write(self, table: str, df: DataFrame, parts: set[str] | None = None, dealt: bool = False) -> None:
+        """Replaces the whole table, or the parts that are named. What is derived from them is replaced, too. dealt: rows of a part lie together as they are."""
         self._touch(table, parts)
-        new = self._save(table, df)
+        new = self._save(table, df, dealt)
         kept = {} if parts is None else {p: f for p, f in self.manifest.get(table, {}).items() if p not in parts}
         self.manifest[table] = kept | new
         if table in INDEXED:
             name, derive = INDEXED[table]
-            self.write(name, derive(self.store._load(table, new)), parts)
+            self.write(name, derive(self.store._load(table, new)), parts, dealt=True)
             self.demand(COMPLETE, 1)
 
     def update(self, table: str, change: Callable[[DataFrame], DataFrame], parts: set[str] | None = None) -> None:
@@ -329,9 +329,11 @@ class Store:
             return self.spark.createDataFrame([], schema(table))
         return conform(self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.root}/{table}/{f}" for f in folders]), table)
 
-    def _save(self, table: str, folder: str, df: DataFrame) -> dict[str, list[str]]:
+    def _save(self, table: str, folder: str, df: DataFrame, dealt: bool = False) -> dict[str, list[str]]:
+        """dealt: df is made row by row of files of this store, each of which is of one part, so that nothing has to be exchanged."""
         rows = conform(df, table)
-        rows = rows.withColumn("_part", self._part(rows)).hint("rebalance", F.col("_part")).sortWithinPartitions("_part", *SORTED.get(table, []))
+        rows = rows.withColumn("_part", self._part(rows))
+        rows = (rows if dealt else rows.hint("rebalance", F.col("_part"))).sortWithinPartitions("_part", *SORTED.get(table, []))
         rows.write.partitionBy("_part").option("maxRecordsPerFile", 5_000_000).parquet(f"{self.root}/{table}/{folder}")
         return {n.removeprefix("_part="): [f"{folder}/{n}"] for n in self._stat(f"{table}/{folder}") if n.startswith("_part=")}
 
