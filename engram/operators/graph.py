@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+import tempfile
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.functions.text import normalize_id, wikilinks
 from engram.operators.components import connected_components
+from engram.operators.vectors import similar_around
 from engram.sources.scratch import scratch
 
 
@@ -170,43 +175,123 @@ def spiral_layout(nodes: DataFrame, group: list[str], order: list[Column], spaci
     return nodes.withColumn("rank", i).withColumn("x", r * F.cos(angle)).withColumn("y", r * F.sin(angle))
 
 
+#: Nodes whose neighbours lie together, and neighbours in a row, of which a task gets many at once.
+BLOCK_NODES, PIECE = 256, 2048
+
+
 def label_communities(nodes: DataFrame, links: DataFrame, sweeps: int = 10, light: float = 0.3) -> DataFrame:
     """Communities by label propagation, agent by agent: agent_id, id, community. Labels start as the place of a node in order of id; in
     each sweep the nodes take, one after the other, the label with the most weight around them, ties to the smaller one. References weigh `light`,
-    other edges 1, parallel ones add up. The order makes it sequential, so an agent's graph is one task's work.
+    other edges 1, parallel ones add up; both kinds are counted, so that the order of the edges doesn't matter.
     """
-    marked = nodes.select("agent_id", "id", F.lit(None).cast("string").alias("to"), F.lit(0.0).alias("w"))
-    weighed = links.select(
-        "agent_id",
-        F.col("source_id").alias("id"),
-        F.col("target_id").alias("to"),
-        F.when(F.col("kind") == "references", light).otherwise(1.0).alias("w"),
-    )
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(frame.loc[frame["to"].isna(), "id"].unique())
-        place = {x: i for i, x in enumerate(ids)}
-        around: list[dict[int, float]] = [{} for _ in ids]
-        for r in frame[frame["to"].notna()].itertuples():
-            a, b = place.get(r.id), place.get(r.to)
-            if a is None or b is None or a == b:
-                continue
-            around[a][b] = around[a].get(b, 0.0) + r.w
-            around[b][a] = around[b].get(a, 0.0) + r.w
-        label = list(range(len(ids)))
-        for _ in range(sweeps):
-            moved = False
-            for i, near in enumerate(around):
-                votes: dict[int, float] = {}
-                for j, w in near.items():
-                    votes[label[j]] = votes.get(label[j], 0.0) + w
-                if votes and (best := min(votes, key=lambda c: (-votes[c], c))) != label[i]:
-                    label[i], moved = best, True
-            if not moved:
-                break
-        return pd.DataFrame({"agent_id": frame["agent_id"].iloc[0], "id": ids, "community": label})
-
-    return marked.unionByName(weighed).groupBy("agent_id").applyInPandas(one, "agent_id string, id string, community long")
+    places = _places(nodes)
+    ends = links.select("agent_id", "source_id", "target_id", F.coalesce(F.col("kind") == "references", F.lit(False)).alias("light"))
+    for end, name in (("source_id", "i"), ("target_id", "j")):
+        p = places.select(F.col("agent_id").alias("_agent"), F.col("id").alias("_id"), F.col("place").alias(name))
+        ends = ends.join(p, F.col("agent_id").eqNullSafe(F.col("_agent")) & (F.col(end) == F.col("_id"))).drop("_agent", "_id")
+    way = lambda i, j: F.struct(F.col(i).alias("i"), F.array(F.col(j).cast("int")).alias("near"))
+    around = ends.filter("i != j").select("agent_id", "light", F.explode(F.array(way("i", "j"), way("j", "i"))).alias("e")).select("agent_id", "e.i", "e.near", "light")
+    return _settled(places, around, sweeps, light)
+
+
+def similar_communities(vectors: DataFrame, least: float, sweeps: int = 10) -> DataFrame:
+    """label_communities of vectors (agent_id, id, v), of which those whose cosine reaches `least` are linked. The links are never rows: a vector's neighbours come as lists."""
+    places = _places(vectors)
+    placed = vectors.alias("v").join(places.alias("p"), F.col("v.agent_id").eqNullSafe(F.col("p.agent_id")) & (F.col("v.id") == F.col("p.id")))
+    around = similar_around(placed.select("v.agent_id", "v.id", F.col("p.place").alias("ord"), "v.v"), least, scope=["agent_id"])
+    return _settled(places, around.withColumn("light", F.lit(False)), sweeps, 0.0)
+
+
+def _places(nodes: DataFrame) -> DataFrame:
+    """Nodes (agent_id, id), once each, with their place in order of id; written, as places are joined several times."""
+    place = F.row_number().over(Window.partitionBy("agent_id").orderBy("id")) - 1
+    return scratch(nodes.sparkSession)(nodes.select("agent_id", "id").filter("id is not null").distinct().withColumn("place", place.cast("long")), "places")
+
+
+def _settled(places: DataFrame, around: DataFrame, sweeps: int, light: float) -> DataFrame:
+    """around (agent_id, i, near, light): lists of neighbours' places. Tasks bring the lists of BLOCK_NODES nodes into order. As each node of a sweep sees the labels of those before it, one task
+    an agent makes the sweeps: it keeps one label per node, and reads the neighbours, block after block, from a file of its own."""
+    kind = places.schema["agent_id"].dataType.simpleString()
+    blocks = around.withColumn("block", F.expr(f"i div {BLOCK_NODES}")).groupBy("agent_id", "block").applyInArrow(_ordered_block, f"agent_id {kind}, block long, piece long, near array<int>")
+    labels = blocks.repartition("agent_id").mapInArrow(lambda batches: _sweep(batches, sweeps, light), f"agent_id {kind}, place long, community long")
+    labels = labels.select(F.col("agent_id").alias("_agent"), F.col("place").alias("_place"), "community")
+    known = places.join(labels, F.col("agent_id").eqNullSafe(F.col("_agent")) & (F.col("place") == F.col("_place")), "left")
+    return known.select("agent_id", "id", F.coalesce("community", "place").alias("community"))
+
+
+def _ordered_block(key: tuple, table: pa.Table) -> pa.Table:
+    """The neighbours of a block's nodes by node, those of light edges last, behind how many there are of both: in rows of PIECE numbers."""
+    near = table.column("near").combine_chunks()
+    near = near.chunk(0) if isinstance(near, pa.ChunkedArray) else near
+    n = pc.list_value_length(near).to_numpy(zero_copy_only=False)
+    kinds = 2 * (table.column("i").to_numpy() - key[1].as_py() * BLOCK_NODES) + table.column("light").to_numpy().astype(np.int64)
+    keys = np.repeat(kinds, n) << 32 | pc.list_flatten(near).to_numpy().astype(np.int64)
+    keys.sort()
+    found = np.concatenate([np.bincount(keys >> 32, minlength=2 * BLOCK_NODES).astype(np.int32), keys.astype(np.int32)])
+    starts = np.arange(0, len(found), PIECE)
+    pieces = pa.ListArray.from_arrays(pa.array(np.append(starts, len(found)), pa.int32()), pa.array(found))
+    same = lambda x: pa.array([x.as_py()] * len(starts), x.type)
+    return pa.table([same(key[0]), same(key[1]), pa.array(starts // PIECE), pieces], ["agent_id", "block", "piece", "near"])
+
+
+def _sweep(batches: Iterator[pa.RecordBatch], sweeps: int, light: float) -> Iterator[pa.RecordBatch]:
+    """Labels of the nodes that have neighbours, from the pieces of _ordered_block in any order, which are put down in a file."""
+    agents: dict = {}
+    with tempfile.TemporaryFile() as file:
+        end, kinds = 0, None
+        for batch in batches:
+            kinds = batch.schema
+            near = batch.column("near")
+            sizes = 4 * pc.list_value_length(near).to_numpy(zero_copy_only=False).astype(np.int64)
+            file.write(pc.list_flatten(near).to_numpy().tobytes())
+            rows = np.stack([batch.column("block").to_numpy(), batch.column("piece").to_numpy(), end + np.cumsum(sizes) - sizes, sizes])
+            end += int(sizes.sum())
+            names = np.array(batch.column("agent_id").to_pylist(), dtype=object)
+            for agent in set(names):
+                agents.setdefault(agent, []).append(rows[:, names == agent])
+        file.flush()
+        for agent, parts in agents.items():
+            rows = np.concatenate(parts, axis=1)
+            rows = rows[:, np.lexsort((rows[1], rows[0]))]
+            new = np.flatnonzero(np.append(True, rows[0, 1:] != rows[0, :-1]))
+            spans = [(int(rows[0, a]), rows[2:, a:b].T.tolist()) for a, b in zip(new, [*new[1:], rows.shape[1]], strict=True)]
+            read = lambda span: np.frombuffer(b"".join(os.pread(file.fileno(), size, at) for at, size in span), np.int32)
+            label = np.arange((spans[-1][0] + 1) * BLOCK_NODES, dtype=np.int32)
+            for _ in range(sweeps):
+                moved = False
+                for block, span in spans:
+                    moved |= _take_labels(label, block * BLOCK_NODES, read(span), light)
+                if not moved:
+                    break
+            for block, _ in spans:
+                at = np.arange(block * BLOCK_NODES, (block + 1) * BLOCK_NODES)
+                yield pa.RecordBatch.from_arrays([pa.array([agent] * len(at), kinds.field("agent_id").type), pa.array(at), pa.array(label[at].astype(np.int64))], ["agent_id", "place", "community"])
+
+
+def _take_labels(label: np.ndarray, first: int, block: np.ndarray, light: float) -> bool:
+    """Gives the nodes of a block, in order, the label with the most weight around them; whether one has changed."""
+    n, near = block[: 2 * BLOCK_NODES].reshape(-1, 2), block[2 * BLOCK_NODES :]
+    ends, moved, start = n.sum(axis=1).cumsum().tolist(), False, 0
+    for k, (end, n_light) in enumerate(zip(ends, n[:, 1].tolist(), strict=True)):
+        if end > start:
+            votes = label[near[start:end]]
+            if n_light:
+                order = np.argsort(votes, kind="stable")
+                votes, is_light = votes[order], order >= end - start - n_light
+            else:
+                votes.sort()
+            best = int(votes[0])
+            if best != votes[-1]:
+                new = np.flatnonzero(np.append(True, votes[1:] != votes[:-1]))
+                weight = np.diff(np.append(new, len(votes)))
+                if n_light:
+                    lights = np.add.reduceat(is_light.astype(np.int64), new)
+                    weight = weight - lights + light * lights
+                best = int(votes[new[weight.argmax()]])
+            if best != label[first + k]:
+                label[first + k], moved = best, True
+        start = end
+    return moved
 
 
 def group_points(points: DataFrame, pairs: DataFrame, write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
