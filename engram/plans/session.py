@@ -162,7 +162,12 @@ def compile_units(points: DataFrame, least: float, write: Write) -> DataFrame:
 
 def reconcile_batches(seeds: DataFrame, edges: DataFrame, pages: DataFrame, config: Config) -> DataFrame:
     """Pages to look at again after seeds changed (agent_id, id): all within max_hops that aren't all archived, in batches: agent_id, id, hops, batch_no."""
-    reached = G.bfs_hops(seeds, edges, pages, config.wiki.max_hops).join(pages.select("agent_id", "id", "status"), ["agent_id", "id"])
+    return reached_batches(G.bfs_hops(seeds, edges, pages, config.wiki.max_hops), pages, config)
+
+
+def reached_batches(found: DataFrame, pages: DataFrame, config: Config) -> DataFrame:
+    """The batches of reconcile_batches, from the pages that a walk has found: agent_id, id, hops."""
+    reached = found.join(pages.select("agent_id", "id", "status"), ["agent_id", "id"])
     alive = F.max(F.col("status").isin("", "active")).over(Window.partitionBy("agent_id"))
     kept = reached.withColumn("_any", alive).filter("_any").drop("_any")
     return W.batches(kept, ["agent_id"], [F.col("hops"), F.col("id")], config.wiki.batch_size).select("agent_id", "id", "hops", "batch_no")
