@@ -147,7 +147,7 @@ def graph_links(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def node_degree(links: DataFrame) -> DataFrame:
-    ends = links.select("agent_id", F.col("source_id").alias("id")).unionByName(links.select("agent_id", F.col("target_id").alias("id")))
+    ends = links.select("agent_id", F.explode(F.array("source_id", "target_id")).alias("id"))
     return ends.groupBy("agent_id", "id").agg(F.count("*").alias("degree"))
 
 
@@ -157,11 +157,19 @@ def parallel_groups(links: DataFrame) -> DataFrame:
     w = Window.partitionBy(*pair)
     size = F.count("*").over(w)
     place = F.row_number().over(w.orderBy("kind", "source_id", "target_id")) - 1
+    return _bent(links.withColumn("group_size", size).withColumn("place", place))
+
+
+def parallel_edges(groups: DataFrame) -> DataFrame:
+    """parallel_groups where a row holds all edges between two nodes (agent_id, edges: array of kind, source_id, target_id), so that nothing is exchanged."""
+    at = groups.select("agent_id", F.size("edges").cast("long").alias("group_size"), F.posexplode(F.sort_array("edges")).alias("place", "e"))
+    return _bent(at.select("agent_id", "e.source_id", "e.target_id", "e.kind", "group_size", "place"))
+
+
+def _bent(placed: DataFrame) -> DataFrame:
+    size = F.col("group_size")
     curve = F.when(size < 2, 0.0).when(size == 2, 0.25).otherwise(0.35)
-    return links.withColumn("group_size", size).withColumn("place", place).withColumn("curvature", curve).withColumn(
-        "rotation",
-        F.when(size < 2, 0.0).otherwise(F.col("place") * F.pi() / F.col("group_size")),
-    )
+    return placed.withColumn("curvature", curve).withColumn("rotation", F.when(size < 2, 0.0).otherwise(F.col("place") * F.pi() / size))
 
 
 #: The golden angle (fixed value).
