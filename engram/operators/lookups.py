@@ -119,6 +119,11 @@ def check_edges(writes: DataFrame, pages: DataFrame, kinds: list[str], most: int
         "_dup",
         F.row_number().over(Window.partitionBy("agent_id", "source_id", "kind", "target_id").orderBy("pos")),
     ).join(known, ["agent_id", "target_id"], "left")
+    return edge_problems(rows, kinds, most)
+
+
+def edge_problems(rows: DataFrame, kinds: list[str], most: int = 8) -> DataFrame:
+    """check_edges where it is known, with each edge, how many its source has (_n), its place among equal ones (_dup), and whether its target exists (_there, null if not)."""
     problems = F.array_compact(F.array(
         F.when(F.col("_n") > most, F.lit("too many edges")),
         F.when(~F.col("kind").isin(kinds), F.lit("unknown kind")),
