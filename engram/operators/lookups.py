@@ -70,8 +70,13 @@ def edges_of(ids: DataFrame, edges: DataFrame, points: DataFrame, pages: DataFra
         "kind",
         "weight",
     )
+    return placed_edges(resolve_titles(out.unionByName(back), points, pages, ref="far"))
+
+
+def placed_edges(edges: DataFrame) -> DataFrame:
+    """Edges (agent_id, id, direction, far, kind, weight) with their place, heaviest first."""
     w = Window.partitionBy("agent_id", "id", "direction").orderBy(F.col("weight").desc(), "far", "kind")
-    return resolve_titles(out.unionByName(back), points, pages, ref="far").withColumn("place", F.row_number().over(w))
+    return edges.withColumn("place", F.row_number().over(w))
 
 
 def exclude_boards(rows: DataFrame, board_id: str, board_name: str, excluded: list[str]) -> DataFrame:
