@@ -20,10 +20,7 @@ def filter_graph(
     kinds: list[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Nodes by status ('' counts as active) and degree, and the links of some kinds between them."""
-    n = nodes.join(degree, ["agent_id", "id"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    if statuses is not None:
-        n = n.filter(F.when(F.coalesce("status", F.lit("")) == "", "active").otherwise(F.col("status")).isin(statuses))
-    n = n.filter(F.col("degree") >= least_degree)
+    n = filter_nodes(nodes, degree, statuses, least_degree)
     keep = n.select("agent_id", "id")
     seen = links if kinds is None else links.filter(F.col("kind").isin(kinds))
     seen = seen.join(
@@ -34,6 +31,14 @@ def filter_graph(
     return n, seen
 
 
+def filter_nodes(nodes: DataFrame, degree: DataFrame, statuses: list[str] | None = None, least_degree: int = 0) -> DataFrame:
+    """The nodes of filter_graph."""
+    n = nodes.join(degree, ["agent_id", "id"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    if statuses is not None:
+        n = n.filter(F.when(F.coalesce("status", F.lit("")) == "", "active").otherwise(F.col("status")).isin(statuses))
+    return n.filter(F.col("degree") >= least_degree)
+
+
 def find_title(nodes: DataFrame, text: str) -> DataFrame:
     """The first node of each agent, by id, whose title holds the text, case ignored."""
     hit = nodes.filter(F.contains(F.lower("title"), F.lit(text.lower())))
