@@ -46,13 +46,14 @@ def delete_keys(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return df.join(keys.select(*on).distinct(), on, "left_anti")
 
 
-def add_edge_pairs(edges: DataFrame) -> DataFrame:
-    """Edges to write: contradicts also in the other direction; of equal keys, the last written (highest seq) counts."""
+def add_edge_pairs(edges: DataFrame, once: bool = False) -> DataFrame:
+    """Edges to write: contradicts also in the other direction; of equal keys, the last written (highest seq) counts.
+    once: no two edges of a kind are known to have the same two ends, so that there are no equal keys to bring together."""
     back = F.struct(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))
     there = F.struct("source_id", "target_id")
     both = edges.withColumn("_e", F.explode(F.when(F.col("kind") == "contradicts", F.array(there, back)).otherwise(F.array(there))))
     both = both.withColumn("source_id", F.col("_e.source_id")).withColumn("target_id", F.col("_e.target_id")).drop("_e")
-    return latest_per_key(both, ["agent_id", "source_id", "target_id", "kind"], [F.col("seq")])
+    return both if once else latest_per_key(both, ["agent_id", "source_id", "target_id", "kind"], [F.col("seq")])
 
 
 #: Widths of the ranges of time, as powers of two of microseconds, by which an agent's rows are counted: 9.5 hours, and about a second in one of those.
