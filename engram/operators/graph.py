@@ -321,13 +321,21 @@ def conflict_queues(members: DataFrame, history: DataFrame, write: Callable[[Dat
     several = write(links.groupBy("hist").agg(F.count("*").alias("n")).filter("n > 1").select("hist"), "shared_points")
     shared = write(links.join(several, "hist").select("hist", "component", "sim"), "shared")
     edges = shared.select(F.concat(F.lit("h:"), "hist").alias("src"), F.concat(F.lit("c:"), "component").alias("dst"))
-    found = connected_components(edges, write, "queues").filter(F.col("node").startswith("c:")).select(
-        F.substring("node", 3, 2**31 - 1).alias("component"),
-        "component",
-    )
-    queues = found.toDF("comp", "queue")
+    found = connected_components(edges, write, "queues").filter(F.col("node").startswith("c:"))
+    # The smallest node is a component, as "c:" comes before "h:".
+    queues = found.select(F.substring("node", 3, 2**31 - 1).alias("comp"), F.substring("component", 3, 2**31 - 1).alias("queue"))
     best = shared.groupBy("component").agg(F.max("sim").alias("affinity"))
-    out = best.join(queues, F.col("component") == F.col("comp"))
-    named = out.groupBy("queue").agg(F.min("component").alias("first"))
-    place = F.row_number().over(Window.partitionBy("queue").orderBy(F.col("affinity").desc(), F.col("component")))
-    return out.withColumn("place", place).join(named, "queue").select(F.col("first").alias("queue"), "component", "affinity", "place")
+    return _queue_places(best.join(queues, F.col("component") == F.col("comp")).select("queue", "component", "affinity"), write)
+
+
+def _queue_places(rows: DataFrame, write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """rows (queue, component, affinity) with their place in the queue. No task gets all of a queue: rows are dealt by ranges of their order and written, and a row's place is
+    the one in its range behind the rows of the ranges before it, which are counted."""
+    order = [F.col("affinity").desc(), F.col("component")]
+    dealt = write(rows.repartitionByRange("queue", *order).withColumn("_range", F.spark_partition_id()), "queue_ranges")
+    before = Window.partitionBy("queue").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = write(dealt.groupBy("queue", "_range").agg(F.count("*").alias("_n")), "queue_counts")
+    counts = counts.select("queue", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    here = F.row_number().over(Window.partitionBy("queue", "_range").orderBy(*order))
+    placed = dealt.withColumn("_here", here).join(counts, ["queue", "_range"])
+    return placed.select("queue", "component", "affinity", (F.col("_before") + F.col("_here")).cast("int").alias("place"))
