@@ -14,22 +14,39 @@ from engram.sources.postings import page_bodies, point_bodies
 KEYWORD_SCORE = 0.5
 
 
-def keyword_hits(queries: DataFrame, entries: DataFrame, k: int, order: list[Column], status: Column | None = None, among: DataFrame | None = None) -> DataFrame:
+def point_passes() -> Column:
+    return F.col("status") != "archived"
+
+
+def page_passes() -> Column:
+    return F.col("status").isin("", "active")
+
+
+def keyword_hits(queries: DataFrame, entries: DataFrame, k: int, order: list[Column], status: Column | None = None) -> DataFrame:
     """queries: q, agent_id, text; entries: agent_id, id, kind, body, ...: the first k entries by `order` that a query matches, of these
-    the ones that pass `status` (the cut comes first): q, agent_id, id, kind, score, place. among (q, agent_id, kind, id): entries that a query can match at all."""
-    asked = queries if among is None else among.join(queries, ["q", "agent_id"])
-    joined = entries.join(asked, "agent_id" if among is None else ["agent_id", "kind", "id"]).filter(keyword_match("body", "text"))
+    the ones that pass `status` (the cut comes first): q, agent_id, id, kind, score, place."""
+    return cut_hits(entries.join(queries, "agent_id").filter(keyword_match("body", "text")), k, order, status)
+
+
+def cut_hits(matches: DataFrame, k: int, order: list[Column], status: Column | None = None) -> DataFrame:
+    """Of matches (q, agent_id, id, kind, ...) the first k by `order` of each query, and of these the ones that pass `status`: q, agent_id, id, kind, score, place."""
     rank = F.row_number().over(Window.partitionBy("q", "agent_id").orderBy(*order))
-    cut = joined.withColumn("place", rank).filter(F.col("place") <= k)
+    cut = matches.withColumn("place", rank).filter(F.col("place") <= k)
     if status is not None:
         cut = cut.filter(status)
     return cut.select("q", "agent_id", "id", "kind", F.lit(KEYWORD_SCORE).alias("score"), "place")
 
 
-def full_text_fallback(queries: DataFrame, points: DataFrame, pages: DataFrame, k: int, among: DataFrame | None = None) -> DataFrame:
+def full_text_fallback(queries: DataFrame, points: DataFrame, pages: DataFrame, k: int) -> DataFrame:
     """Points by importance (not archived), then pages by update (active), together at most k: q, agent_id, id, kind, score, place."""
-    a = keyword_hits(queries, point_bodies(points), k, [F.col("importance").desc(), F.col("id")], F.col("status") != "archived", among).withColumn("part", F.lit(1))
-    b = keyword_hits(queries, page_bodies(pages), k, [F.col("updated_at").desc(), F.col("id")], F.col("status").isin("", "active"), among).withColumn("part", F.lit(2))
+    a = keyword_hits(queries, point_bodies(points), k, [F.col("importance").desc(), F.col("id")], point_passes())
+    b = keyword_hits(queries, page_bodies(pages), k, [F.col("updated_at").desc(), F.col("id")], page_passes())
+    return points_then_pages(a, b, k)
+
+
+def points_then_pages(points: DataFrame, pages: DataFrame, k: int) -> DataFrame:
+    """Hits of points, then those of pages, together at most k of a query."""
+    a, b = points.withColumn("part", F.lit(1)), pages.withColumn("part", F.lit(2))
     rank = F.row_number().over(Window.partitionBy("q", "agent_id").orderBy("part", "place"))
     return a.unionByName(b).withColumn("place", rank).filter(F.col("place") <= k).drop("part")
 
