@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +21,8 @@ RAREST = 4
 NAMED = 10_000
 #: Postings of all texts up to which they are brought together by text. Of more, which grow with texts times entries, those of each different rarest trigram are taken once.
 BY_TEXT = 1_000_000
+#: Share of the entries from which on candidates aren't picked out: nearly all are read anyway, and picking them would exchange their bodies.
+MOST = 0.5
 
 
 def text_grams(texts: DataFrame) -> DataFrame:
@@ -25,6 +31,18 @@ def text_grams(texts: DataFrame) -> DataFrame:
     return texts.select("agent_id", "text", F.explode(F.array_distinct(F.flatten(F.transform(parts, trigrams)))).alias("gram"))
 
 
+def listed(lists: DataFrame) -> DataFrame:
+    """lists (agent_id, kind, ids): agent_id, kind, id, each once of the lists that come to a task together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, whose = batch.column("ids"), pc.list_parent_indices(batch.column("ids"))
+            rows = pa.table([batch.column("agent_id").take(whose), batch.column("kind").take(whose), ids.flatten()], ["agent_id", "kind", "id"])
+            yield from rows.group_by(rows.column_names).aggregate([]).to_batches()
+
+    return lists.select("agent_id", "kind", "ids").mapInArrow(run, "agent_id string, kind string, id string")
+
+
 def candidates(grams: DataFrame, index: DataFrame) -> DataFrame | None:
     """grams (agent_id, text, gram), of a table that is written: agent_id, kind, id of the entries that hold the rarest trigrams of one of the texts. None if there are no grams."""
     write = scratch(grams.sparkSession)
@@ -41,7 +59,7 @@ def candidates(grams: DataFrame, index: DataFrame) -> DataFrame | None:
     chosen = write(ranked.withColumn("_r", rarest).filter(F.col("_r") <= RAREST), "chosen")
     if chosen.agg(F.sum("n")).first()[0] > BY_TEXT:
         first = chosen.filter("_r = 1").select("agent_id", "gram").distinct()
-        return index.join(first, ["agent_id", "gram"], "left_semi").select("agent_id", "kind", F.explode("ids").alias("id")).distinct()
+        return listed(index.join(first, ["agent_id", "gram"], "left_semi")).distinct()
     needed = chosen.groupBy("agent_id", "text").agg(F.count("*").alias("needed"))
     met = index.join(chosen, ["agent_id", "gram"]).select("agent_id", "text", "kind", F.explode("ids").alias("id")).groupBy("agent_id", "text", "kind", "id").agg(F.count("*").alias("met"))
     return met.join(needed, ["agent_id", "text"]).filter("met = needed").select("agent_id", "kind", "id").distinct()
@@ -66,9 +84,12 @@ def search(at: Snapshot, queries: DataFrame, k: int) -> DataFrame:
 
     def hits(entries: DataFrame, kind: str, by: Column, passes: Column) -> DataFrame:
         chosen = entries.join(whole, "agent_id", "left_semi")
-        if found is not None:
+        mine = None if found is None else found.filter(F.col("kind") == kind)
+        if mine is not None and mine.count() >= MOST * entries.count():
+            chosen = entries
+        elif mine is not None:
             rest = entries.join(whole, "agent_id", "left_anti") if some else entries
-            rest = rest.join(found.filter(F.col("kind") == kind), ["agent_id", "id"], "left_semi")
+            rest = rest.join(mine, ["agent_id", "id"], "left_semi")
             chosen = chosen.unionByName(rest) if some else rest
         first = first_with(texts, chosen.withColumns({"body": F.lower("body"), "by": by}), k)
         rank = F.row_number().over(Window.partitionBy("agent_id", "text").orderBy(F.col("by").desc(), "id"))
